@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, rans, sharding
+from . import langid, packing, rans, sharding, warc
 from .common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -16,6 +17,20 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fit on rows that are not held out, predict every row."""
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out()).select("doc_id", "text", "lang"))
+    found = langid.predict(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write an archive of all pages, then read every record back."""
+    files = warc.write(table(spark, sf_dir, "pages"), Scratch(spark, "op2"))
+    return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_rans_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into an archive, then read every document back from its files."""
     folder, files = rans.write_archive(table(spark, sf_dir, "documents"), tokenizer_path(), 2, Scratch(spark, "op4"))
@@ -32,8 +47,16 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_rans_archive, op7_vector_packing, op10_feistel_shards)}
+    return {f.__name__: f for f in (op1_language_spans, op2_warc_archive, op4_rans_archive, op7_vector_packing, op10_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_warc_archive": f"""
+            WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html FROM pages),
+            g AS (SELECT html, max(page_id) AS top FROM p WHERE strlen(html) >= {warc.REVISIT_BYTES} GROUP BY html)
+            SELECT page_id, CAST(strlen(p.html) AS BIGINT) AS payload_bytes, sha1(p.html) AS payload_digest,
+              CASE WHEN top IS NULL OR top = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+              CASE WHEN top <> page_id THEN top END AS refers_to
+            FROM p LEFT JOIN g ON p.html = g.html""",
+    }
