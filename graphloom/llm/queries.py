@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, rans, sharding, warc
+from . import jaccard, langid, packing, rans, sharding, warc
 from .common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,6 +37,10 @@ def op4_rans_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_archive(files, folder)
 
 
+def op5_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 0, Scratch(spark, "op7"))
 
@@ -47,7 +51,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_spans, op2_warc_archive, op4_rans_archive, op7_vector_packing, op10_feistel_shards)}
+    return {f.__name__: f for f in (op1_language_spans, op2_warc_archive, op4_rans_archive, op5_jaccard_classes, op7_vector_packing, op10_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
