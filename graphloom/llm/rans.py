@@ -28,7 +28,7 @@ from .common import Scratch, open_fs, read_file, scan_text, write_file
 from .tokens import Encoder
 
 #: Probability bits; lanes of a block; ids of a block; steps between checkpoints; bytes of ids that one file covers.
-BITS, LANES, BLOCK, CHECKPOINT, FILE_IDS = 22, 512, 1 << 17, 128, 1 << 23
+BITS, LANES, BLOCK, CHECKPOINT, FILE_IDS = 22, 2048, 1 << 19, 128, 1 << 23
 MAGIC, END = b"GLRANS01", b"GLRANSFT"
 _LOW = np.uint64(1 << 31)
 

@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 
 import numpy as np
 
 #: Distinct pieces that a worker remembers, and the longest of them in characters.
-CACHE_PIECES, CACHE_CHARS = 400_000, 40
+CACHE_PIECES, CACHE_CHARS = 600_000, 40
 
 _WORKERS: dict = {}
 
@@ -38,6 +39,36 @@ def cut(text: str) -> list[str]:
     return _WIDE(text)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level vocabularies write bytes: visible ones as themselves, others from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """Ids of pieces, as bytes; a piece met for the first time is encoded by the library."""
+
+    def __init__(self, tokenizer, dtype):
+        super().__init__()
+        self.whole, self.merge, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
+        self.code = "H" if dtype.itemsize == 2 else "I"
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():  # one match of the pattern: only merges are left to do
+            if piece.isascii():
+                ids = [t.id for t in self.merge(self.letters[32] + word if word is not piece else piece)]
+            else:
+                ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
+        else:
+            ids = self.whole(piece, add_special_tokens=False).ids
+        found = array(self.code, ids).tobytes()
+        if len(piece) <= CACHE_CHARS and len(self) < CACHE_PIECES:
+            self[piece] = found
+        return found
+
+
 class Encoder:
     """Ids of texts under a byte-level tokenizer file.  Strings of special tokens in a text are ordinary text."""
 
@@ -48,7 +79,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.pieces = _Pieces(self.tokenizer, self.dtype)
 
     @staticmethod
     def of(path: str) -> Encoder:
@@ -59,18 +90,5 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian integers of self.dtype."""
-        pieces = [cut(t) for t in texts]
-        known, more = self.known, {}
-        missing = {p for ps in pieces for p in ps if p not in known}
-        if missing:
-            missing = sorted(missing)
-            for p, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                ids = np.array(e.ids, self.dtype).tobytes()
-                if len(p) <= CACHE_CHARS and len(known) < CACHE_PIECES:
-                    known[p] = ids
-                else:
-                    more[p] = ids
-        if not more:
-            get = known.__getitem__
-            return [b"".join(map(get, ps)) for ps in pieces]
-        return [b"".join([known[p] if p in known else more[p] for p in ps]) for ps in pieces]
+        get = self.pieces.__getitem__
+        return [b"".join(map(get, cut(t))) for t in texts]

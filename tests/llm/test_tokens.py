@@ -127,3 +127,13 @@ def test_sharding(spark):
     again = sharding.shard(frame(spark, texts).repartition(3), 8, Scratch(spark, "t")).orderBy("row").collect()
     assert again == rows
     assert sharding.shard(frame(spark, []), 8, Scratch(spark, "t")).count() == 0
+
+
+def test_a_full_cache_changes_nothing(monkeypatch):
+    from graphloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    encoder = Encoder(tokenizer_path())
+    text = "one Two thrée, 4 five one Two  six\n seven"
+    assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.pieces) == 3
