@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, packing, rans, sharding, warc
+from . import jaccard, langid, packing, rans, repeats, sharding, warc
 from .common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +31,10 @@ def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"), Scratch(spark, "op3"))
+
+
 def op4_rans_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode all documents into an archive, then read every document back from its files."""
     folder, files = rans.write_archive(table(spark, sf_dir, "documents"), tokenizer_path(), 2, Scratch(spark, "op4"))
@@ -51,7 +55,7 @@ def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_spans, op2_warc_archive, op4_rans_archive, op5_jaccard_classes, op7_vector_packing, op10_feistel_shards)}
+    return {f.__name__: f for f in (op1_language_spans, op2_warc_archive, op3_repeat_removal, op4_rans_archive, op5_jaccard_classes, op7_vector_packing, op10_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
