@@ -1,19 +1,53 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Language ID drops documents without a language; the Jaccard join leaves one document of each group of near copies;
+repeat removal cuts byte strings that occur earlier; decontamination drops documents that hold a benchmark item;
+packing lays the rest out in sequences.  Every stage works on all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from graphloom.llm import decontaminate, jaccard, langid, packing, repeats
 from graphloom.llm.common import Scratch, table
+from graphloom.llm.queries import tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.identified(docs, langid.fit(docs.where(~langid.held_out())))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return jaccard.representatives(docs, Scratch(spark, "near"))
+
+
+def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return repeats.cleaned(docs, Scratch(spark, "repeats"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"), Scratch(spark, "leaks"))
+
+
+def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path(), 0, Scratch(spark, "packing"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeat_removal", repeat_removal),
+    ("decontamination", decontamination),
+    ("best_fit_packing", best_fit),
+]
 
-#: Stages of arbitrary code cannot be expressed in SQL; tests hold run() against a brute-force version.
+#: Viterbi paths, components and packing are beyond SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
     return docs

@@ -296,3 +296,9 @@ def classes(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> DataF
     labels = components(links, scratch)
     found = sets.join(labels, F.col("rep") == F.col("node"), "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+
+
+def representatives(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
+    """One document of each class, that of the least doc_id, in its own columns."""
+    stay = scratch.table(classes(documents, scratch, words).where("doc_id <=> component_id").select("doc_id").distinct(), "stay")
+    return documents.join(stay.alias("stay"), documents["doc_id"].cast("long").eqNullSafe(F.col("stay.doc_id")), "left_semi")

@@ -238,42 +238,74 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
     return Model([name for name, _ in langs], counts[:, :BUCKETS], counts[:, BUCKETS:])
 
 
+def judged(texts: list[str | None], labeller: Labeller | None) -> list[tuple[str, float, list]]:
+    """(language, score, spans) of each text."""
+    if labeller is None:
+        return [(UND, 0.0, [])] * len(texts)
+    out, langs = [], labeller.model.langs
+    for t, path in zip(texts, labeller.label(texts), strict=True):
+        own = path[path >= 0]
+        if not len(own):
+            out.append((UND, 0.0, []))
+            continue
+        counts = np.bincount(own, minlength=len(langs))
+        top = int(counts.argmax())
+        spans = [(langs[top], 0, len(t))] if counts[top] == len(own) else spans_of(t, path, langs)
+        out.append((langs[top], float(counts[top] / len(own)), spans))
+    return out
+
+
+def _labellers(spark, model: Model):
+    """A function that gives executors their labeller (None where nothing was learned)."""
+    held = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
+
+    def get() -> Labeller | None:
+        own = pickle.loads(zlib.decompress(held.value))
+        return Labeller(own) if own.langs else None
+
+    return get
+
+
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score (the share of words in spans of that language) and spans (lang, start, end: characters)."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(zlib.compress(pickle.dumps(model), 1))
-    kind = docs.schema[key].dataType
+    get, kind = _labellers(docs.sparkSession, model), docs.schema[key].dataType
     span = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
     def run(batches):
-        model = pickle.loads(zlib.decompress(held.value))
-        labeller = Labeller(model) if model.langs else None
+        labeller = get()
         for batch in batches:
             starts = byte_column(batch.column(1))[1]
             for a, b in chunks(np.diff(starts), 4 * CHUNK_BYTES):
                 part = batch.slice(a, b - a)
-                texts = part.column(1).to_pylist()
-                paths = labeller.label(texts) if labeller else [np.zeros(0, np.int64)] * len(texts)
-                pred, score, spans = [], [], []
-                for t, path in zip(texts, paths, strict=True):
-                    own = path[path >= 0]
-                    if not len(own):
-                        pred.append(UND)
-                        score.append(0.0)
-                        spans.append([])
-                        continue
-                    counts = np.bincount(own, minlength=len(model.langs))
-                    top = int(counts.argmax())
-                    pred.append(model.langs[top])
-                    score.append(float(counts[top] / len(own)))
-                    spans.append([(model.langs[top], 0, len(t))] if counts[top] == len(own) else spans_of(t, path, model.langs))
-                rows = [[{"lang": x, "start": i, "end": j} for x, i, j in s] for s in spans]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(pred), pa.array(score, pa.float64()), pa.array(rows, pa.list_(span))], [key, "lang_pred", "score", "spans"])
+                found = judged(part.column(1).to_pylist(), labeller)
+                rows = [[{"lang": x, "start": i, "end": j} for x, i, j in s] for _, _, s in found]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array(rows, pa.list_(span))], [key, "lang_pred", "score", "spans"])
 
     schema = f"{key} {kind.simpleString()}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
     return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """Rows whose text has a language, in their own columns; no row is shuffled.  Where nothing was learned, every
+    text with a letter stays."""
+    get, at = _labellers(docs.sparkSession, model), docs.columns.index(text)
+
+    def run(batches):
+        labeller = get()
+        for batch in batches:
+            starts = byte_column(batch.column(at))[1]
+            for a, b in chunks(np.diff(starts), 4 * CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                texts = part.column(at).to_pylist()
+                if labeller is None:
+                    keep = [any(c.isalpha() for c in t or "") for t in texts]
+                else:
+                    keep = [f[0] != UND for f in judged(texts, labeller)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def spans_of(text: str, path: np.ndarray, langs: list[str]) -> list[tuple[str, int, int]]:
     """Spans of a mixed text by characters: from the first word of a run of one language to the next run."""
     lowered = text.lower()

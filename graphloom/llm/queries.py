@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, langid, packing, rans, repeats, sharding, warc
+from . import decontaminate, jaccard, langid, neighbours, packing, quotes, rans, repeats, sharding, warc
 from .common import Scratch, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -45,6 +45,10 @@ def op5_jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
 
 
+def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, Scratch(spark, "op6"))
+
+
 def op7_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 0, Scratch(spark, "op7"))
 
@@ -53,13 +57,17 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op8"))
 
 
+def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.unquoted(table(spark, sf_dir, "conversations"), Scratch(spark, "op9"))
+
+
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), 8, Scratch(spark, "op10"))
     return rows.selectExpr("doc_id", "size", "text_crc32", "'rows' AS law", "shard", "slot", "CAST(NULL AS INT) AS grown_shard", "row")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_spans, op2_warc_archive, op3_repeat_removal, op4_rans_archive, op5_jaccard_classes, op7_vector_packing, op8_template_decontamination, op10_feistel_shards)}
+    return {f.__name__: f for f in (op1_language_spans, op2_warc_archive, op3_repeat_removal, op4_rans_archive, op5_jaccard_classes, op6_posting_lists, op7_vector_packing, op8_template_decontamination, op9_quotation_links, op10_feistel_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
