@@ -1,11 +1,760 @@
-"""All registered queries and their SQL."""
+"""All registered queries of the engine: a DataFrame builder each, and the same result in SQL where SQL has it."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import providers, text
+from ..operators import clean, evaluate, graph, pages, search, templates, vectors
+from ..schema import CONFUSABLE, CONTRAST_WEIGHT
+from ..sources import files
+from ..storage import Steps
+from ..streaming import watch
+from . import views
+from .views import EVIDENCE_SQL, IMAGES_SQL, RESULTS_SQL, TEXTS_SQL, TRIPLES_SQL, table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+#: No node of the driver's graph is a hub by this; nations grow with the scale.
+NO_HUB = 1 << 40
+
+
+def query(sql: str | None = None, uses: str = ""):
+    """Register a builder under its name, with SQL that starts from the views it uses."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            known = {"t": TRIPLES_SQL, "txt": TEXTS_SQL, "img": IMAGES_SQL, "res": RESULTS_SQL, "ev": EVIDENCE_SQL}
+            parts = [known[u] for u in uses.split()]
+            body = sql.strip()
+            if parts:
+                body = "WITH " + ", ".join(parts) + (", " + body[5:] if body.upper().startswith("WITH ") else " " + body)
+            SQL[f.__name__] = body
+        return f
+
+    return add
+
+
+DEGREE = "deg AS (SELECT name, count(*) AS degree FROM (SELECT h AS name FROM t UNION ALL SELECT u FROM t) GROUP BY name)"
+CLASS = "CASE r WHEN 'associated_with' THEN 'weak' WHEN 'is_a' THEN 'taxonomic' ELSE 'core' END"
+GROUP = "CASE " + " ".join(f"WHEN r IN ({', '.join(repr(x) for x in g)}) THEN {i}" for i, g in enumerate(CONFUSABLE)) + " END"
+STEPS = f"""only_ AS (SELECT h, r, min(u) AS u, {GROUP} AS grp FROM t GROUP BY h, r HAVING count(DISTINCT u) = 1),
+rival AS (SELECT h, grp FROM (SELECT h, r, {GROUP} AS grp FROM t) WHERE grp IS NOT NULL GROUP BY h, grp HAVING count(DISTINCT r) > 1),
+st AS (SELECT o.h, o.r, o.u, {CLASS.replace('CASE r', 'CASE o.r')} AS cls FROM only_ o LEFT JOIN rival v ON o.h = v.h AND o.grp = v.grp WHERE v.h IS NULL)"""
+
+
+def triples_of(spark, d):
+    return views.triples(spark, d)
+
+
+# --------------------------------------------------------------------------- graph
+
+
+@query("SELECT h, r, u, seq FROM t", "t")
+def triples(spark, d):
+    return triples_of(spark, d)
+
+
+@query(f"WITH {DEGREE} SELECT name, degree FROM deg", "t")
+def entity_degree(spark, d):
+    return graph.degrees(triples_of(spark, d))
+
+
+@query("""SELECT name, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out, CAST(sum(c) AS BIGINT) AS n_class FROM (
+  SELECT h AS name, 0 AS i, 1 AS o, 0 AS c FROM t UNION ALL SELECT u, 1, 0, CASE WHEN r = 'is_a' THEN 1 ELSE 0 END FROM t) GROUP BY name""", "t")
+def class_degrees(spark, d):
+    return graph.class_degrees(triples_of(spark, d))
+
+
+@query("""SELECT (SELECT count(*) FROM t) AS triples, (SELECT count(DISTINCT r) FROM t) AS relations,
+  (SELECT count(*) FROM (SELECT h FROM t UNION SELECT u FROM t)) AS entities, (SELECT count(*) FROM (SELECT DISTINCT entity, text FROM txt)) AS text_attributes,
+  (SELECT count(*) FROM img) AS images, (SELECT count(DISTINCT entity) FROM img) AS multimodal_entities""", "t txt img")
+def graph_stats(spark, d):
+    return graph.stats(triples_of(spark, d), views.texts(spark, d), views.images(spark, d))
+
+
+CANDIDATES = """c AS (SELECT 'o' || l_orderkey AS h, 'uses_material' AS r, 'p' || l_partkey AS u, l_returnflag || l_linestatus AS source, CAST(l_linenumber AS BIGINT) AS seq FROM lineitem)"""
+
+
+def _candidates(spark, d):
+    return table(spark, d, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("h"), F.lit("uses_material").alias("r"), F.concat(F.lit("p"), "l_partkey").alias("u"), F.concat("l_returnflag", "l_linestatus").alias("source"), F.col("l_linenumber").cast("long").alias("seq"))
+
+
+@query(f"""WITH {CANDIDATES}, s AS (SELECT h, r, u, source, min(seq) AS seq FROM c GROUP BY h, r, u, source)
+SELECT h, r, u, min(seq) AS seq, string_agg(source, ';' ORDER BY seq, source) AS sources FROM s GROUP BY h, r, u""")
+def merge_triples(spark, d):
+    return graph.merge(_candidates(spark, d)).withColumn("sources", F.array_join("sources", ";"))
+
+
+@query("""SELECT o_orderkey AS id FROM orders WHERE trim(o_orderstatus) <> '' AND lower(o_orderstatus) <> lower(substr(o_orderpriority, 3, 1))""")
+def valid_candidates(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("h"), F.lit("r").alias("r"), F.substring("o_orderpriority", 3, 1).alias("u"))
+    return graph.valid(rows).select("id")
+
+
+@query("SELECT h, r, count(DISTINCT u) AS n, string_agg(DISTINCT u, ';' ORDER BY u) AS tails FROM t GROUP BY h, r", "t")
+def tails(spark, d):
+    return graph.tails(triples_of(spark, d)).withColumn("n", F.col("n").cast("long"))
+
+
+@query("SELECT u, r, count(DISTINCT h) AS n FROM t GROUP BY u, r", "t")
+def heads(spark, d):
+    return graph.heads(triples_of(spark, d))
+
+
+@query(f"WITH {DEGREE} SELECT name, degree FROM deg ORDER BY degree DESC, name LIMIT 10", "t")
+def top_degree(spark, d):
+    return clean.largest_first(graph.degrees(triples_of(spark, d)))
+
+
+@query(f"WITH {DEGREE} SELECT name FROM deg WHERE degree >= 40", "t")
+def hub_names(spark, d):
+    return graph.hubs(triples_of(spark, d))
+
+
+@query("SELECT u AS name FROM t GROUP BY u HAVING count(*) >= 15", "t")
+def sink_names(spark, d):
+    return graph.sinks(triples_of(spark, d))
+
+
+@query("SELECT h, r, min(u) AS u FROM t GROUP BY h, r HAVING count(DISTINCT u) = 1", "t")
+def unforked_edges(spark, d):
+    return graph.unforked(triples_of(spark, d))
+
+
+@query(f"""WITH g AS (SELECT DISTINCT h, r, {GROUP} AS grp FROM t)
+SELECT h, r FROM g WHERE grp IS NULL UNION ALL SELECT h, min(r) FROM g WHERE grp IS NOT NULL GROUP BY h, grp HAVING count(*) = 1""", "t")
+def unconfusable_relations(spark, d):
+    return graph.unconfusable(triples_of(spark, d))
+
+
+@query("""WITH m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN upper(n_name) || ' ' ELSE 'cust ' || c_nationkey END AS mention FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT id, mention, coalesce(e.n_name, k.n_name, a.n_name) AS name FROM m LEFT JOIN nation e ON mention = e.n_name LEFT JOIN nation k ON lower(trim(mention)) = lower(k.n_name) LEFT JOIN nation a ON lower(trim(mention)) = 'cust ' || a.n_nationkey""")
+def resolve_mentions(spark, d):
+    n = table(spark, d, "nation")
+    m = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.upper("n_name"), F.lit(" "))).otherwise(F.concat(F.lit("cust "), "c_nationkey")).alias("mention"))
+    names = n.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("seq"))
+    aliases = n.select(F.concat(F.lit("Cust "), "n_nationkey").alias("alias"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("seq"))
+    return m.join(graph.resolve(m.select("mention").distinct(), names, aliases), "mention", "left").select("id", "mention", "name")
+
+
+@query("""WITH s AS (SELECT entity, text, min(seq) AS seq FROM txt GROUP BY entity, text), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq DESC) AS rank FROM s)
+SELECT entity, seq, CAST(rank AS INTEGER) AS rank, md5(text) AS digest FROM k WHERE rank <= 5""", "txt")
+def kept_texts(spark, d):
+    return graph.keep_texts(views.texts(spark, d)).select("entity", "seq", "rank", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("""WITH s AS (SELECT entity, path, min(seq) AS seq FROM img GROUP BY entity, path), k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY seq) AS rank FROM s)
+SELECT entity, path, seq, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 6""", "img")
+def kept_images(spark, d):
+    return graph.keep_images(views.images(spark, d)).select("entity", "path", "seq", "rank")
+
+
+@query("""WITH e AS (SELECT h AS name, 0 AS dir, seq, h, r, u FROM t UNION ALL SELECT u, 1, seq, h, r, u FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dir, seq) AS rank FROM e)
+SELECT name, CAST(rank AS INTEGER) AS rank, h, r, u FROM k WHERE rank <= 12""", "t")
+def ego_units(spark, d):
+    return graph.ego_units(triples_of(spark, d))
+
+
+@query("SELECT h, r, u FROM t WHERE CAST('0x' || substr(md5('0|' || h || '|' || r || '|' || u), 1, 8) AS BIGINT) >= 1288490188", "t")
+def dropped_edges(spark, d):
+    return graph.drop_edges(triples_of(spark, d), 0.3).select("h", "r", "u")
+
+
+@query("SELECT DISTINCT entity AS name FROM img", "img")
+def multimodal_entities(spark, d):
+    return views.images(spark, d).select(F.col("entity").alias("name")).distinct()
+
+
+@query("SELECT h, r, u, path FROM t JOIN (SELECT entity, min(path) AS path FROM img GROUP BY entity) ON u = entity", "t img")
+def images_of_tails(spark, d):
+    first = views.images(spark, d).groupBy("entity").agg(F.min("path").alias("path"))
+    return triples_of(spark, d).join(first, F.col("u") == F.col("entity")).select("h", "r", "u", "path")
+
+
+# --------------------------------------------------------------------------- cleaning
+
+NAMES = """nm AS (SELECT CASE WHEN p_partkey % 4 = 0 THEN upper(p_brand) || ' (' || p_type || ')' ELSE lower(p_brand) || ' ' END AS name, CAST(min(p_partkey) AS BIGINT) AS seq FROM part GROUP BY 1)"""
+
+
+def _names(spark, d):
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.upper("p_brand"), F.lit(" ("), "p_type", F.lit(")"))).otherwise(F.concat(F.lower("p_brand"), F.lit(" ")))
+    return table(spark, d, "part").groupBy(name.alias("name")).agg(F.min("p_partkey").alias("seq"))
+
+
+NAMED = """tn AS (SELECT 'p' || p_partkey AS h, 'produced_by' AS r, CASE WHEN p_partkey % 4 = 0 THEN upper(p_brand) || ' (' || p_type || ')' ELSE lower(p_brand) || ' ' END AS u, 'p' || p_partkey AS seq FROM part),
+sv AS (SELECT nm.name, nm.seq, regexp_replace(lower(regexp_replace(nm.name, '\\([^()]*\\)', '', 'g')), '[^0-9a-z]', '', 'g') AS key, (SELECT count(*) FROM tn WHERE tn.u = nm.name) AS degree FROM nm),
+best AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY degree DESC, length(name), seq, name) AS k, count(*) OVER (PARTITION BY key) AS c FROM sv WHERE key <> ''),
+dup AS (SELECT a.name, b.name AS survivor FROM best a JOIN best b ON a.key = b.key AND b.k = 1 WHERE a.k > 1)"""
+
+
+def _named(spark, d):
+    name = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.upper("p_brand"), F.lit(" ("), "p_type", F.lit(")"))).otherwise(F.concat(F.lower("p_brand"), F.lit(" ")))
+    return table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("h"), F.lit("produced_by").alias("r"), name.alias("u"), F.concat(F.lit("p"), "p_partkey").alias("seq"))
+
+
+@query(f"WITH {NAMES}, {NAMED} SELECT name, survivor FROM dup")
+def duplicate_spellings(spark, d):
+    return clean.duplicate_spellings(_named(spark, d), _names(spark, d))
+
+
+@query(f"WITH {NAMES}, {NAMED} SELECT h, r, coalesce(survivor, u) AS u, min(seq) AS seq FROM tn LEFT JOIN dup ON u = name GROUP BY 1, 2, 3")
+def remapped_triples(spark, d):
+    rows = _named(spark, d)
+    return clean.remap(rows, clean.duplicate_spellings(rows, _names(spark, d))).select("h", "r", "u", "seq")
+
+
+TYPES = """ty AS (SELECT name, n_class FROM (SELECT name, sum(i) AS n_in, sum(o) AS n_out, CAST(sum(c) AS BIGINT) AS n_class FROM (
+  SELECT h AS name, 0 AS i, 1 AS o, 0 AS c FROM t UNION ALL SELECT u, 1, 0, CASE WHEN r = 'is_a' THEN 1 ELSE 0 END FROM t) GROUP BY name)
+  WHERE n_class >= 2 AND n_class >= 0.9 * n_in AND n_out <= 2 AND name NOT IN (SELECT entity FROM txt) AND name NOT IN (SELECT entity FROM img))"""
+
+
+def _type_nodes(spark, d):
+    own = views.texts(spark, d).select("entity").unionByName(views.images(spark, d).select("entity"))
+    return clean.type_nodes(triples_of(spark, d), own)
+
+
+@query(f"WITH {TYPES} SELECT name, n_class FROM ty", "t txt img")
+def type_nodes(spark, d):
+    return _type_nodes(spark, d)
+
+
+@query(f"WITH {TYPES} SELECT h AS name, string_agg(DISTINCT u, ';' ORDER BY u) AS types FROM t JOIN ty ON u = ty.name WHERE r = 'is_a' GROUP BY h", "t txt img")
+def folded_types(spark, d):
+    return clean.fold(triples_of(spark, d), _type_nodes(spark, d))[0]
+
+
+@query(f"WITH {TYPES} SELECT h, r, u FROM t WHERE NOT (r = 'is_a' AND u IN (SELECT name FROM ty))", "t txt img")
+def folded_triples(spark, d):
+    return clean.fold(triples_of(spark, d), _type_nodes(spark, d))[1].select("h", "r", "u")
+
+
+@query(f"WITH {DEGREE} SELECT h, r, u, {CLASS} AS cls, degree >= 40 AS into_hub FROM t JOIN deg ON u = name", "t")
+def annotated_triples(spark, d):
+    return clean.annotate(triples_of(spark, d))
+
+
+@query(f"SELECT {CLASS} AS cls, count(*) AS n, count(DISTINCT r) AS relations FROM t GROUP BY 1", "t")
+def relation_kinds(spark, d):
+    return triples_of(spark, d).groupBy(graph.relation_class(F.col("r")).alias("cls")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("r").alias("relations"))
+
+
+@query("""WITH o AS (SELECT CASE WHEN page_id % 3 = 0 THEN 'C_' || (page_id % 30 + 1) ELSE 'c' || page_id END AS entity, url AS path FROM pages)
+SELECT entity, path, coalesce('c' || e.c_custkey, 'c' || a.c_custkey) AS placed FROM o LEFT JOIN customer e ON entity = 'c' || e.c_custkey LEFT JOIN customer a ON entity = 'C_' || a.c_custkey""")
+def carried_images(spark, d):
+    p = table(spark, d, "pages").select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("C_"), F.col("page_id") % 30 + 1)).otherwise(F.concat(F.lit("c"), "page_id")).alias("entity"), F.col("url").alias("path"))
+    c = table(spark, d, "customer")
+    return clean.carry_images(p, c.select(F.concat(F.lit("c"), "c_custkey").alias("name")), c.select(F.concat(F.lit("C_"), "c_custkey").alias("alias"), F.concat(F.lit("c"), "c_custkey").alias("name"), F.col("c_custkey").alias("seq")))
+
+
+@query("""WITH i AS (SELECT url AS path, sha1(html) AS sha1, CAST(page_id % 5 * 300 AS INTEGER) AS w, CAST(page_id % 3 * 400 AS INTEGER) AS h FROM pages),
+o AS (SELECT sha1, min({'path': path, 'w': w, 'h': h}) AS x FROM i GROUP BY sha1), f AS (SELECT x.path AS path, x.w AS w, x.h AS h FROM o WHERE x.w >= 200 AND x.h >= 200)
+SELECT path, w, h FROM (SELECT *, count(*) OVER (PARTITION BY w, h) AS n FROM f) WHERE NOT (w * h < 1000000 AND n >= 8)""")
+def content_images(spark, d):
+    i = table(spark, d, "pages").select(F.col("url").alias("path"), F.sha1(F.col("html").cast("binary")).alias("sha1"), (F.col("page_id") % 5 * 300).cast("int").alias("w"), (F.col("page_id") % 3 * 400).cast("int").alias("h"))
+    return clean.content_images(i)
+
+
+# --------------------------------------------------------------------------- templates
+
+
+def _chain_sql(k: int) -> str:
+    inner = "inn AS (SELECT h, r, u FROM st WHERE cls = 'core')"
+    last = "las AS (SELECT h, r, u FROM st WHERE cls <> 'weak' AND u NOT IN (SELECT u FROM t GROUP BY u HAVING count(*) >= 1099511627776))"
+    names = [f"{'las' if i == k - 1 else 'inn'} e{i}" for i in range(k)]
+    joins = names[0] + "".join(f" JOIN {n} ON e{i}.u = e{i + 1}.h" for i, n in enumerate(names[1:]))
+    nodes = ["e0.h", *(f"e{i}.u" for i in range(k))]
+    apart = " AND ".join(f"{nodes[i]} <> {nodes[j]}" for i in range(len(nodes)) for j in range(i) if (i, j) != (1, 0))
+    path = "e0.h" + "".join(f" || '-' || e{i}.r || '>' || e{i}.u" for i in range(k))
+    return f"WITH {STEPS}, {inner}, {last} SELECT e0.h AS start, {path} AS path, e{k - 1}.u AS endpoint FROM {joins} WHERE {apart}"
+
+
+def _chain(k):
+    return lambda spark, d: templates.chains(triples_of(spark, d), k, NO_HUB, NO_HUB)
+
+
+for _k in (2, 3, 4, 5):
+    _f = _chain(_k)
+    _f.__name__ = f"chain{_k}"
+    query(_chain_sql(_k), "t")(_f)
+
+
+@query(f"""WITH {STEPS}, {DEGREE}, hub AS (SELECT name FROM deg WHERE degree >= 40), sink AS (SELECT u FROM t GROUP BY u HAVING count(*) >= 15)
+SELECT a.h AS start, a.h || '-' || a.r || '>' || a.u || '-' || b.r || '>' || b.u AS path, b.u AS endpoint FROM st a JOIN st b ON a.u = b.h
+WHERE a.cls = 'core' AND a.u NOT IN (SELECT name FROM hub) AND b.cls <> 'weak' AND b.u NOT IN (SELECT u FROM sink) AND b.u <> a.h AND b.u <> a.u""", "t")
+def chain2_strict(spark, d):
+    return templates.chains(triples_of(spark, d), 2)
+
+
+PREDICATES = f"co AS (SELECT DISTINCT h, r, u FROM t WHERE {CLASS} = 'core'), sz AS (SELECT r, u, count(*) AS n FROM co GROUP BY r, u)"
+
+
+@query(f"""WITH {PREDICATES}, {DEGREE}, p AS (SELECT co.*, n FROM co JOIN sz USING (r, u) WHERE n BETWEEN 2 AND 60)
+SELECT a.r AS r1, a.u AS u1, b.r AS r2, b.u AS u2, count(*) AS n, string_agg(a.h, ';' ORDER BY a.h) AS answer FROM p a JOIN p b ON a.h = b.h JOIN deg ON a.h = deg.name
+WHERE (a.r < b.r OR a.r = b.r AND a.u < b.u) AND a.r <> b.r AND a.u <> b.u GROUP BY a.r, a.u, a.n, b.r, b.u, b.n
+HAVING count(*) <> a.n AND count(*) <> b.n AND max(degree) < 200""", "t")
+def intersections(spark, d):
+    return templates.intersections(triples_of(spark, d), hub_degree=200)
+
+
+@query(f"""WITH {PREDICATES}, {DEGREE}, p AS (SELECT co.*, n FROM co JOIN sz USING (r, u) WHERE n BETWEEN 3 AND 8),
+own AS (SELECT p.* FROM p JOIN deg ON p.h = deg.name WHERE degree < 40), s AS (SELECT r, u, count(*) AS size FROM own GROUP BY r, u HAVING count(*) >= 3),
+m AS (SELECT own.r AS r1, own.u AS u1, size, p.r AS r2, p.u AS u2, count(*) AS removed FROM own JOIN s USING (r, u) JOIN p ON own.h = p.h WHERE own.r <> p.r OR own.u <> p.u GROUP BY ALL)
+SELECT r1, u1, r2, u2, size, removed, string_agg(own.h, ';' ORDER BY own.h) AS answer FROM m JOIN own ON own.r = r1 AND own.u = u1
+LEFT JOIN p x ON x.h = own.h AND x.r = r2 AND x.u = u2 WHERE x.h IS NULL AND removed / size BETWEEN 0.25 AND 0.8 GROUP BY r1, u1, r2, u2, size, removed""", "t")
+def absences(spark, d):
+    return templates.absences(triples_of(spark, d))
+
+
+@query(f"""WITH mb AS (SELECT DISTINCT u AS class, h AS a, md5(h) AS dg FROM t WHERE r = 'is_a'),
+pr AS (SELECT class, a, lead(a) OVER (PARTITION BY class, CAST('0x' || substr(dg, 1, 6) AS BIGINT) % 16 ORDER BY dg, a) AS b FROM mb),
+tl AS (SELECT h, r, string_agg(DISTINCT u, ';' ORDER BY u) AS tails FROM t WHERE {CLASS} = 'core' GROUP BY h, r),
+bo AS (SELECT class, a, b, x.r, x.tails AS left_values, y.tails AS right_values, {"CASE x.r " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in CONTRAST_WEIGHT.items()) + " ELSE 1.0 END"} AS weight FROM pr JOIN tl x ON x.h = a JOIN tl y ON y.h = b AND x.r = y.r WHERE b IS NOT NULL AND x.tails <> y.tails)
+SELECT class, a, b, r, CAST(weight AS DOUBLE) AS weight, left_values, right_values FROM (SELECT *, row_number() OVER (PARTITION BY class, a, b ORDER BY weight DESC, r) AS k FROM bo) WHERE k = 1""", "t")
+def comparatives(spark, d):
+    return templates.comparatives(triples_of(spark, d))
+
+
+@query(f"""WITH da AS (SELECT h, u AS year FROM t WHERE r = 'origin_year'),
+ou AS (SELECT h, string_agg(r || '=' || u, ';' ORDER BY k) AS developments, count(*) AS n1 FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY seq) AS k FROM t WHERE r <> 'origin_year' AND {CLASS} = 'core') WHERE k <= 4 GROUP BY h),
+ma AS (SELECT u, string_agg(h, ';' ORDER BY k) AS makers, count(*) AS n2 FROM (SELECT *, row_number() OVER (PARTITION BY u ORDER BY seq) AS k FROM t WHERE r IN ('produces', 'made_by')) WHERE k <= 2 GROUP BY u)
+SELECT da.h, year, coalesce(developments, '') AS developments, coalesce(makers, '') AS makers, 1 + coalesce(n1, 0) + coalesce(n2, 0) AS hops FROM da LEFT JOIN ou ON da.h = ou.h LEFT JOIN ma ON da.h = ma.u WHERE n1 IS NOT NULL OR n2 IS NOT NULL""", "t")
+def temporals(spark, d):
+    return templates.temporals(triples_of(spark, d))
+
+
+@query("SELECT CAST(u AS INTEGER) AS year, h AS entity, u AS raw FROM t WHERE r = 'origin_year' ORDER BY 1, 2, 3 LIMIT 5", "t")
+def oldest(spark, d):
+    return templates.oldest(triples_of(spark, d))
+
+
+@query("""WITH n AS (SELECT r, u, count(*) AS n, min(seq) AS f FROM t WHERE r IN ('located_in', 'uses_material', 'made_by', 'is_a') GROUP BY r, u)
+SELECT r, CAST(k AS INTEGER) AS rank, u, n FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY n DESC, f) AS k FROM n) WHERE k <= 4""", "t")
+def commonest(spark, d):
+    return templates.commonest(triples_of(spark, d), ["located_in", "uses_material", "made_by", "is_a"])
+
+
+@query(f"""WITH im AS (SELECT DISTINCT entity AS h FROM img), fa AS (SELECT t.* FROM t JOIN im USING (h) WHERE {CLASS} = 'core'),
+ra AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY seq) AS k, row_number() OVER (PARTITION BY h ORDER BY md5(seq), r, u) AS j FROM fa)
+SELECT h AS subject, string_agg(CASE WHEN k <= 3 THEN r || '=' || u END, ';' ORDER BY k) AS facts, max(CASE WHEN j = 1 THEN r END) AS relation, max(CASE WHEN j = 1 THEN u END) AS value FROM ra GROUP BY h""", "t img")
+def visual_subjects(spark, d):
+    return templates.visual_subjects(triples_of(spark, d), views.images(spark, d), NO_HUB)
+
+
+def _terminals(spark, d):
+    return table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("red;woven;"), F.lower("n_name")).alias("terms"))
+
+
+@query(f"""WITH uf AS (SELECT h, r, min(u) AS u FROM t WHERE {CLASS} = 'core' GROUP BY h, r HAVING count(DISTINCT u) = 1)
+SELECT b.h AS start, b.h || '-' || b.r || '>' || a.h || '-' || a.r || '>' || n_name AS path, n_name AS endpoint, 'red;woven;' || lower(n_name) AS terms FROM nation JOIN uf a ON a.u = n_name JOIN uf b ON b.u = a.h WHERE b.h <> n_name""", "t")
+def visual_chains(spark, d):
+    return templates.visual_chains(triples_of(spark, d), _terminals(spark, d), 2, NO_HUB)
+
+
+ITEMS = """it AS (SELECT 'item-' || substr(sha1(CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority), 1, 10) AS qid, o_orderkey, o_orderpriority AS type, o_custkey % 4 = 0 AS multimodal FROM orders)"""
+
+
+def _items(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("type"), (F.col("o_custkey") % 4 == 0).alias("multimodal"))
+    return templates.identified(o, "o_orderkey", "type")
+
+
+@query(f"WITH {ITEMS} SELECT qid, o_orderkey, type FROM it")
+def item_ids(spark, d):
+    return _items(spark, d).select("qid", "o_orderkey", "type")
+
+
+@query(f"WITH {ITEMS} SELECT qid, type FROM it ORDER BY md5('7:all:' || qid), qid LIMIT 400")
+def quota_items(spark, d):
+    return templates.quota(_items(spark, d), 400, "all").select("qid", "type")
+
+
+@query(f"""WITH {ITEMS}, c AS (SELECT count(*) FILTER (multimodal) AS m FROM it), x AS (SELECT *, row_number() OVER (PARTITION BY multimodal ORDER BY qid) AS k FROM it)
+SELECT qid, multimodal FROM x, c WHERE multimodal OR k <= floor(m * 0.6 / 0.4)""")
+def visual_floor(spark, d):
+    return templates.visual_floor(_items(spark, d), 0.4).select("qid", "multimodal")
+
+
+@query(f"""WITH {ITEMS}, s AS (SELECT type, count(*) AS size, (SELECT count(*) FROM it) AS total FROM it GROUP BY type),
+ta AS (SELECT type, greatest(1, CAST(round_even(87.0 * size / total, 0) AS BIGINT)) AS take FROM s),
+k AS (SELECT it.qid, it.type, md5('7:' || qid) AS draw, row_number() OVER (PARTITION BY it.type ORDER BY md5('7:' || qid), qid) AS k FROM it)
+SELECT qid, k.type, draw FROM k JOIN ta ON k.type = ta.type WHERE k <= take ORDER BY draw, qid LIMIT 87""")
+def stratified_split(spark, d):
+    return templates.stratified(_items(spark, d), 87)
+
+
+# --------------------------------------------------------------------------- pages
+
+BUDGET = """lk AS (SELECT h AS name, r AS relation, u AS target, false AS incoming, seq FROM t UNION ALL SELECT u, r, h, true, seq FROM t),
+gn AS (SELECT name, relation, count(*) AS n FROM lk GROUP BY name, relation),
+bg AS (SELECT name, relation, n, CAST(greatest(0, least(least(n, 8), 40 - (sum(least(n, 8)) OVER (PARTITION BY name ORDER BY n, relation ROWS UNBOUNDED PRECEDING) - least(n, 8)))) AS BIGINT) AS take FROM gn)"""
+
+
+@query(f"WITH {BUDGET} SELECT name, relation, n, take, n - take AS truncated FROM bg", "t")
+def page_budget(spark, d):
+    return pages.budget(triples_of(spark, d))
+
+
+@query(f"""WITH {BUDGET}, k AS (SELECT *, row_number() OVER (PARTITION BY name, relation ORDER BY incoming, seq) AS k FROM lk)
+SELECT k.name, k.relation, target, incoming FROM k JOIN bg ON k.name = bg.name AND k.relation = bg.relation WHERE k <= take""", "t")
+def page_links(spark, d):
+    return pages.page_links(triples_of(spark, d)).select("name", "relation", "target", "incoming")
+
+
+@query()
+def page_text(spark, d):
+    return pages.render(triples_of(spark, d), views.images(spark, d))
+
+
+@query(f"""WITH lk AS (SELECT h AS name, r AS relation, u AS target, false AS incoming, seq FROM t UNION ALL SELECT u, r, h, true, seq FROM t),
+k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY incoming, seq) AS k FROM lk),
+o AS (SELECT name, string_agg(CASE WHEN incoming THEN '- [[' || target || ']] ' || relation ELSE '- ' || relation || ' [[' || target || ']]' END, chr(10) ORDER BY k) AS lines, count(*) AS degree FROM k WHERE k <= 200 GROUP BY name),
+s AS (SELECT *, coalesce(nullif(trim(regexp_replace(regexp_replace(name, '[\\\\/:*?"<>|#^\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g')), ''), 'entity') AS file FROM o),
+i AS (SELECT *, row_number() OVER (PARTITION BY lower(file) ORDER BY name) AS i FROM s)
+SELECT file || CASE WHEN i > 1 THEN '-' || i ELSE '' END || '.md' AS file, '---' || chr(10) || 'name: ' || name || chr(10) || 'degree: ' || degree || chr(10) || '---' || chr(10) || lines AS note FROM i""", "t")
+def notes(spark, d):
+    return pages.notes(triples_of(spark, d))
+
+
+@query()
+def graphml_rows(spark, d):
+    t = triples_of(spark, d)
+    return pages.graphml(t, graph.degrees(t))
+
+
+# --------------------------------------------------------------------------- text
+
+
+@query("SELECT o_orderkey, replace(regexp_replace(lower(trim(o_orderpriority)), '\\s+', '_', 'g'), '-', '_') AS relation, o_orderstatus || ' ' || replace('made_by', '_', ' ') || ' ' || o_custkey AS sentence, CAST(regexp_extract(CAST(year(o_orderdate) AS VARCHAR), '^(\\d{3,4})', 1) AS INTEGER) AS year FROM orders")
+def text_columns(spark, d):
+    o = table(spark, d, "orders")
+    return o.select("o_orderkey", text.normal_relation(F.col("o_orderpriority")).alias("relation"), text.triple_text(F.col("o_orderstatus"), F.lit("made_by"), F.col("o_custkey").cast("string")).alias("sentence"), text.leading_year(F.year("o_orderdate").cast("string")).alias("year"))
+
+
+@query("SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def contained_items(spark, d):
+    # the benchmark is the small side whose size Spark knows; documents stream past it
+    b, docs = table(spark, d, "benchmark"), table(spark, d, "documents")
+    return docs.join(b.withColumnRenamed("text", "item"), F.contains("text", F.col("item"))).select("item_id", "doc_id")
+
+
+@query()
+def document_paragraphs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(text.split_paragraphs("text")).alias("para_no", "text"))
+
+
+@query("""SELECT doc_id, strlen(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), 'x^', '')) > 0 AS some FROM documents WHERE length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) <= 400""")
+def short_texts(spark, d):
+    docs = table(spark, d, "documents").withColumn("c", text.compressed("text", F.array(F.lit("the")), F.lit(400)))
+    flat = F.trim(F.regexp_replace("text", r"\s+", " "))
+    return docs.where((F.length(flat) <= 400) & (F.col("c") == flat)).select("doc_id", (F.length("c") > 0).alias("some"))
+
+
+@query()
+def compressed_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.compressed("text", F.array("lang"), F.lit(400)).alias("text"))
+
+
+@query("SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)href=[\"''](/[^\"''#?]*|https?://[^\"''#?]+)[\"'']', 1)) AS INTEGER) AS n_links, array_to_string(regexp_extract_all(html, '(?i)href=[\"''](/[^\"''#?]*|https?://[^\"''#?]+)[\"'']', 1), ' ') AS links FROM pages")
+def page_hrefs(spark, d):
+    links = text.page_links(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.size(links).alias("n_links"), F.array_join(links, " ").alias("links"))
+
+
+@query()
+def absolute_links(spark, d):
+    links = table(spark, d, "pages").select("page_id", "url", F.explode(text.page_links(F.col("html"))).alias("link"))
+    return links.select("page_id", text.url_join("url", "link").alias("link")).distinct()
+
+
+@query()
+def image_addresses(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(text.image_links(F.col("html"))).alias("address"))
+
+
+@query("SELECT item_id, regexp_matches(lower(b.text), '\\b' || lower(w) || '\\b') AS named FROM benchmark b, (VALUES ('the')) v(w)")
+def whole_word_names(spark, d):
+    return table(spark, d, "benchmark").select("item_id", text.names_whole(F.col("text"), F.lit("The")).alias("named"))
+
+
+@query("""SELECT item_id, CASE WHEN regexp_matches(replace(lower(text), 'that', ' '), '(^|[^\\w])re([^\\w]|$)') THEN 're' ELSE '' END
+  || CASE WHEN contains(replace(lower(text), 'that', ' '), 'erthand') THEN ';erthand' ELSE '' END AS leaked FROM benchmark""")
+def leaked_atoms(spark, d):
+    found = text.leaked(F.col("text"), F.array(F.lit("re"), F.lit("erthand")), F.array(F.lit("That")))
+    return table(spark, d, "benchmark").select("item_id", F.concat(F.when(F.array_contains(found, "re"), "re").otherwise(""), F.when(F.array_contains(found, "erthand"), ";erthand").otherwise("")).alias("leaked"))
+
+
+@query()
+def caption_terms(spark, d):
+    caption = F.concat("caption", F.lit(" beside a red woven sheet drying"))
+    return views.images(spark, d).select("path", "seq", F.array_join(text.visual_terms(caption, F.col("entity")), ";").alias("terms"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
+def reply_values(spark, d):
+    reply = F.concat(F.lit("Here it is: "), "props", F.lit(" as asked."))
+    return table(spark, d, "events").select("event_id", F.get_json_object(text.json_of(reply), "$.k").cast("long").alias("k"))
+
+
+@query("SELECT conv_id, turn, sha1(text) AS sha1, md5(text) AS md5 FROM conversations")
+def text_hashes(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", F.sha1(F.col("text").cast("binary")).alias("sha1"), F.md5(F.col("text").cast("binary")).alias("md5"))
+
+
+@query("SELECT o_orderkey, 'A: ' || o_orderpriority || ';' || o_orderstatus || ';' || o_orderpriority || ';' || o_orderstatus AS found FROM orders")
+def link_readings(spark, d):
+    raw = F.concat(F.lit("A: "), "o_orderpriority", F.lit(", "), "o_orderstatus")
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(text.link_candidates(raw), ";").alias("found"))
+
+
+@query("SELECT p_partkey, coalesce(nullif(trim(regexp_replace(regexp_replace(p_name, '[\\\\/:*?\"<>|#^\\[\\]]', ' ', 'g'), '\\s+', ' ', 'g')), ''), 'entity') AS file, TRY_CAST(nullif(regexp_extract('p' || p_size || '_01', '^p(\\d+)_', 1), '') AS INTEGER) AS page FROM part")
+def file_names(spark, d):
+    return table(spark, d, "part").select("p_partkey", text.safe_name(F.col("p_name")).alias("file"), text.image_page(F.concat(F.lit("p"), "p_size", F.lit("_01"))).alias("page"))
+
+
+# --------------------------------------------------------------------------- vectors
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+@query("SELECT vec_id AS id, round(sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x))), 6) AS norm FROM embeddings")
+def vector_norms(spark, d):
+    return _vectors(spark, d).select("id", F.round(vectors.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query("SELECT label, CAST(pos AS INTEGER) AS pos, round(avg(x), 6) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos")
+def label_means(spark, d):
+    return vectors.means(_vectors(spark, d), "label").select("label", "pos", F.round("mean", 6).alias("mean"))
+
+
+COS = "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))"
+
+
+@query(f"""SELECT query_id, id, CAST(k AS INTEGER) AS rank, sim FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round({COS}, 6) AS sim, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE k <= 8""")
+def cosine_top(spark, d):
+    v = _vectors(spark, d).select("id", "embedding")
+    return vectors.similar(v.where("id % 20 = 0"), v, k=8).select("query_id", "id", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query(f"""SELECT query_id, id, sim FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round({COS}, 6) AS sim, {COS} AS s, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({COS}, 9) DESC, v.vec_id) AS k FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0) WHERE k <= 8 AND s >= 0.3""")
+def detector_candidates(spark, d):
+    v = _vectors(spark, d).select("id", "embedding")
+    return vectors.similar(v.where("id % 20 = 0"), v, least=0.3, k=8).select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
+@query(f"SELECT q.vec_id AS query_id, v.vec_id AS id, round({COS}, 6) AS sim FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0 AND {COS} > 0.35")
+def similar_pairs(spark, d):
+    v = _vectors(spark, d).select("id", "embedding")
+    return vectors.similar(v.where("id % 20 = 0"), v, least=0.35).select("query_id", "id", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def greedy_filter(spark, d):
+    v = _vectors(spark, d).select("id", "embedding")
+    steps = Steps(spark, "greedy")
+    pairs = steps(vectors.similar(v, v, least=0.4).where("query_id < id").select(F.col("query_id").alias("a"), F.col("id").alias("b")), "pairs")
+    return vectors.greedy_filter(pairs, v, steps)
+
+
+@query("""WITH m AS (SELECT label, list(mean ORDER BY pos) AS mv FROM (SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label)
+SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), mv), 6) AS sim FROM embeddings JOIN m USING (label)""")
+def similarity_to_mean(spark, d):
+    v = _vectors(spark, d)
+    m = vectors.mean_vectors(v, "label").withColumnRenamed("embedding", "m")
+    return v.join(m, "label").select("id", F.round(vectors.dot(vectors.unit(F.col("embedding")), F.col("m")), 6).alias("sim"))
+
+
+@query("""WITH m AS (SELECT label, list(mean ORDER BY pos) AS mv FROM (SELECT label, pos, avg(x) AS mean FROM (SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings) GROUP BY label, pos) GROUP BY label),
+n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, mv, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS en, sqrt(list_inner_product(mv, mv)) AS mn FROM embeddings JOIN m USING (label))
+SELECT vec_id AS id, round(0.7 * 0.7 + 0.3 * 0.3 + 2 * 0.7 * 0.3 * list_inner_product(e, mv) / en / mn, 5) AS size FROM n""")
+def fused_vectors(spark, d):
+    v = _vectors(spark, d)
+    m = vectors.mean_vectors(v, "label").withColumnRenamed("embedding", "m")
+    f = vectors.fuse(vectors.unit(F.col("embedding")), F.col("m"))
+    return v.join(m, "label").select("id", F.round(vectors.dot(f, f), 5).alias("size"))
+
+
+# --------------------------------------------------------------------------- search
+
+
+@query("""WITH lk AS (SELECT DISTINCT a, b FROM (SELECT h AS a, u AS b FROM t UNION ALL SELECT u, h FROM t)),
+l0 AS (SELECT n_name AS qid, n_name AS node, 0 AS level FROM nation),
+l1 AS (SELECT DISTINCT qid, b AS node, 1 AS level FROM l0 JOIN lk ON node = a WHERE b <> qid),
+l2 AS (SELECT DISTINCT l1.qid, b AS node, 2 AS level FROM l1 JOIN lk ON l1.node = a WHERE NOT EXISTS (SELECT 1 FROM l1 x WHERE x.qid = l1.qid AND x.node = b) AND b <> l1.qid)
+SELECT qid, node, level FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2""", "t")
+def reached_nodes(spark, d):
+    roots = table(spark, d, "nation").select(F.col("n_name").alias("qid"), F.col("n_name").alias("node"))
+    return search.reach(triples_of(spark, d), roots, 2, Steps(spark, "reach"))
+
+
+@query("""WITH s AS (SELECT DISTINCT n_name AS qid, node FROM nation JOIN (SELECT h AS node, u AS b FROM t UNION ALL SELECT u, h FROM t) ON b = n_name UNION SELECT n_name, n_name FROM nation),
+g AS (SELECT n_name AS qid, 'c' || c_custkey AS h, 'is_a' AS r, c_mktsegment AS u FROM customer, nation WHERE n_nationkey < 5)
+SELECT g.qid, count(*) AS n, count(*) FILTER (EXISTS (SELECT 1 FROM s WHERE s.qid = g.qid AND s.node IN (g.h, g.u))) AS reachable FROM g GROUP BY g.qid""", "t")
+def reach_ceilings(spark, d):
+    n = table(spark, d, "nation")
+    seen = search.reach(triples_of(spark, d), n.select(F.col("n_name").alias("qid"), F.col("n_name").alias("node")), 1, Steps(spark, "ceilings"))
+    few = n.where("n_nationkey < 5").select(F.col("n_name").alias("qid"))
+    gold = table(spark, d, "customer").join(F.broadcast(few), F.lit(True)).select("qid", F.concat(F.lit("c"), "c_custkey").alias("h"), F.lit("is_a").alias("r"), F.col("c_mktsegment").alias("u"))
+    return search.ceilings(seen, gold)
+
+
+@query("""SELECT 'q' || c_custkey AS qid, n_name AS name, 1 AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE length(n_name) > length('c' || c_custkey)""")
+def question_roots(spark, d):
+    n = table(spark, d, "nation")
+    q = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).where(F.length("n_name") > F.length(F.concat(F.lit("c"), "c_custkey")))
+    questions = q.select(F.concat(F.lit("q"), "c_custkey").alias("qid"), F.concat(F.lit("Where in "), F.upper("n_name"), F.lit("? ")).alias("question"))
+    return search.question_roots(questions, n.select(F.col("n_name").alias("name")))
+
+
+@query()
+def beam_walk(spark, d):
+    n = table(spark, d, "nation")
+    q = n.select(F.col("n_name").alias("qid"), F.concat(F.lit("which size is made by suppliers located in "), "n_name").alias("question"), F.col("n_name").alias("node"))
+    steps = Steps(spark, "walk")
+    return search.walk(q, steps(pages.page_links(triples_of(spark, d)), "pages"), steps)
+
+
+@query()
+def evidence_by_turns(spark, d):
+    l = table(spark, d, "lineitem").select(F.concat(F.lit("q"), "l_orderkey").alias("qid"), (F.col("l_linenumber") % 3).alias("c"), "l_linenumber", F.concat(F.lit("p"), F.col("l_partkey") % 9).alias("edge"))
+    chains = l.groupBy("qid", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "edge"))), lambda s: s["edge"]).alias("edges"), F.max("l_linenumber").cast("double").alias("score"))
+    verdict = F.element_at(F.array(*map(F.lit, ["support", "partial", "reject"])), (F.col("c") + 1).cast("int"))
+    return search.evidence(chains.withColumn("verdict", verdict))
+
+
+# --------------------------------------------------------------------------- evaluation
+
+
+@query("""WITH e AS (SELECT DISTINCT qid, side, h, r, u, least(h, u) || '|' || greatest(h, u) AS pair FROM ev),
+n AS (SELECT qid, count(*) FILTER (side = 'pred') AS n_pred, count(*) FILTER (side = 'gold') AS n_gold FROM e GROUP BY qid),
+b AS (SELECT g.qid, count(*) AS hits FROM e g JOIN e p ON g.qid = p.qid AND g.h = p.h AND g.r = p.r AND g.u = p.u WHERE g.side = 'gold' AND p.side = 'pred' GROUP BY g.qid),
+m AS (SELECT qid, count(*) AS near FROM e g WHERE side = 'gold' AND EXISTS (SELECT 1 FROM e p WHERE p.side = 'pred' AND p.qid = g.qid AND p.pair = g.pair) GROUP BY qid)
+SELECT n.qid, n_pred, n_gold, CASE WHEN n_pred > 0 THEN round(coalesce(hits, 0) / n_pred, 6) ELSE 0 END AS precision, CASE WHEN n_gold > 0 THEN round(coalesce(hits, 0) / n_gold, 6) ELSE 0 END AS recall,
+  CASE WHEN n_gold > 0 THEN round(coalesce(near, 0) / n_gold, 6) ELSE 0 END AS recall_entailed FROM n LEFT JOIN b ON n.qid = b.qid LEFT JOIN m ON n.qid = m.qid""", "ev")
+def precision_recall(spark, d):
+    return evaluate.precision_recall(views.evidence(spark, d))
+
+
+MEANS = "count(*) AS n, round(avg(CAST(correct AS DOUBLE)), 6) AS acc, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, round(avg(n_calls), 6) AS calls_mean, round(stddev_pop(n_calls), 6) AS calls_sd, round(avg(seconds), 5) AS seconds_mean, round(stddev_pop(seconds), 5) AS seconds_sd"
+
+
+@query(f"SELECT run, {MEANS} FROM res GROUP BY run", "res")
+def run_summary(spark, d):
+    return evaluate.summary(views.results(spark, d), "run")
+
+
+@query(f"SELECT run, type, {MEANS} FROM res GROUP BY run, type", "res")
+def type_summary(spark, d):
+    return evaluate.summary(views.results(spark, d), "run", "type")
+
+
+KINDS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+@query("SELECT run, " + ", ".join(f"round(avg(CAST(correct AS DOUBLE)) FILTER (type = '{k}'), 6) AS \"{k}\"" for k in KINDS) + " FROM res GROUP BY run", "res")
+def type_pivot(spark, d):
+    return evaluate.by_type(views.results(spark, d), KINDS)
+
+
+@query("""WITH p AS (SELECT a.correct AS a, b.correct AS b FROM res a JOIN res b ON a.qid = b.qid WHERE a.run = 'full' AND b.run = 'flat'), c AS (SELECT count(*) AS n, count(*) FILTER (a AND NOT b) AS only_a, count(*) FILTER (NOT a AND b) AS only_b FROM p)
+SELECT n, only_a, only_b, CASE WHEN only_a + only_b > 0 THEN round((only_a - only_b) / sqrt(only_a + only_b), 6) ELSE 0 END AS z FROM c""", "res")
+def paired_z(spark, d):
+    return evaluate.paired(views.results(spark, d), "full", "flat")
+
+
+@query("SELECT run, split_part(error, ':', 1) AS kind, count(*) AS n FROM res WHERE error IS NOT NULL GROUP BY 1, 2", "res")
+def error_kinds(spark, d):
+    return evaluate.error_kinds(views.results(spark, d))
+
+
+@query("SELECT run, round(avg(seconds / n_calls), 5) AS mean, round(stddev_pop(seconds / n_calls), 5) AS sd FROM res WHERE n_calls > 0 GROUP BY run", "res")
+def seconds_per_call(spark, d):
+    return evaluate.seconds_per_call(views.results(spark, d))
+
+
+@query("SELECT run, qid FROM res WHERE run = 'full' AND error IS NULL UNION ALL SELECT run, qid FROM res WHERE run = 'flat' AND error IS NOT NULL", "res")
+def repaired_rows(spark, d):
+    r = views.results(spark, d)
+    return evaluate.repaired(r.where("run = 'full'"), r.where("run = 'flat'")).select("run", "qid")
+
+
+@query("SELECT 'q' || o_orderkey AS qid FROM orders WHERE o_orderkey % 37 = 0")
+def remaining_items(spark, d):
+    r = views.results(spark, d)
+    return evaluate.remaining(r.select("qid").distinct(), r.where("error IS NULL").select("qid"))
+
+
+@query("SELECT run, count(*) AS n, 0 AS duplicates, count(*) FILTER (o % 11 = 0) AS extra, 0 AS missing FROM (SELECT run, CAST(substr(qid, 2) AS BIGINT) AS o FROM res) GROUP BY run", "res")
+def checked_runs(spark, d):
+    split = table(spark, d, "orders").where("o_orderkey % 11 <> 0").select(F.concat(F.lit("q"), "o_orderkey").alias("qid"))
+    out = evaluate.check(views.results(spark, d), split)
+    return out.select("run", "n", F.col("duplicates").cast("int").alias("duplicates"), "extra", F.col("missing").cast("int").alias("missing"))
+
+
+@query("""SELECT a.qid, a.recall, CAST(1 AS BIGINT) AS wrong FROM res a JOIN res b ON a.qid = b.qid WHERE a.run = 'full' AND b.run = 'flat' AND a.correct AND NOT b.correct ORDER BY a.recall DESC, a.qid LIMIT 20""", "res")
+def case_studies(spark, d):
+    return evaluate.cases(views.results(spark, d), "full")
+
+
+@query("SELECT role AS type, count(*) AS n, round(avg(len(regexp_split_to_array(trim(text), '\\s+'))), 5) AS words FROM conversations GROUP BY role")
+def composition(spark, d):
+    return evaluate.composition(table(spark, d, "conversations").withColumnRenamed("role", "type"))
+
+
+@query("SELECT p_partkey, CAST(p_size AS INTEGER) AS budget, CAST(p_partkey % 7 AS INTEGER) AS depth, 16 AS k FROM part")
+def sweep_names(spark, d):
+    p = table(spark, d, "part")
+    name = F.concat(F.lit("dev-b"), "p_size", F.lit("d"), F.col("p_partkey") % 7, F.lit("k16"))
+    return p.select("p_partkey", *evaluate.sweep_name(name))
+
+
+# --------------------------------------------------------------------------- sources, construction, streams
+
+
+@query("""SELECT url AS path, CASE WHEN page_id % 3 = 0 THEN 'NEW' WHEN page_id % 3 = 1 THEN 'CHANGED' ELSE 'processed' END AS status FROM pages""")
+def file_status(spark, d):
+    p = table(spark, d, "pages").select(F.col("url").alias("path"), F.sha2(F.col("html").cast("binary"), 256).alias("hash"), "page_id")
+    # urls can repeat, so the page number is part of the path here
+    own = p.withColumn("path", F.concat_ws("#", "path", "page_id"))
+    manifest = own.where("page_id % 3 <> 0").select("path", F.when(F.col("page_id") % 3 == 1, F.lit("old")).otherwise(F.col("hash")).alias("hash"))
+    out = files.status(own.select("path", "hash"), manifest)
+    return out.select(F.regexp_replace("path", "#[0-9]+$", "").alias("path"), "status")
+
+
+@query("""SELECT a.page_id, min(b.page_id) AS twin FROM pages a JOIN pages b ON sha256(a.html) = sha256(b.html) GROUP BY a.page_id""")
+def hash_matches(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("hash"))
+    first = p.groupBy("hash").agg(F.min("page_id").alias("twin"))
+    return p.join(first, "hash").select("page_id", "twin")
+
+
+@query("""SELECT a.vec_id AS id, CAST(bit_count(xor(a.vec_id * 2654435761, a.label)) AS INTEGER) AS distance FROM embeddings a""")
+def hash_distances(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), files.hamming(F.col("vec_id") * F.lit(2654435761), F.col("label").cast("long")).alias("distance"))
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def hourly_events(spark, d):
+    out = watch.windowed_counts(table(spark, d, "events"))
+    return out.select("start", "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""SELECT 'orders' AS path, CAST(o_orderkey AS INTEGER) AS para_no, 'o' || o_orderkey AS h, 'made_by' AS r, 'c' || o_custkey AS u FROM orders""")
+def extracted_triples(spark, d):
+    o = table(spark, d, "orders")
+    paragraphs = o.select(F.lit("orders").alias("path"), F.col("o_orderkey").cast("int").alias("para_no"), F.concat(F.lit("o"), "o_orderkey", F.lit(" | made_by | c"), "o_custkey").alias("text"))
+    return providers.extract(paragraphs).select("path", "para_no", "h", "r", "u")
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
