@@ -481,7 +481,7 @@ def whole_word_names(spark, d):
     return table(spark, d, "benchmark").select("item_id", text.names_whole(F.col("text"), F.lit("The")).alias("named"))
 
 
-@query("""SELECT item_id, CASE WHEN regexp_matches(replace(lower(text), 'that', ' '), '(^|[^\\w])re([^\\w]|$)') THEN 're' ELSE '' END
+@query("""SELECT item_id, CASE WHEN regexp_matches(replace(lower(text), 'that', ' '), '(^|[^\\pL\\pN_])re([^\\pL\\pN_]|$)') THEN 're' ELSE '' END
   || CASE WHEN contains(replace(lower(text), 'that', ' '), 'erthand') THEN ';erthand' ELSE '' END AS leaked FROM benchmark""")
 def leaked_atoms(spark, d):
     found = text.leaked(F.col("text"), F.array(F.lit("re"), F.lit("erthand")), F.array(F.lit("That")))
