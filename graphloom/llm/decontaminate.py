@@ -26,6 +26,8 @@ from .common import Scratch
 WINDOW, LEAST, PLAIN, COVER = 8, 4, 5, 0.5
 #: Windows of all items up to which they are broadcast (about 200 bytes each); above, the join is a shuffled one.
 BROADCAST_WINDOWS = 200_000
+#: Bits of the constant set by which places are found whose hash an item may have.
+BITS = 1 << 20
 #: Words of measure.
 UNITS = (
     "kg g mg km m cm mm mile miles meter meters metre metres foot feet inch inches liter liters litre litres ml "
@@ -33,54 +35,114 @@ UNITS = (
     "cent cents pound pounds percent degree degrees"
 ).split()
 
-_BREAK = r"[^\p{L}\p{M}\p{N}.,]+|[.,](?![0-9])|(?<![0-9])[.,]"
+_BREAK = r"(?:[^\p{L}\p{M}\p{N}.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
 
 
 def words(text: Column) -> Column:
     """Words in their own case; a decimal or thousands mark stays inside its number."""
-    return F.filter(F.split(F.regexp_replace(text, _BREAK, " "), " "), lambda w: w != "")
+    return F.array_remove(F.split(text, _BREAK), "")
 
 
-def template(own: Column) -> Column:
-    """Words with placeholders for numbers, units and names (a capital before small letters), else lower-cased."""
+def template(own: Column, low: Column) -> Column:
+    """Words with placeholders for numbers, units and names (a capital before small letters), else lower-cased.
+    `low` holds the same words lower-cased.  The commonest case, a small Latin letter in front, is tested first."""
 
-    def one(w: Column) -> Column:
+    def one(w: Column, i: Column) -> Column:
+        small = F.get(low, i)
         first = F.substring(w, 1, 1)
-        low = F.lower(w)
+        unit = F.when(small.isin(UNITS), F.lit("<unit>"))
         number = F.when(w.rlike(r"^[0-9]+([.,][0-9]+)*$"), F.lit("<num>"))
-        name = F.when((first != F.lower(first)) & (F.length(w) > 1) & (F.substring(w, 2, 1) == F.substring(low, 2, 1)), F.lit("<name>"))
-        return F.when(first.between("0", "9"), F.coalesce(number, low)).when(low.isin(UNITS), F.lit("<unit>")).otherwise(F.coalesce(name, low))
+        name = F.when((first != F.lower(first)) & (F.length(w) > 1) & (F.substring(w, 2, 1) == F.substring(small, 2, 1)), F.lit("<name>"))
+        plain = F.when((w >= "a") & (w < "{"), F.coalesce(unit, small))
+        return plain.when((w >= "0") & (w < ":"), F.coalesce(number, small)).otherwise(F.coalesce(unit, name, small))
 
     return F.transform(own, one)
 
 
-def _hashes(own: Column, size: int, salt: int) -> Column:
-    """A hash of each window of `size` words."""
-    last = F.size(own) - size
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.slice(own, i + 1, size), F.lit(salt)))).otherwise(F.array().cast("array<bigint>"))
+def hashed(rows: DataFrame, sizes: list[int], keep: list[str]) -> DataFrame:
+    """`keep`, and columns hl<n> and hc<n>: the hash of each window of n words at each place of l and c (at the last
+    places windows are cut off and their hashes mean nothing).  A window's hash is made of the hashes of two shorter
+    ones, so that eight words cost three steps.  Each step is a projection that carries on only what later ones read."""
+    parts: dict[int, tuple[int, int]] = {}
+    todo = list(sizes)
+    while todo:
+        size = todo.pop()
+        if size > 1 and size not in parts:
+            left = 1 << ((size - 1).bit_length() - 1)
+            parts[size] = (left, size - left)
+            todo += parts[size]
+    names = {"l": 0, "c": 1}
+    rows = rows.select(*keep, *(_word_hashes(x, salt).alias(f"h{x}1") for x, salt in names.items()))
+    have = {1}
+    for size in sorted(parts):
+        left, right = parts[size]
+        have.add(size)
+        later = {p for other, pair in parts.items() if other > size for p in pair} | set(sizes)
+        old = [f"h{x}{n}" for n in sorted(have & later - {size}) for x in names]
+        rows = rows.select(*keep, *old, *(_longer(f"h{x}{left}", f"h{x}{right}", left).alias(f"h{x}{size}") for x in names))
+        have &= later
+    return rows
+
+
+def _word_hashes(source: str, salt: int) -> Column:
+    return F.transform(source, lambda w: F.xxhash64(w, F.lit(salt)))
+
+
+def _longer(a: str, b: str, left: int) -> Column:
+    return F.transform(a, lambda x, i: F.xxhash64(x, F.get(F.col(b), i + left)))
+
+
+def bitmap(hashes: list[int]) -> Column:
+    """A set of BITS bits with those of the hashes set, as a constant array of 64-bit words."""
+    held = [0] * (BITS // 64)
+    for h in hashes:
+        at = h & (BITS - 1)
+        held[at >> 6] |= 1 << (at & 63)
+    return F.expr(f"array({','.join(f'{w - (1 << 64) if w >> 63 else w}L' if w != 1 << 63 else '(-9223372036854775807L - 1L)' for w in held)})")
+
+
+def _in(bits: Column, h: Column) -> Column:
+    at = h.bitwiseAND(F.lit(BITS - 1))
+    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _places(hs: Column, size: int, kind: int, bits: Column | None) -> Column:
+    """(size, kind, pos, h) of a text's windows of one size and kind, those in `bits` alone."""
+    last = F.col("n") - size
+    every = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    hit = every if bits is None else F.filter(every, lambda i: _in(bits, F.get(hs, i)))
+    return F.transform(hit, lambda i: F.struct(F.lit(size).alias("size"), F.lit(kind).alias("kind"), i.alias("pos"), F.get(hs, i).alias("h")))
 
 
 def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, item_id, n_matched, n_windows, coverage and kind (verbatim or reparameterised) of each such pair."""
     text = F.col("text").cast("string")
     raw = items.select(F.col("item_id").cast("long").alias("item_id"), text.alias("t")).withColumn("w", words("t"))
-    own = raw.where(F.size("w") >= LEAST).withColumns({"c": template(F.col("w")), "l": F.transform("w", F.lower), "size": F.least(F.size("w"), F.lit(WINDOW))})
-    places = own.select("item_id", "size", "w", "c", "l", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))).alias("ipos"))
-    cut = places.select("item_id", "size", "ipos", *(F.slice(x, F.col("ipos") + 1, F.col("size")).alias(x) for x in ("w", "c", "l")))
+    own = raw.where(F.size("w") >= LEAST).withColumns({"l": F.transform("w", lambda x: F.lower(x)), "size": F.least(F.size("w"), F.lit(WINDOW))})
+    own = own.withColumn("c", template(F.col("w"), F.col("l")))
+    sizes = sorted(r["size"] for r in own.select("size").distinct().collect()) or [WINDOW]  # WINDOW at the most
+    own = hashed(own.withColumn("n", F.size("w")), sizes, ["item_id", "size", "n", "c", "l"])
+    # each item has one size; the hashes of its places are in the columns of that size
+    own = own.withColumns({f"h{x}": F.coalesce(*(F.when(F.col("size") == n, F.col(f"h{x}{n}")) for n in sizes)) for x in ("l", "c")})
+    places = own.select("item_id", "size", "c", "l", "hl", "hc", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("ipos"))
+    cut = places.select("item_id", "size", "ipos", *(F.slice(x, F.col("ipos") + 1, F.col("size")).alias(x) for x in ("c", "l")), *(F.get(x, F.col("ipos")).alias(x) for x in ("hl", "hc")))
     plain = F.size(F.filter("c", lambda x: ~x.startswith("<")))
     both = cut.withColumn("kinds", F.when((plain >= F.least(F.lit(PLAIN), F.col("size") - 1)) & (plain < F.col("size")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-    windows = both.withColumn("kind", F.explode("kinds")).select("item_id", "size", "ipos", "kind", F.when(F.col("kind") == 1, F.xxhash64("c", F.lit(1))).otherwise(F.xxhash64("l", F.lit(0))).alias("h"), F.when(F.col("kind") == 1, F.col("c")).alias("ic"), F.when(F.col("kind") == 1, F.col("l")).alias("il"))
+    of = F.col("kind") == 1
+    windows = both.withColumn("kind", F.explode("kinds")).select("item_id", "size", "ipos", "kind", F.when(of, F.col("hc")).otherwise(F.col("hl")).alias("h"), F.when(of, F.col("c")).alias("ic"), F.when(of, F.col("l")).alias("il"))
     windows = scratch.table(windows, "windows")
     totals = windows.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
-    found = windows.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()  # at most WINDOW sizes
-    small = F.broadcast if found["n"] <= BROADCAST_WINDOWS else (lambda x: x)
-    sizes = sorted(found["sizes"]) or [WINDOW]
-
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w")).where(F.size("w") >= LEAST)
-    docs = docs.withColumns({"l": F.transform("w", F.lower), "c": template(F.col("w"))})
-    kinds = [(size, kind) for size in sizes for kind in (0, 1)]
-    lists = F.array(*(F.struct(F.lit(size).alias("size"), F.lit(kind).alias("kind"), _hashes(F.col("c" if kind else "l"), size, kind).alias("hs")) for size, kind in kinds))
-    each = docs.select("doc_id", "l", F.explode(lists).alias("x")).select("doc_id", "l", F.col("x.size").alias("size"), F.col("x.kind").alias("kind"), F.posexplode("x.hs").alias("pos", "h"))
+    bounded = windows.count() <= BROADCAST_WINDOWS
+    small = F.broadcast if bounded else (lambda x: x)
+
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w")).select("doc_id", "w", F.transform("w", lambda x: F.lower(x)).alias("l"))
+    docs = docs.select("doc_id", F.size("w").alias("n"), "l", template(F.col("w"), F.col("l")).alias("c"))
+    docs = hashed(docs, sizes, ["doc_id", "n", "l"])
+    # places whose hash an item may have are found inside the arrays, by a constant set of bits, before any row is
+    # made; where items are too many for it, all places go on to the join
+    bits = bitmap([r["h"] for r in windows.select("h").distinct().collect()]) if bounded else None
+    lists = [_places(F.col(f"h{x}{size}"), size, kind, bits) for size in sizes for kind, x in enumerate(("l", "c"))]
+    each = docs.select("doc_id", "l", F.explode(F.concat(*lists)).alias("x")).select("doc_id", "l", "x.*")
     met = each.join(small(windows), ["h", "kind", "size"])
     dl = F.slice("l", F.col("pos") + 1, F.col("size"))
     met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "kind", "ic", "il", F.when(F.col("kind") == 1, dl).alias("dl"))
