@@ -263,14 +263,14 @@ def content_images(spark, d):
 
 
 def _chain_sql(k: int) -> str:
-    inner = "inn AS (SELECT h, r, u FROM st WHERE cls = 'core')"
-    last = "las AS (SELECT h, r, u FROM st WHERE cls <> 'weak' AND u NOT IN (SELECT u FROM t GROUP BY u HAVING count(*) >= 1099511627776))"
-    names = [f"{'las' if i == k - 1 else 'inn'} e{i}" for i in range(k)]
-    joins = names[0] + "".join(f" JOIN {n} ON e{i}.u = e{i + 1}.h" for i, n in enumerate(names[1:]))
-    nodes = ["e0.h", *(f"e{i}.u" for i in range(k))]
-    apart = " AND ".join(f"{nodes[i]} <> {nodes[j]}" for i in range(len(nodes)) for j in range(i) if (i, j) != (1, 0))
-    path = "e0.h" + "".join(f" || '-' || e{i}.r || '>' || e{i}.u" for i in range(k))
-    return f"WITH {STEPS}, {inner}, {last} SELECT e0.h AS start, {path} AS path, e{k - 1}.u AS endpoint FROM {joins} WHERE {apart}"
+    """Step by step, each written out, since a k-way join of the same edges has no good order to find."""
+    steps = STEPS.replace("st AS (", "st AS MATERIALIZED (")
+    inner = "inn AS MATERIALIZED (SELECT h, r, u FROM st WHERE cls = 'core')"
+    last = "las AS MATERIALIZED (SELECT h, r, u FROM st WHERE cls <> 'weak')"
+    parts = ["p1 AS MATERIALIZED (SELECT h AS start, [h, u] AS nodes, h || '-' || r || '>' || u AS path, u AS tip FROM inn)"]
+    for i in range(2, k + 1):
+        parts.append(f"p{i} AS MATERIALIZED (SELECT start, list_append(nodes, u) AS nodes, path || '-' || r || '>' || u AS path, u AS tip FROM p{i - 1} JOIN {'las' if i == k else 'inn'} e ON tip = e.h WHERE NOT list_contains(nodes, u))")
+    return f"WITH {steps}, {inner}, {last}, {', '.join(parts)} SELECT start, path, tip AS endpoint FROM p{k}"
 
 
 def _chain(k):
@@ -302,12 +302,12 @@ def intersections(spark, d):
 
 
 @query(f"""WITH {PREDICATES}, {DEGREE}, p AS (SELECT co.*, n FROM co JOIN sz USING (r, u) WHERE n BETWEEN 3 AND 8),
-own AS (SELECT p.* FROM p JOIN deg ON p.h = deg.name WHERE degree < 40), s AS (SELECT r, u, count(*) AS size FROM own GROUP BY r, u HAVING count(*) >= 3),
+own AS (SELECT p.* FROM p JOIN deg ON p.h = deg.name WHERE degree < 200), s AS (SELECT r, u, count(*) AS size FROM own GROUP BY r, u HAVING count(*) >= 3),
 m AS (SELECT own.r AS r1, own.u AS u1, size, p.r AS r2, p.u AS u2, count(*) AS removed FROM own JOIN s USING (r, u) JOIN p ON own.h = p.h WHERE own.r <> p.r OR own.u <> p.u GROUP BY ALL)
 SELECT r1, u1, r2, u2, size, removed, string_agg(own.h, ';' ORDER BY own.h) AS answer FROM m JOIN own ON own.r = r1 AND own.u = u1
 LEFT JOIN p x ON x.h = own.h AND x.r = r2 AND x.u = u2 WHERE x.h IS NULL AND removed / size BETWEEN 0.25 AND 0.8 GROUP BY r1, u1, r2, u2, size, removed""", "t")
 def absences(spark, d):
-    return templates.absences(triples_of(spark, d))
+    return templates.absences(triples_of(spark, d), hub_degree=200)
 
 
 @query(f"""WITH mb AS (SELECT DISTINCT u AS class, h AS a, md5(h) AS dg FROM t WHERE r = 'is_a'),

@@ -148,3 +148,25 @@ def test_dropped_edges_do_not_depend_on_partitions(spark):
     t = edges(spark, [(f"h{i}", "r", f"u{i}") for i in range(200)])
     a, b = ({r.h for r in graph.drop_edges(x, 0.25).collect()} for x in (t, t.repartition(7)))
     assert a == b and 120 < len(a) < 180
+
+
+def test_links(spark):
+    html = """<a href="/a">x</a><a href='http://h/b?q'>y</a><img src="i/p.JPG"><div style="background:url('c.png')"><p>https://x.y/z.webp</p>"""
+    row = spark.createDataFrame([("http://h/d/e", html)], "page string, html string").select(text.page_links(F.col("html")).alias("p"), text.image_links(F.col("html")).alias("i"), text.url_join("page", F.lit("i/p.JPG")).alias("u"), text.folded(F.lit("Ａ-b!")).alias("f")).first()
+    assert row.p == ["/a"] and sorted(row.i) == ["c.png", "https://x.y/z.webp", "i/p.JPG"] and row.u == "http://h/d/i/p.JPG" and row.f == "a b"
+
+
+def test_visual_subjects_and_chains(spark):
+    t = edges(spark, [("a", "made_from", "b"), ("a", "associated_with", "c"), ("a", "uses_method", "d"), ("z", "made_by", "a")])
+    img = spark.createDataFrame([("a", 1, "p", "c")], "entity string, seq long, path string, caption string")
+    row = templates.visual_subjects(t, img).first()
+    assert row.subject == "a" and row.facts == "made_from=b;uses_method=d" and row.relation in ("made_from", "uses_method")
+    end = spark.createDataFrame([("b", "red")], "name string, terms string")
+    assert [r.path for r in templates.visual_chains(t, end, 2).collect()] == ["z-made_by>a-made_from>b"]
+
+
+def test_remaining_and_repaired_rows(spark):
+    old = spark.createDataFrame([("full", "a", None), ("full", "b", "x: y")], "run string, qid string, error string")
+    new = spark.createDataFrame([("new", "a", None), ("new", "b", None)], "run string, qid string, error string")
+    assert sorted((r.run, r.qid) for r in evaluate.repaired(old, new).collect()) == [("full", "a"), ("new", "b")]
+    assert [tuple(r)[1:] for r in evaluate.error_kinds(old).collect()] == [("x", 1)]
