@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import providers, text
-from ..operators import clean, evaluate, graph, pages, search, templates, vectors
+from ..operators import clean, evaluate, graph, pages, retrieval, search, templates, vectors
 from ..schema import CONFUSABLE, CONTRAST_WEIGHT
 from ..sources import files
 from ..storage import Steps
@@ -628,6 +628,56 @@ def evidence_by_turns(spark, d):
     return search.evidence(chains.withColumn("verdict", verdict))
 
 
+# --------------------------------------------------------------------------- retrieval
+
+
+@query("""WITH ra AS (SELECT a.n_name AS qid, b.n_name AS name, row_number() OVER (PARTITION BY a.n_name ORDER BY b.n_name) AS pos FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey),
+e AS (SELECT h AS name, 0 AS dir, seq, h, r, u FROM t UNION ALL SELECT u, 1, seq, h, r, u FROM t), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY dir, seq) AS rank FROM e),
+o AS (SELECT qid, h, r, u, min(pos * 1000 + rank) AS place FROM ra JOIN k ON ra.name = k.name WHERE pos <= 3 AND rank <= 12 GROUP BY qid, h, r, u)
+SELECT qid, CAST(k AS INTEGER) AS k, h, r, u FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY place, h, r, u) AS k FROM o) WHERE k <= 16""", "t")
+def ego_evidence(spark, d):
+    n = table(spark, d, "nation")
+    pairs = n.select(F.col("n_name").alias("qid"), "n_regionkey").join(n.select(F.col("n_name").alias("name"), "n_regionkey"), "n_regionkey")
+    ranked = pairs.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("name")))
+    return retrieval.ego_evidence(ranked, graph.ego_units(triples_of(spark, d)), budget=16)
+
+
+@query("""WITH m AS (SELECT c_custkey AS key, 'c' || (c_custkey % 50) AS name, 0 AS tier, 1.0 AS pos FROM customer UNION ALL SELECT c_custkey, 'c' || (c_custkey % 70), 1, c_acctbal FROM customer
+  UNION ALL SELECT c_custkey, n_name, 2, CAST(n_nationkey AS DOUBLE) FROM customer JOIN nation ON n_regionkey = c_nationkey % 5),
+o AS (SELECT key, name, min({'tier': tier, 'pos': CAST(pos AS DOUBLE)}) AS place FROM m GROUP BY key, name)
+SELECT key, CAST(k AS INTEGER) AS k, name FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY place, name) AS k FROM o) WHERE k <= 5""")
+def candidate_tiers(spark, d):
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    one = c.select(F.col("c_custkey").alias("key"), F.concat(F.lit("c"), F.col("c_custkey") % 50).alias("name"), F.lit(1.0).alias("pos"))
+    two = c.select(F.col("c_custkey").alias("key"), F.concat(F.lit("c"), F.col("c_custkey") % 70).alias("name"), F.col("c_acctbal").alias("pos"))
+    rest = c.join(n, F.col("n_regionkey") == F.col("c_nationkey") % 5).select(F.col("c_custkey").alias("key"), F.col("n_name").alias("name"), F.col("n_nationkey").alias("pos"))
+    return retrieval.tiers(one, two, rest, cap=5)
+
+
+@query("""SELECT c_custkey, n_name IN ('CANADA', 'FRANCE', 'CHINA') OR c_custkey % 2 = 0 AS named FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def named_waypoints(spark, d):
+    c = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    extra = F.when((F.col("c_custkey") % 2 == 0) | F.col("n_name").isin("CANADA", "FRANCE", "CHINA"), F.lower("n_name")).otherwise(F.concat("n_name", F.lit("x")))
+    question = F.concat(F.lit("In which region is c"), "c_custkey", F.lit(" ("), extra, F.lit(")?"))
+    start = F.concat(F.lit("c"), "c_custkey")
+    return c.select("c_custkey", retrieval.named_waypoint(question, F.array(start, "n_name"), start).alias("named"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'not verbalised' WHEN p_partkey % 5 = 1 THEN 'leak' WHEN p_partkey % 5 = 2 THEN 'jargon' WHEN p_partkey % 5 = 3 THEN 'promised image' END AS reason FROM part""")
+def drop_reasons(spark, d):
+    kind = (F.col("p_partkey") % 5 + 1).cast("int")
+    question = F.element_at(F.array(*map(F.lit, [" ", "Is it Brand here?", "Which nodes meet?", "What is shown here?", "Who makes it?"])), kind)
+    return table(spark, d, "part").select("p_partkey", retrieval.drop_reason(question, text.leaked(question, F.array(F.lit("brand")), F.array().cast("array<string>"))).alias("reason"))
+
+
+@query("""SELECT page_id AS path, CASE WHEN page_id % 4 = 0 THEN 'v' || page_id WHEN page_id % 3 = 0 THEN 'b' || page_id WHEN page_id % 2 = 0 THEN 'w' || page_id END AS value,
+  CAST(CASE WHEN page_id % 4 = 0 THEN 0 WHEN page_id % 3 = 0 THEN 1 WHEN page_id % 2 = 0 THEN 2 END AS INTEGER) AS source FROM pages""")
+def filled_sources(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("path"))
+    known = [p.where(f"path % {m} = 0").select("path", F.concat(F.lit(c), "path").alias("value")) for m, c in ((4, "v"), (3, "b"), (2, "w"))]
+    return retrieval.filled(p, *known)
+
+
 # --------------------------------------------------------------------------- evaluation
 
 
