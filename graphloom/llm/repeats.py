@@ -152,7 +152,10 @@ def repeats(documents: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
 
     every = docs.mapInArrow(cut, "h long, ph long, d long, crc long, s long, meta long")
     again = every.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h")
+    # written first: a join straight on the counts would keep all rows of an anchor in one task
+    again = scratch.table(again, "again")
     met = scratch.table(every.join(again, "h"), "met")
+    scratch.drop("again")
     where = F.struct("d", "s", "crc", "meta")
     first = scratch.table(met.groupBy("h", "ph").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("c")), "classes")
     end = F.col("s") + F.shiftright("meta", 8) + (length - 1)
