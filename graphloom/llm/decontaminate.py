@@ -25,9 +25,7 @@ from .common import Scratch
 #: Words of a window; least words of an item; least plain words of a template window; share of an item's windows.
 WINDOW, LEAST, PLAIN, COVER = 8, 4, 5, 0.5
 #: Windows of all items up to which they are broadcast (about 200 bytes each); above, the join is a shuffled one.
-BROADCAST_WINDOWS = 200_000
-#: Bits of the constant set by which places are found whose hash an item may have.
-BITS = 1 << 20
+BROADCAST_WINDOWS = 50_000
 #: Words of measure.
 UNITS = (
     "kg g mg km m cm mm mile miles meter meters metre metres foot feet inch inches liter liters litre litres ml "
@@ -35,7 +33,8 @@ UNITS = (
     "cent cents pound pounds percent degree degrees"
 ).split()
 
-_BREAK = r"(?:[^\p{L}\p{M}\p{N}.,]|[.,](?![0-9])|(?<![0-9])[.,])+"
+#: No repeated group: Java's regular expressions would recurse once for each character of a long run.
+_BREAK = r"[^\p{L}\p{M}\p{N}.,]+|[.,](?![0-9])|(?<![0-9])[.,]"
 
 
 def words(text: Column) -> Column:
@@ -92,25 +91,14 @@ def _longer(a: str, b: str, left: int) -> Column:
     return F.transform(a, lambda x, i: F.xxhash64(x, F.get(F.col(b), i + left)))
 
 
-def bitmap(hashes: list[int]) -> Column:
-    """A set of BITS bits with those of the hashes set, as a constant array of 64-bit words."""
-    held = [0] * (BITS // 64)
-    for h in hashes:
-        at = h & (BITS - 1)
-        held[at >> 6] |= 1 << (at & 63)
-    return F.expr(f"array({','.join(f'{w - (1 << 64) if w >> 63 else w}L' if w != 1 << 63 else '(-9223372036854775807L - 1L)' for w in held)})")
-
-
-def _in(bits: Column, h: Column) -> Column:
-    at = h.bitwiseAND(F.lit(BITS - 1))
-    return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
-def _places(hs: Column, size: int, kind: int, bits: Column | None) -> Column:
-    """(size, kind, pos, h) of a text's windows of one size and kind, those in `bits` alone."""
+def _places(hs: Column, size: int, kind: int, wanted: list[int] | None) -> Column:
+    """(size, kind, pos, h) of a text's windows of one size and kind, those whose hash is wanted alone."""
     last = F.col("n") - size
     every = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    hit = every if bits is None else F.filter(every, lambda i: _in(bits, F.get(hs, i)))
+    hit = every
+    if wanted is not None:  # most texts have none, which the hashes alone tell
+        some = F.exists(hs, lambda h: h.isin(wanted))
+        hit = F.when(some, F.filter(every, lambda i: F.get(hs, i).isin(wanted))).otherwise(F.array().cast("array<int>"))
     return F.transform(hit, lambda i: F.struct(F.lit(size).alias("size"), F.lit(kind).alias("kind"), i.alias("pos"), F.get(hs, i).alias("h")))
 
 
@@ -138,10 +126,11 @@ def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> Da
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w")).select("doc_id", "w", F.transform("w", lambda x: F.lower(x)).alias("l"))
     docs = docs.select("doc_id", F.size("w").alias("n"), "l", template(F.col("w"), F.col("l")).alias("c"))
     docs = hashed(docs, sizes, ["doc_id", "n", "l"])
-    # places whose hash an item may have are found inside the arrays, by a constant set of bits, before any row is
-    # made; where items are too many for it, all places go on to the join
-    bits = bitmap([r["h"] for r in windows.select("h").distinct().collect()]) if bounded else None
-    lists = [_places(F.col(f"h{x}{size}"), size, kind, bits) for size in sizes for kind, x in enumerate(("l", "c"))]
+    # places whose hash an item has are found inside the arrays, by a constant set, before any row is made; where
+    # items are too many for that, all places go on to the join
+    few = windows.select("h").distinct()
+    wanted = [r["h"] for r in few.collect()] if bounded else None
+    lists = [_places(F.col(f"h{x}{size}"), size, kind, wanted) for size in sizes for kind, x in enumerate(("l", "c"))]
     each = docs.select("doc_id", "l", F.explode(F.concat(*lists)).alias("x")).select("doc_id", "l", "x.*")
     met = each.join(small(windows), ["h", "kind", "size"])
     dl = F.slice("l", F.col("pos") + 1, F.col("size"))
