@@ -8,6 +8,11 @@ values and the other way round; this finds questions whose numbers or names were
 that merely have the same form.  A document is contaminated by an item if at least COVER of the item's windows
 match.
 
+A template window of PLAIN plain words counts by itself.  Where an item does not reach COVER so (texts dense in
+numbers, names and units have few such windows, or none), every window with a plain word counts, if its alignment
+is consistent over all of them and they hold PLAIN plain words together; the item's windows are then those with a
+plain word.
+
 Items of fewer words than WINDOW are one window; items of fewer than LEAST words say too little and match nothing.
 
 Defined results: a null or wordless text matches nothing; items of equal text are reported each; rows that repeat
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Words of a window; least words of an item; least plain words of a template window; share of an item's windows.
+#: Words of a window; least words of an item; plain words of a template window that counts by itself, and of an alignment; share of an item's windows.
 WINDOW, LEAST, PLAIN, COVER = 8, 4, 5, 0.5
 #: Windows of all items up to which they are broadcast (about 200 bytes each); above, the join is a shuffled one.
 BROADCAST_WINDOWS = 200_000
@@ -128,11 +133,12 @@ def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> Da
     places = own.select("item_id", "size", "c", "l", "hl", "hc", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("ipos"))
     cut = places.select("item_id", "size", "ipos", *(F.slice(x, F.col("ipos") + 1, F.col("size")).alias(x) for x in ("c", "l")), *(F.get(x, F.col("ipos")).alias(x) for x in ("hl", "hc")))
     plain = F.size(F.filter("c", lambda x: ~x.startswith("<")))
-    both = cut.withColumn("kinds", F.when((plain >= F.least(F.lit(PLAIN), F.col("size") - 1)) & (plain < F.col("size")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    cut = cut.withColumns({"plain": plain, "strong": plain >= F.least(F.lit(PLAIN), F.col("size") - 1)})
+    both = cut.withColumn("kinds", F.when((F.col("plain") > 0) & (F.col("plain") < F.col("size")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     of = F.col("kind") == 1
-    windows = both.withColumn("kind", F.explode("kinds")).select("item_id", "size", "ipos", "kind", F.when(of, F.col("hc")).otherwise(F.col("hl")).alias("h"), F.when(of, F.col("c")).alias("ic"), F.when(of, F.col("l")).alias("il"))
+    windows = both.withColumn("kind", F.explode("kinds")).select("item_id", "size", "ipos", "kind", "strong", (F.col("plain") > 0).alias("worded"), F.when(of, F.col("hc")).otherwise(F.col("hl")).alias("h"), F.when(of, F.col("c")).alias("ic"), F.when(of, F.col("l")).alias("il"))
     windows = scratch.table(windows, "windows")
-    totals = windows.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
+    totals = windows.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_all"), F.countDistinct(F.when(F.col("worded"), F.col("ipos"))).alias("n_worded"))
     bounded = windows.count() <= BROADCAST_WINDOWS
     small = F.broadcast if bounded else (lambda x: x)
 
@@ -146,19 +152,37 @@ def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> Da
     each = docs.select("doc_id", "l", F.explode(F.concat(*lists)).alias("x")).select("doc_id", "l", "x.*")
     met = each.join(small(windows), ["h", "kind", "size"])
     dl = F.slice("l", F.col("pos") + 1, F.col("size"))
-    met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "kind", "ic", "il", F.when(F.col("kind") == 1, dl).alias("dl"))
+    met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "kind", "strong", "worded", "ic", "il", F.when(F.col("kind") == 1, dl).alias("dl"))
     met = scratch.table(met, "met")
 
-    # slots of template matches: consistent if item values and document values of an alignment pair off
+    # slots of template matches: consistent if item values and document values of an alignment pair off; by strong
+    # windows alone, and over all windows
     key = ["doc_id", "item_id", "shift"]
-    slots = met.where("kind = 1").select(*key, F.explode(F.arrays_zip("ic", "il", "dl")).alias("s")).where("s.ic LIKE '<%'").select(*key, "s.*").distinct()
-    clash = slots.groupBy(*key, "ic", "il").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key).union(slots.groupBy(*key, "ic", "dl").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)).distinct()
+    at = F.posexplode(F.arrays_zip("ic", "il", "dl")).alias("k", "s")
+    cells = met.where("kind = 1").select(*key, "strong", "ipos", at).select(*key, "strong", (F.col("ipos") + F.col("k")).alias("at"), "s.*")
+    slots = cells.where("ic LIKE '<%'").groupBy(*key, "ic", "il", "dl").agg(F.max("strong").alias("strong"))
     same = [F.col(f"m.{k}").eqNullSafe(F.col(f"x.{k}")) for k in key]
-    good = met.where("kind = 1").select(*key, "ipos").alias("m").join(clash.alias("x"), same, "left_anti").withColumn("verbatim", F.lit(False))
-    good = good.union(met.where("kind = 0").select(*key, "ipos", F.lit(True)))
-    counted = good.groupBy("doc_id", "item_id", "ipos").agg(F.max("verbatim").alias("verbatim")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.count_if("verbatim").alias("n_verbatim"))
-    out = counted.join(small(totals), "item_id").withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= COVER)
-    return out.select("doc_id", "item_id", "n_matched", "n_windows", "coverage", F.when(F.col("n_verbatim") >= COVER * F.col("n_windows"), "verbatim").otherwise("reparameterised").alias("kind"))
+
+    def consistent(found: DataFrame, of: DataFrame) -> DataFrame:
+        clash = of.groupBy(*key, "ic", "il").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key).union(of.groupBy(*key, "ic", "dl").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)).distinct()
+        return found.alias("m").join(clash.alias("x"), same, "left_anti")
+
+    def covered(good: DataFrame, total: str, way: str) -> DataFrame:
+        whole = good.union(met.where("kind = 0" if total == "n_all" else "kind = 0 AND worded").select(*key, "ipos", F.lit(True)))
+        counted = whole.groupBy("doc_id", "item_id", "ipos").agg(F.max("verbatim").alias("verbatim")).groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_matched"), F.count_if("verbatim").alias("n_verbatim"))
+        out = counted.join(small(totals), "item_id").withColumn("n_windows", F.col(total)).where(F.col("n_matched") >= COVER * F.col("n_windows"))
+        return out.select("doc_id", "item_id", F.lit(way).alias("way"), "n_matched", "n_windows", "n_verbatim")
+
+    template_met = met.where("kind = 1").select(*key, "strong", "ipos")
+    strong = consistent(template_met.where("strong"), slots.where("strong")).select(*key, "ipos", F.lit(False).alias("verbatim"))
+    # an alignment's plain words, each place once, are as many as one strong window has
+    said = cells.where("ic NOT LIKE '<%'").select(*key, "at").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PLAIN)
+    wide = consistent(template_met, slots).select(*key, "ipos").alias("m").join(said.alias("x"), same, "left_semi").withColumn("verbatim", F.lit(False))
+    # a pair that both ways find is reported by the strong windows
+    ways = covered(strong, "n_all", "1 strong").union(covered(wide, "n_worded", "2 wide"))
+    out = ways.groupBy("doc_id", "item_id").agg(F.min(F.struct("way", "n_matched", "n_windows", "n_verbatim")).alias("x")).select("doc_id", "item_id", "x.*")
+    kind = F.when(F.col("n_verbatim") >= COVER * F.col("n_windows"), "verbatim").otherwise("reparameterised")
+    return out.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), kind.alias("kind"))
 
 
 def cleaned(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:

@@ -103,3 +103,32 @@ def test_empty_tables_and_cleaning(spark, empty):
     full = spark.createDataFrame([(1, item), (2, "clean"), (None, None)], "doc_id long, text string")
     left = dc.cleaned(full, spark.createDataFrame([(1, item)], "item_id long, text string"), Scratch(spark, "t")).collect()
     assert sorted((r.doc_id or 0) for r in left) == [0, 2]
+
+
+DENSE = "Tom bought 12 apples for 3 dollars each and Anna bought 5 pears for 2 dollars each"
+ASKED = DENSE + ". How many dollars did Tom and Anna spend"
+
+
+def renamed(text, **values):
+    return " ".join(values.get(w.rstrip("."), w) for w in text.split())
+
+
+def test_number_dense_items(spark):
+    """Truth by construction: consistent new values leak, others don't."""
+    new = {"Tom": "Eve", "Anna": "Karl", "12": "40", "3": "7", "5": "6", "2": "9"}
+    broken = DENSE.replace("3 dollars", "7 dollars").replace("2 dollars", "7 dollars")  # two values become one
+    docs = [
+        (1, "Some words go first. " + renamed(DENSE.replace("12", "40"), Tom="Eve", Anna="Karl")),
+        (2, "w1x " * 3 + " ".join(new.get(w, w) for w in DENSE.split()) + " and so on"),
+        (3, " ".join(new.get(w, w) for w in ASKED.split())),
+        (4, broken),
+        (5, "Eve 7 3 km and 6 4 9 8 kg and 5 1 2 3 4 hours and 6"),
+        (6, "Eve sold 40 plums to 7 pounds all or Karl sold 6 nuts to 9 pounds all"),
+    ]
+    items = [(1, DENSE), (2, ASKED), (3, "Eve 1 2 km and 3 4 5 6 kg and 7 8 9 10 11 hours and 12")]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t")).collect()
+    found = {(r.doc_id, r.item_id) for r in got}
+    assert {(1, 1), (2, 1), (3, 1), (3, 2)} <= found
+    assert not {x for x in found if x[0] in (4, 5, 6)}
+    assert all(r.coverage == r.n_matched / r.n_windows >= dc.COVER for r in got)
+    assert {(r.n_matched, r.n_windows, r.kind) for r in got if (r.doc_id, r.item_id) == (2, 1)} == {(10, 10, "reparameterised")}
