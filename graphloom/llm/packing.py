@@ -3,8 +3,7 @@
 Every piece has three demands: its tokens, one document, and its attention cost (the square of its length);
 every sequence has a capacity for each.  Pieces go longest first into the open bin, able to take it under
 every constraint, that scores best: by the weighted dot product of demand and residual, or by the smallest
-norm of what would be left.  Bins of equal residuals are alike, so they are kept as classes with counts and
-a piece looks at classes, not at bins.
+norm of what would be left.  Every open bin that can take the piece is scored; ties go to the bin opened first.
 
 Pieces are dealt over groups of about GROUP pieces that pack on their own; a group leaves at most about one
 bin that a single packing might have saved.
@@ -17,7 +16,6 @@ rows then repeat too); an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -39,49 +37,32 @@ def best_fit(lengths: np.ndarray, tokens: int, docs: int, attention: int, rule:
     capacity = np.array([tokens, docs, attention], np.float64)
     w = np.array(weights, np.float64)
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    # classes by residual tokens: {tokens left: {(documents left, attention left): [bins]}}
-    open_bins: dict[int, dict[tuple[int, int], list[int]]] = defaultdict(dict)
-    left_tokens = np.zeros(tokens + 1, bool)
-    n_bins = 0
     order = np.argsort(-lengths, kind="stable")
-    ordered = lengths[order].tolist()
-
-    def score(need: np.ndarray, residual: np.ndarray) -> float:
-        if rule == "dot":  # a nearly full bin offers little of what the piece asks; the least offer is the best fit
-            return -float((w * need * residual).sum())
-        return -float((w * (residual - need) ** 2).sum())
-
-    for i, n in zip(order.tolist(), ordered, strict=True):
-        best = None
-        if n < tokens:
-            need = np.array([n, 1, n * n], np.float64) / capacity
-            # token residuals from the tightest up; the other constraints seldom exclude a class
-            at = n
-            while best is None:
-                step = left_tokens[at:].argmax() if at <= tokens else 0
-                if at > tokens or not left_tokens[at + step]:
-                    break
-                at += int(step)
-                for (d, a), own in open_bins[at].items():
-                    if d >= 1 and a >= n * n:
-                        s = score(need, np.array([at, d, a], np.float64) / capacity)
-                        if best is None or s > best[0]:
-                            best = (s, at, d, a)
-                at += 1
-        if best is None:
-            at, d, a, b = tokens, docs, attention, n_bins
-            n_bins += 1
+    # open bins in the order they were opened: number and what is left of each capacity
+    number, left, n_open, n_bins = np.empty(1024, np.int64), np.zeros((3, 1024), np.int64), 0, 0
+    least = int(lengths.min()) if len(lengths) else 0
+
+    for i, n in zip(order.tolist(), lengths[order].tolist(), strict=True):
+        own = left[:, :n_open]
+        fits = np.flatnonzero((own[0] >= n) & (own[1] >= 1) & (own[2] >= n * n))
+        if len(fits):
+            need, residual = (n, 1, n * n) / capacity, own[:, fits] / capacity[:, None]
+            if rule == "dot":  # a nearly full bin offers little of what the piece asks; the least offer is the best fit
+                part = (w * need)[:, None] * residual
+            else:
+                part = w[:, None] * (residual - need[:, None]) ** 2
+            at = int(fits[np.argmin(part[0] + part[1] + part[2])])
         else:
-            _, at, d, a = best
-            own = open_bins[at][d, a]
-            b = own.pop()
-            if not own:
-                del open_bins[at][d, a]
-                left_tokens[at] = bool(open_bins[at])
-        bins[i], offsets[i] = b, tokens - at
-        if at > n:
-            open_bins[at - n].setdefault((d - 1, a - n * n), []).append(b)
-            left_tokens[at - n] = True
+            if n_open == len(number):  # bins that can take no piece any more go, or there is more room
+                keep = np.flatnonzero((own[0] >= least) & (own[1] >= 1) & (own[2] >= least * least))
+                number[: len(keep)], left[:, : len(keep)], n_open = number[keep], left[:, keep], len(keep)
+                if 2 * n_open > len(number):
+                    number, left = np.concatenate([number, number]), np.concatenate([left, left], axis=1)
+            at = n_open
+            number[at], left[:, at] = n_bins, (tokens, docs, attention)
+            n_open, n_bins = n_open + 1, n_bins + 1
+        bins[i], offsets[i] = number[at], tokens - left[0, at]
+        left[:, at] -= (n, 1, n * n)
     return bins, offsets
 
 
