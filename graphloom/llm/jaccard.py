@@ -299,6 +299,11 @@ def classes(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> DataF
 
 
 def representatives(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
-    """One document of each class, that of the least doc_id, in its own columns."""
-    stay = scratch.table(classes(documents, scratch, words).where("doc_id <=> component_id").select("doc_id").distinct(), "stay")
-    return documents.join(stay.alias("stay"), documents["doc_id"].cast("long").eqNullSafe(F.col("stay.doc_id")), "left_semi")
+    """One row of each class, that of the least doc_id (null last), in its own columns.  Rows are told apart by a number
+    of their own, written with them, so that rows that repeat a doc_id or have none are rows like all others."""
+    rows = scratch.table(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = classes(rows.withColumn("doc_id", F.col("_row")), scratch, words).select(F.col("doc_id").alias("_row"), "component_id")
+    named = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    stay = scratch.table(named.groupBy("component_id").agg(first.alias("x")).select("x._row"), "stay")
+    return rows.join(stay, "_row", "left_semi").drop("_row")

@@ -108,3 +108,12 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {x: min(group[x]) for x in linked}
+
+
+def test_one_row_of_each_class(spark):
+    a, b, c = ("alpha beta gamma delta epsilon zeta eta theta", "one two three four five six seven eight", "red orange yellow green blue indigo violet black")
+    rows = [(1, a), (1, a), (2, a), (2, b), (5, b), (None, b), (None, c), (None, c), (None, ""), (7, None)]
+    docs = spark.createDataFrame([(d, t, 1, 1, "c") for d, t in rows], SCHEMA).repartition(3)
+    kept = jaccard.representatives(docs, Scratch(spark, "t"))
+    assert kept.dtypes == docs.dtypes
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (None, ""), (7, None)], key=str)
