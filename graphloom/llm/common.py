@@ -9,7 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into arrays at once.  A longer single text is taken alone.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+#: Bytes of an Arrow batch that Spark gives to a Python worker.  Without a bound a batch has 10,000 rows, however long.
+BATCH_BYTES = 2_000_000
 
 
 _OWN: list[str] = []
@@ -34,11 +36,32 @@ def shared_dir(spark: SparkSession) -> str:
     return (found if "://" in found else f"file://{found}" if found.startswith("/") else found).rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of the session hold BATCH_BYTES at the most (a single larger row apart)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        now = int(spark.conf.get(key, None) or BATCH_BYTES + 1)
+    except ValueError:  # a size with a unit was set on purpose
+        return
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def trim() -> None:
+    """Give memory that arrays have left back to the system, so that a worker which waits for its next task holds none."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # a C library without it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Scratch:
     """Written tables and files of one operator call, under the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
@@ -124,6 +147,7 @@ def text_chunks(batch: pa.RecordBatch, name: str = "text") -> Iterator[tuple[pa.
     data, starts = byte_column(batch.column(batch.schema.get_field_index(name)))
     for a, b in chunks(np.diff(starts)):
         yield batch.slice(a, b - a), data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+    trim()
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -137,6 +161,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has (Spark's names are alike in any letter case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
