@@ -8,7 +8,11 @@ hash of the id.  Prediction sees the text alone.
 
 Defined results: a null text, and one without a letter, is `und` with score 0 and no spans; so is every text
 where nothing was learned; rows that repeat an id are predicted one by one; equal counts of words go to the
-language that comes first by name; an empty table gives no rows; other columns are not read.
+language that comes first by name; a null id is not held out; an empty table gives no rows; other columns are not read.
+
+`identified` keeps the rows whose text is of a learned language, and writes that language to their lang: a text goes
+if it is `und`, if no language has LEAST_SHARE of its words, or if LEAST_KNOWN of its letters or more are of scripts
+that no learned language is written in.
 """
 
 from __future__ import annotations
@@ -22,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, byte_column, chunks, mix
+from .common import bound_batches, byte_column, chunks, mix, trim
 
 UND = "und"
 #: Documents that a language's counts are taken from, about; hashed n-grams; longest n-gram; penalty of a switch.
 SAMPLE_DOCS, BUCKETS, LONGEST, PENALTY = 1500, 1 << 16, 4, 6.0
 #: Words a worker remembers; the least share of a language's letters that makes a script one of its own; floor of a word's score.
 CACHE_WORDS, SCRIPT_SHARE, FLOOR = 300_000, 0.02, -8.0
+#: Shares below which a text is of no language: of words in spans of its main one, of letters in learned scripts.
+LEAST_SHARE, LEAST_KNOWN = 0.3, 0.5
 
 #: First and last code points of scripts.
 SCRIPTS = [
@@ -106,6 +112,7 @@ class Model:
         self.logp = np.ascontiguousarray(np.log(p / p.sum(1, keepdims=True)).T.astype(np.float32))
         share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
         admits = (share >= SCRIPT_SHARE).T
+        self.learned = admits.any(1)
         admits[~admits.any(1)] = True  # no language is known by this script: all stay candidates
         self.barred = np.where(admits, 0.0, -1e9).astype(np.float32)
 
@@ -118,6 +125,14 @@ class Model:
         return np.maximum(total, FLOOR)
 
 
+    def known(self, text: str) -> float:
+        """The share of a text's letters that are of a script which some language is written in."""
+        if self.learned[NAMES.index("latin")] and not _BEYOND.search(text):
+            return 1.0
+        points = np.frombuffer("".join(_WIDE.findall(text)).encode("utf-32-le"), "<u4").astype(np.int64)
+        return float(self.learned[script_of(points)].mean()) if len(points) else 0.0
+
+
 class Labeller:
     """Labels texts; remembers the scores of words it has met."""
 
@@ -268,6 +283,7 @@ def _labellers(spark, model: Model):
 
 def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, lang_pred, score (the share of words in spans of that language) and spans (lang, start, end: characters)."""
+    bound_batches(docs.sparkSession)
     get, kind = _labellers(docs.sparkSession, model), docs.schema[key].dataType
     span = pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
 
@@ -275,33 +291,41 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
         labeller = get()
         for batch in batches:
             starts = byte_column(batch.column(1))[1]
-            for a, b in chunks(np.diff(starts), 4 * CHUNK_BYTES):
+            for a, b in chunks(np.diff(starts)):
                 part = batch.slice(a, b - a)
                 found = judged(part.column(1).to_pylist(), labeller)
                 rows = [[{"lang": x, "start": i, "end": j} for x, i, j in s] for _, _, s in found]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f[0] for f in found]), pa.array([f[1] for f in found], pa.float64()), pa.array(rows, pa.list_(span))], [key, "lang_pred", "score", "spans"])
+            trim()
 
     schema = f"{key} {kind.simpleString()}, lang_pred string, score double, spans array<struct<lang:string,start:int,end:int>>"
     return docs.select(key, F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
 
 
-def identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Rows whose text has a language, in their own columns; no row is shuffled.  Where nothing was learned, every
-    text with a letter stays."""
+def identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows whose text is of a learned language, in their own columns; lang, where it is one of them, holds that language.
+    No row is shuffled.  Where nothing was learned, every text with a letter stays as it is."""
+    bound_batches(docs.sparkSession)
     get, at = _labellers(docs.sparkSession, model), docs.columns.index(text)
+    to = docs.columns.index(lang) if lang in docs.columns and docs.schema[lang].dataType.simpleString() == "string" else None
 
     def run(batches):
         labeller = get()
         for batch in batches:
             starts = byte_column(batch.column(at))[1]
-            for a, b in chunks(np.diff(starts), 4 * CHUNK_BYTES):
+            for a, b in chunks(np.diff(starts)):
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 if labeller is None:
-                    keep = [any(c.isalpha() for c in t or "") for t in texts]
-                else:
-                    keep = [f[0] != UND for f in judged(texts, labeller)]
-                yield part.filter(pa.array(keep, pa.bool_()))
+                    yield part.filter(pa.array([any(c.isalpha() for c in t or "") for t in texts], pa.bool_()))
+                    continue
+                found = judged(texts, labeller)
+                keep = [name != UND and score >= LEAST_SHARE and labeller.model.known(t) >= LEAST_KNOWN for t, (name, score, _) in zip(texts, found, strict=True)]
+                columns = list(part.columns)
+                if to is not None:
+                    columns[to] = pa.array([f[0] for f in found], columns[to].type)
+                yield pa.RecordBatch.from_arrays(columns, part.schema.names).filter(pa.array(keep, pa.bool_()))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -324,5 +348,5 @@ def spans_of(text: str, path: np.ndarray, langs: list[str]) -> list[tuple[str, i
 
 
 def held_out(key: str = "doc_id") -> Column:
-    """Rows that a model must not learn from: crc32 of the id as text, mod 3, is 1."""
-    return F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1
+    """Rows that a model must not learn from: crc32 of the id as text, mod 3, is 1 (a null id: they aren't)."""
+    return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))

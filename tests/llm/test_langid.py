@@ -29,6 +29,16 @@ def test_learns_and_labels_spans(spark):
     assert held == {i for i in range(120) if zlib.crc32(str(i).encode()) % 3 == 1}
 
 
+def test_prediction_decides_rows_and_languages(spark):
+    model = langid.fit(spark.createDataFrame(rows(), "doc_id long, text string, lang string"))
+    cases = [(1, EN, "de", 1), (2, DE, None, 2), (3, "人人生而自由在尊严和权利上一律平等", "en", 3), (4, None, "en", 4), (5, "12 34", "en", 5), (None, RU, "en", 6), (1, EN + " " + DE, "ru", 7)]
+    docs = spark.createDataFrame(cases, "doc_id long, text string, lang string, lang_pred int")
+    kept = langid.identified(docs, model)
+    assert kept.dtypes == docs.dtypes
+    assert {(r.lang_pred, r.lang) for r in kept.collect()} - {(7, "de"), (7, "en")} == {(1, "en"), (2, "de"), (6, "ru")} and kept.count() == 4
+    assert [r[0] for r in docs.where("doc_id IS NULL").select(langid.held_out()).collect()] == [False]
+
+
 def test_nothing_learned_and_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     model = langid.fit(docs)
