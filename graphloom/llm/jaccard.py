@@ -12,9 +12,13 @@ The boundary between small and large is the one of least cost: rows of subsets a
 the length of list that a row meets, which a sketch of all shingles gives (its second moment).  The same sketch,
 of fixed size, orders shingles by frequency; any order gives whole results.
 
-Lists aren't multiplied out.  First each set is compared with the list leader that it meets most; links found
-make groups.  Then only sets of different groups that meet in a list are counted together; a pair is compared
-if it shares as many prefix shingles as a link of its sizes needs.  Every comparison is exact, on whole texts.
+Lists aren't multiplied out.  In rounds each set is compared with the list leader that it meets most; links found
+make groups, and lists of one group go.  Rounds end when the pairs between groups that are left in lists are few, or
+when groups stop growing together.  A list that still has many more pairs than its sets have prefix shingles is dealt
+anew under keys of one shingle more: linked sets whose first common shingle is k also share a second one, in prefixes
+longer by one.  What is left is joined list by list, but only sets of different groups whose bitmaps (parities of
+shingles by hash) leave room for a link become rows, and a pair is compared if it shares as many prefix shingles as a
+link of its sizes needs.  Every comparison is exact, on whole texts.
 
 Defined results: no text and no word give an empty set (n 0) that links with nothing; fewer words than n give
 one shingle of all words; rows that repeat a doc_id are documents of their own; a null doc_id takes no part in
@@ -32,13 +36,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, scan_text, text_chunks
+from .common import Scratch, mix, scan_text, text_chunks, unused
 from .components import components
 
 #: Words of a shingle; threshold as a fraction (links: DEN * intersection >= NUM * union).
 WORDS, NUM, DEN = 5, 75, 100
-#: Counters of the sketch and of one of its blocks; the largest boundary that the cost is tried for.
-SKETCH, SKETCH_BLOCK, MOST_LIGHT = 1 << 21, 1 << 12, 10
+#: Counters of the sketch and of one of its blocks; the largest boundary that the cost is tried for (a set of 20 has up
+#: to 21,000 subsets, so that larger ones never cost less than their prefix of 6).
+SKETCH, SKETCH_BLOCK, MOST_LIGHT = 1 << 21, 1 << 12, 20
+#: Leaders of a list in later rounds; pairs between groups for each list row that need no further round; the share of
+#: pairs that a round must settle for another one; pairs for each prefix shingle of a list's sets that it stays whole with;
+#: most shingles of a key; words of a bitmap.
+LEADERS, PAIRS, SETTLED, STAYS, DEEPEST, BITMAP = 4, 4, 0.1, 4, 4, 8
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -175,8 +184,13 @@ def scan(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
     return both.where("block IS NULL").select("doc_id", "n", "f1", "f2"), sketch
 
 
+def ordered(own: np.ndarray, heavy_class: np.ndarray) -> np.ndarray:
+    """A set in the one order of all shingles.  own is sorted, and a stable sort by class keeps it so within a class."""
+    return own[np.argsort(heavy_class[(own >> np.uint64(43)).astype(np.int64)], kind="stable")]
+
+
 def signatures(own: np.ndarray, light: int, heavy_class: np.ndarray) -> np.ndarray:
-    """The keys of a set's inverted lists: subsets for light partners, prefix shingles for heavy ones."""
+    """The keys of a set's inverted lists: subsets for light partners (odd), prefix shingles for heavy ones (even)."""
     n = len(own)
     out = []
     if n <= light:
@@ -185,14 +199,30 @@ def signatures(own: np.ndarray, light: int, heavy_class: np.ndarray) -> np.ndarr
                 x = np.full(1, size, np.uint64)
                 for v in subset:
                     x = mix(x * _R + np.uint64(v))
-                out.append(x)
+                out.append(x | np.uint64(1))
     if n and DEN * n // NUM > light:
-        # own is sorted, and a stable sort by class keeps it so within a class: one total order for all sets
-        order = np.argsort(heavy_class[(own >> np.uint64(43)).astype(np.int64)], kind="stable")
-        out.append(own[order[: prefix(n)]])
+        out.append(ordered(own, heavy_class)[: prefix(n)] & ~np.uint64(1))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def longer_keys(own: np.ndarray, heavy_class: np.ndarray, depth: int, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of depth + 1 shingles from some of a set's keys of depth shingles, and where their last shingle stands in
+    the set's order.  `at`: that place for the given keys (-1: to be found)."""
+    reach = ordered(own, heavy_class)[: prefix(len(own)) + depth] & ~np.uint64(1)
+    made, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for key, place in zip(keys.view(np.uint64), at.tolist(), strict=True):
+        place = int(np.flatnonzero(reach == key)[0]) if place < 0 else place
+        made.append(mix(reach[place + 1 :] * _R + key) & ~np.uint64(1))
+        places.append(np.arange(place + 1, len(reach)))
+    return np.concatenate(made), np.concatenate(places)
+
+
+def bitmap(own: np.ndarray) -> np.ndarray:
+    """Parities of a set's shingles by 512 values of a hash: two sets differ in as many shingles as bits, at the least."""
+    at = (mix(own ^ np.uint64(0x9D39247E33776D41)) >> np.uint64(55)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=64 * BITMAP)[: 64 * BITMAP] & 1 == 1, bitorder="little").view("<i8")
+
+
 def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
     """Those of pairs (a, b) that link.  Rows come sorted by b, so that a leader's set is made once for a run of rows."""
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
@@ -246,49 +276,130 @@ def join(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
                     yield pa.RecordBatch.from_arrays([pa.array(flat[a : a + 50_000]), pa.array(prints[owner, 0]), pa.array(prints[owner, 1]), pa.array(np.array([len(s) for s in sets], np.int64)[owner])], ["key", "f1", "f2", "n"])
 
     postings = scan_text(documents).mapInArrow(run, "key long, f1 long, f2 long, n long")
-    # lists that hold different sets; equal sets never count
+    # lists that hold different sets; equal sets never count.  Keys are written first: a join straight on the aggregate
+    # would keep all rows of a key in one task
     shared = postings.groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2") for f in (F.min, F.max))).where("min_f1 <> max_f1 OR min_f2 <> max_f2").select("key")
+    shared = scratch.table(shared, "shared")
     lists = scratch.table(postings.join(shared, "key").distinct(), "postings")
-    lists = scratch.table(lists.join(reps, key).select("key", F.col("rep").alias("id"), "n"), "lists")
+    rows = scratch.table(lists.join(reps, key).select("key", F.col("rep").alias("id"), "n", F.col("rep").alias("g")), "open0")
     scratch.drop("postings")
-    wanted = lists.select("id").distinct()
+    scratch.drop("shared")
+    wanted = rows.select("id").distinct()
     own = reps.join(wanted, F.col("rep") == F.col("id")).select("id", "f1", "f2")
 
     def same(batches):
         for batch in batches:
             for part, data, starts in text_chunks(batch):
-                prints = [fingerprint(s) for s in shingle_sets(data, starts, words)]
-                keep = [p == q for p, q in zip(prints, zip(part.column(2).to_pylist(), part.column(3).to_pylist()), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["id", "text"]).filter(pa.array(keep, pa.bool_()))
+                sets = shingle_sets(data, starts, words)
+                keep = [fingerprint(s) == q for s, q in zip(sets, zip(part.column(2).to_pylist(), part.column(3).to_pylist()), strict=True)]
+                bits = pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bits], ["id", "text", "bits"]).filter(pa.array(keep, pa.bool_()))
 
-    found = scan_text(documents).join(own, F.col("doc_id") == F.col("id")).select("id", "text", "f1", "f2").mapInArrow(same, "id long, text string")
+    found = scan_text(documents).join(own, F.col("doc_id") == F.col("id")).select("id", "text", "f1", "f2").mapInArrow(same, "id long, text string, bits array<long>")
+    # rows that repeat an id with an equal set are one
     texts = scratch.table(found, "texts")
-    fits = F.expr(f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)")
-
-    # 1: each set against the leader that it meets in most lists
-    leaders = lists.groupBy("key").agg(F.min_by("n", "id").alias("m"), F.min("id").alias("leader"))
-    met = lists.join(leaders, "key").where(F.col("id") != F.col("leader")).where(fits).groupBy("id", "leader").agg(F.count(F.lit(1)).alias("times"))
-    first = met.groupBy("id").agg(F.max(F.struct("times", (-F.col("leader")).alias("minus"))).alias("x")).select(F.col("id").alias("a"), (-F.col("x.minus")).alias("b"))
-    links = scratch.table(verify(first, texts, words), "links1")
-
-    # 2: what meets between different groups
-    groups = scratch.table(components(links, scratch, "early"), "groups")
-    placed = lists.join(groups, F.col("id") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "id").alias("g"))
-    mixed = placed.groupBy("key").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("key")
-    open_lists = scratch.table(placed.join(mixed, "key"), "open")
-    x, y = open_lists.withColumnsRenamed({"id": "a", "g": "ga"}), open_lists.withColumnsRenamed({"id": "b", "g": "gb", "n": "m"})
-    meeting = x.join(y, "key").where("a < b AND ga <> gb").where(fits).groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("times"))
-    # shingles beyond the prefix of the set whose prefix ends first are common at most; light subsets count as they are
+    plain = texts.select("id", "text")
+    links, rows = _rounds(rows, plain, scratch, words)
+    rows, cut = _split(rows, plain, classes, scratch, words)
+
+    # what is left: pairs of different groups, by list
+    rows = scratch.table(rows.join(texts.select("id", "bits"), "id").join(cut, "id", "left").withColumn("cut", F.col("cut").isNotNull()), "last")
+    x = rows.withColumnsRenamed({"id": "a", "g": "ga", "bits": "ba", "cut": "ca"})
+    y = rows.withColumnsRenamed({"id": "b", "g": "gb", "n": "m", "bits": "bb", "cut": "cb"})
+    least = f"({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}"
+    apart = " + ".join(f"bit_count(ba[{i}] ^ bb[{i}])" for i in range(BITMAP))
+    meeting = x.join(y, "key").where("a < b AND ga <> gb").where(FITS).where(f"{apart} <= n + m - 2 * ({least})")
+    meeting = meeting.groupBy("a", "b", "n", "m").agg(F.count(F.lit(1)).alias("times"), F.bool_and(F.col("ca") & F.col("cb")).alias("cut"))
+    # shingles beyond the prefix of the set whose prefix ends first are common at most; light subsets count as they are,
+    # and sets that both were in a list dealt anew may have met there
     rest = F.expr(f"greatest(({NUM} * n + {DEN - 1}) div {DEN}, ({NUM} * m + {DEN - 1}) div {DEN}) - 1")
-    enough = F.expr(f"({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}") - rest
-    second = meeting.where((F.least("n", "m") <= light) | (F.col("times") >= enough)).select("a", "b")
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.table(verify(second.join(tried, ["a", "b"], "left_anti"), texts, words), "links2")
-    for name in ("texts", "open", "lists"):
-        scratch.drop(name)
+    second = meeting.where((F.least("n", "m") <= light) | F.col("cut") | (F.col("times") >= F.expr(least) - rest)).select("a", "b")
+    more = scratch.table(verify(second, plain, words), "links_last")
+    scratch.drop("texts")
+    scratch.drop("last")
     return docs.join(reps, key, "left").select("doc_id", "n", "rep"), links.union(more)
 
 
+#: Sizes that a link allows.
+FITS = f"{DEN} * least(n, m) >= {NUM} * greatest(n, m)"
+
+
+def _mixed(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """A row for each list that holds several groups: key, m (sets), cross (pairs between groups), room (prefix shingles
+    of its sets) and common (shingles that each of its sets shares with any set it links to, at least)."""
+    all_of = f"({NUM} * n + {DEN - 1}) div {DEN}"
+    each = rows.groupBy("key", "g").agg(F.count(F.lit(1)).cast("double").alias("c"), F.sum(F.expr(f"n - {all_of} + 1")).alias("room"), F.min(F.expr(all_of)).alias("common"))
+    of = each.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.sum("room").alias("room"), F.min("common").alias("common"))
+    return scratch.table(of.where("groups > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("cross"), "room", "common"), name)
+
+
+def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
+    """Rounds of comparisons with list leaders.  rows: key, id, n and g (group) of lists.  Gives the links found, and the
+    rows of lists that hold several groups."""
+    links, before, turn = None, float("inf"), 0
+    while True:
+        # leaders: the least ids at first, then others in each round
+        rank = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
+        salt = F.pmod(F.xxhash64("id"), F.lit(LEADERS if turn else 1))
+        leaders = rows.groupBy("key", salt.alias("salt")).agg(F.min(F.struct(rank.alias("rank"), "id", "n", "g")).alias("x"))
+        leaders = scratch.table(leaders.select("key", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.g").alias("gb")), f"leaders{turn}")
+        met = rows.join(leaders, "key").where("g <> gb").where(FITS).groupBy("id", "g", "b", "gb").agg(F.count(F.lit(1)).alias("times"))
+        best = met.groupBy("id", "g").agg(F.max(F.struct("times", (-F.col("b")).alias("minus"), "gb")).alias("x"))
+        best = scratch.table(best.select(F.col("id").alias("a"), (-F.col("x.minus")).alias("b"), F.col("g").alias("ga"), F.col("x.gb").alias("gb")), f"tried{turn}")
+        found = scratch.table(verify(best.select("a", "b"), texts, words), f"links{turn}")
+        links = found if links is None else links.union(found)
+        joined = components(best.join(found, ["a", "b"], "left_semi").select(F.col("ga").alias("a"), F.col("gb").alias("b")), scratch, f"grow{turn}_")
+        placed = rows.join(scratch.table(joined, f"grown{turn}"), F.col("g") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "g").alias("g"))
+        mixed = _mixed(placed, scratch, f"mixed{turn}")
+        rows = scratch.table(placed.join(mixed.select("key"), "key"), f"open{turn + 1}")
+        for name in (f"open{turn}", f"leaders{turn}", f"tried{turn}"):
+            scratch.drop(name)
+        cost = mixed.agg(F.sum("cross").alias("cross"), F.sum("m").alias("m")).first()
+        turn += 1
+        if not cost["m"] or cost["cross"] <= PAIRS * cost["m"] or cost["cross"] > (1 - SETTLED) * before:
+            return links, rows
+        before = cost["cross"]
+
+
+def _split(rows: DataFrame, texts: DataFrame, classes, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
+    """Lists of prefix shingles with many more pairs than their sets have prefix shingles, dealt anew under keys of one
+    shingle more, as long as there are any and links need to share so many.  Gives all rows, and the ids that were in
+    such lists (id, cut)."""
+
+    def run_at(depth: int):
+        def run(batches):
+            for batch in batches:
+                for part, data, starts in text_chunks(batch):
+                    sets = shingle_sets(data, starts, words)
+                    for i, s in enumerate(sets):
+                        own = part.column(4)[i].as_py()
+                        keys, at = longer_keys(s, classes.value, depth, np.array([x["key"] for x in own], np.int64), np.array([x["at"] for x in own], np.int64))
+                        for a in range(0, len(keys), 50_000):
+                            k = keys[a : a + 50_000]
+                            same = [pa.array(np.full(len(k), part.column(c)[i].as_py(), np.int64)) for c in (0, 1, 2)]
+                            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *same, pa.array(at[a : a + 50_000])], ["key", "id", "n", "g", "at"])
+
+        return run
+
+    done, cut = [], []
+    rows = rows.withColumn("at", F.lit(-1).cast("long"))
+    for depth in range(1, DEEPEST):
+        long = _mixed(rows, scratch, f"long{depth}").where((F.col("cross") > STAYS * F.col("room")) & (F.col("key") % 2 == 0) & (F.col("common") > depth)).select("key")
+        if long.isEmpty():
+            break
+        own = scratch.table(rows.join(long, "key").groupBy("id", "n", "g").agg(F.collect_list(F.struct("key", "at")).alias("own")), f"again{depth}")  # of each set, at most the keys of its prefix
+        done.append(rows.join(long, "key", "left_anti"))
+        cut.append(own.select("id"))
+        given = own.join(texts, "id").select("id", "n", "g", "text", "own")
+        rows = scratch.table(given.mapInArrow(run_at(depth), "key long, id long, n long, g long, at long"), f"dealt{depth}")
+    for other in done:
+        rows = rows.unionByName(other)
+    ids = cut[0] if cut else texts.select("id").limit(0)
+    for other in cut[1:]:
+        ids = ids.union(other)
+    return rows.select("key", "id", "n", "g"), ids.distinct().withColumn("cut", F.lit(True))
+
+
 def classes(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
     sets, links = join(documents, scratch, words)
@@ -301,9 +412,11 @@ def classes(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> DataF
 def representatives(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """One row of each class, that of the least doc_id (null last), in its own columns.  Rows are told apart by a number
     of their own, written with them, so that rows that repeat a doc_id or have none are rows like all others."""
-    rows = scratch.table(documents.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = classes(rows.withColumn("doc_id", F.col("_row")), scratch, words).select(F.col("doc_id").alias("_row"), "component_id")
-    named = found.join(rows.select("_row", F.col("doc_id").cast("long").alias("doc_id")), "_row")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    stay = scratch.table(named.groupBy("component_id").agg(first.alias("x")).select("x._row"), "stay")
-    return rows.join(stay, "_row", "left_semi").drop("_row")
+    (row,) = unused(documents, "_row")
+    rows = scratch.table(documents.withColumn(row, F.monotonically_increasing_id()), "rows")
+    numbered = rows.select(F.col(row).alias("doc_id"), "text")
+    found = classes(numbered, scratch, words).select(F.col("doc_id").alias("row"), "component_id")
+    named = found.join(rows.select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias("doc_id")), "row")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    stay = scratch.table(named.groupBy("component_id").agg(first.alias("x")).select(F.col("x.row").alias(row)), "stay")
+    return rows.join(stay, row, "left_semi").drop(row)

@@ -70,6 +70,60 @@ def test_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_rounds_and_split_lists_against_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(jaccard, "PAIRS", 0)
+    monkeypatch.setattr(jaccard, "STAYS", -1)
+    monkeypatch.setattr(jaccard, "boundary", lambda *a: 0)
+    rows = corpus(seed)
+    docs = spark.createDataFrame([(d, t, 1, 1, "c") for d, t in rows], SCHEMA).repartition(3)
+    got = sorted(tuple(r) for r in jaccard.classes(docs, Scratch(spark, "t")).collect())
+    assert got == brute(rows)
+
+
+def test_longer_keys_meet_every_link():
+    rng = np.random.default_rng(5)
+    classes = np.zeros(jaccard.SKETCH, np.uint8)
+    classes[rng.integers(0, jaccard.SKETCH, jaccard.SKETCH // 3)] = 2
+    tried = 0
+    for _ in range(600):
+        n = int(rng.integers(3, 40))
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.92], rng.integers(0, 1 << 63, int(rng.integers(0, 4))).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 100 * both < 75 * (len(a) + len(b) - both) or len(a) == len(b) == both:
+            continue
+        assert sum(int(x).bit_count() for x in (jaccard.bitmap(a) ^ jaccard.bitmap(b)).view(np.uint64)) <= len(a) + len(b) - 2 * both
+        keys = [(jaccard.signatures(x, 0, classes), np.full(jaccard.prefix(len(x)), -1)) for x in (a, b)]
+        for depth in range(1, min(4, -(-75 * min(len(a), len(b)) // 100))):
+            keys = [jaccard.longer_keys(x, classes, depth, *k) for x, k in zip((a, b), keys, strict=True)]
+            assert len(np.intersect1d(keys[0][0], keys[1][0]))
+            tried += 1
+    assert tried > 300
+
+
+def test_hot_lists_grow_in_proportion(spark, monkeypatch):
+    """Near copies that their first leader doesn't link, and sets without links in lists of common shingles."""
+    rng = random.Random(6)
+    made = []
+    real = jaccard.verify
+    monkeypatch.setattr(jaccard, "verify", lambda pairs, *a: made.append(pairs.count()) or real(pairs, *a))
+    base = [f"b{i}" for i in range(80)]
+    common = [[f"c{k}_{i}" for i in range(14)] for k in range(12)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 2, 2, 3])):
+            w[rng.randrange(80)] = f"x{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    for i in range(1500, 3000):  # all shingles but few are common ones
+        rows.append((i, " ".join(sum(rng.sample(common, 4), [])) + f" y{i}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(docs, Scratch(spark, "t")).collect()}
+    assert got == {d: c for d, _, c in brute(rows)}
+    assert sum(made) < 12 * len(rows)
+
+
 @pytest.mark.parametrize("light", [0, 3, 6, 8])
 def test_every_boundary_meets_every_link(light):
     rng = np.random.default_rng(light)
