@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, chunks, mix, scan_text, text_chunks
+from .common import Scratch, byte_column, chunks, mix, scan_text, text_chunks, trim, unused
 from .jaccard import _BYTE, _powers
 
 #: Bytes of a repeat; bytes of an anchor.
@@ -234,12 +234,12 @@ def merged(a: list[int], b: list[int]) -> np.ndarray:
 
 
 def remove(documents: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Every row of documents with spans (start, end: bytes) removed and the bytes kept: doc_id, text, n_bytes,
-    spans, kept (binary)."""
+    """Every row of documents, in its own columns, and two more at the end: lists of the starts and ends of repeats."""
     spans = repeats(documents, scratch, length, gram)
     text = F.col("text").cast("string")
-    left = documents.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "_crc": F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
-    return left.join(spans.withColumnsRenamed({"d": "_d", "crc": "_crc", "a": "_a", "b": "_b"}), ["_d", "_crc"], "left").drop("_d", "_crc")
+    d, crc, a, b = unused(documents, "_d", "_crc", "_a", "_b")
+    left = documents.withColumns({d: F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), crc: F.crc32(F.coalesce(text, F.lit("")).cast("binary"))})
+    return left.join(spans.withColumnsRenamed({"d": d, "crc": crc, "a": a, "b": b}), [d, crc], "left").select(*(left[f"`{c}`"] for c in documents.columns), a, b)
 
 
 def kept(raw: np.ndarray, a: list[int] | None, b: list[int] | None) -> tuple[bytes, np.ndarray]:
@@ -255,7 +255,7 @@ def kept(raw: np.ndarray, a: list[int] | None, b: list[int] | None) -> tuple[byt
 
 def digest(documents: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    rows = remove(scan_text(documents), scratch).select("doc_id", "text", "_a", "_b")
+    rows = remove(scan_text(documents), scratch)
 
     def run(batches):
         for batch in batches:
@@ -289,8 +289,9 @@ def cleaned(documents: DataFrame, scratch: Scratch) -> DataFrame:
                 columns = list(part.columns[: len(names)])
                 columns[names.index("text")] = pa.array(texts, part.column(names.index("text")).type)
                 yield pa.RecordBatch.from_arrays(columns, names)
+            trim()
 
-    out = rows.select(*(F.col(f"`{n}`") for n in names), "_a", "_b").mapInArrow(run, documents.schema)
+    out = rows.mapInArrow(run, documents.schema)
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
     return out

@@ -60,3 +60,22 @@ def test_stages_keep_columns_and_take_nothing(spark, tmp_path):
             out = stage(spark, docs, str(tmp_path))
             assert out.dtypes == docs.dtypes and out.count() == len(rows)
         assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == len(rows)
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null and repeated ids, nulls everywhere, a very long text, and columns of the names that operators use."""
+    clashing = "doc_id long, text string, lang string, source string, n_chars long, _a int, _b string, _d long, _crc long, _row int, g int, id int, key string, component_id int, item_id long, W string"
+    say = "the old mill by the river turned slowly while seven children counted boats and their mother called them home"
+    plan = "a quiet garden behind the school grows beans and peas that nobody picks before the first cold night of autumn"
+    long = " ".join(f"{a}{b}" for a in dict.fromkeys(plan.split()) for b in range(900))
+    texts = [(1, say), (1, say), (1, plan), (None, plan), (None, None), (2, ""), (None, None), (3, long), (4, long + " end")]
+    docs = spark.createDataFrame([(d, t, None if i % 2 else "en", None, None, 1, "x", None, 7, i, 2, 3, "k", 4, 5, None) for i, (d, t) in enumerate(texts)], clashing)
+    spark.createDataFrame([(None, None), (1, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), clashing)
+        kept[name] = sorted((r._row, len(r.text or "")) for r in docs.collect())
+    assert [r for r, _ in kept["language_id"]] == [0, 1, 2, 3, 7, 8]
+    assert [r for r, _ in kept["near_duplicates"]] == [0, 2, 7] or [r for r, _ in kept["near_duplicates"]] == [1, 2, 7]
+    assert kept["decontamination"] == kept["repeat_removal"] == kept["near_duplicates"]
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {1, 3}
