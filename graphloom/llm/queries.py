@@ -58,7 +58,8 @@ def op8_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.unquoted(table(spark, sf_dir, "conversations"), Scratch(spark, "op9"))
+    """Every conversation, in order of replies and without quotations, in parts of a bounded number of messages."""
+    return quotes.conversations(table(spark, sf_dir, "conversations"), Scratch(spark, "op9"))
 
 
 def op10_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
