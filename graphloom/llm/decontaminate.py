@@ -10,10 +10,11 @@ match.
 
 A template window of PLAIN plain words counts by itself.  Where an item does not reach COVER so (texts dense in
 numbers, names and units have few such windows, or none), every window with a plain word counts, if its alignment
-is consistent over all of them and they hold PLAIN plain words together; the item's windows are then those with a
-plain word.
+is consistent over all of them and its words that are alike (plain ones, and slots of equal values) are PLAIN, or half
+of a short item's words and three at the least; the item's windows are then those with a plain word.
 
-Items of fewer words than WINDOW are one window; items of fewer than LEAST words say too little and match nothing.
+Items of fewer words than WINDOW are one window.  Items of three words are matched word by word, as a template of three
+words says too little; those of one or two words are matched with documents that hold nothing else.
 
 Defined results: a null or wordless text matches nothing; items of equal text are reported each; rows that repeat
 a doc_id are one document here (their matches are united); a null doc_id is reported as null; empty tables give
@@ -22,17 +23,22 @@ no rows; other columns are not read.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Words of a window; least words of an item; plain words of a template window that counts by itself, and of an alignment; share of an item's windows.
-WINDOW, LEAST, PLAIN, COVER = 8, 4, 5, 0.5
+#: Words of a window; plain words of a template window that counts by itself, and of an alignment; share of an item's windows.
+WINDOW, PLAIN, COVER = 8, 5, 0.5
+#: Least words of an item that is looked for inside documents, and of one that is a template.
+LEAST, LEAST_TEMPLATE = 3, 4
 #: Windows of all items up to which they are broadcast (about 200 bytes each); above, the join is a shuffled one.
 BROADCAST_WINDOWS = 200_000
-#: Bits of the constant set by which places are found whose hash an item may have.
-BITS = 1 << 20
+#: Bits of the constant set by which places are found whose hash an item may have: of each hash, and at the least and most.
+#: Beyond the most (about a million windows) the set lets more places through, which the join drops.
+HASH_BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 24
 #: Words of measure.
 UNITS = (
     "kg g mg km m cm mm mile miles meter meters metre metres foot feet inch inches liter liters litre litres ml "
@@ -98,26 +104,31 @@ def _longer(a: str, b: str, left: int) -> Column:
     return F.transform(a, lambda x, i: F.xxhash64(x, F.get(F.col(b), i + left)))
 
 
-def bitmap(hashes: list[int]) -> Column:
-    """A set of BITS bits with those of the hashes set, as a constant array of 64-bit words."""
-    held = [0] * (BITS // 64)
-    for h in hashes:
-        at = h & (BITS - 1)
-        held[at >> 6] |= 1 << (at & 63)
-    return F.expr(f"array({','.join(f'{w - (1 << 64) if w >> 63 else w}L' if w != 1 << 63 else '(-9223372036854775807L - 1L)' for w in held)})")
+def bitmap(windows: DataFrame, n: int) -> tuple[Column, int]:
+    """A set of hashes as a constant array of 64-bit words, and its bits, for n hashes."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(n * HASH_BITS - 1, 1).bit_length()))
+    at = F.col("h").bitwiseAND(F.lit(size - 1))
+    # words that have a bit: MOST_BITS / 64 rows at the most
+    set_ = windows.groupBy(F.shiftright(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(h & 63 AS INT))")).alias("b")).collect()
+    held = [0] * (size // 64)
+    for r in set_:
+        held[r["w"]] = r["b"]
+    return F.from_json(F.lit(json.dumps(held)), "array<bigint>"), size
 
 
-def _in(bits: Column, h: Column) -> Column:
-    at = h.bitwiseAND(F.lit(BITS - 1))
+def _in(bits: Column, size: int, h: Column) -> Column:
+    at = h.bitwiseAND(F.lit(size - 1))
     return F.getbit(F.get(bits, F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def _places(hs: Column, size: int, kind: int, bits: Column | None) -> Column:
-    """(size, kind, pos, h) of a text's windows of one size and kind, those in `bits` alone."""
+def _places(hs: Column, size: int, kind: int, bits: Column, n_bits: int) -> Column:
+    """(size, kind, pos, h, dl) of those windows of a text, of one size and kind, whose hash is in `bits`; dl are a
+    template window's words."""
     last = F.col("n") - size
     every = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    hit = every if bits is None else F.filter(every, lambda i: _in(bits, F.get(hs, i)))
-    return F.transform(hit, lambda i: F.struct(F.lit(size).alias("size"), F.lit(kind).alias("kind"), i.alias("pos"), F.get(hs, i).alias("h")))
+    hit = F.filter(every, lambda i: _in(bits, n_bits, F.get(hs, i)))
+    own = lambda i: F.slice("l", i + 1, size) if kind else F.lit(None).cast("array<string>")
+    return F.transform(hit, lambda i: F.struct(F.lit(size).alias("size"), F.lit(kind).alias("kind"), i.alias("pos"), F.get(hs, i).alias("h"), own(i).alias("dl")))
 
 
 def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
@@ -130,29 +141,28 @@ def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> Da
     own = hashed(own.withColumn("n", F.size("w")), sizes, ["item_id", "size", "n", "c", "l"])
     # each item has one size; the hashes of its places are in the columns of that size
     own = own.withColumns({f"h{x}": F.coalesce(*(F.when(F.col("size") == n, F.col(f"h{x}{n}")) for n in sizes)) for x in ("l", "c")})
-    places = own.select("item_id", "size", "c", "l", "hl", "hc", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("ipos"))
-    cut = places.select("item_id", "size", "ipos", *(F.slice(x, F.col("ipos") + 1, F.col("size")).alias(x) for x in ("c", "l")), *(F.get(x, F.col("ipos")).alias(x) for x in ("hl", "hc")))
+    places = own.select("item_id", "size", "n", "c", "l", "hl", "hc", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("ipos"))
+    cut = places.select("item_id", "size", "n", "ipos", *(F.slice(x, F.col("ipos") + 1, F.col("size")).alias(x) for x in ("c", "l")), *(F.get(x, F.col("ipos")).alias(x) for x in ("hl", "hc")))
     plain = F.size(F.filter("c", lambda x: ~x.startswith("<")))
     cut = cut.withColumns({"plain": plain, "strong": plain >= F.least(F.lit(PLAIN), F.col("size") - 1)})
-    both = cut.withColumn("kinds", F.when((F.col("plain") > 0) & (F.col("plain") < F.col("size")), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    both = cut.withColumn("kinds", F.when((F.col("plain") > 0) & (F.col("plain") < F.col("size")) & (F.col("size") >= LEAST_TEMPLATE), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
     of = F.col("kind") == 1
-    windows = both.withColumn("kind", F.explode("kinds")).select("item_id", "size", "ipos", "kind", "strong", (F.col("plain") > 0).alias("worded"), F.when(of, F.col("hc")).otherwise(F.col("hl")).alias("h"), F.when(of, F.col("c")).alias("ic"), F.when(of, F.col("l")).alias("il"))
+    windows = both.withColumn("kind", F.explode("kinds")).select("item_id", "size", "n", "ipos", "kind", "strong", (F.col("plain") > 0).alias("worded"), F.when(of, F.col("hc")).otherwise(F.col("hl")).alias("h"), F.when(of, F.col("c")).alias("ic"), F.when(of, F.col("l")).alias("il"))
     windows = scratch.table(windows, "windows")
-    totals = windows.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_all"), F.countDistinct(F.when(F.col("worded"), F.col("ipos"))).alias("n_worded"))
-    bounded = windows.count() <= BROADCAST_WINDOWS
+    totals = windows.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_all"), F.countDistinct(F.when(F.col("worded"), F.col("ipos"))).alias("n_worded"), F.max("n").alias("n_words"))
+    n_windows = windows.count()
+    bounded = n_windows <= BROADCAST_WINDOWS
     small = F.broadcast if bounded else (lambda x: x)
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w")).select("doc_id", "w", F.transform("w", lambda x: F.lower(x)).alias("l"))
     docs = docs.select("doc_id", F.size("w").alias("n"), "l", template(F.col("w"), F.col("l")).alias("c"))
     docs = hashed(docs, sizes, ["doc_id", "n", "l"])
-    # places whose hash an item may have are found inside the arrays, by a constant set of bits, before any row is
-    # made; where items are too many for it, all places go on to the join
-    bits = bitmap([r["h"] for r in windows.select("h").distinct().collect()]) if bounded else None
-    lists = [_places(F.col(f"h{x}{size}"), size, kind, bits) for size in sizes for kind, x in enumerate(("l", "c"))]
-    each = docs.select("doc_id", "l", F.explode(F.concat(*lists)).alias("x")).select("doc_id", "l", "x.*")
+    # places whose hash an item may have are found inside the arrays, by a constant set of bits, before any row is made
+    bits, n_bits = bitmap(windows, n_windows)
+    lists = [_places(F.col(f"h{x}{size}"), size, kind, bits, n_bits) for size in sizes for kind, x in enumerate(("l", "c"))]
+    each = docs.select("doc_id", F.explode(F.concat(*lists)).alias("x")).select("doc_id", "x.*")
     met = each.join(small(windows), ["h", "kind", "size"])
-    dl = F.slice("l", F.col("pos") + 1, F.col("size"))
-    met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "kind", "strong", "worded", "ic", "il", F.when(F.col("kind") == 1, dl).alias("dl"))
+    met = met.select("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", "kind", "strong", "worded", "ic", "il", "dl")
     met = scratch.table(met, "met")
 
     # slots of template matches: consistent if item values and document values of an alignment pair off; by strong
@@ -175,12 +185,19 @@ def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> Da
 
     template_met = met.where("kind = 1").select(*key, "strong", "ipos")
     strong = consistent(template_met.where("strong"), slots.where("strong")).select(*key, "ipos", F.lit(False).alias("verbatim"))
-    # an alignment's plain words, each place once, are as many as one strong window has
-    said = cells.where("ic NOT LIKE '<%'").select(*key, "at").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PLAIN)
+    # an alignment's words that are alike, each place once
+    alike = cells.where("ic NOT LIKE '<%' OR il = dl").select(*key, "at").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    need = F.greatest(F.lit(LEAST), F.least(F.lit(PLAIN), F.ceil(F.col("n_words") / 2)))
+    said = alike.join(small(totals), "item_id").where(F.col("n") >= need).select(*key)
     wide = consistent(template_met, slots).select(*key, "ipos").alias("m").join(said.alias("x"), same, "left_semi").withColumn("verbatim", F.lit(False))
     # a pair that both ways find is reported by the strong windows
     ways = covered(strong, "n_all", "1 strong").union(covered(wide, "n_worded", "2 wide"))
-    out = ways.groupBy("doc_id", "item_id").agg(F.min(F.struct("way", "n_matched", "n_windows", "n_verbatim")).alias("x")).select("doc_id", "item_id", "x.*")
+    out = ways.groupBy("doc_id", "item_id").agg(F.min(F.struct("way", "n_matched", "n_windows", "n_verbatim")).alias("x")).select("doc_id", "item_id", "x.n_matched", "x.n_windows", "x.n_verbatim")
+    # items of one or two words
+    tiny = raw.where(F.size("w").between(1, LEAST - 1)).select("item_id", F.transform("w", lambda x: F.lower(x)).alias("l"))
+    alone = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w")).where(F.size("w").between(1, LEAST - 1)).select("doc_id", F.transform("w", lambda x: F.lower(x)).alias("l"))
+    one = F.lit(1).cast("long")
+    out = out.unionByName(alone.join(tiny, "l").select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), one.alias("n_verbatim")).distinct())
     kind = F.when(F.col("n_verbatim") >= COVER * F.col("n_windows"), "verbatim").otherwise("reparameterised")
     return out.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), kind.alias("kind"))
 

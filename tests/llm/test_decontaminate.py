@@ -25,6 +25,7 @@ def brute(docs, items):
     for i, t in items:
         iw = WORD.findall(t or "")
         if len(iw) < dc.LEAST:
+            out |= {(d, i, 1, 1, "verbatim") for d, texts in parsed.items() for w in texts if iw and [x.lower() for x in w] == [x.lower() for x in iw]}
             continue
         size = min(len(iw), dc.WINDOW)
         n = len(iw) - size + 1
@@ -38,7 +39,7 @@ def brute(docs, items):
                             verbatim.add(q)
                         ca, cb = list(map(canon, a)), list(map(canon, b))
                         plain = sum(not x.startswith("<") for x in ca)
-                        if ca == cb and min(dc.PLAIN, size - 1) <= plain < size:
+                        if ca == cb and min(dc.PLAIN, size - 1) <= plain < size and size >= 4:
                             s = shifts.setdefault(p - q, (set(), set()))
                             s[0].add(q)
                             s[1].update((k, x.lower(), y.lower()) for k, x, y in zip(ca, a, b) if k.startswith("<"))
@@ -77,7 +78,7 @@ def test_against_brute_force(spark):
             at = rng.randint(0, len(body))
             body[at:at] = leak
         docs.append((d, rng.choice([" ", ", ", "\n"]).join(body)))
-    docs += [docs[10], (None, items[6][1]), (95, "x " * 50_000 + items[7][1]), (96, "-" * 200_000 + "." * 100_000)]
+    docs += [(92, "Too, SHORT"), (93, "far too short"), (94, "so one two 3 and"), docs[10], (None, items[6][1]), (95, "x " * 50_000 + items[7][1]), (96, "-" * 200_000 + "." * 100_000)]
     got = dc.contaminated(spark.createDataFrame([(*r, 1, 1) for r in docs], "doc_id long, text string, item_id int, h int").repartition(3), spark.createDataFrame([(*r, 3) for r in items], "item_id long, text string, doc_id int"), Scratch(spark, "t"))
     rows = got.collect()
     want = brute([x for x in docs if x[0] not in (95, 96)], items)
@@ -132,3 +133,21 @@ def test_number_dense_items(spark):
     assert not {x for x in found if x[0] in (4, 5, 6)}
     assert all(r.coverage == r.n_matched / r.n_windows >= dc.COVER for r in got)
     assert {(r.n_matched, r.n_windows, r.kind) for r in got if (r.doc_id, r.item_id) == (2, 1)} == {(10, 10, "reparameterised")}
+
+
+def test_short_items(spark):
+    """Items of three words, short sums with other numbers, and what isn't either."""
+    items = [(1, "solve for x"), (2, "What is 12 plus 30?"), (3, "Paris"), (4, "What is 12 plus 12?")]
+    docs = [(1, "First, solve for X and then rest"), (2, "He asked: What is 7 plus 9? Nobody knew."), (3, "paris!"), (4, "I saw Paris in spring"), (5, "what was 12 plus 30"), (6, "solve it for x"), (7, "So What is 4 plus 4 then")]
+    got = dc.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), Scratch(spark, "t")).collect()
+    assert {(r.doc_id, r.item_id, r.kind) for r in got} == {(1, 1, "verbatim"), (2, 2, "reparameterised"), (3, 3, "verbatim"), (7, 4, "reparameterised")}
+
+
+def test_very_many_windows(spark, monkeypatch):
+    """300,000 windows: a larger set of bits and a shuffled join, with the same result, and few places beyond the true ones."""
+    many = spark.range(25_000).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(1, 19), i -> substring(sha1(concat(id, '-', i)), 1, 12))) AS text")
+    docs = many.where("item_id % 100 = 7").selectExpr("item_id AS doc_id", "concat('some words before ', text, ' and after') AS text").unionByName(spark.range(500).selectExpr("id + 100000 AS doc_id", "concat_ws(' ', transform(sequence(1, 300), i -> substring(md5(concat(id, '+', i)), 1, 9))) AS text"))
+    scratch = Scratch(spark, "t")
+    got = dc.contaminated(docs, many, scratch).select("doc_id", "item_id", "n_matched", "n_windows").collect()
+    assert {tuple(r) for r in got} == {(i, i, 12, 12) for i in range(7, 25_000, 100)}
+    assert spark.read.parquet(f"{scratch.root}/windows").count() > dc.BROADCAST_WINDOWS
