@@ -3,7 +3,10 @@
 A file starts with a skippable frame (magic 0x184D2A5D) that holds the file's compression dictionary, plain or
 itself compressed; after it comes one frame per record, so that a record can be decoded from its offset alone.
 The reader finds the ends of frames from the frames' own block headers.  It checks the version line, the named
-fields, the record's length against Content-Length, the end marks, the HTTP length and the payload's SHA-1.
+fields, the record's length against Content-Length, the end marks, the digests of block and payload where they are
+given (SHA-1, SHA-256 or MD5, in base 32 or hex) and, of records that hold HTTP, the header and its length.  It takes
+all types of records, those that other writers make too: warcinfo, request, metadata, resource, conversion,
+continuation; read() gives pages, records() every record.
 
 Of records with equal payloads of at least REVISIT_BYTES the one with the largest page_id is the response and
 the others are revisits that carry the HTTP header alone.
@@ -104,8 +107,34 @@ def _fields(head: bytes) -> tuple[str, dict[str, str]]:
     return lines[0], found
 
 
+_HASHES = {"sha1": hashlib.sha1, "sha-1": hashlib.sha1, "sha256": hashlib.sha256, "sha-256": hashlib.sha256, "md5": hashlib.md5}
+
+
+def _digest(value: str) -> tuple[str, str] | None:
+    """(algorithm, hex) of a digest field; none where the algorithm is not one that is checked."""
+    algorithm, colon, text = value.partition(":")
+    make = _HASHES.get(algorithm.lower())
+    if not colon or make is None:
+        return None
+    size = make().digest_size
+    try:
+        raw = bytes.fromhex(text) if len(text) == 2 * size else base64.b32decode(text.upper() + "=" * (-len(text) % 8))
+    except ValueError:
+        raise Malformed(f"not a digest: {value[:80]!r}") from None
+    if len(raw) != size:
+        raise Malformed(f"not a digest: {value[:80]!r}")
+    return algorithm.lower(), raw.hex()
+
+
+def _check(name: str, value: str | None, data: bytes) -> None:
+    found = _digest(value) if value else None
+    if found and _HASHES[found[0]](data).hexdigest() != found[1]:
+        raise Malformed(f"{name} differs")
+
+
 def parse(content: bytes) -> dict:
-    """One record, validated: fields, HTTP fields and payload."""
+    """One record, validated: its fields, and of a response the payload.  `digest` is the payload's SHA-1 as the record
+    states it, or as it is where a response states none."""
     head, mark, rest = content.partition(b"\r\n\r\n")
     version, fields = _fields(head)
     if not mark or version not in ("WARC/1.0", "WARC/1.1"):
@@ -115,20 +144,28 @@ def parse(content: bytes) -> dict:
             raise Malformed(f"no {name}")
     if not fields["content-length"].isdigit() or len(rest) != int(fields["content-length"]) + 4 or rest[-4:] != b"\r\n\r\n":
         raise Malformed("Content-Length and the record's length differ")
-    http, mark, payload = rest[:-4].partition(b"\r\n\r\n")
-    status, http_fields = _fields(http)
-    if not mark or not status.startswith("HTTP/"):
-        raise Malformed("no HTTP header")
-    digest = fields.get("warc-payload-digest", "")
-    if not digest.startswith("sha1:"):
-        raise Malformed("no SHA-1 of the payload")
-    digest = base64.b32decode(digest[5:]).hex()
-    length = int(http_fields.get("content-length", "-1"))
-    if fields["warc-type"] == "response" and (len(payload) != length or hashlib.sha1(payload).hexdigest() != digest):
-        raise Malformed("the payload's length or digest differs")
-    if fields["warc-type"] == "revisit" and (payload or length < 0 or "warc-refers-to" not in fields):
-        raise Malformed("not a revisit record")
-    return {"type": fields["warc-type"], "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "digest": digest, "length": length, "payload": payload}
+    kind, block = fields["warc-type"], rest[:-4]
+    _check("the block's digest", fields.get("warc-block-digest"), block)
+    payload, length = block, len(block)
+    if kind in ("response", "revisit", "request") and fields.get("content-type", "").lower().startswith("application/http"):
+        http, mark, payload = block.partition(b"\r\n\r\n")
+        first, http_fields = _fields(http)
+        if not (mark or kind == "revisit") or not (first.startswith("HTTP/") or kind == "request" and " HTTP/" in first):
+            raise Malformed("no HTTP header")
+        stated = http_fields.get("content-length", "")
+        length = int(stated) if stated.isdigit() else len(payload)
+        if kind == "response" and length != len(payload) and "transfer-encoding" not in http_fields and "warc-truncated" not in fields:
+            raise Malformed("the payload's length differs")
+        length = len(payload) if kind == "response" else length
+    given = fields.get("warc-payload-digest")
+    if kind == "revisit":
+        if payload or not ("warc-refers-to" in fields or "warc-refers-to-target-uri" in fields or given):
+            raise Malformed("not a revisit record")
+    else:
+        _check("the payload's digest", given, payload)
+    known = _digest(given) if given else None
+    digest = known[1] if known and known[0] in ("sha1", "sha-1") else hashlib.sha1(payload).hexdigest() if kind == "response" else None
+    return {"type": kind, "id": fields["warc-record-id"], "uri": fields.get("warc-target-uri"), "refers_to": fields.get("warc-refers-to"), "digest": digest, "length": length, "payload": payload, "fields": fields}
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, length: int) -> bytes:
@@ -148,7 +185,9 @@ def dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages; empty where there are too few of them."""
     import zstandard
 
-    sample = [r[0].encode() for r in pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).where("length(h) > 64").limit(SAMPLE_PAGES).collect()]
+    # the pages of least hash, so that the same pages give the same archive
+    chosen = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).where("length(h) > 64").orderBy(F.xxhash64("h"), "h").limit(SAMPLE_PAGES)
+    sample = [r[0].encode() for r in chosen.collect()]
     if len(sample) < 32:
         return b""
     try:
@@ -203,23 +242,29 @@ def read_records(uri: str) -> Iterator[tuple[int, dict]]:
         yield at, parse(content)
 
 
-def _page(name: str | None) -> int | None:
-    digits = (name or "").removeprefix("<urn:page:").removesuffix(">")
-    return int(digits) if digits else None
+_RECORD = "uri string, offset long, record_type string, record_id string, target_uri string, refers_to string, payload_bytes long, payload_digest string"
 
 
-def read(files: DataFrame) -> DataFrame:
-    """A row per record of the listed files; each file's record count is checked."""
+def records(files: DataFrame) -> DataFrame:
+    """A row per record, of any type, of files (uri, and where it is there, records: their expected count)."""
+    counted = "records" in files.columns
 
     def run(batches):
         for batch in batches:
-            for uri, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = [(_page(r["id"]), r["length"], r["digest"], r["type"], _page(r["refers_to"]), r["uri"], at) for at, r in read_records(uri)]
-                if len(out) != n:
+            counts = batch.column(1).to_pylist() if counted else [None] * batch.num_rows
+            for uri, n in zip(batch.column(0).to_pylist(), counts, strict=True):
+                out = [(uri, at, r["type"], r["id"], r["uri"], r["refers_to"], r["length"], r["digest"]) for at, r in read_records(uri)]
+                if n is not None and len(out) != n:
                     raise Malformed(f"{uri}: {len(out)} records, {n} written")
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "offset"])
+                kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else ((),) * 8, kinds, strict=True)], [f.split()[0] for f in _RECORD.split(", ")])
 
     n = max(1, files.count())
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, offset long"
-    return files.repartition(min(n, 10_000), "uri").mapInArrow(run, schema)
+    return files.select("uri", *(["records"] if counted else [])).repartition(min(n, 10_000), "uri").mapInArrow(run, _RECORD)
+
+
+def read(files: DataFrame) -> DataFrame:
+    """A row per page of the listed files; each file's record count is checked."""
+    page = lambda c: F.nullif(F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1), F.lit("")).cast("long")
+    rows = records(files).where("record_type IN ('response', 'revisit') AND record_id LIKE '<urn:page:%'")
+    return rows.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), F.col("target_uri").alias("url"), "offset")
