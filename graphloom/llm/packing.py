@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, scan_text, text_chunks
 from .tokens import Encoder
 
-#: Pieces of a group, about.
-GROUP = 40_000
+#: Pieces of a group, about; documents of a sequence, at the most (its attention mask has a block for each).
+GROUP, DOCS = 40_000, 64
 
 
 def best_fit(lengths: np.ndarray, tokens: int, docs: int, attention: int, rule: str = "dot", weights=(1.0, 0.05, 0.25)) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +85,9 @@ def pieces(documents: DataFrame, tokenizer: str, end_id: int, limit: int) -> Dat
 
 
 def pack(documents: DataFrame, tokenizer: str, end_id: int, scratch: Scratch, limit: int = 2048, docs: int | None = None, attention: int | None = None, rule: str = "dot") -> DataFrame:
-    """Pieces with sequence_id and offset.  `docs` and `attention` default to what `limit` tokens can ever need."""
-    docs, attention = docs or limit, attention or limit * limit
+    """Pieces with sequence_id and offset.  `attention` defaults to what a piece of `limit` tokens needs: less would leave
+    no place for it, and no sequence of `limit` tokens costs more, so that with it this capacity weighs in the score only."""
+    docs, attention = docs or DOCS, attention or limit * limit
     rows = scratch.table(pieces(documents, tokenizer, end_id, limit), "pieces")
     n = rows.count()
     groups = max(1, round(n / GROUP))
