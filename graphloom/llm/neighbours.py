@@ -3,16 +3,17 @@
 Centroids come from a balanced split of a bounded sample.  Every vector goes to the list of its nearest centroid
 and, where it lies near a boundary, to further lists (up to REPLICAS, none that a chosen centroid shadows).  The
 centroids form a graph in memory; a search walks it.  A query reads the lists whose centroid distance is within a
-ratio of the nearest one's.  The ratio is fitted so that it would have found TARGET of the true neighbours of a
-few calibration queries, which are compared with every row.
+ratio of the nearest one's.  The ratio is the least for which the search itself, walk and all, finds TARGET of the
+true neighbours of a few calibration queries, which are compared with every row; as many other queries measure the
+recall.  With an infinite ratio a query reads all lists, which is the exact way.
 
 Lists are stored in blocks of bounded size, so that one that holds a third of all rows is many rows.  Scores are
 cosines in double precision of the original vectors.
 
 Defined results: vectors that are null, zero, of another length than the most common one (ties: the longer), or
 that hold nulls or non-finite numbers take no part, neither as query nor as candidate; equal scores go to the
-smaller vec_id; equal vectors under different ids are neighbours of score 1; rows that repeat a vec_id count once
-(any one of them); fewer candidates than k give fewer rows; empty tables give none; other columns are not read.
+smaller vec_id; equal vectors under different ids are neighbours of score 1; of rows that repeat a vec_id the least
+vector counts; fewer candidates than k give fewer rows; empty tables give none; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ from .common import Scratch, mix
 LIST, MOST_LISTS, SAMPLED, DEGREE = 128, 8192, 24, 24
 #: Lists a vector is in at the most; how much farther than the nearest these may be; vectors of a stored block; queries taken at once.
 REPLICAS, BOUNDARY, BLOCK, QUERIES = 6, 0.15, 1024, 128
-#: Calibration queries; share of their true neighbours that the fitted ratio finds.
+#: Calibration queries, and as many that measure; share of their true neighbours that the fitted ratio finds.
 CALIBRATION, TARGET = 64, 0.97
+#: Bytes of the sample that centroids come from, at the most; it lowers the number of lists where vectors are very long.
+SAMPLE_BYTES = 1 << 27
 
 
 class Graph:
@@ -160,7 +163,7 @@ def usable(vectors: DataFrame, scratch: Scratch, key: str = "vec_id", value: str
     sizes = rows.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), F.desc("n")).first()
     if sizes is None:
         return rows, 0
-    return scratch.table(rows.where(F.size("v") == sizes["n"]).dropDuplicates(["vec_id"]), "usable"), sizes["n"]
+    return scratch.table(rows.where(F.size("v") == sizes["n"]).groupBy("vec_id").agg(F.min("v").alias("v")), "usable"), sizes["n"]
 
 
 def _pack(table: pa.Table) -> pa.Table:
@@ -207,14 +210,45 @@ def exact(rows: DataFrame, queries: DataFrame, size: int, k: int) -> DataFrame:
     return _best(rows.mapInArrow(run, "query_id long, vec_id long, score double"), k)
 
 
-def search(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id and score of the neighbours found of every row that is_query (over vec_id) selects."""
+def near_lists(graph: Graph, unit_queries: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, list) of the lists that each query reads."""
+    if not np.isfinite(ratio):
+        rows, lists = np.indices((len(unit_queries), len(graph.c)))
+        return rows.ravel(), lists.ravel()
+    d = graph.search(unit_queries, 8, ratio)
+    return np.nonzero(d <= d.min(1, keepdims=True) * ratio)
+
+
+def found_share(graph: Graph, queries: list, ratio: float) -> float:
+    """The share of true neighbours (query, [lists of a neighbour]...) that lie in lists which the search reads."""
+    rows, lists = near_lists(graph, unit(np.array([q for q, _ in queries], np.float64)), ratio)
+    reads: dict[int, set] = {}
+    for r, x in zip(rows.tolist(), lists.tolist(), strict=True):
+        reads.setdefault(r, set()).add(x)
+    hits = [not reads[i].isdisjoint(own) for i, (_, neighbours) in enumerate(queries) for own in neighbours]
+    return sum(hits) / len(hits) if hits else 1.0
+
+
+def fitted_ratio(graph: Graph, queries: list) -> float:
+    """The least ratio of a rising sequence for which the search finds TARGET of the true neighbours."""
+    ratio = 1.0
+    while ratio < 8:
+        if found_share(graph, queries, ratio) >= TARGET:
+            return ratio
+        ratio = 1 + max(0.01, (ratio - 1) * 1.15)
+    return float("inf")
+
+
+def search(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, ratio: float | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score and recall (as measured on other queries) of the neighbours found of every row that
+    is_query (over vec_id) selects.  `ratio`: None is fitted, inf is exact."""
     spark = vectors.sparkSession
     rows, size = usable(vectors, scratch)
     n = rows.count() if size else 0
     if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    k_lists = int(min(MOST_LISTS, max(1, round(n / LIST))))
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, recall double")
+    room = SAMPLE_BYTES // (8 * size)
+    k_lists = int(max(1, min(MOST_LISTS, round(n / LIST), room // SAMPLED)))
     share = min(1.0, SAMPLED * k_lists / n)
     sample = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < share * (1 << 20)).select("v").toArrow()
     sample = matrix(sample.column("v").combine_chunks()) if sample.num_rows else matrix(rows.limit(1).select("v").toArrow().column("v").combine_chunks())
@@ -235,22 +269,25 @@ def search(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 5) -
     stored = scratch.table(blocks.groupBy("list", "block").applyInArrow(lambda t: _pack(t.select(["list", "id", "v"])), _PACKED), "lists")
 
     asked = rows.where(is_query)
-    few = asked.orderBy(F.xxhash64("vec_id")).limit(CALIBRATION)
-    truth = exact(rows, few, size, k).select("query_id", "vec_id")
-    of = truth.join(few.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(placed.select(F.col("id").alias("vec_id"), "list"), "vec_id")
-    near = of.groupBy("query_id", "vec_id").agg(F.first("q").alias("q"), F.collect_set("list").alias("lists")).collect()  # CALIBRATION * k rows
-    need = []
-    for r in near:
-        d = _distance(unit(np.array([r["q"]], np.float64)) @ graph.c.T)[0]
-        need.append(d[r["lists"]].min() / d.min())
-    ratio = float(np.quantile(need, TARGET, method="higher")) * 1.001 if need else 1.0
+    recall = 1.0
+    if ratio is None:
+        few = asked.orderBy(F.xxhash64("vec_id")).limit(2 * CALIBRATION)
+        truth = exact(rows, few, size, k).select("query_id", "vec_id")
+        of = truth.join(few.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id").join(placed.select(F.col("id").alias("vec_id"), "list"), "vec_id")
+        near = of.groupBy("query_id", "vec_id").agg(F.first("q").alias("q"), F.collect_set("list").alias("lists")).collect()  # 2 * CALIBRATION * k rows
+        known: dict[int, tuple] = {}
+        for r in near:
+            known.setdefault(r["query_id"], (r["q"], []))[1].append(r["lists"])
+        queries = [known[q] for q in sorted(known)]
+        ratio = fitted_ratio(graph, queries[0::2]) if queries else 1.0
+        recall = found_share(graph, queries[1::2], ratio) if queries[1::2] else 1.0
+    chosen = ratio
 
     def choose(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                d = held.value.search(unit(matrix(part.column(1))), 8, ratio)
-                r, lists = np.nonzero(d <= d.min(1, keepdims=True) * ratio)
+                r, lists = near_lists(held.value, unit(matrix(part.column(1))), chosen)
                 yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r))], ["list", "id", "v"])
 
     wanted = asked.select("vec_id", "v").mapInArrow(choose, "list long, id long, v array<double>")
@@ -258,4 +295,4 @@ def search(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 5) -
     wanted = wanted.join(F.broadcast(asks), "list").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / QUERIES)))
     packed = wanted.groupBy("list", "block").applyInArrow(lambda t: _pack(t.select(["list", "id", "v"])), _PACKED)
     packed = scratch.table(packed.withColumnsRenamed({"ids": "qids", "data": "qdata"}), "asks")
-    return _best(_scores(packed.join(stored, "list"), size, k), k)
+    return _best(_scores(packed.join(stored, "list"), size, k), k).withColumn("recall", F.lit(float(recall)))

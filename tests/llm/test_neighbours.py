@@ -43,6 +43,19 @@ def test_few_and_no_rows(spark):
     assert nb.search(spark.createDataFrame(rows[:1], SCHEMA), F.col("vec_id") % 50 == 0, Scratch(spark, "t")).count() == 0
 
 
+def test_infinite_ratio_is_exact_and_columns_may_clash(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    docs = spark.createDataFrame([(i, v.tolist(), 1, 2, 3.0, 4, [5.0]) for i, v in enumerate(x)] + [(50, [9.0] * 24, 1, 2, 3.0, 4, [5.0])], "vec_id long, embedding array<double>, list int, rank int, recall double, id int, v array<double>")
+    got = nb.search(docs, F.col("vec_id") % 50 == 0, Scratch(spark, "t"), ratio=float("inf")).collect()
+    x[50] = min(x[50].tolist(), [9.0] * 24)  # of rows that repeat an id the least counts
+    d = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q in range(0, 1500, 50):
+        s = d @ d[q]
+        s[q] = -2
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == np.argsort(-s)[:5].tolist()
+
+
 def test_graph_reaches_every_centroid():
     rng = np.random.default_rng(1)
     g = nb.Graph(nb.unit(rng.normal(size=(300, 8))))
