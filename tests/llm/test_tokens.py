@@ -40,7 +40,7 @@ def test_block_round_trip_and_checkpoints(n):
     t = rans.Table.of_counts(np.bincount(ids, minlength=6000))
     raw = rans.encode_block(ids, t)
     assert (rans.decode_block(raw, t) == ids).all()
-    for first in range(1, int.from_bytes(raw[12:16], "little") + 1):
+    for first in range(1, rans.segments(n)):
         assert (rans.decode_block(raw, t, first) == ids[first * rans.CHECKPOINT * rans.LANES :]).all()
     broken = bytearray(raw)
     broken[-1] ^= 1
@@ -106,6 +106,95 @@ def test_best_fit_holds_every_constraint(rule):
         assert sorted(offsets[bins == b].tolist()) == np.concatenate([[0], np.cumsum(n[bins == b][np.argsort(offsets[bins == b])])[:-1]]).tolist()
 
 
+def plain_best_fit(lengths, capacity, rule, w):
+    """Every open bin scored, one after the other."""
+    bins, out = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for b, left in enumerate(bins):
+            if all(x >= y for x, y in zip(left, need)):
+                part = [(x / c, y / c) for x, y, c in zip(left, need, capacity)]
+                score = sum(k * y * x if rule == "dot" else k * (x - y) ** 2 for k, (x, y) in zip(w, part))
+                if best is None or score < best[0] - 1e-12:
+                    best = (score, b)
+        if best is None:
+            best = (0, len(bins))
+            bins.append(capacity)
+        bins[best[1]] = tuple(x - y for x, y in zip(bins[best[1]], need))
+        out[i] = best[1]
+    return out
+
+
+def test_rule_and_weights_choose_the_bin():
+    rng = np.random.default_rng(2)
+    n, seen = rng.integers(1, 70, 300), []
+    for rule in ("dot", "norm"):
+        for w in ((1.0, 0.05, 0.25), (0.01, 1.0, 0.01), (0.2, 0.1, 1.0)):
+            bins, _ = packing.best_fit(n, 100, 5, 5200, rule, w)
+            assert bins.tolist() == plain_best_fit(n.tolist(), (100, 5, 5200), rule, w)
+            seen.append(tuple(bins.tolist()))
+    assert len(set(seen)) == 6
+
+
+def test_documents_of_a_sequence_are_bounded(spark):
+    rows = packing.pack(frame(spark, ["a"] * 400), tokenizer_path(), 0, Scratch(spark, "t")).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r.sequence_id] = sizes.get(r.sequence_id, 0) + 1
+    assert max(sizes.values()) == packing.DOCS and len(sizes) == -(-400 // packing.DOCS)
+
+
+def plain_permutation(x, n, key, rounds):
+    """The Feistel network and cycle walking over plain integers."""
+    mask = (1 << 64) - 1
+
+    def mix(v):
+        v ^= v >> 30
+        v = v * 0xBF58476D1CE4E5B9 & mask
+        v ^= v >> 27
+        v = v * 0x94D049BB133111EB & mask
+        return v ^ v >> 31
+
+    bits = max(2, (n - 1).bit_length())
+    left, right = bits // 2, bits - bits // 2
+    while True:
+        a, b = x >> right, x & (1 << right) - 1
+        for i in range(rounds):
+            k = mix(i + mix(key) & mask)
+            if i % 2 == 0:
+                a ^= mix(b ^ k) & (1 << left) - 1
+            else:
+                b ^= mix(a ^ k) & (1 << right) - 1
+        x = a << right | b
+        if x < n:
+            return x
+
+
+def test_shard_and_slot_recomputed(spark):
+    docs = spark.createDataFrame([(3 * i + 1, "x" * (i % 7)) for i in range(203)], "doc_id long, text string").repartition(4)
+    for r in sharding.shard(docs, 8, Scratch(spark, "t")).collect():
+        place = plain_permutation((r.doc_id - 1) // 3, 203, sharding.KEY, sharding.ROUNDS)
+        assert (r.shard, r.slot) == (place % 8, place // 8)
+
+
+def test_joined_checksums():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 4, 1000, 70_001):
+        a, b = rng.bytes(333), rng.bytes(n)
+        assert rans.joined_crc(zlib.crc32(a), zlib.crc32(b), n) == zlib.crc32(a + b)
+
+
+def test_documents_over_many_segments(spark):
+    texts = ["long words " * 160_000, "short", None, "other things " * 145_000, "end"]
+    folder, files = rans.write_archive(frame(spark, texts), tokenizer_path(), 2, Scratch(spark, "t"))
+    rows = sorted(rans.read_archive(files, folder).collect())
+    ids = plain_ids(texts, 2)
+    assert sum(map(len, ids)) > 2 * rans.LANES * rans.CHECKPOINT
+    assert [(r.doc_id, r.n_tokens, r.ids_crc32) for r in rows] == [(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)]
+    assert [r.start for r in rows] == np.concatenate([[0], np.cumsum([len(x) for x in ids])[:-1]]).tolist()
+
+
 def test_permutation_is_one():
     for n in (1, 2, 3, 5, 8, 100, 1000, 4097):
         p = sharding.Permutation(n)
