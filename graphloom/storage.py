@@ -13,22 +13,35 @@ _OWN: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests, one machine)."""
+    """spark.checkpoint.dir; where it is unset, a temporary folder on a single machine, and an error on a cluster, whose
+    executors don't share the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir is not set; on {master} it must name a folder that all executors share")
         if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="graphloom-steps-"))
+            _OWN.append(tempfile.mkdtemp(prefix="graphloom-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
         found = _OWN[0]
-    return (f"file://{found}" if found.startswith("/") else found).rstrip("/")
+    return (found if "://" in found else f"file://{found}" if found.startswith("/") else found).rstrip("/")
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Results may be read from a written folder as long as the application runs; when it ends, the folder goes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
 
 
 class Steps:
     """Calling it writes a table under a name and gives it back, read from its files."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.marked = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", False
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        if not self.marked:
+            delete_at_end(self.spark, self.root)
+            self.marked = True
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
