@@ -3,10 +3,7 @@ that executors write there, and batching of whole texts by bytes."""
 
 from __future__ import annotations
 
-import atexit
 import posixpath
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager, suppress
@@ -16,26 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import delete_at_end, shared_folder
+
 #: Bytes of text that a Python worker turns into arrays at once.  A longer single text is taken alone.
 CHUNK_BYTES = 1_000_000
 #: Bytes of an Arrow batch that Spark gives to a Python worker.  Without a bound a batch has 10,000 rows, however long.
 BATCH_BYTES = 2_000_000
 
 
-_OWN: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _OWN:
-            _OWN.append(tempfile.mkdtemp(prefix="graphloom-"))
-            atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        found = _OWN[0]
-    return (found if "://" in found else f"file://{found}" if found.startswith("/") else found).rstrip("/")
-
-
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches of the session hold BATCH_BYTES at the most (a single larger row apart)."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -62,13 +47,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bound_batches(spark)
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root, self.marked = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", False
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and read it back: the plan above starts from files, whatever executors are lost later."""
         path = f"{self.root}/{name}"
         with shuffle_cleanup(self.spark):
             df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        if not self.marked:
+            delete_at_end(self.spark, self.root)
+            self.marked = True
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
