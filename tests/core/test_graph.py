@@ -133,15 +133,87 @@ def test_half_even_shares(spark):
     assert {r.type: r.n for r in templates.stratified(items, 5).groupBy("type").agg(F.count("*").alias("n")).collect()} == {"a": 2, "b": 2}
 
 
+def plain_sentences(text):
+    import re
+
+    return [x for x in (x.strip() for x in re.split(text_end, text)) if x]
+
+
+text_end = text.SENTENCE_END
+
+
+def plain_compress(raw, keywords, most):
+    flat = " ".join(raw.split())
+    if len(flat) <= most:
+        return flat
+    parts = plain_sentences(flat)
+    hit = [s for s in parts if any(k.lower() in s.lower() for k in keywords if k)]
+    out = ""
+    for s in hit + [s for s in parts if s not in hit]:
+        if len(f"{out} {s}".strip()) <= most:
+            out = f"{out} {s}".strip()
+        elif not out:
+            return s[: most - 1].rstrip() + "…"
+    return out or flat[: most - 1].rstrip() + "…"
+
+
+def plain_paragraphs(raw, least, most):
+    blocks, held = [], ""
+    for block in filter(None, (b.strip() for b in raw.replace("\r\n", "\n").split("\n\n"))):
+        held = f"{held}\n{block}" if held else block
+        if len(held) >= least:
+            blocks, held = [*blocks, held], ""
+    if held:
+        blocks[-1:] = [f"{blocks[-1]}\n{held}" if blocks else held]
+    out = []
+    for block in blocks:
+        if len(block) <= most:
+            out.append(block)
+            continue
+        line = ""
+        for s in plain_sentences(block):
+            if len(s) > most:
+                out += [line] * bool(line)
+                while len(s) > most:
+                    out, s = [*out, s[:most]], s[most:]
+                line = s.strip()
+            elif line and len(line) + len(s) + 1 > most:
+                out, line = [*out, line], s
+            else:
+                line = f"{line} {s}".strip()
+        out += [line] * bool(line)
+    return out
+
+
+def test_packing_of_sentences_against_plain_code(spark):
+    import random
+
+    rng = random.Random(5)
+    pieces = ["One", " it", ". ", "! ", "。", "\n", "\n\n", "\r\n\r\n", "  ", "Äß", "word " * 6, "x" * 45, "? ", "\t", "\u00a0", "\x1c"]
+    texts = ["", " ", "abcdefghij", *("".join(rng.choice(pieces) for _ in range(rng.randint(1, 60))) for _ in range(250))]
+    df = spark.createDataFrame([(t, ["IT", ""], rng.randint(5, 60)) for t in texts], "t string, k array<string>, m int")
+    for r in df.select("*", text.compressed("t", F.col("k"), F.col("m")).alias("c"), text.split_paragraphs("t", 12, 40).alias("p")).collect():
+        assert r.c == plain_compress(r.t, ["it", ""], r.m) and r.p == plain_paragraphs(r.t, 12, 40)
+
+
+def test_url_join_against_the_library(spark):
+    from urllib.parse import urljoin
+
+    bases = ["http://h", "http://h/", "http://h/d/e", "https://h:8/d/e/?q=1#f", "http://h/a/b/c/"]
+    links = ["x", "/x", "//o/x", "http://z/y", "../x", "./x", "x/../../y", "?q", "#f", "", "a/./b", "..", ".", "mailto:a", "/../x", "x?y=/../z", "x/"]
+    rows = [(b, x) for b in bases for x in links]
+    got = spark.createDataFrame(rows, "b string, x string").select("b", "x", text.url_join("b", "x").alias("u")).collect()
+    assert {(r.b, r.x): r.u for r in got} == {(b, x): urljoin(b, x) for b, x in rows}
+
+
 def test_text(spark):
-    assert text.paragraphs("a\n\n" + "b" * 130 + "\n\nc") == ["a\n" + "b" * 130 + "\nc"]
-    assert text.paragraphs("x. " * 1000, most=50)[0] == "x. " * 16 + "x." and text.paragraphs("y" * 95, most=40) == ["y" * 40, "y" * 40, "y" * 15]
-    assert text.compress("One. Two has it. Three.", ["it"], 14) == "Two has it." and text.compress("abcdefghij", [], 5) == "abcd…"
     assert text.reply_json('so ```json\n[1]\n``` x') == [1] and text.reply_json('see {"a": [1]} ok') == [1] and text.reply_json("no") is None
     assert text.fold("Ｗashi-和紙!") == "washi 和紙"
     row = spark.range(1).select(text.leaked(F.lit("The surface of Su-ki, su?"), F.array(F.lit("su"), F.lit("urfac"), F.lit("surface o")), F.array(F.lit("Su-ki"))).alias("x"), text.link_candidates(F.lit("a: b, c")).alias("y"), text.visual_terms(F.lit("A red Washi sheet, red paper, drying"), F.lit("washi")).alias("z"), text.safe_name(F.lit(' a/b:*? ')).alias("n"), text.safe_name(F.lit("//")).alias("e"), text.names_whole(F.lit("a surface"), F.lit("su")).alias("w")).first()
     assert row.x == ["su", "surface o"] and row.y == ["a: b", "c", "b", "c"] and row.n == "a b" and row.e == "entity" and not row.w
     assert row.z == ["drying", "sheet", "paper"]
+    accented = spark.range(1).select(text.visual_terms(F.lit("Méthode Rédigée redé drying"), F.lit("méthode")).alias("z")).first()
+    assert accented.z == ["drying", "Rédigée", "redé"]
 
 
 def test_dropped_edges_do_not_depend_on_partitions(spark):
