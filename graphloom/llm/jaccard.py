@@ -15,8 +15,8 @@ of fixed size, orders shingles by frequency; any order gives whole results.
 Lists aren't multiplied out.  In rounds each set is compared with the list leader that it meets most; links found
 make groups, and lists of one group go.  Rounds end when the pairs between groups that are left in lists are few, or
 when groups stop growing together.  A list that still has many more pairs than its sets have prefix shingles is dealt
-anew under keys of one shingle more: linked sets whose first common shingle is k also share a second one, in prefixes
-longer by one.  What is left is joined list by list, but only sets of different groups whose bitmaps (parities of
+anew under keys of one shingle more, if that leaves few of its pairs: linked sets whose first common shingle is k also
+share a second one, in prefixes longer by one.  What is left is joined list by list, but only sets of different groups whose bitmaps (parities of
 shingles by hash) leave room for a link become rows, and a pair is compared if it shares as many prefix shingles as a
 link of its sizes needs.  Every comparison is exact, on whole texts.
 
@@ -46,8 +46,8 @@ WORDS, NUM, DEN = 5, 75, 100
 SKETCH, SKETCH_BLOCK, MOST_LIGHT = 1 << 21, 1 << 12, 20
 #: Leaders of a list in later rounds; pairs between groups for each list row that need no further round; the share of
 #: pairs that a round must settle for another one; pairs for each prefix shingle of a list's sets that it stays whole with;
-#: most shingles of a key; words of a bitmap.
-LEADERS, PAIRS, SETTLED, STAYS, DEEPEST, BITMAP = 4, 4, 0.1, 4, 4, 8
+#: the share of a list's pairs that longer keys may leave to be used; most shingles of a key; words of a bitmap.
+LEADERS, PAIRS, SETTLED, STAYS, WORTH, DEEPEST, BITMAP = 4, 4, 0.1, 4, 0.25, 4, 8
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -205,16 +205,17 @@ def signatures(own: np.ndarray, light: int, heavy_class: np.ndarray) -> np.ndarr
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def longer_keys(own: np.ndarray, heavy_class: np.ndarray, depth: int, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of depth + 1 shingles from some of a set's keys of depth shingles, and where their last shingle stands in
-    the set's order.  `at`: that place for the given keys (-1: to be found)."""
+def longer_keys(own: np.ndarray, heavy_class: np.ndarray, depth: int, keys: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of depth + 1 shingles from some of a set's keys of depth shingles, where their last shingle stands in the
+    set's order, and the keys that they are made from.  `at`: that place for the given keys (-1: to be found)."""
     reach = ordered(own, heavy_class)[: prefix(len(own)) + depth] & ~np.uint64(1)
-    made, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    made, places, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for key, place in zip(keys.view(np.uint64), at.tolist(), strict=True):
         place = int(np.flatnonzero(reach == key)[0]) if place < 0 else place
         made.append(mix(reach[place + 1 :] * _R + key) & ~np.uint64(1))
         places.append(np.arange(place + 1, len(reach)))
-    return np.concatenate(made), np.concatenate(places)
+        of.append(np.full(len(reach) - place - 1, np.uint64(key).view(np.int64)))
+    return np.concatenate(made), np.concatenate(places), np.concatenate(of)
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
@@ -269,21 +270,21 @@ def join(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
                 sets = shingle_sets(data, starts, words)
                 keys = [signatures(s, light, classes.value) for s in sets]
                 size = [len(k) for k in keys]
-                prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+                own = np.repeat(np.array([fingerprint(s)[0] for s in sets], np.int64), size)
                 flat = np.concatenate(keys).view(np.int64)
                 for a in range(0, len(flat), 50_000):
-                    owner = np.repeat(np.arange(len(sets)), size)[a : a + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(flat[a : a + 50_000]), pa.array(prints[owner, 0]), pa.array(prints[owner, 1]), pa.array(np.array([len(s) for s in sets], np.int64)[owner])], ["key", "f1", "f2", "n"])
-
-    postings = scan_text(documents).mapInArrow(run, "key long, f1 long, f2 long, n long")
-    # lists that hold different sets; equal sets never count.  Keys are written first: a join straight on the aggregate
-    # would keep all rows of a key in one task
-    shared = postings.groupBy("key").agg(*(f(c).alias(f"{f.__name__}_{c}") for c in ("f1", "f2") for f in (F.min, F.max))).where("min_f1 <> max_f1 OR min_f2 <> max_f2").select("key")
-    shared = scratch.table(shared, "shared")
-    lists = scratch.table(postings.join(shared, "key").distinct(), "postings")
-    rows = scratch.table(lists.join(reps, key).select("key", F.col("rep").alias("id"), "n", F.col("rep").alias("g")), "open0")
+                    yield pa.RecordBatch.from_arrays([pa.array(flat[a : a + 50_000]), pa.array(own[a : a + 50_000])], ["key", "f1"])
+
+    # a row names its set by half of the fingerprint: sets that share it by chance are compared like others.  Tables are
+    # written before they are joined: a join straight on the aggregate would keep all rows of a key in one task
+    postings = scratch.table(scan_text(documents).mapInArrow(run, "key long, f1 long"), "postings")
+    # lists that hold different sets; equal sets never count
+    shared = scratch.table(postings.groupBy("key").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("key"), "shared")
+    lists = scratch.table(postings.join(shared, "key").distinct(), "lists")
     scratch.drop("postings")
     scratch.drop("shared")
+    rows = scratch.table(lists.join(reps, "f1").select("key", F.col("rep").alias("id"), "n", F.col("rep").alias("g")), "open0")
+    scratch.drop("lists")
     wanted = rows.select("id").distinct()
     own = reps.join(wanted, F.col("rep") == F.col("id")).select("id", "f1", "f2")
 
@@ -373,26 +374,34 @@ def _split(rows: DataFrame, texts: DataFrame, classes, scratch: Scratch, words:
                     sets = shingle_sets(data, starts, words)
                     for i, s in enumerate(sets):
                         own = part.column(4)[i].as_py()
-                        keys, at = longer_keys(s, classes.value, depth, np.array([x["key"] for x in own], np.int64), np.array([x["at"] for x in own], np.int64))
+                        keys, at, of = longer_keys(s, classes.value, depth, np.array([x["key"] for x in own], np.int64), np.array([x["at"] for x in own], np.int64))
                         for a in range(0, len(keys), 50_000):
                             k = keys[a : a + 50_000]
                             same = [pa.array(np.full(len(k), part.column(c)[i].as_py(), np.int64)) for c in (0, 1, 2)]
-                            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *same, pa.array(at[a : a + 50_000])], ["key", "id", "n", "g", "at"])
+                            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), *same, pa.array(at[a : a + 50_000]), pa.array(of[a : a + 50_000])], ["key", "id", "n", "g", "at", "of"])
 
         return run
 
-    done, cut = [], []
-    rows = rows.withColumn("at", F.lit(-1).cast("long"))
+    kept, cut = [], []
+    rows, turn = rows.withColumn("at", F.lit(-1).cast("long")), _mixed(rows, scratch, "long0")
     for depth in range(1, DEEPEST):
-        long = _mixed(rows, scratch, f"long{depth}").where((F.col("cross") > STAYS * F.col("room")) & (F.col("key") % 2 == 0) & (F.col("common") > depth)).select("key")
+        long = scratch.table(turn.where((F.col("cross") > STAYS * F.col("room")) & (F.col("key") % 2 == 0) & (F.col("common") > depth)).select(F.col("key").alias("of"), "cross"), f"tried_long{depth}")
         if long.isEmpty():
             break
-        own = scratch.table(rows.join(long, "key").groupBy("id", "n", "g").agg(F.collect_list(F.struct("key", "at")).alias("own")), f"again{depth}")  # of each set, at most the keys of its prefix
-        done.append(rows.join(long, "key", "left_anti"))
-        cut.append(own.select("id"))
+        # of each set, at most the keys of its prefix
+        own = rows.join(long.select(F.col("of").alias("key")), "key").groupBy("id", "n", "g").agg(F.collect_list(F.struct("key", "at")).alias("own"))
         given = own.join(texts, "id").select("id", "n", "g", "text", "own")
-        rows = scratch.table(given.mapInArrow(run_at(depth), "key long, id long, n long, g long, at long"), f"dealt{depth}")
-    for other in done:
+        dealt = scratch.table(given.mapInArrow(run_at(depth), "key long, id long, n long, g long, at long, of long"), f"dealt{depth}")
+        turn = _mixed(dealt, scratch, f"long{depth}")
+        parts = dealt.select("key", "of").distinct().join(turn, "key").groupBy("of").agg(F.sum("cross").alias("now"))
+        # lists of sets that are much alike have no fewer pairs under longer keys, and stay as they were
+        better = scratch.table(long.join(parts, "of", "left").where(F.coalesce("now", F.lit(0.0)) < WORTH * F.col("cross")).select("of"), f"better{depth}")
+        kept.append(rows.join(better.select(F.col("of").alias("key")), "key", "left_anti"))
+        rows = scratch.table(dealt.join(better, "of").select("key", "id", "n", "g", "at"), f"kept{depth}")
+        scratch.drop(f"dealt{depth}")
+        cut.append(rows.select("id"))
+        turn = turn.join(rows.select("key").distinct(), "key", "left_semi")
+    for other in kept:
         rows = rows.unionByName(other)
     ids = cut[0] if cut else texts.select("id").limit(0)
     for other in cut[1:]:
