@@ -13,7 +13,7 @@ the length of list that a row meets, which a sketch of all shingles gives (its s
 of fixed size, orders shingles by frequency; any order gives whole results.
 
 Lists aren't multiplied out.  In rounds each set is compared with the list leader that it meets most; links found
-make groups, and lists of one group go.  Rounds end when the pairs between groups that are left in lists are few, or
+make groups, and lists of one group go.  Lists of few pairs between groups need one round alone; rounds of the others end
 when groups stop growing together.  A list that still has many more pairs than its sets have prefix shingles is dealt
 anew under keys of one shingle more, if that leaves few of its pairs: linked sets whose first common shingle is k also
 share a second one, in prefixes longer by one.  What is left is joined list by list, but only sets of different groups whose bitmaps (parities of
@@ -44,7 +44,7 @@ WORDS, NUM, DEN = 5, 75, 100
 #: Counters of the sketch and of one of its blocks; the largest boundary that the cost is tried for (a set of 20 has up
 #: to 21,000 subsets, so that larger ones never cost less than their prefix of 6).
 SKETCH, SKETCH_BLOCK, MOST_LIGHT = 1 << 21, 1 << 12, 20
-#: Leaders of a list in later rounds; pairs between groups for each list row that need no further round; the share of
+#: Leaders of a list in later rounds; pairs between groups for each row of a list that needs no further round; the share of
 #: pairs that a round must settle for another one; pairs for each prefix shingle of a list's sets that it stays whole with;
 #: the share of a list's pairs that longer keys may leave to be used; most shingles of a key; words of a bitmap.
 LEADERS, PAIRS, SETTLED, STAYS, WORTH, DEEPEST, BITMAP = 4, 4, 0.1, 4, 0.25, 4, 8
@@ -337,14 +337,14 @@ def _mixed(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
     """Rounds of comparisons with list leaders.  rows: key, id, n and g (group) of lists.  Gives the links found, and the
     rows of lists that hold several groups."""
-    links, before, turn = None, float("inf"), 0
+    links, before, turn, busy = None, float("inf"), 0, rows
     while True:
         # leaders: the least ids at first, then others in each round
         rank = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
         salt = F.pmod(F.xxhash64("id"), F.lit(LEADERS if turn else 1))
-        leaders = rows.groupBy("key", salt.alias("salt")).agg(F.min(F.struct(rank.alias("rank"), "id", "n", "g")).alias("x"))
+        leaders = busy.groupBy("key", salt.alias("salt")).agg(F.min(F.struct(rank.alias("rank"), "id", "n", "g")).alias("x"))
         leaders = scratch.table(leaders.select("key", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.g").alias("gb")), f"leaders{turn}")
-        met = rows.join(leaders, "key").where("g <> gb").where(FITS).groupBy("id", "g", "b", "gb").agg(F.count(F.lit(1)).alias("times"))
+        met = busy.join(leaders, "key").where("g <> gb").where(FITS).groupBy("id", "g", "b", "gb").agg(F.count(F.lit(1)).alias("times"))
         best = met.groupBy("id", "g").agg(F.max(F.struct("times", (-F.col("b")).alias("minus"), "gb")).alias("x"))
         best = scratch.table(best.select(F.col("id").alias("a"), (-F.col("x.minus")).alias("b"), F.col("g").alias("ga"), F.col("x.gb").alias("gb")), f"tried{turn}")
         found = scratch.table(verify(best.select("a", "b"), texts, words), f"links{turn}")
@@ -355,11 +355,13 @@ def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) ->
         rows = scratch.table(placed.join(mixed.select("key"), "key"), f"open{turn + 1}")
         for name in (f"open{turn}", f"leaders{turn}", f"tried{turn}"):
             scratch.drop(name)
-        cost = mixed.agg(F.sum("cross").alias("cross"), F.sum("m").alias("m")).first()
+        # lists of few pairs need no further round
+        long = mixed.where(F.col("cross") > PAIRS * F.col("m"))
+        cost = long.agg(F.sum("cross").alias("cross")).first()["cross"] or 0
         turn += 1
-        if not cost["m"] or cost["cross"] <= PAIRS * cost["m"] or cost["cross"] > (1 - SETTLED) * before:
+        if not cost or cost > (1 - SETTLED) * before:
             return links, rows
-        before = cost["cross"]
+        before, busy = cost, rows.join(long.select("key"), "key")
 
 
 def _split(rows: DataFrame, texts: DataFrame, classes, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
