@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import Config
@@ -31,18 +32,44 @@ def remap(triples: DataFrame, to: DataFrame) -> DataFrame:
     return new.where("h <> u").groupBy("h", "r", "u").agg(F.min("seq").alias("seq"))
 
 
+def merged_attributes(names: DataFrame, aliases: DataFrame, texts: DataFrame, images: DataFrame, to: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(names, aliases, texts, images) after duplicate spellings (to: name, survivor) were merged.  The survivor gets the
+    other spelling, what that has in round brackets, and its aliases; its own texts and images come first, then those
+    that it lacks.  aliases: alias, name, seq; texts: entity, seq, text; images: entity, seq, path, ..."""
+    moved = to.select(F.col("name").alias("entity"), "survivor")
+    # a survivor's own rows come before those of the spellings merged into it
+    place = lambda df, key: df.join(moved.withColumnRenamed("entity", key), key, "left").withColumn("_late", F.col("survivor").isNotNull()).withColumn(key, F.coalesce("survivor", key)).drop("survivor")
+    once = lambda df, *key: df.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy("_late", "seq"))).where("_k = 1").drop("_k", "_late")
+    spelled = to.select(F.col("name").alias("alias"), F.col("survivor").alias("name"))
+    inner = to.select(F.explode(F.regexp_extract_all("name", F.lit(r"(\([^)]*\))"), F.lit(1))).alias("x"), F.col("survivor").alias("name")).select(F.regexp_replace("x", r"^[() ]+|[() ]+$", "").alias("alias"), "name")
+    known = place(aliases, "name").select("alias", "name")
+    own = known.unionByName(spelled).unionByName(inner).where("alias <> name AND alias <> ''").distinct()
+    return names.join(to.select("name"), "name", "left_anti"), own, once(place(texts, "entity"), "entity", "text"), once(place(images, "entity"), "entity", "path")
+
+
 def type_nodes(triples: DataFrame, attributed: DataFrame, least_in: int = DEFAULT.type_in, share: float = DEFAULT.type_share, most_out: int = DEFAULT.type_out) -> DataFrame:
     """Names that only serve as classes: is_a comes in, little else does, and no text or image is attached."""
     d = class_degrees(triples).where((F.col("n_class") >= least_in) & (F.col("n_class") >= share * F.col("n_in")) & (F.col("n_out") <= most_out))
     return d.join(attributed.select(F.col("entity").alias("name")).distinct(), "name", "left_anti").select("name", "n_class")
 
 
-def fold(triples: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(types, triples): is_a edges to class nodes become ordered types of their subject."""
+def fold(triples: DataFrame, nodes: DataFrame, types: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(types, triples): is_a edges to class nodes become ordered types of their subject, after the type that it had
+    (types: name, type)."""
     own = triples.join(nodes.select(F.col("name").alias("u")), "u", "left_semi").where("r = 'is_a'")
-    types = own.groupBy(F.col("h").alias("name")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("seq", "u"))), lambda x: x["u"]), ";").alias("types"))
-    folded = own.select("h", "r", "u").distinct()
-    return types, triples.join(folded, ["h", "r", "u"], "left_anti")
+    said = own.select(F.col("h").alias("name"), F.lit(1).alias("later"), "seq", F.col("u").alias("type"))
+    if types is not None:
+        had = types.where("coalesce(type, '') <> ''").join(own.select(F.col("h").alias("name")).distinct(), "name", "left_semi")
+        said = said.unionByName(had.select("name", F.lit(0).alias("later"), F.lit("").alias("seq"), "type"))
+    once = said.groupBy("name", "type").agg(F.min(F.struct("later", "seq")).alias("at"))
+    out = once.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "type"))), lambda x: x["type"]), ";").alias("types"))
+    return out, triples.join(own.select("h", "r", "u").distinct(), ["h", "r", "u"], "left_anti")
+
+
+def left_after_folding(names: DataFrame, nodes: DataFrame, triples: DataFrame) -> DataFrame:
+    """Names without the class nodes that no triple left by folding uses."""
+    used = triples.select(F.explode(F.array("h", "u")).alias("name")).distinct()
+    return names.join(nodes.select("name").join(used, "name", "left_anti"), "name", "left_anti")
 
 
 def annotate(triples: DataFrame, hub_degree: int = DEFAULT.hub_degree) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import safe_name
 from ..schema import Config
+from .order import numbered
 
 DEFAULT = Config()
 
@@ -34,42 +38,64 @@ def page_links(triples: DataFrame, per_relation: int = DEFAULT.per_relation, per
     return shown.join(budget(triples, per_relation, per_page).select("name", "relation", "take", "truncated"), ["name", "relation"]).where(F.col("k") <= F.col("take"))
 
 
-def render(triples: DataFrame, images: DataFrame) -> DataFrame:
-    """name, page: heading, images (first three captions), facts, and what mentions it, by relation."""
-    shown = page_links(triples)
-    targets = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "target"))), lambda s: s["target"]), ", ")
+def render(triples: DataFrame, images: DataFrame, entities: DataFrame | None = None, shown: int = 3, chars: int = 90) -> DataFrame:
+    """name, page: heading, alias, kind and text lines (entities: name, aliases, types, text), images (the captions of the
+    first ones), facts, and what mentions it, by relation.  A page shows what its budget allows, so its parts are few."""
+    links_ = page_links(triples)
     more = F.when(F.col("truncated") > 0, F.concat(F.lit("  (+"), "truncated", F.lit(" more)"))).otherwise(F.lit(""))
-    lines = shown.groupBy("name", "incoming", "relation", "truncated").agg(targets.alias("t")).withColumn("line", F.concat(F.lit("- "), "relation", F.lit(": "), "t", more))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("relation", "line"))), lambda s: s["line"]), "\n")
-    title = F.when(F.col("incoming"), F.lit("## Mentioned by\n")).otherwise(F.lit("## Facts\n"))
-    parts = lines.groupBy("name", "incoming").agg(body.alias("b")).select("name", "incoming", F.concat(title, "b").alias("part"))
-    text = parts.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("incoming", "part"))), lambda s: s["part"]), "\n\n").alias("links"))
-    caption = F.substring(F.coalesce(F.nullif("caption", F.lit("")), F.lit("(uncaptioned)")), 1, 90)
-    first = images.withColumn("k", F.row_number().over(W.partitionBy("entity").orderBy("seq")))
+    one = links_.groupBy("name", "incoming", "relation", "truncated").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "target"))), lambda s: s["target"]), ", ").alias("t"))
+    line = F.struct("incoming", "relation", F.concat(F.lit("- "), "relation", F.lit(": "), "t", more).alias("line"))
+    own = one.groupBy("name").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    part = lambda inc, title: F.when(F.exists("x", lambda s: s["incoming"] == inc), F.concat(F.lit(title), F.array_join(F.transform(F.filter("x", lambda s: s["incoming"] == inc), lambda s: s["line"]), "\n")))
+    text = own.select("name", part(False, "## Facts\n").alias("facts"), part(True, "## Mentioned by\n").alias("mentions"))
+    caption = F.substring(F.coalesce(F.nullif("caption", F.lit("")), F.lit("(uncaptioned)")), 1, chars)
+    first = images.withColumn("k", F.row_number().over(W.partitionBy("entity").orderBy("seq"))).where(F.col("k") <= shown)
     counts = images.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
-    shown_images = first.where("k <= 3").groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", caption.alias("c")))), lambda s: s["c"]), " | ").alias("c"))
-    head = counts.join(shown_images, "entity").select(F.col("entity").alias("name"), F.concat(F.lit("["), "n", F.lit(" image(s)] "), "c").alias("images"))
-    return text.join(head, "name", "left").select("name", F.concat_ws("\n\n", F.concat(F.lit("# "), "name"), "images", "links").alias("page"))
-
-
-def notes(triples: DataFrame, most: int = 200) -> DataFrame:
-    """file, note: Markdown with linked relations; file names are unique, letter case aside."""
-    rank = F.row_number().over(W.partitionBy("name").orderBy("incoming", "seq"))
-    first = links(triples).withColumn("k", rank).where(F.col("k") <= most)
+    captions = first.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", caption.alias("c")))), lambda s: s["c"]), " | ").alias("c"))
+    head = counts.join(captions, "entity").select(F.col("entity").alias("name"), F.concat(F.lit("["), "n", F.lit(" image(s)] "), "c").alias("images"))
+    page = text.join(head, "name", "left")
+    parts = [F.concat(F.lit("# "), "name")]
+    if entities is not None:
+        said = lambda c, title: F.when(F.size(c) > 0, F.concat(F.lit(title), F.array_join(c, ", "))).alias(f"_{c}")
+        page = page.join(entities.select("name", said("aliases", "Also known as: "), said("types", "Kind: "), F.when(F.size("text") > 0, F.array_join("text", "\n")).alias("_text")), "name", "left")
+        parts += ["_aliases", "_types", "_text"]
+    return page.select("name", F.concat_ws("\n\n", *parts, "images", "facts", "mentions").alias("page"))
+
+
+def notes(triples: DataFrame, materialise: Callable[[DataFrame, str], DataFrame], texts: DataFrame | None = None, images: DataFrame | None = None, part: int = 1000) -> DataFrame:
+    """file, part, note: Markdown of each name with all its texts (entity, seq, text), relations, mentions and images
+    (entity, seq, path).  File names are unique, letter case aside.  A note of more than `part` lines goes on in further
+    rows, in order, so that no name is gathered into one value however many links it has."""
+    all_links = links(triples)
     line = F.when(F.col("incoming"), F.concat(F.lit("- [["), "target", F.lit("]] "), "relation")).otherwise(F.concat(F.lit("- "), "relation", F.lit(" [["), "target", F.lit("]]")))
-    own = first.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", line.alias("l")))), lambda s: s["l"]), "\n").alias("lines"), F.count(F.lit(1)).alias("degree"))
-    same = F.row_number().over(W.partitionBy(F.lower("file")).orderBy("name"))
-    from ..functions.text import safe_name
-
-    named = own.withColumn("file", safe_name(F.col("name"))).withColumn("i", same)
-    return named.select(F.concat("file", F.when(F.col("i") > 1, F.concat(F.lit("-"), "i")).otherwise(F.lit("")), F.lit(".md")).alias("file"), F.concat(F.lit("---\nname: "), "name", F.lit("\ndegree: "), "degree", F.lit("\n---\n"), "lines").alias("note"))
+    rows = all_links.select("name", F.when(F.col("incoming"), 2).otherwise(1).alias("section"), F.col("seq").cast("string").alias("seq"), line.alias("line"))
+    names = all_links.select("name").distinct()
+    for extra, section, column, text in ((texts, 0, "text", lambda c: c), (images, 3, "path", lambda c: F.concat(F.lit("![["), c, F.lit("]]")))):
+        if extra is not None:
+            own = extra.withColumnRenamed("entity", "name").join(names, "name", "left_semi")
+            rows = rows.unionByName(own.select("name", F.lit(section).alias("section"), F.format_string("%020d", F.col("seq").cast("long")).alias("seq"), text(F.col(column)).alias("line")))
+    title = F.element_at(F.array(*map(F.lit, ["## Text", "## Relations", "## Mentioned by", "## Images"])), F.col("section") + 1)
+    rows = rows.unionByName(rows.select("name", "section", F.lit("").alias("seq"), title.alias("line")).distinct())
+    placed = numbered(rows, ["name"], ["section", "seq", "line"], materialise, "note_lines").withColumn("part", F.floor(F.col("place") / part))
+    body = placed.groupBy("name", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda s: s["line"]), "\n").alias("lines"))
+    degree = all_links.groupBy("name").agg(F.count(F.lit(1)).alias("degree"))
+    named = numbered(names.withColumn("file", safe_name(F.col("name"))).withColumn("low", F.lower("file")), ["low"], ["name"], materialise, "note_files")
+    named = named.select("name", F.concat("file", F.when(F.col("place") > 0, F.concat(F.lit("-"), F.col("place") + 1)).otherwise(F.lit("")), F.lit(".md")).alias("file"))
+    head = F.when(F.col("part") == 0, F.concat(F.lit("---\nname: "), "name", F.lit("\ndegree: "), "degree", F.lit("\n---\n"))).otherwise(F.lit(""))
+    return body.join(named, "name").join(degree, "name").select("file", F.col("part").cast("int").alias("part"), F.concat(head, "lines").alias("note"))
 
 
 def graphml(triples: DataFrame, names: DataFrame) -> DataFrame:
-    """ord, row: the lines of a GraphML document (header 0, nodes 1, edges 2, footer 3)."""
+    """ord, row: the lines of a GraphML document (header 0, nodes 1, edges 2, footer 3).  names: name, degree, and where
+    they are known n_images, from which multimodal follows."""
     esc = lambda c: F.replace(F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
     spark = triples.sparkSession
-    ends = spark.createDataFrame([(0, '<graphml xmlns="http://graphml.graphdrawing.org/xmlns"><key id="degree" for="node" attr.name="degree" attr.type="int"/><key id="relation" for="edge" attr.name="relation" attr.type="string"/><graph edgedefault="directed">'), (3, "</graph></graphml>")], "ord int, row string")
-    nodes = names.select(F.lit(1).alias("ord"), F.concat(F.lit('<node id="'), esc("name"), F.lit('"><data key="degree">'), "degree", F.lit("</data></node>")).alias("row"))
+    names = names if "n_images" in names.columns else names.withColumn("n_images", F.lit(0))
+    kinds = [("degree", "node", "long"), ("n_images", "node", "long"), ("multimodal", "node", "boolean"), ("relation", "edge", "string")]
+    keys = "".join(f'<key id="{k}" for="{on}" attr.name="{k}" attr.type="{t}"/>' for k, on, t in kinds)
+    ends = spark.createDataFrame([(0, f'<graphml xmlns="http://graphml.graphdrawing.org/xmlns">{keys}<graph edgedefault="directed">'), (3, "</graph></graphml>")], "ord int, row string")
+    data = lambda k, c: F.concat(F.lit(f'<data key="{k}">'), c, F.lit("</data>"))
+    multimodal = F.when(F.col("n_images") > 0, "true").otherwise("false")
+    nodes = names.select(F.lit(1).alias("ord"), F.concat(F.lit('<node id="'), esc("name"), F.lit('">'), data("degree", "degree"), data("n_images", "n_images"), data("multimodal", multimodal), F.lit("</node>")).alias("row"))
     edges = triples.select(F.lit(2).alias("ord"), F.concat(F.lit('<edge source="'), esc("h"), F.lit('" target="'), esc("u"), F.lit('"><data key="relation">'), esc("r"), F.lit("</data></edge>")).alias("row"))
     return ends.unionByName(nodes).unionByName(edges)

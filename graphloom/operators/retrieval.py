@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import names_whole
 
-#: Words that only make sense to someone who sees the graph, and wordings that promise a picture.
-JARGON = r"(?i)\b(knowledge graph|triples?|nodes?|edges?|entity|entities|relation type)\b"
-PROMISE = r"(?i)\b(in the (image|picture|photo(graph)?)|shown (here|above|below)|pictured)\b"
+#: Words that only make sense to someone who sees the graph, and wordings that promise a picture.
+JARGON = r"\b(entit(y|ies)|triple|node|graph|relation|dataset|knowledge base)\b"
+PROMISE = (
+    r"accompan(?:y|ies|ying)|attached (?:image|photo)|provided (?:image|photograph)"
+    r"|(?:this|the) photograph (?:below|here)|shown below|pictured below"
+)
 
 
 def ego_evidence(ranked: DataFrame, units: DataFrame, top: int = 3, budget: int = 5) -> DataFrame:
@@ -43,10 +46,35 @@ def named_waypoint(question: Column, waypoints: Column, start: Column) -> Column
     return F.exists(waypoints, lambda w: (w != start) & names_whole(question, w))
 
 
-def drop_reason(question: Column, leaked: Column, subject: Column | None = None) -> Column:
-    """Why an item goes, first reason first; null: it stays.  leaked: the atoms that its question gives away."""
-    out = F.when(F.coalesce(F.trim(question), F.lit("")) == "", "not verbalised").when(F.size(leaked) > 0, "leak").when(question.rlike(JARGON), "jargon").when(question.rlike(PROMISE), "promised image")
-    return out if subject is None else out.when(names_whole(question, subject), "subject named")
+def drop_reason(question: Column, leaked: Column, subject: Column | None = None, endpoint: Column | None = None, kind: Column | None = None, answer: Column | None = None) -> Column:
+    """Why an item goes, first reason first; null: it stays.  leaked: the atoms that its question gives away; subject and
+    endpoint: names that it must not hold anywhere (null: none); kind: its type, of which visual chains alone must not
+    promise a picture (unset: all must not)."""
+    said = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    holds = lambda name: F.contains(F.lower(question), F.lower(name))
+    told = said(question) if answer is None else said(question) & said(answer)
+    promised = question.rlike(f"(?iU){PROMISE}")
+    out = F.when(~told, "not verbalised").when(F.size(leaked) > 0, "leak").when(question.rlike(f"(?iU){JARGON}"), "jargon").when(promised if kind is None else promised & (kind == "mm_chain"), "promised image")
+    out = out if endpoint is None else out.when(holds(endpoint), "endpoint named")
+    return out if subject is None else out.when(holds(subject), "subject named")
+
+
+def subjects_of(spec: Column) -> Column:
+    """Names that a question may hold, from its spec: none of a hidden subject; the start alone of a hidden caption; else
+    start, entity, both sides, and the objects of constraints, population and exclusion."""
+    one = lambda name: F.array(spec[name])
+    every = F.concat(*(one(c) for c in ("start", "entity", "left", "right")), F.coalesce(spec["constraints"], F.array().cast("array<string>")), one("population"), one("excluded"))
+    chosen = F.when(F.coalesce(spec["hide_subject"], F.lit(False)), F.array().cast("array<string>")).when(F.coalesce(spec["hide_caption"], F.lit(False)), one("start")).otherwise(every)
+    return F.filter(chosen, lambda x: x.isNotNull())
+
+
+def item_verdict(question: Column, kind: Column, mode: Column, nodes: Column, subject: Column) -> Column:
+    """Why a finished item goes: grounded ones; chains that name a node between start and end; visual ones that name
+    their subject as a word; null: it stays.  nodes: those of the path, in order."""
+    between = F.slice(nodes, 2, F.greatest(F.size(nodes) - 2, F.lit(0)))
+    named = F.exists(between, lambda w: (w != F.get(nodes, F.lit(0))) & names_whole(question, w))
+    visual = (kind == "multimodal") & mode.isin("identify", "attribute") & names_whole(question, subject)
+    return F.when((kind == "multimodal") & (mode == "grounded"), "grounded").when(kind.isin("chain", "mm_chain") & (F.size(nodes) > 2) & named, "names a waypoint").when(visual, "names the subject")
 
 
 def filled(items: DataFrame, *sources: DataFrame, key: str = "path") -> DataFrame:

@@ -21,14 +21,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def question_roots(questions: DataFrame, names: DataFrame, least: int = 3, words: int = 4) -> DataFrame:
-    """qid, name, rank: names (of `least` characters) that a question holds between word limits, longest first.
-    Spans of up to `words` words are looked up by hash instead of searching every name in every question."""
+def question_roots(questions: DataFrame, names: DataFrame, least: int = 3) -> DataFrame:
+    """qid, name, rank: names (of `least` characters) that a question holds between word limits, longest first.  Spans of
+    as many words as names have are looked up by hash, instead of searching every name in every question."""
+    keyed = names.where(F.length("name") >= least).select("name", tokens(F.col("name")).alias("t")).where(F.size("t") > 0)
+    sizes = sorted(r["n"] for r in keyed.select(F.size("t").alias("n")).distinct().collect()) or [1]  # a row for each length in words
     spans = questions.select("qid", F.posexplode(tokens(F.col("question"))).alias("i", "w"), tokens(F.col("question")).alias("all"))
-    phrase = spans.select("qid", F.explode(F.transform(F.sequence(F.lit(1), F.lit(words)), lambda n: F.array_join(F.slice("all", F.col("i") + 1, n), " "))).alias("phrase")).distinct()
-    keyed = names.where(F.length("name") >= least).select("name", F.array_join(tokens(F.col("name")), " ").alias("phrase")).where("phrase <> ''")
+    phrase = spans.select("qid", F.explode(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.array_join(F.slice("all", F.col("i") + 1, n), " "))).alias("phrase")).distinct()
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.length("name")), "name"))
-    return phrase.join(keyed, "phrase").select("qid", "name").distinct().withColumn("rank", rank)
+    return phrase.join(keyed.select("name", F.array_join("t", " ").alias("phrase")), "phrase").select("qid", "name").distinct().withColumn("rank", rank)
 
 
 def reach(triples: DataFrame, roots: DataFrame, depth: int, materialise: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,7 +34,8 @@ def source_files(spark: SparkSession, root: str) -> DataFrame:
 
 @F.pandas_udf(T.StringType())
 def decoded(path: pd.Series, content: pd.Series) -> pd.Series:
-    """Text of a file: UTF-8 with what can't be decoded left out; the pages of a PDF, where its reader is installed."""
+    """Text of a file: UTF-8 with what can't be decoded left out; the pages of a PDF, where its reader is installed, with
+    blank lines and a form feed between them."""
     return pd.Series([text_of(p, c) for p, c in zip(path, content, strict=True)], dtype=object)
 
 
@@ -46,7 +46,7 @@ def text_of(path: str, content: bytes) -> str | None:
         from pypdf import PdfReader
     except ImportError:
         return None
-    return "\n\n".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
+    return "\n\n\f".join(page.extract_text() or "" for page in PdfReader(io.BytesIO(content)).pages)
 
 
 PDF_IMAGES = "source string, page int, idx int, name string, content binary, page_text string"
@@ -76,10 +76,11 @@ def _images(path: str, content: bytes):
             yield path, p, i, f"{stem}/p{p:03d}_{i:02d}.{ext}", image.data, text
 
 
-def status(files: DataFrame, manifest: DataFrame) -> DataFrame:
-    """path, status: NEW, CHANGED or processed.  Files that are gone are not reported, and nothing of theirs is taken back."""
-    old = manifest.select("path", F.col("hash").alias("old"))
-    return files.join(old, "path", "left").select("path", F.when(F.col("old").isNull(), "NEW").when(F.col("old") != F.col("hash"), "CHANGED").otherwise("processed").alias("status"))
+def status(files: DataFrame, manifest: DataFrame, removed: bool = False) -> DataFrame:
+    """path, status: NEW, CHANGED or processed; with `removed`, REMOVED too, for files that the manifest alone knows (a
+    report: nothing of theirs is ever taken back)."""
+    both = files.select("path", "hash").join(manifest.select("path", F.col("hash").alias("old")), "path", "full" if removed else "left")
+    return both.select("path", F.when(F.col("hash").isNull(), "REMOVED").when(F.col("old").isNull(), "NEW").when(F.col("old") != F.col("hash"), "CHANGED").otherwise("processed").alias("status"))
 
 
 def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:
@@ -93,15 +94,55 @@ def recorded(manifest: DataFrame, done: DataFrame) -> DataFrame:
     return manifest.unionByName(done).withColumn("k", rank).where("k = 1").drop("k")
 
 
+IMG = "array<struct<path:string,caption:string,source:string,page:int>>"
+_ENTITY = f"struct<name:string,type:string,types:array<string>,aliases:array<string>,attributes:struct<text:array<string>,img:{IMG}>,degree:bigint,hub:boolean>"
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return found is not None and len(found) > 0
+
+
 def read_graph(spark: SparkSession, path: str, text_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(entities, triples) of a graph document in JSON."""
-    inner = "name string, type string, types array<string>, aliases array<string>, attributes struct<text:array<string>,img:array<struct<path:string,caption:string,source:string,page:int>>>, degree long, hub boolean"
-    doc = spark.read.schema(f"entities map<string, struct<{','.join(f'{a}:{b}' for a, b in (x.strip().split(' ', 1) for x in _split(inner)))}>>, triples array<struct<h:string,r:string,u:string,sources:array<string>>>").option("multiLine", True).json(path)
-    e = doc.select(F.explode("entities").alias("key", "e")).select(F.coalesce("e.name", "key").alias("name"), "e.type", "e.types", "e.aliases", "e.attributes.text", F.array().cast("array<struct<path:string,caption:string,source:string,page:int>>").alias("img") if text_only else F.col("e.attributes.img").alias("img"), "e.degree", F.coalesce("e.hub", F.lit(False)).alias("hub"))
+    """(entities, triples) of a graph document in JSON; empty ones where there is no such file."""
+    shape = f"entities map<string,{_ENTITY}>, triples array<struct<h:string,r:string,u:string,sources:array<string>>>"
+    doc = spark.read.schema(shape).option("multiLine", True).json(path) if exists(spark, path) else spark.createDataFrame([], shape)
+    img = F.array().cast(IMG) if text_only else F.coalesce("e.attributes.img", F.array().cast(IMG))
+    e = doc.select(F.explode("entities").alias("key", "e")).select(F.coalesce("e.name", "key").alias("name"), "e.type", "e.types", "e.aliases", "e.attributes.text", img.alias("img"), "e.degree", F.coalesce("e.hub", F.lit(False)).alias("hub"))
     t = doc.select(F.posexplode("triples").alias("seq", "t")).select(F.format_string("%012d", "seq").alias("seq"), "t.*")
     return e, t
 
 
+def graph_document(entities: DataFrame, triples: DataFrame, version: int = 1) -> DataFrame:
+    """ord, key, row: the lines of a graph document, in this order: meta and stats, entities by name (degrees counted
+    anew), relations, triples by seq.  Lines are made where their rows are; only a writer needs them in one file."""
+    spark = triples.sparkSession
+    from ..operators.graph import degrees
+
+    known = entities.drop("degree").join(degrees(triples), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    body = F.to_json(F.struct("name", "type", "types", "aliases", F.struct("text", "img").alias("attributes"), "degree", "hub"))
+    e = known.select(F.lit(1).alias("ord"), F.col("name").alias("key"), F.concat(F.to_json(F.array("name")), F.lit(":"), body).alias("row"))
+    e = e.withColumn("row", F.regexp_replace("row", r'^\[(".*?(?<!\\)")\]:', "$1:"))
+    r = triples.select(F.lit(3).alias("ord"), F.col("r").alias("key"), F.regexp_replace(F.to_json(F.array("r")), r"^\[|\]$", "").alias("row")).distinct()
+    t = triples.select(F.lit(5).alias("ord"), F.col("seq").alias("key"), F.to_json(F.struct("h", "r", "u", "sources")).alias("row"))
+    n = known.agg(F.count(F.lit(1)).alias("entities"), F.count_if(F.size("img") > 0).alias("multimodal_entities"), F.coalesce(F.sum(F.greatest(F.size("img"), F.lit(0))), F.lit(0)).alias("images"), F.coalesce(F.sum(F.greatest(F.size("text"), F.lit(0))), F.lit(0)).alias("text_attributes"))
+    m = triples.agg(F.countDistinct("r").alias("relations"), F.count(F.lit(1)).alias("triples"))
+    stats = F.to_json(F.struct("entities", "relations", "triples", "multimodal_entities", "images", "text_attributes"))
+    head = n.select(F.lit(1).alias("one"), "*").join(m.select(F.lit(1).alias("one"), "*"), "one").select(F.lit(0).alias("ord"), F.lit("").alias("key"), F.concat(F.lit(f'{{"meta":{{"version":{version}}},"stats":'), stats, F.lit(',"entities":{')).alias("row"))
+    marks = spark.createDataFrame([(2, "", '},"relations":['), (4, "", '],"triples":['), (6, "", "]}")], "ord int, key string, row string")
+    return head.unionByName(e).unionByName(r).unionByName(t).unionByName(marks)
+
+
+def save_document(lines: DataFrame, path: str) -> None:
+    """Write the lines of a document as one text file below `path`, with commas between rows of a list.  One task streams
+    sorted lines; a document is one file by its nature, and larger graphs are kept as tables (write_graph)."""
+    rows = lines.withColumn("comma", F.col("ord").isin(1, 3, 5))
+    first = rows.where("comma").groupBy("ord").agg(F.min("key").alias("first"))
+    text = rows.join(F.broadcast(first), "ord", "left").select("ord", "key", F.concat(F.when(F.col("comma") & (F.col("key") > F.col("first")), F.lit(",")).otherwise(F.lit("")), "row").alias("value"))
+    text.repartition(1).sortWithinPartitions("ord", "key").select("value").write.mode("overwrite").text(path)
+
+
 def _split(ddl: str) -> list[str]:
     out, depth, at = [], 0, 0
     for i, c in enumerate(ddl):
@@ -113,8 +154,11 @@ def _split(ddl: str) -> list[str]:
 
 
 def write_graph(entities: DataFrame, triples: DataFrame, root: str) -> None:
-    """Entities, triples and relations as Parquet tables."""
-    entities.write.mode("overwrite").parquet(f"{root}/entities")
+    """Entities (degrees counted anew), triples, sorted relations and stats as Parquet tables."""
+    from ..operators.graph import degrees
+
+    known = entities.drop("degree").join(degrees(triples), "name", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    known.write.mode("overwrite").parquet(f"{root}/entities")
     triples.write.mode("overwrite").parquet(f"{root}/triples")
     triples.select("r").distinct().sort("r").write.mode("overwrite").parquet(f"{root}/relations")
 
@@ -142,6 +186,42 @@ def results_document(results: DataFrame, summary: DataFrame) -> DataFrame:
     return summary.select(F.to_json(F.struct(F.lit("summary").alias("kind"), *summary.columns)).alias("value")).unionByName(results.select(F.to_json(F.struct(F.lit("row").alias("kind"), *results.columns)).alias("value")))
 
 
+def read_results(spark: SparkSession, path: str, rows: str, summary: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, summary) of a results document, by their schemas."""
+    lines = spark.read.text(path)
+    kind = F.get_json_object("value", "$.kind")
+    take = lambda name, shape: lines.where(kind == name).select(F.from_json("value", shape).alias("x")).select("x.*")
+    return take("row", rows), take("summary", summary)
+
+
+def split_of(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """qid: the questions of one split of a split document ({name: [qid, ...], ...})."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{name}"), "array<string>")).alias("qid"))
+
+
+def page_texts(files: DataFrame, needed: DataFrame) -> DataFrame:
+    """stem, page, text of the pages of needed files (stem).  Pages of a text file are parted by form feeds; those of a
+    PDF come from its reader, where that is installed."""
+    name = F.element_at(F.split("path", "/"), -1)
+    own = files.withColumn("stem", F.regexp_replace(name, r"\.[^.]*$", "")).join(needed.select("stem").distinct(), "stem", "left_semi")
+    pages = F.split(F.replace(decoded("path", "content"), F.lit("\n\n\f"), F.lit("\f")), "\f")
+    return own.select("stem", F.posexplode(pages).alias("p", "text")).select("stem", (F.col("p") + 1).alias("page"), "text")
+
+
+def best_matches(rows: DataFrame, known: DataFrame, most: int = 10, bands: int = 11) -> DataFrame:
+    """id, match, distance: of each perceptual hash (id, hash) the nearest known one (match, hash), if at most `most` bits
+    differ; the smaller match of equals.  Hashes that differ in at most `most` of 64 bits agree in one of more than `most`
+    bands, so bands are joined instead of all pairs."""
+    bands = max(bands, most + 1)
+    width = -(-64 // bands)
+    parts = F.array(*(F.shiftrightunsigned("hash", i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(0, 64, width)))
+    cut = lambda df: df.select("*", F.posexplode(parts).alias("band", "part"))
+    met = cut(rows).select("id", F.col("hash").alias("a"), "band", "part").join(cut(known).select("match", F.col("hash").alias("b"), "band", "part"), ["band", "part"])
+    near = met.select("id", "match", hamming(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") <= most)
+    return near.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("x")).select("id", "x.match", "x.distance")
+
+
 def items_of(spark: SparkSession, path: str) -> DataFrame:
     """Benchmark items from a JSON document, with or without an `items` envelope."""
     raw = spark.read.text(path, wholetext=True)
@@ -162,7 +242,3 @@ def dhash(gray: list[list[int]]) -> int:
         for x, y in zip(row, row[1:], strict=False):
             bits = bits << 1 | (x > y)
     return bits - (1 << 64) if bits >> 63 else bits
-
-
-def to_json_text(value) -> str:
-    return json.dumps(value, ensure_ascii=False)
