@@ -336,8 +336,12 @@ def _mixed(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
     """Rounds of comparisons with list leaders.  rows: key, id, n and g (group) of lists.  Gives the links found, and the
-    rows of lists that hold several groups."""
-    links, before, turn, busy = None, float("inf"), 0, rows
+    rows of lists that hold several groups.  All lists take part in the first round, long ones in those that follow."""
+    links, before, turn, busy, moves = None, float("inf"), 0, rows, None
+
+    def placed(lists: DataFrame, to: DataFrame) -> DataFrame:
+        return lists.join(to, F.col("g") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "g").alias("g"))
+
     while True:
         # leaders: the least ids at first, then others in each round
         rank = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
@@ -350,18 +354,31 @@ def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) ->
         found = scratch.table(verify(best.select("a", "b"), texts, words), f"links{turn}")
         links = found if links is None else links.union(found)
         joined = components(best.join(found, ["a", "b"], "left_semi").select(F.col("ga").alias("a"), F.col("gb").alias("b")), scratch, f"grow{turn}_")
-        placed = rows.join(scratch.table(joined, f"grown{turn}"), F.col("g") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "g").alias("g"))
-        mixed = _mixed(placed, scratch, f"mixed{turn}")
-        rows = scratch.table(placed.join(mixed.select("key"), "key"), f"open{turn + 1}")
-        for name in (f"open{turn}", f"leaders{turn}", f"tried{turn}"):
+        grown = scratch.table(joined, f"grown{turn}")
+        if turn == 0:
+            now = placed(rows, grown)
+            mixed = _mixed(now, scratch, "mixed0")
+            rows = scratch.table(now.join(mixed.select("key"), "key"), "open1")
+            now = rows
+        else:  # of what later rounds move, only where each group of the first round ends
+            now = scratch.table(placed(busy, grown), f"busy{turn}_")
+            mixed = _mixed(now, scratch, f"mixed{turn}")
+            later = grown if moves is None else moves.select("node", F.col("component").alias("c1")).join(grown.select(F.col("node").alias("c1"), "component"), "c1", "left").select("node", F.coalesce("component", "c1").alias("component")).unionByName(grown.join(moves.select("node"), "node", "left_anti"))
+            moves = scratch.table(later, f"moves{turn}")
+        for name in (f"busy{turn}" if turn else "open0", f"leaders{turn}", f"tried{turn}"):
             scratch.drop(name)
         # lists of few pairs need no further round
         long = mixed.where(F.col("cross") > PAIRS * F.col("m"))
         cost = long.agg(F.sum("cross").alias("cross")).first()["cross"] or 0
         turn += 1
         if not cost or cost > (1 - SETTLED) * before:
-            return links, rows
-        before, busy = cost, rows.join(long.select("key"), "key")
+            break
+        before, busy = cost, scratch.table(now.join(long.select("key"), "key"), f"busy{turn}")
+    if moves is not None:
+        now = placed(rows, moves)
+        rows = scratch.table(now.join(_mixed(now, scratch, "mixed_last").select("key"), "key"), "open_last")
+        scratch.drop("open1")
+    return links, rows
 
 
 def _split(rows: DataFrame, texts: DataFrame, classes, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
