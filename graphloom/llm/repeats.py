@@ -11,7 +11,8 @@ pieces of the same anchor, where they stand in the same columns once pieces are
   round inserts one symbol of every piece, which gives the order of all suffixes that begin in that column (the
   collection's Burrows-Wheeler transform, column by column: the symbols of the next round in this order) and
   the common prefixes of neighbours.  As pieces are aligned, suffixes of different columns need not be merged.
-  Columns are read one after the other from a file outside memory.  Where neighbours share LENGTH bytes or more,
+  Beyond SORTED pieces columns lie in files of the shared folder, one for each block of pieces, and are
+  read one after the other; the order and the prefixes of the last column alone are in memory.  Where neighbours share LENGTH bytes or more,
   windows are equal, and all but the first are repeats.
 
 Defined results: a null text is empty; "earlier" is a smaller doc_id, or the same and an earlier start; rows that
@@ -22,7 +23,7 @@ other; a null doc_id counts as the smallest; an empty table gives no rows; other
 from __future__ import annotations
 
 import hashlib
-import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, byte_column, chunks, mix, scan_text, text_chunks, trim, unused
+from .common import Scratch, byte_column, chunks, mix, open_fs, scan_text, text_chunks, trim, unused, write_file
 from .jaccard import _BYTE, _powers
 
 #: Bytes of a repeat; bytes of an anchor.
@@ -77,30 +78,55 @@ def pieces(data: np.ndarray, starts: np.ndarray, length: int = LENGTH, gram: int
     return {"doc": doc, "s": s - starts[doc], "n": n, "a": a - s, "h": grams[a].view(np.int64), "ph": ph.view(np.int64)}
 
 
-def sort_columns(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int = LENGTH, memory: int = SORTED):
+class Columns:
+    """The columns of aligned pieces: in memory, or in files of the shared folder, a file for each block of pieces, which
+    are read one column after the other.  256: a piece has no byte there."""
+
+    def __init__(self, folder: str | None):
+        self.folder, self.blocks = folder, []
+
+    def add(self, block: np.ndarray) -> None:
+        """The next block: a row for each column."""
+        if self.folder is None:
+            self.blocks.append(block)
+            return
+        uri = f"{self.folder}/{uuid.uuid4().hex}.columns"
+        write_file(uri, [np.ascontiguousarray(block, "<u2").tobytes()])
+        fs, path = open_fs(uri)
+        self.blocks.append((fs, path, fs.open_input_file(path), block.shape[1]))
+
+    def __getitem__(self, column: int) -> np.ndarray:
+        if self.folder is None:
+            return np.concatenate([b[column] for b in self.blocks])
+        return np.concatenate([np.frombuffer(f.read_at(2 * n, 2 * n * column), "<u2") for _, _, f, n in self.blocks])
+
+    def close(self) -> None:
+        for fs, path, f, _ in self.blocks if self.folder else ():
+            f.close()
+            fs.delete_file(path)
+
+
+def sort_columns(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, ids: np.ndarray, at: np.ndarray, length: int = LENGTH, memory: int = SORTED, folder: str | None = None):
     """Repeats among pieces of several anchors.  groups: ascending number of each piece's anchor; ids, at: document
-    and place of each piece.  Yields (piece, column) arrays of windows that occur earlier in another piece."""
+    and place of each piece; folder: where columns go if there are more pieces than `memory`.  Yields (piece, column)
+    arrays of windows that occur earlier in another piece."""
     m = len(texts)
     left = int(anchors.max())
     right = max(len(t) - int(a) for t, a in zip(texts, anchors.tolist(), strict=True))
-    with tempfile.TemporaryFile() as file:
+    table = Columns(folder if m > memory else None)
+    try:
         shape = (left + right, m)
-        # a row of the matrix is a column of the aligned pieces; 256: the piece has no byte there
-        table = np.full(shape, 256, np.uint16) if m <= memory else np.memmap(file, np.uint16, "w+", shape=shape)
-        if m > memory:
-            for c in range(shape[0]):
-                table[c] = 256
         step = 20_000
         for i in range(0, m, step):
             block = np.full((min(step, m - i), shape[0]), 256, np.uint16)
             for j, (t, a) in enumerate(zip(texts[i : i + step], anchors[i : i + step].tolist(), strict=True)):
                 block[j, left - a : left - a + len(t)] = np.frombuffer(t, np.uint8)
-            table[:, i : i + step] = block.T
+            table.add(block.T)
         order = np.arange(m)
         common = np.zeros(m, np.int32)  # of each suffix with the one before it
         rank = groups.astype(np.int64) * 257
         for c in range(shape[0] - 1, -1, -1):
-            symbol = np.asarray(table[c])
+            symbol = table[c]
             key = rank + symbol
             by = np.argsort(key[order], kind="stable")
             # the least common prefix between old neighbours p < q of one symbol is that of all rows in (p, q]
@@ -130,8 +156,8 @@ def sort_columns(texts: list[bytes], anchors: np.ndarray, groups: np.ndarray, id
                 first = np.flatnonzero(head)[np.cumsum(head) - 1]
                 later = (ids[p] != ids[p[first]]) | (at[p] != at[p[first]])
                 yield p[later], np.full(int(later.sum()), c - left)
-        if m > memory:
-            del table
+    finally:
+        table.close()
 
 
 def repeats(documents: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -181,6 +207,8 @@ def repeats(documents: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
                             to.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(),) * 5 + (pa.binary(),), strict=True)], ["h", "d", "crc", "s", "a", "piece"])
 
+    folder = f"{scratch.root}/columns"
+
     def compare(batches):
         held: list[pa.RecordBatch] = []
 
@@ -188,7 +216,7 @@ def repeats(documents: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
             h = np.asarray(rows.column("h"))
             groups = np.concatenate([[0], np.cumsum(h[1:] != h[:-1])])
             d, crc, s = (rows.column(c).to_numpy() for c in ("d", "crc", "s"))
-            found = list(sort_columns(rows.column("piece").to_pylist(), rows.column("a").to_numpy(), groups, d, s + rows.column("a").to_numpy(), length))
+            found = list(sort_columns(rows.column("piece").to_pylist(), rows.column("a").to_numpy(), groups, d, s + rows.column("a").to_numpy(), length, folder=folder))
             if found:
                 piece, column = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
                 begin = s[piece] + rows.column("a").to_numpy()[piece] + column

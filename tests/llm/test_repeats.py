@@ -54,7 +54,7 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert sorted(tuple(r) for r in repeats.digest(docs, Scratch(spark, "t")).collect()) == brute(rows)
 
 
-def test_columns_in_a_file_give_the_same():
+def test_columns_in_a_file_give_the_same(tmp_path):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 4, 400).astype(np.uint8).tobytes()
     texts, anchors, at = [], [], []
@@ -67,8 +67,8 @@ def test_columns_in_a_file_give_the_same():
         anchors.append(150 - s)
         at.append(150)
     args = (texts, np.array(anchors), np.zeros(300, np.int64), np.arange(300), np.array(at))
-    one, two = ([(p.tolist(), c.tolist()) for p, c in repeats.sort_columns(*args, memory=m)] for m in (1000, 10))
-    assert one == two and one
+    one, two = ([(p.tolist(), c.tolist()) for p, c in repeats.sort_columns(*args, memory=m, folder=f"file://{tmp_path}")] for m in (1000, 10))
+    assert one == two and one and not list(tmp_path.iterdir())
 
 
 def test_repeated_ids_null_ids_and_nothing(spark):
