@@ -99,14 +99,75 @@ def by_turns(chains: list[list], budget: int) -> list:
     return list(taken)
 
 
-def evidence(chains: DataFrame, budget: int = DEFAULT.evidence) -> DataFrame:
+def by_best(chains: list[list], budget: int) -> list:
+    """Edges of the best chain first, then of the next, each once."""
+    return list(dict.fromkeys(e for c in chains for e in c))[:budget]
+
+
+def by_choice(chains: list[list], budget: int, picks: list[int] | None, offered: int = 40) -> list:
+    """The edges that a model picked by number out of all, in their order; by turns where it picked none."""
+    every = list(dict.fromkeys(e for c in chains for e in c))
+    if len(every) <= budget:
+        return every
+    chosen = list(dict.fromkeys(every[i - 1] for i in picks or [] if 1 <= i <= min(offered, len(every))))[:budget]
+    return chosen or by_turns(chains, budget)
+
+
+def evidence(chains: DataFrame, budget: int = DEFAULT.evidence, way: str = "turns", picks: DataFrame | None = None) -> DataFrame:
     """qid, rank, edge.  chains: qid, verdict, score, edges (in order).  Rejected chains give nothing; others come by
-    verdict, then score.  A question has few chains (the beam), so its fold is a small group."""
+    verdict, then score.  `way`: "turns", "best" (drain the best chain first) or "choice" (picks: qid, numbers that a
+    model named).  A question has few chains (the beam), so its fold is a small group."""
+    rows = chains.select("qid", "verdict", "score", "edges")
+    rows = rows.withColumn("numbers", F.lit(None).cast("array<int>")) if picks is None else rows.join(picks.select("qid", F.col("numbers").cast("array<int>")), "qid", "left")
 
     def run(table: pa.Table) -> pa.Table:
-        rows = [r for r in table.to_pylist() if r["verdict"] != "reject"]
-        rows.sort(key=lambda r: (VERDICTS.index(r["verdict"]) if r["verdict"] in VERDICTS else 1, -r["score"], r["edges"]))
-        picked = by_turns([r["edges"] for r in rows], budget)
+        own = [r for r in table.to_pylist() if r["verdict"] != "reject"]
+        own.sort(key=lambda r: (VERDICTS.index(r["verdict"]) if r["verdict"] in VERDICTS else 2, -r["score"], r["edges"]))
+        ordered = [r["edges"] for r in own]
+        picked = by_best(ordered, budget) if way == "best" else by_choice(ordered, budget, table.column("numbers")[0].as_py()) if way == "choice" else by_turns(ordered, budget)
         return pa.table({"qid": pa.array([table.column("qid")[0].as_py()] * len(picked), pa.string()), "rank": pa.array(range(1, len(picked) + 1), pa.int32()), "edge": pa.array(picked, pa.string())})
 
-    return chains.select("qid", "verdict", "score", "edges").groupBy("qid").applyInArrow(run, "qid string, rank int, edge string")
+    return rows.groupBy("qid").applyInArrow(run, "qid string, rank int, edge string")
+
+
+def evidence_rows(chains: DataFrame, budget: int = DEFAULT.evidence, way: str = "turns") -> DataFrame:
+    """The same as triples: qid, k, h, r, u, of edges written h|r|u."""
+    part = lambda i: F.get(F.split("edge", r"\|"), F.lit(i))
+    return evidence(chains, budget, way).select("qid", F.col("rank").alias("k"), part(0).alias("h"), part(1).alias("r"), part(2).alias("u"))
+
+
+def page_ceilings(triples: DataFrame, order: DataFrame, gold: DataFrame, page: DataFrame, most: int = DEFAULT.pages) -> DataFrame:
+    """qid, type, gold, reachable, rendered, paged: gold triples (qid, type, h, r, u) that have an end among the nodes
+    reached, that a page of these shows, and that one of the first `most` pages shows.  order: qid, node, place (from 0,
+    as pages would be opened); page: links that pages show."""
+    edge = page.select("name", F.when(F.col("incoming"), F.col("target")).otherwise(F.col("name")).alias("h"), F.col("relation").alias("r"), F.when(F.col("incoming"), F.col("name")).otherwise(F.col("target")).alias("u"))
+    once = gold.select("qid", "type", "h", "r", "u").distinct()
+    ends = once.select("*", F.explode(F.array("h", "u")).alias("node")).distinct()
+    met = ends.join(order, ["qid", "node"], "left").join(edge.withColumnRenamed("name", "node").withColumn("shown", F.lit(True)), ["node", "h", "r", "u"], "left")
+    each = met.groupBy("qid", "type", "h", "r", "u").agg(F.max(F.col("place").isNotNull()).alias("a"), F.max(F.col("place").isNotNull() & F.col("shown").isNotNull()).alias("b"), F.max((F.col("place") < most) & F.col("shown").isNotNull()).alias("c"))
+    return each.groupBy("qid", "type").agg(F.count(F.lit(1)).alias("gold"), F.count_if("a").alias("reachable"), F.count_if("b").alias("rendered"), F.count_if("c").alias("paged"))
+
+
+def ceiling_shares(rows: DataFrame, skipped: list[str] = ()) -> DataFrame:
+    """type, questions and shares of gold for each type, for ALL, and for ALL less some types."""
+    scope = F.filter(F.array(F.col("type"), F.lit("ALL"), F.when(~F.col("type").isin(*skipped) if skipped else F.lit(False), F.lit("ALL less skipped"))), lambda x: x.isNotNull())
+    every = rows.select(F.explode(scope).alias("scope"), "gold", "reachable", "rendered", "paged")
+    share = lambda c: F.round(F.sum(c) / F.sum("gold"), 6).alias(c)
+    return every.groupBy(F.col("scope").alias("type")).agg(F.count(F.lit(1)).alias("questions"), F.sum("gold").alias("gold"), share("reachable"), share("rendered"), share("paged"))
+
+
+def discovery(triples: DataFrame, roots: DataFrame, depth: int, materialise: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """qid, node, place: nodes in the order in which a breadth-first reader meets them: roots (qid, node, place) first,
+    then what each shows, outgoing before incoming, by seq; a node's first place counts.  A level is ordered by the place
+    of its parents, one ranking for each question."""
+    near = links(triples).select(F.col("name").alias("node"), F.col("target").alias("next"), F.struct("incoming", "seq").alias("at"))
+    seen = materialise(roots.select("qid", "node", F.col("place").cast("long").alias("place")), "order0")
+    level = seen
+    for d in range(1, depth + 1):
+        met = level.join(near, "node").groupBy("qid", "next").agg(F.min(F.struct("place", "at")).alias("x")).withColumnRenamed("next", "node")
+        new = met.join(seen.select("qid", "node"), ["qid", "node"], "left_anti")
+        base = seen.groupBy("qid").agg((F.max("place") + 1).alias("base"))
+        placed = new.join(base, "qid").withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy("x", "node")) - 1)
+        level = materialise(placed.select("qid", "node", (F.col("base") + F.col("k")).cast("long").alias("place")), f"order{d}")
+        seen = seen.unionByName(level)
+    return seen

@@ -74,24 +74,27 @@ IMAGES_SQL = "img AS (SELECT 'p' || (page_id % 40 + 1) AS entity, page_id AS seq
 
 
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result rows of two runs over the same questions: run, qid, type, correct, precision, recall, n_calls, seconds, error."""
+    """Result rows of three runs over the same questions: run, correct, qid, type, precision, recall, n_calls, seconds, error, answer."""
     o = table(spark, sf_dir, "orders")
     base = o.select(
         F.concat(F.lit("q"), "o_orderkey").alias("qid"), F.col("o_orderpriority").alias("type"), F.col("o_custkey"), F.col("o_orderkey"), F.col("o_orderstatus"),
         (F.col("o_custkey") % 5 / 4).alias("precision"), (F.col("o_orderkey") % 9 / 8).alias("recall"), (F.col("o_custkey") % 7).cast("int").alias("n_calls"), (F.col("o_orderkey") % 1000 / 10).alias("seconds"),
         F.when(F.col("o_orderkey") % 37 == 0, F.concat(F.when(F.col("o_custkey") % 2 == 0, F.lit("timeout")).otherwise(F.lit("overflow")), F.lit(": item "), "o_orderkey")).alias("error"),
     )
-    one = base.select(F.lit("full").alias("run"), (F.col("o_orderstatus") != "F").alias("correct"), *base.columns)
-    two = base.select(F.lit("flat").alias("run"), (F.col("o_custkey") % 3 == 0).alias("correct"), *base.columns)
-    return one.unionByName(two).drop("o_custkey", "o_orderkey", "o_orderstatus")
+    right = {"full": F.col("o_orderstatus") != "F", "flat": F.col("o_custkey") % 3 == 0, "ego": F.col("o_orderkey") % 4 == 0}
+    runs = F.array(*(F.struct(F.lit(k).alias("run"), v.alias("correct")) for k, v in right.items()))
+    answer = F.when(F.col("o_orderkey") % 41 == 0, F.lit("(answer generation failed: busy)")).otherwise(F.concat(F.lit("it is c"), F.col("o_custkey") % 10))
+    out = base.select("*", answer.alias("answer"), F.explode(runs).alias("x")).select("x.run", "x.correct", "*")
+    return out.drop("x", "o_custkey", "o_orderkey", "o_orderstatus")
 
 
 RESULTS_SQL = """res AS (SELECT run, 'q' || o_orderkey AS qid, o_orderpriority AS type,
-    CASE WHEN run = 'full' THEN o_orderstatus <> 'F' ELSE o_custkey % 3 = 0 END AS correct,
+    CASE run WHEN 'full' THEN o_orderstatus <> 'F' WHEN 'flat' THEN o_custkey % 3 = 0 ELSE o_orderkey % 4 = 0 END AS correct,
+    CASE WHEN o_orderkey % 41 = 0 THEN '(answer generation failed: busy)' ELSE 'it is c' || (o_custkey % 10) END AS answer,
     CAST(o_custkey % 5 AS DOUBLE) / 4 AS precision, CAST(o_orderkey % 9 AS DOUBLE) / 8 AS recall,
     CAST(o_custkey % 7 AS INTEGER) AS n_calls, CAST(o_orderkey % 1000 AS DOUBLE) / 10 AS seconds,
     CASE WHEN o_orderkey % 37 = 0 THEN (CASE WHEN o_custkey % 2 = 0 THEN 'timeout' ELSE 'overflow' END) || ': item ' || o_orderkey END AS error
-  FROM orders, (VALUES ('full'), ('flat')) v(run))"""
+  FROM orders, (VALUES ('full'), ('flat'), ('ego')) v(run))"""
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,3 +109,38 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVIDENCE_SQL = """ev AS (
   SELECT 'q' || l_orderkey AS qid, 'gold' AS side, 'o' || l_orderkey AS h, 'uses_material' AS r, 'p' || l_partkey AS u FROM lineitem WHERE l_returnflag <> 'N' OR l_linenumber = 1
   UNION ALL SELECT 'q' || l_orderkey, 'pred', CASE WHEN l_linenumber = 3 THEN 'p' || l_partkey ELSE 'o' || l_orderkey END, 'uses_material', CASE WHEN l_linenumber = 3 THEN 'o' || l_orderkey ELSE 'p' || l_partkey END FROM lineitem WHERE l_linenumber % 2 = 1)"""
+
+
+def craft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of low degrees, so that the rules about hubs and sinks leave something: h, r, u, seq.  Customers, parts and
+    numbered workshops, villages and provinces; some customers fork or have a rival relation."""
+    c, p = table(spark, sf_dir, "customer"), table(spark, sf_dir, "part")
+    parts = [
+        _edge(c, "concat('c', c_custkey)", "made_from", "concat('p', c_custkey + 1)"),
+        _edge(c.where("c_custkey % 10 = 0"), "concat('c', c_custkey)", "made_from", "concat('p', c_custkey + 2)"),
+        _edge(c.where("c_custkey % 7 = 0"), "concat('c', c_custkey)", "uses_material", "concat('p', c_custkey + 3)"),
+        _edge(p, "concat('p', p_partkey)", "uses_method", "concat('b', p_partkey div 2)"),
+        _edge(p, "concat('p', p_partkey)", "has_property", "concat('a', p_partkey div 6)"),
+        _edge(p, "concat('p', p_partkey)", "used_for", "concat('d', p_partkey div 4)"),
+        _edge(p, "concat('p', p_partkey)", "is_a", "p_type"),
+        _edge(p, "concat('b', p_partkey div 2)", "made_by", "concat('v', p_partkey div 6)").distinct(),
+        _edge(p, "concat('v', p_partkey div 6)", "located_in", "concat('y', p_partkey div 24)").distinct(),
+        _edge(p, "concat('y', p_partkey div 24)", "part_of", "concat('z', p_partkey div 240)").distinct(),
+    ]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.withColumn("seq", F.concat_ws("|", "r", "h", "u"))
+
+
+CRAFT_SQL = """t AS (SELECT *, r || '|' || h || '|' || u AS seq FROM (
+  SELECT 'c' || c_custkey AS h, 'made_from' AS r, 'p' || (c_custkey + 1) AS u FROM customer
+  UNION ALL SELECT 'c' || c_custkey, 'made_from', 'p' || (c_custkey + 2) FROM customer WHERE c_custkey % 10 = 0
+  UNION ALL SELECT 'c' || c_custkey, 'uses_material', 'p' || (c_custkey + 3) FROM customer WHERE c_custkey % 7 = 0
+  UNION ALL SELECT 'p' || p_partkey, 'uses_method', 'b' || (p_partkey // 2) FROM part
+  UNION ALL SELECT 'p' || p_partkey, 'has_property', 'a' || (p_partkey // 6) FROM part
+  UNION ALL SELECT 'p' || p_partkey, 'used_for', 'd' || (p_partkey // 4) FROM part
+  UNION ALL SELECT 'p' || p_partkey, 'is_a', p_type FROM part
+  UNION ALL SELECT DISTINCT 'b' || (p_partkey // 2), 'made_by', 'v' || (p_partkey // 6) FROM part
+  UNION ALL SELECT DISTINCT 'v' || (p_partkey // 6), 'located_in', 'y' || (p_partkey // 24) FROM part
+  UNION ALL SELECT DISTINCT 'y' || (p_partkey // 24), 'part_of', 'z' || (p_partkey // 240) FROM part))"""
