@@ -66,6 +66,15 @@ def reused(prior: DataFrame, items: DataFrame, stale: DataFrame, named: DataFram
     return good.join(items.select("qid"), "qid", "left_semi"), items.join(good.select("qid"), "qid", "left_anti")
 
 
+def common(*arms: DataFrame) -> DataFrame:
+    """Questions (qid) that every arm has: one count by question, however many arms there are."""
+    every = None
+    for i, arm in enumerate(arms):
+        part = arm.select("qid", F.lit(i).alias("arm")).distinct()
+        every = part if every is None else every.unionByName(part)
+    return every.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(arms)).select("qid")
+
+
 def remaining(items: DataFrame, done: DataFrame) -> DataFrame:
     """Items that have no row yet."""
     return items.join(done, "qid", "left_anti")

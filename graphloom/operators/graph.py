@@ -120,6 +120,18 @@ def resolve(mentions: DataFrame, names: DataFrame, aliases: DataFrame) -> DataFr
     return left.join(keys, "key", "left").select("mention", F.coalesce("exact", "folded").alias("name"))
 
 
+def classes_of(types: Column, kind: Column) -> Column:
+    """An entity's classes: its types, else its one type, else none."""
+    return F.coalesce(types, F.when(kind.isNotNull(), F.array(kind)), F.array().cast("array<string>"))
+
+
+def members(edges: DataFrame, links: DataFrame, triples: DataFrame) -> DataFrame:
+    """Edges (h, r, u) with `held`, whether they are among triples, and `linked`, whether some link joins h to u."""
+    own = triples.select("h", "r", "u", F.lit(True).alias("_t")).distinct()
+    near = links.select("h", "u", F.lit(True).alias("_l")).distinct()
+    return edges.join(own, ["h", "r", "u"], "left").join(near, ["h", "u"], "left").select(*edges.columns, F.col("_t").isNotNull().alias("held"), F.col("_l").isNotNull().alias("linked"))
+
+
 def keep_texts(texts: DataFrame, cap: int = DEFAULT.text_cap) -> DataFrame:
     """The last `cap` distinct texts of each entity, by first occurrence."""
     once = texts.groupBy("entity", "text").agg(F.min("seq").alias("seq"))

@@ -25,7 +25,7 @@ def direct(questions: DataFrame) -> DataFrame:
 def known(gold: DataFrame) -> DataFrame:
     """The gold triples (qid, pos, h, r, u) as evidence, in their order, each once."""
     once = gold.groupBy("qid", "h", "r", "u").agg(F.min("pos").alias("pos"))
-    return once.select("qid", F.row_number().over(W.partitionBy("qid").orderBy("pos")).alias("k"), "h", "r", "u")
+    return once.select("qid", F.row_number().over(W.partitionBy("qid").orderBy("pos", "h", "r", "u")).alias("k"), "h", "r", "u")
 
 
 #: Evidence of a question by method: functions of a context, a dictionary of the tables that they need.

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..schema import Config
 
 DEFAULT = Config()
-#: Queries that one pass over the rows takes; more queries take more passes.
-WAVE = 4096
+#: Vectors of a block.
+BLOCK = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -24,9 +24,10 @@ def norm(a: Column) -> Column:
 
 
 def unit(a: Column, floor: float = 1e-12) -> Column:
-    """A vector of length 1; very short ones are divided by the floor."""
+    """A vector of length 1; very short ones are divided by the floor.  The length is an argument of the outer function,
+    so that it is worked out once and not for each component."""
     size = F.greatest(norm(a), F.lit(floor))
-    return F.transform(a, lambda x: x.cast("double") / size)
+    return F.get(F.transform(F.array(size), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 def fuse(a: Column, b: Column, share: float = DEFAULT.gamma) -> Column:
@@ -45,35 +46,32 @@ def mean_vectors(vectors: DataFrame, key: str, value: str = "embedding") -> Data
     return rows.select(key, unit(F.transform("x", lambda s: s["mean"])).alias("embedding"))
 
 
-def _waves(queries: DataFrame):
-    ids, rows = [], []
-    for r in queries.toLocalIterator():
-        ids.append(r[0])
-        rows.append(r[1])
-        if len(ids) == WAVE:
-            yield ids, rows
-            ids, rows = [], []
-    if ids:
-        yield ids, rows
+def blocks(rows: DataFrame) -> DataFrame:
+    """ids, data: rows (id, vector) packed where they are, BLOCK of them at the most to a row."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(i, BLOCK)
+                x = part.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f8").reshape(part.num_rows, -1)
+                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().astype("<i8").tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["ids", "data"])
+
+    return rows.mapInArrow(run, "ids binary, data binary")
 
 
 def similar(queries: DataFrame, rows: DataFrame, least: float | None = None, k: int | None = None) -> DataFrame:
     """query_id, id, sim of rows (id, vector) for queries (id, vector): those above `least`, or the k best of each, or
-    both (the cut at k comes first).  A row is not compared with the query of its own id."""
-    out = None
-    for ids, own in _waves(queries):
-        x = np.array(own, np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        names = np.array(ids, np.int64)
-
-        def run(batches, x=x, names=names):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                y = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-                y /= np.maximum(np.linalg.norm(y, axis=1, keepdims=True), 1e-12)
-                at = batch.column(0).to_numpy()
-                s = x @ y.T
+    both (the cut at k comes first).  A row is not compared with the query of its own id.
+
+    The stated queries meet all rows block by block: each pair of blocks is one matrix product, wherever Spark places it,
+    and only what may stay becomes rows."""
+
+    def run(batches):
+        for batch in batches:
+            for ids, data, qids, qdata in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                at, names = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
+                s = np.frombuffer(qdata, "<f8").reshape(len(names), -1) @ np.frombuffer(data, "<f8").reshape(len(at), -1).T
                 keep = names[:, None] != at[None, :]
                 if k is not None and len(at) > k:  # what no block needs to send on
                     keep &= s >= np.partition(np.where(keep, s, -2), len(at) - k, axis=1)[:, len(at) - k][:, None] - 1e-9
@@ -82,10 +80,8 @@ def similar(queries: DataFrame, rows: DataFrame, least: float | None = None, k:
                 q, r = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(at[r]), pa.array(s[q, r])], ["query_id", "id", "sim"])
 
-        part = rows.mapInArrow(run, "query_id long, id long, sim double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, id long, sim double")
+    pairs = blocks(rows).crossJoin(blocks(queries).withColumnsRenamed({"ids": "qids", "data": "qdata"}))
+    out = pairs.select("ids", "data", "qids", "qdata").mapInArrow(run, "query_id long, id long, sim double")
     if k is not None:
         rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("sim", 9)), "id"))
         out = out.withColumn("rank", rank).where(F.col("rank") <= k)
