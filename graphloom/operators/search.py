@@ -59,29 +59,73 @@ def overlap(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.sqrt(F.greatest(F.size(x) * F.size(y), F.lit(1)))
 
 
-def walk(questions: DataFrame, page: DataFrame, materialise: Callable[[DataFrame, str], DataFrame], depth: int = DEFAULT.depth, beam: int = DEFAULT.beam, follow: int = 3, weight: float = DEFAULT.step_weight, similarity: Callable[[Column, Column], Column] = overlap) -> DataFrame:
-    """qid, path, score: chains of a best-first walk.  questions: qid, question, node; page: links that pages show.
-
-    A round opens the page of each chain's last node, ranks its links by similarity to the question, follows the
-    first ones (never to a node of the chain), scores them by rank and similarity, and keeps `beam` for each question.
-    Chains that can't go on are kept as they are."""
-    shown = page.select(F.col("name").alias("node"), F.col("relation"), F.col("target"), "incoming")
-    now = materialise(questions.select("qid", "question", "node", F.array("node").alias("nodes"), F.lit("").alias("path"), F.lit(0.0).alias("score")), "walk0")
-    ended = None
+LINK = "array<struct<pos:int,relation:string,target:string,incoming:boolean,sim:double>>"
+
+
+def offline_decision(links: Column, follow: int = 3, cite: int = 8, floor: float | None = None) -> Column:
+    """What the offline navigator does with a page's ranked links: it cites those of similarity `floor` or more (None:
+    none), follows the first ones, and calls the question answered if it cites."""
+    named = F.array().cast(LINK) if floor is None else F.slice(F.filter(links, lambda x: x["sim"] >= floor), 1, cite)
+    return F.struct((F.size(named) > 0).alias("answered"), named.alias("cite"), F.slice(links, 1, follow).alias("follow"))
+
+
+def edge_of(node: Column, link: Column) -> Column:
+    """A link as the triple that is stored, h|r|u."""
+    return F.when(link["incoming"], F.concat_ws("|", link["target"], link["relation"], node)).otherwise(F.concat_ws("|", node, link["relation"], link["target"]))
+
+
+def walk(questions: DataFrame, page: DataFrame, materialise: Callable[[DataFrame, str], DataFrame], depth: int = DEFAULT.depth, beam: int = DEFAULT.beam, weight: float = DEFAULT.step_weight, pages: int = DEFAULT.pages, similarity: Callable[[Column, Column], Column] = overlap, decide: Callable[[Column], Column] = offline_decision) -> DataFrame:
+    """qid, subquery, path, cited, edges, score: the finished chains of a best-first walk for each sub-query.
+
+    questions: qid, subquery, question (what a link is compared with), node (a root); page: links that pages show.  A round
+    opens the page of each chain's last node, ranks its links, and takes the decision on them (decide: a column function
+    of the ranked links that gives answered, cite and follow; a provider's, or a rule).  Cited facts stay with the chain
+    and all that comes of it; links that are followed make longer chains, never to a node that a chain has; their score is
+    step rank and the chain's similarity to the question; `beam` of each sub-query go on.  A sub-query that has opened
+    `pages` pages opens no more.  Finished are: chains that cite, chains that came of an answered page, dead ends that
+    hold something, and the last beam.  Of one path the last state counts.  `edges` is the evidence: cited facts first,
+    then the path, each once."""
+    key = ["qid", "subquery"]
+    none, empty = F.array().cast("array<string>"), F.lit("")
+    shown = page.select(F.col("name").alias("node"), "relation", "target", "incoming")
+    start = questions.select(*key, "question", "node", F.array("node").alias("nodes"), none.alias("steps"), none.alias("cited"), F.lit(0.0).alias("score"), F.lit(0).alias("opened"))
+    now, done = materialise(start, "walk0"), []
+    state = [*key, "question", "node", "nodes", "steps", "cited", "score", "opened"]
+    path = F.concat_ws(";", "steps")
     for d in range(1, depth + 1):
-        text = F.concat_ws(" ", F.replace("relation", F.lit("_"), F.lit(" ")), "target")
-        opened = now.join(shown, "node").where(~F.array_contains("nodes", F.col("target"))).withColumn("sim", similarity(F.col("question"), text))
-        order = F.row_number().over(W.partitionBy("qid", "path", "node").orderBy(F.desc("sim"), "relation", "target"))
-        chosen = opened.withColumn("k", order).where(F.col("k") <= follow)
-        pref = 1 - (F.col("k") - 1) / F.lit(float(follow))
-        edge = F.when(F.col("incoming"), F.concat_ws("|", "target", "relation", "node")).otherwise(F.concat_ws("|", "node", "relation", "target"))
-        step = chosen.select("qid", "question", F.col("target").alias("node"), F.array_append("nodes", F.col("target")).alias("nodes"), F.concat_ws(";", F.nullif("path", F.lit("")), edge).alias("path"), (F.lit(weight) * pref + F.lit(1 - weight) * F.col("sim")).alias("score"))
-        cut = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "path"))
-        nxt = materialise(step.withColumn("b", cut).where(F.col("b") <= beam).drop("b"), f"walk{d}")
-        dead = now.join(opened.select("qid", "path", "node").distinct(), ["qid", "path", "node"], "left_anti").where("path <> ''").select("qid", "path", "score")
-        ended = dead if ended is None else ended.unionByName(dead)
-        now = nxt
-    return ended.unionByName(now.select("qid", "path", "score"))
+        goes = now.where(F.col("opened") < pages)
+        held = now.where(F.col("opened") >= pages)
+        link_text = F.concat_ws(" ", F.replace("relation", F.lit("_"), F.lit(" ")), "target")
+        links_ = goes.join(shown, "node").withColumn("sim", similarity(F.col("question"), link_text).cast("double"))
+        order = F.struct((-F.round("sim", 9)).alias("m"), "relation", "target", "incoming", "sim")
+        one = links_.groupBy(*key, "steps", "nodes").agg(F.array_sort(F.collect_list(order)).alias("x"))  # a page's budget of links
+        ranked = F.transform("x", lambda x, i: F.struct(i.alias("pos"), x["relation"].alias("relation"), x["target"].alias("target"), x["incoming"].alias("incoming"), x["sim"].alias("sim"))).cast(LINK)
+        seen = goes.join(one.select(*key, "steps", "nodes", ranked.alias("links")), [*key, "steps", "nodes"], "left").withColumn("links", F.coalesce("links", F.array().cast(LINK)))
+        told = seen.withColumn("d", decide(F.col("links")))
+        told = told.withColumn("cited", F.array_distinct(F.concat("cited", F.transform("d.cite", lambda x: edge_of(F.col("node"), x)))))
+        told = materialise(told.withColumn("n", F.size("d.follow")), f"told{d}")
+        each = told.select("*", F.posexplode("d.follow").alias("rank", "link")).where(~F.array_contains("nodes", F.col("link.target")))
+        steps = F.array_append("steps", edge_of(F.col("node"), F.col("link")))
+        kids = each.select(*key, "question", F.col("link.target").alias("node"), F.array_append("nodes", F.col("link.target")).alias("nodes"), steps.alias("steps"), "cited", "rank", "n", "opened", F.col("d.answered").alias("answered"))
+        said = F.replace(F.replace(F.concat_ws(" ", "steps"), F.lit("|"), F.lit(" ")), F.lit("_"), F.lit(" "))
+        score = F.lit(weight) * (1 - F.col("rank") / F.greatest("n", F.lit(1))) + F.lit(1 - weight) * similarity(F.col("question"), said)
+        kids = materialise(kids.withColumn("score", score), f"kids{d}")
+        grew = kids.select(*key, F.slice("steps", 1, F.size("steps") - 1).alias("steps"), F.slice("nodes", 1, F.size("nodes") - 1).alias("nodes")).distinct().withColumn("grew", F.lit(True))
+        flag = told.join(grew, [*key, "steps", "nodes"], "left")
+        ends = (F.size("d.cite") > 0) | (F.col("grew").isNull() & ((F.size("steps") > 0) | (F.size("cited") > 0)))
+        done.append(flag.where(ends).select(*key, path.alias("path"), F.col("nodes")[0].alias("root"), "steps", "cited", "score", F.lit(2 * d).alias("turn")))
+        done.append(kids.where("answered").select(*key, path.alias("path"), F.col("nodes")[0].alias("root"), "steps", "cited", "score", F.lit(2 * d + 1).alias("turn")))
+        total = goes.groupBy(*key).agg(F.count(F.lit(1)).alias("more"))
+        cut = F.row_number().over(W.partitionBy(*key).orderBy(F.desc(F.round("score", 9)), "root", "path"))
+        best = kids.select("*", path.alias("path"), F.col("nodes")[0].alias("root")).withColumn("k", cut).where(F.col("k") <= beam)
+        nxt = best.join(total, key).withColumn("opened", F.col("opened") + F.col("more").cast("int")).select(*state)
+        now = materialise(nxt.unionByName(held.select(*state)), f"walk{d}")
+    done.append(now.where((F.size("steps") > 0) | (F.size("cited") > 0)).select(*key, path.alias("path"), F.col("nodes")[0].alias("root"), "steps", "cited", "score", F.lit(2 * depth + 2).alias("turn")))
+    every = done[0]
+    for more in done[1:]:
+        every = every.unionByName(more)
+    last = every.groupBy(*key, "root", "path").agg(F.max_by(F.struct("steps", "cited", "score"), F.struct("turn", F.size("cited"))).alias("x"))
+    return last.select(*key, "root", "path", "x.cited", F.array_distinct(F.concat("x.cited", "x.steps")).alias("edges"), "x.score")
 
 
 def by_turns(chains: list[list], budget: int) -> list:

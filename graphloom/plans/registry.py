@@ -656,9 +656,12 @@ def question_roots(spark, d):
 @query()
 def beam_walk(spark, d):
     n = table(spark, d, "nation")
-    q = n.select(F.col("n_name").alias("qid"), F.concat(F.lit("which size is made by suppliers located in "), "n_name").alias("question"), F.col("n_name").alias("node"))
+    asked = F.explode(F.array(F.concat(F.lit("which size is made by suppliers located in "), "n_name"), F.lit("which region is it part of")))
+    q = n.select(F.col("n_name").alias("qid"), F.col("n_name").alias("node"), asked.alias("subquery")).withColumn("question", F.col("subquery"))
     steps = Steps(spark, "walk")
-    return search.walk(q, steps(pages.page_links(triples_of(spark, d)), "pages"), steps)
+    page = steps(pages.page_links(triples_of(spark, d)), "pages")
+    out = search.walk(q, page, steps, decide=lambda links: search.offline_decision(links, floor=0.3))
+    return out.select("qid", "subquery", "path", F.array_join("cited", ";").alias("cited"), F.array_join("edges", ";").alias("edges"), F.round("score", 6).alias("score"))
 
 
 @query()

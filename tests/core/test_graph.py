@@ -94,10 +94,69 @@ def test_evidence_and_walk(spark):
     chains = spark.createDataFrame([("q", "partial", 0.9, ["a", "b"]), ("q", "support", 0.1, ["a", "c"]), ("q", "reject", 5.0, ["z"])], "qid string, verdict string, score double, edges array<string>")
     assert [r.edge for r in search.evidence(chains, 3).orderBy("rank").collect()] == ["a", "b", "c"]
     t = edges(spark, [("root", "made_from", "kozo fiber"), ("root", "located_in", "gifu"), ("kozo fiber", "produced_in", "kochi")])
-    q = spark.createDataFrame([("q", "where is the kozo fiber produced in", "root")], "qid string, question string, node string")
-    steps = Steps(spark, "t")
-    got = {r.path for r in search.walk(q, pages.page_links(t), steps, depth=2).collect()}
-    assert "root|made_from|kozo fiber;kozo fiber|produced_in|kochi" in got and "root|located_in|gifu" in got
+    q = spark.createDataFrame([("q", "s", "where is the kozo fiber produced in", "root")], "qid string, subquery string, question string, node string")
+    got = {r.path for r in search.walk(q, pages.page_links(t), Steps(spark, "t"), depth=2).collect()}
+    assert got == {"root|made_from|kozo fiber;kozo fiber|produced_in|kochi", "root|located_in|gifu"}
+    assert search.by_best([["a", "b"], ["a", "c", "d"]], 3) == ["a", "b", "c"]
+    assert search.by_choice([["a", "b"], ["a", "c"]], 2, [3, 9, 1]) == ["c", "a"] and search.by_choice([["a", "b"], ["c"]], 2, []) == ["a", "c"] and search.by_choice([["a"]], 2, None) == ["a"]
+
+
+def plain_walk(pages_of, question, root, depth, beam, cap, floor, weight=0.6, follow=3):
+    """The same walk with lists, chain by chain."""
+
+    def sim(text):
+        import re
+
+        x, y = (set(re.findall(r"[^\W_]+", s.lower())) for s in (question, text))
+        return len(x & y) / max(len(x) * len(y), 1) ** 0.5
+
+    front, finished, opened = [([root], [], [], 0.0)], {}, 0
+    for _ in range(depth):
+        if not front or opened >= cap:
+            break
+        opened += len(front)
+        nxt = []
+        for nodes, steps, cited, score in front:
+            at = nodes[-1]
+            ranked = sorted(pages_of.get(at, []), key=lambda x: (-round(sim(f"{x[0].replace('_', ' ')} {x[1]}"), 9), *x))
+            edge = lambda x, at=at: f"{x[1]}|{x[0]}|{at}" if x[2] else f"{at}|{x[0]}|{x[1]}"
+            cites = [x for x in ranked if sim(f"{x[0].replace('_', ' ')} {x[1]}") >= floor][:8]
+            cited = list(dict.fromkeys(cited + [edge(x) for x in cites]))
+            kids = []
+            for rank, x in enumerate(ranked[:follow]):
+                if x[1] not in nodes:
+                    path = [*steps, edge(x)]
+                    kids.append(([*nodes, x[1]], path, cited, weight * (1 - rank / max(len(ranked[:follow]), 1)) + (1 - weight) * sim(" ".join(path).replace("|", " ").replace("_", " "))))
+            if cites or (not kids and (steps or cited)):
+                finished[";".join(steps)] = (cited, steps)
+            if cites:
+                for k in kids:
+                    finished[";".join(k[1])] = (k[2], k[1])
+            nxt += kids
+        front = sorted(nxt, key=lambda c: (-round(c[3], 9), ";".join(c[1])))[:beam]
+    for _, steps, cited, _ in front:
+        if steps or cited:
+            finished[";".join(steps)] = (cited, steps)
+    return {(p, tuple(dict.fromkeys(c + st))) for p, (c, st) in finished.items()}
+
+
+@pytest.mark.parametrize(("cap", "floor"), [(24, 0.25), (2, 0.25), (24, 9.0)])
+def test_walk_against_lists(spark, cap, floor):
+    import random
+
+    rng = random.Random(cap)
+    names = [f"{a} {b}" for a in ("red", "blue", "old") for b in ("mill", "river", "paper", "screen")]
+    rows = sorted({(rng.choice(names), rng.choice(["made_of", "found_near", "used_for"]), rng.choice(names)) for _ in range(45)})
+    t = edges(spark, [r for r in rows if r[0] != r[2]])
+    page = pages.page_links(t)
+    pages_of = {}
+    for r in page.collect():
+        pages_of.setdefault(r.name, []).append((r.relation, r.target, r.incoming))
+    asked = [(f"q{i}", f"what is the {rng.choice(names)} {rng.choice(['made of', 'found near', 'used for'])}", rng.choice(names)) for i in range(6)]
+    q = spark.createDataFrame([(i, "s", x, n) for i, x, n in asked], "qid string, subquery string, question string, node string")
+    got = search.walk(q, page, Steps(spark, "t"), pages=cap, decide=lambda links: search.offline_decision(links, floor=floor)).collect()
+    for i, question, root in asked:
+        assert {(r.path, tuple(r.edges)) for r in got if r.qid == i} == plain_walk(pages_of, question, root, 3, 3, cap, floor)
 
 
 def test_reach_levels(spark):
