@@ -195,9 +195,10 @@ def contaminated(documents: DataFrame, items: DataFrame, scratch: Scratch) -> Da
     out = ways.groupBy("doc_id", "item_id").agg(F.min(F.struct("way", "n_matched", "n_windows", "n_verbatim")).alias("x")).select("doc_id", "item_id", "x.n_matched", "x.n_windows", "x.n_verbatim")
     # items of one or two words
     tiny = raw.where(F.size("w").between(1, LEAST - 1)).select("item_id", F.transform("w", lambda x: F.lower(x)).alias("l"))
-    alone = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w")).where(F.size("w").between(1, LEAST - 1)).select("doc_id", F.transform("w", lambda x: F.lower(x)).alias("l"))
-    one = F.lit(1).cast("long")
-    out = out.unionByName(alone.join(tiny, "l").select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), one.alias("n_verbatim")).distinct())
+    if not tiny.isEmpty():  # else documents need not be read for them
+        alone = documents.select(F.col("doc_id").cast("long").alias("doc_id"), words(text).alias("w")).where(F.size("w").between(1, LEAST - 1)).select("doc_id", F.transform("w", lambda x: F.lower(x)).alias("l"))
+        one = F.lit(1).cast("long")
+        out = out.unionByName(alone.join(tiny, "l").select("doc_id", "item_id", one.alias("n_matched"), one.alias("n_windows"), one.alias("n_verbatim")).distinct())
     kind = F.when(F.col("n_verbatim") >= COVER * F.col("n_windows"), "verbatim").otherwise("reparameterised")
     return out.select("doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("coverage"), kind.alias("kind"))
 
