@@ -84,3 +84,8 @@ def filled(items: DataFrame, *sources: DataFrame, key: str = "path") -> DataFram
         items = items.join(s.groupBy(key).agg(F.min("value").alias(f"_v{i}")), key, "left")
         values.append(F.when(F.col(f"_v{i}").isNotNull(), F.struct(F.col(f"_v{i}").alias("value"), F.lit(i).alias("source"))))
     return items.withColumn("_x", F.coalesce(*values)).select("*", "_x.value", "_x.source").drop("_x", *(f"_v{i}" for i in range(len(sources))))
+
+
+def still_missing(filled_items: DataFrame) -> DataFrame:
+    """n, filled and missing of a fill cascade's result."""
+    return filled_items.agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"), F.count_if(F.col("value").isNull()).alias("missing"))

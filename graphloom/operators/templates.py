@@ -249,3 +249,35 @@ def sticky_split(items: DataFrame, prior: DataFrame, dev: int, seed: str = "7")
     taken = stratified(fresh, max(0, dev - have), seed).select("qid", F.lit("dev").alias("split"))
     rest = fresh.join(taken.select("qid"), "qid", "left_anti").select("qid", F.lit("test").alias("split"))
     return old.unionByName(taken).unionByName(rest)
+
+
+#: Templates by name, functions of a context: triples, images (where they are asked for) and materialise.
+TEMPLATES: dict[str, Callable[[dict], DataFrame]] = {
+    **{f"chain{k}": lambda x, k=k: chains(x["triples"], k, materialise=x["materialise"]) for k in (2, 3, 4, 5)},
+    "intersection": lambda x: intersections(x["triples"]),
+    "comparative": lambda x: comparatives(x["triples"], x["materialise"], x.get("typed")),
+    "temporal": lambda x: temporals(x["triples"]),
+    "aggregation_extremum": lambda x: extrema(x["triples"], x.get("relations", ["made_from", "produced_in", "used_for", "located_in"])),
+    "aggregation_absence": lambda x: absences(x["triples"]),
+    **{f"mm_chain{k}": lambda x, k=k: visual_chains(x["triples"], visual_terminals(x["triples"], x["images"]), k) for k in (2, 3)},
+    "multimodal_identify": lambda x: visual_subjects(x["triples"], x["images"]).select("subject", "facts"),
+    "multimodal_attribute": lambda x: visual_subjects(x["triples"], x["images"]).where("value IS NOT NULL").select("subject", "relation", "value"),
+    "multimodal_grounded": lambda x: grounded(x["triples"], x["images"]),
+}
+#: Items of each template where nothing else is said; grounded ones are off.
+QUOTA = dict.fromkeys(TEMPLATES, 200) | {"multimodal_grounded": 0}
+
+
+def drawn(context: dict, quotas: dict[str, int] | None = None, seed: str = "7") -> DataFrame:
+    """type, qid, item (JSON): of every template the items of least hash, as many as its quota says."""
+    out = None
+    for name, n in (QUOTA | (quotas or {})).items():
+        if not n:
+            continue
+        rows = TEMPLATES[name](context)
+        whole = F.to_json(F.struct(*sorted(rows.columns)))
+        own = rows.select(F.lit(name).alias("type"), whole.alias("item")).distinct()
+        own = own.select("type", F.concat(F.lit("item-"), F.substring(F.sha1(F.concat_ws("|", "type", "item").cast("binary")), 1, 10)).alias("qid"), "item")
+        part = quota(own, n, name, seed).select("type", "qid", "item")
+        out = part if out is None else out.unionByName(part)
+    return out

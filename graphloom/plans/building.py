@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import prompts, providers, text
-from ..operators import build, clean, graph, templates
+from ..operators import build, clean, graph, retrieval, templates
 from ..sources import files, folders
 from ..storage import Steps
 from . import views
@@ -356,3 +356,57 @@ def verbalising_prompts(spark, d):
 @query("SELECT event_id, trim(regexp_replace(lower(event_type), '[^a-z0-9]+', ' ', 'g')) AS folded FROM events")
 def folded_types_of_events(spark, d):
     return table(spark, d, "events").select("event_id", text.folded(F.concat(F.upper("event_type"), F.lit(" !"))).alias("folded"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 <> 0 THEN 'https://commons.wikimedia.org/wiki/File:' || replace(replace(replace(replace(replace(url_encode(replace(p_name, ' ', '_') || '_(é)_no.' || p_partkey || ',!.jpg'), '%28', '('), '%29', ')'), '%27', chr(39)), '%21', '!'), '%2C', ',') END AS url FROM part""")
+def commons_pages(spark, d):
+    name = F.concat("p_name", F.lit(" (é) no."), "p_partkey", F.lit(",!.jpg"))
+    source = F.when(F.col("p_partkey") % 3 == 0, F.lit("a folder")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("from wikimedia commons:  "), name, F.lit(" (CC BY-SA 4.0)"))).otherwise(F.concat(F.lit("Wikimedia Commons: "), name))
+    return table(spark, d, "part").select("p_partkey", text.commons_url(source).alias("url"))
+
+
+@query("SELECT count(*) AS n, count(*) FILTER (page_id % 4 = 0 OR page_id % 3 = 0) AS filled, count(*) FILTER (page_id % 4 <> 0 AND page_id % 3 <> 0) AS missing FROM pages")
+def missing_sources(spark, d):
+    p = table(spark, d, "pages").select(F.col("page_id").alias("path"))
+    known = [p.where(f"path % {m} = 0").select("path", F.concat(F.lit("x"), "path").alias("value")) for m in (4, 3)]
+    return retrieval.still_missing(retrieval.filled(p, *known))
+
+
+@query("""WITH s AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN 'c' || p_partkey WHEN 2 THEN 'c' || p_partkey || ';' || p_brand || ';x' || p_size ELSE p_type || ';' || p_brand END AS names FROM part) SELECT * FROM s""")
+def allowed_names(spark, d):
+    none = F.lit(None).cast("string")
+    k, kind = F.col("p_partkey"), F.col("p_partkey") % 4
+    spec = F.struct(F.when(kind != 3, F.concat(F.lit("c"), k)).otherwise(none).alias("start"), none.alias("entity"), F.when(kind == 3, F.col("p_type")).alias("left"), F.when(kind == 3, F.col("p_brand")).alias("right"), F.when(kind == 2, F.array("p_brand")).alias("constraints"), F.when(kind == 2, F.concat(F.lit("x"), "p_size")).alias("population"), none.alias("excluded"), (kind == 0).alias("hide_subject"), (kind == 1).alias("hide_caption"))
+    own = table(spark, d, "part").withColumn("spec", spec)
+    return own.select("p_partkey", F.array_join(retrieval.subjects_of(F.col("spec")), ";").alias("names"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'grounded' WHEN 1 THEN 'names a waypoint' WHEN 2 THEN 'names the subject' END AS reason FROM part""")
+def item_verdicts(spark, d):
+    kind = F.col("p_partkey") % 5
+    question = F.when(kind == 1, F.concat(F.lit("From a by way of Mid"), "p_partkey", F.lit("?"))).when(kind == 2, F.concat(F.lit("Is it sub"), "p_partkey", F.lit("?"))).when(kind == 3, F.concat(F.lit("From a to the end"), "p_partkey")).otherwise(F.lit("What is it?"))
+    nodes = F.array(F.lit("a"), F.concat(F.lit("mid"), "p_partkey"), F.concat(F.lit("end"), "p_partkey"))
+    what = F.when(kind.isin(1, 3), "chain").otherwise("multimodal")
+    mode = F.when(kind == 0, "grounded").when(kind == 4, "attribute").otherwise("identify")
+    return table(spark, d, "part").select("p_partkey", retrieval.item_verdict(question, what, mode, nodes, F.concat(F.lit("sub"), "p_partkey")).alias("reason"))
+
+
+def _drawn(spark, d):
+    steps = Steps(spark, "drawn")
+    context = {"triples": steps(views.craft(spark, d), "edges"), "images": _said(spark, d), "materialise": steps, "relations": ["used_for", "made_by"]}
+    return templates.drawn(context, {"chain2": 30, "chain5": 5, "temporal": 0})
+
+
+_DRAWN = {"aggregation_absence": 200, "aggregation_extremum": 2, "chain2": 30, "chain3": 200, "chain4": 200, "chain5": 5, "comparative": 200, "intersection": 200, "mm_chain2": 0, "mm_chain3": 0, "multimodal_attribute": 40, "multimodal_identify": 40}
+
+
+@query("SELECT type, n FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS BIGINT))" for k, v in _DRAWN.items() if v) + ") v(type, n)")
+def drawn_items(spark, d):
+    return _drawn(spark, d).where("type NOT LIKE 'mm_chain%'").groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT p_partkey AS qid, CASE WHEN p_partkey % 2 = 0 THEN '[{\"h\":\"a\",\"r\":\"is\",\"u\":\"' || p_brand || '\"}]' ELSE '{}' END AS answer, CAST(1 AS INTEGER) AS calls, CAST(CASE WHEN p_partkey % 2 = 0 THEN 9 + length(p_brand) ELSE 5 END AS BIGINT) AS chars FROM part")
+def provider_answers(spark, d):
+    prompt = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("a | is | "), "p_brand")).otherwise(F.lit("hello"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("qid"), prompt.alias("prompt"), F.array().cast("array<string>").alias("images"))
+    return providers.answers(rows).select(F.col("qid").cast("long").alias("qid"), "answer", "calls", "chars")

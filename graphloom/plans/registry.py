@@ -340,21 +340,20 @@ def commonest(spark, d):
     return templates.commonest(triples_of(spark, d), ["located_in", "uses_material", "made_by", "is_a"])
 
 
-@query(f"""WITH im AS (SELECT DISTINCT entity AS h FROM img), fa AS (SELECT t.* FROM t JOIN im USING (h) WHERE {CLASS} = 'core'),
-ra AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY seq) AS k, row_number() OVER (PARTITION BY h ORDER BY md5(seq), r, u) AS j FROM fa)
-SELECT h AS subject, string_agg(CASE WHEN k <= 3 THEN r || '=' || u END, ';' ORDER BY k) AS facts, max(CASE WHEN j = 1 THEN r END) AS relation, max(CASE WHEN j = 1 THEN u END) AS value FROM ra GROUP BY h""", "t img")
+@query(f"""WITH hub AS (SELECT name FROM (SELECT h AS name FROM t UNION ALL SELECT u FROM t) GROUP BY name HAVING count(*) >= 40), im AS (SELECT DISTINCT entity AS h FROM img WHERE entity NOT IN (SELECT name FROM hub)),
+fa AS (SELECT t.* FROM t JOIN im USING (h) WHERE {CLASS} = 'core'), ra AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY seq) AS k FROM fa),
+us AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY md5(seq), r, u) AS j FROM fa WHERE u NOT IN (SELECT name FROM hub))
+SELECT ra.h AS subject, string_agg(CASE WHEN k <= 3 THEN ra.r || '=' || ra.u END, ';' ORDER BY k) AS facts, max(us.r) AS relation, max(us.u) AS value FROM ra LEFT JOIN us ON us.h = ra.h AND j = 1 GROUP BY ra.h""", "craft img")
 def visual_subjects(spark, d):
-    return templates.visual_subjects(triples_of(spark, d), views.images(spark, d), NO_HUB)
+    return templates.visual_subjects(Steps(spark, "subjects")(views.craft(spark, d), "edges"), views.images(spark, d))
 
 
-def _terminals(spark, d):
-    return table(spark, d, "nation").select(F.col("n_name").alias("name"), F.concat(F.lit("red;woven;"), F.lower("n_name")).alias("terms"))
-
-
-@query(f"""WITH uf AS (SELECT h, r, min(u) AS u FROM t WHERE {CLASS} = 'core' GROUP BY h, r HAVING count(DISTINCT u) = 1)
-SELECT b.h AS start, b.h || '-' || b.r || '>' || a.h || '-' || a.r || '>' || n_name AS path, n_name AS endpoint, 'red;woven;' || lower(n_name) AS terms FROM nation JOIN uf a ON a.u = n_name JOIN uf b ON b.u = a.h WHERE b.h <> n_name""", "t")
+@query(f"""WITH hub AS (SELECT name FROM (SELECT h AS name FROM t UNION ALL SELECT u FROM t) GROUP BY name HAVING count(*) >= 40),
+uf AS (SELECT h, r, min(u) AS u FROM t WHERE {CLASS} = 'core' AND h NOT IN (SELECT name FROM hub) GROUP BY h, r HAVING count(DISTINCT u) = 1)
+SELECT b.h AS start, b.h || '-' || b.r || '>' || a.h || '-' || a.r || '>' || a.u AS path, a.u AS endpoint, 'red;woven;' || a.u AS terms FROM (SELECT DISTINCT 'y' || (p_partkey // 24) AS y FROM part) JOIN uf a ON a.u = y JOIN uf b ON b.u = a.h WHERE b.h <> a.u""", "craft")
 def visual_chains(spark, d):
-    return templates.visual_chains(triples_of(spark, d), _terminals(spark, d), 2, NO_HUB)
+    ends = table(spark, d, "part").select(F.expr("concat('y', p_partkey div 24)").alias("name")).distinct()
+    return templates.visual_chains(Steps(spark, "visual")(views.craft(spark, d), "edges"), ends.withColumn("terms", F.concat(F.lit("red;woven;"), "name")), 2)
 
 
 ITEMS = """it AS (SELECT 'item-' || substr(sha1(CAST(o_orderkey AS VARCHAR) || '|' || o_orderpriority), 1, 10) AS qid, o_orderkey, o_orderpriority AS type, o_custkey % 4 = 0 AS multimodal FROM orders)"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+import os
+from dataclasses import dataclass, field, fields
 
 ENTITIES = "name string, seq string, type string, types array<string>, aliases array<string>, text array<string>, img array<struct<path:string,caption:string,source:string,page:int>>, degree long, hub boolean"
 TRIPLES = "seq string, h string, r string, u string, sources array<string>"
@@ -56,3 +58,99 @@ class Config:
     step_weight: float = 0.6
     most_atoms: int = 8
     relation_class: dict = field(default_factory=lambda: {"associated_with": "weak", "is_a": "taxonomic"})
+
+    @classmethod
+    def of(cls, values: Settings) -> Config:
+        """The thresholds that settings name, wherever they stand in them; others keep their defaults."""
+        found = {}
+        for f in fields(cls):
+            value = values.find(f.name)
+            if value is not None:
+                found[f.name] = value
+        return cls(**found)
+
+
+class Settings:
+    """Nested settings of a file, and the paths of a project beside it."""
+
+    def __init__(self, raw: dict, base: str = "."):
+        self.raw, self.base = raw, base
+
+    @classmethod
+    def load(cls, path: str) -> Settings:
+        """Settings from a file of indented `key: value` lines (with lists of `- value`), or from JSON."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        raw = json.loads(text) if text.lstrip().startswith("{") else _indented(text)
+        return cls(raw, os.path.dirname(os.path.abspath(path)))
+
+    def get(self, *keys: str, default=None):
+        node = self.raw
+        for k in keys:
+            if not isinstance(node, dict) or k not in node:
+                return default
+            node = node[k]
+        return node
+
+    def find(self, name: str, node=None):
+        """The first value under a key of this name, at any depth."""
+        node = self.raw if node is None else node
+        if name in node:
+            return node[name]
+        for value in node.values():
+            if isinstance(value, dict) and (found := self.find(name, value)) is not None:
+                return found
+        return None
+
+    def path(self, name: str, default: str) -> str:
+        """A path of the section `paths`; graph and manifest files are in its output folder."""
+        own = self.get("paths", name, default=default)
+        folder = self.get("paths", "output_dir", default="output") if name.endswith("_file") else ""
+        return os.path.normpath(os.path.join(self.base, folder, own))
+
+
+def _scalar(text: str):
+    text = text.strip()
+    if text[:1] in "'\"" and text[-1:] == text[:1] and len(text) > 1:
+        return text[1:-1]
+    plain = text.partition(" #")[0].strip()
+    if plain in ("", "null", "~"):
+        return None
+    if plain in ("true", "false"):
+        return plain == "true"
+    if plain.startswith("[") and plain.endswith("]"):
+        return [_scalar(x) for x in plain[1:-1].split(",") if x.strip()]
+    for kind in (int, float):
+        try:
+            return kind(plain)
+        except ValueError:
+            pass
+    return plain
+
+
+def _indented(text: str) -> dict:
+    """Mappings by indentation; a key without a value opens one, or a list where `- ` lines follow."""
+    root: dict = {}
+    open_: list[tuple[int, object, object, str]] = [(-1, root, None, "")]
+    for line in text.splitlines():
+        bare = line.strip()
+        if not bare or bare.startswith("#"):
+            continue
+        depth = len(line) - len(line.lstrip())
+        while len(open_) > 1 and depth <= open_[-1][0] and not (bare.startswith("- ") and depth == open_[-1][0]):
+            open_.pop()
+        _, node, parent, key = open_[-1]
+        if bare.startswith("- "):
+            if not isinstance(node, list):
+                node = parent[key] = []
+                open_[-1] = (open_[-1][0], node, parent, key)
+            node.append(_scalar(bare[2:]))
+            continue
+        name, _, value = bare.partition(":")
+        name = str(_scalar(name))
+        if value.strip() and not value.strip().startswith("#"):
+            node[name] = _scalar(value)
+        else:
+            node[name] = {}
+            open_.append((depth, node[name], node, name))
+    return root

@@ -34,14 +34,17 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
 
 
 class Steps:
-    """Calling it writes a table under a name and gives it back, read from its files."""
+    """Calling it writes a table under a name (each call in a folder of its own) and gives it back, read from its files."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.marked = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}", False
+        self.written = 0
 
     def __call__(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.written += 1
+        path = f"{self.root}/{self.written:04d}-{name}"
+        df.write.mode("overwrite").parquet(path)
         if not self.marked:
             delete_at_end(self.spark, self.root)
             self.marked = True
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -154,3 +154,32 @@ def test_failing_provider_is_one_row(spark):
     assert providers_wait == (3, 1.0)
     row = providers.extract(p, Broken).first()
     assert row.error == "RuntimeError: down" and row.h is None
+
+
+def test_settings_and_thresholds(tmp_path):
+    from graphloom.schema import Config, Settings
+
+    (tmp_path / "c.yaml").write_text("# a comment\npaths:\n  output_dir: out  # here\n  graph_file: g.json\nwalk:\n  beam: 5\n  depth: 4\nlists:\n  types:\n  - a\n  - 'b c'\n  flat: [1, 2.5, x]\nhub_degree: 80\nempty:\nflag: true\n")
+    got = Settings.load(str(tmp_path / "c.yaml"))
+    assert got.get("lists", "types") == ["a", "b c"] and got.get("lists", "flat") == [1, 2.5, "x"] and got.get("flag") is True and got.get("no", "way", default=3) == 3
+    assert got.path("graph_file", "x") == str(tmp_path / "out" / "g.json") and got.path("raw_dir", "raw") == str(tmp_path / "raw")
+    config = Config.of(got)
+    assert (config.beam, config.depth, config.hub_degree, config.text_cap) == (5, 4, 80, 5)
+    (tmp_path / "c.json").write_text('{"walk": {"beam": 2}}')
+    assert Config.of(Settings.load(str(tmp_path / "c.json"))).beam == 2
+
+
+def test_a_call_that_is_too_long_sheds_images(spark):
+    class Narrow:
+        def complete(self, prompt, images=None):
+            if len(images or []) > 1:
+                raise RuntimeError("maximum context length is 1")
+            if prompt == "bad":
+                raise ValueError("no")
+            return f" {prompt} {images} "
+
+    assert providers.ask(Narrow(), "p", ["a", "b", "c"], wait=0) == (" p ['a'] ", 2)
+    rows = spark.createDataFrame([("1", "p", ["a", "b"]), ("2", "bad", None)], "qid string, prompt string, images array<string>")
+    got = {r.qid: r for r in providers.answers(rows, Narrow, wait=0.0).collect()}
+    assert got["1"].answer == "p ['a']" and got["1"].dropped == 1 and got["1"].error is None
+    assert got["2"].error == "ValueError: no" and "generation failed" in got["2"].answer
