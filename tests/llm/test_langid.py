@@ -65,3 +65,22 @@ def test_spans_of_letters_with_longer_lower_case():
     path = np.array([0, 0, 1])[: len(langid.words(text.lower()))]
     if len(langid.words(text.lower())) == len(path):
         assert langid.spans_of(text, path, ["a", "b"])[-1][2] == len(text)
+
+
+def test_held_out_accuracy_of_the_query(spark):
+    import os
+
+    import pytest
+
+    from graphloom.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(f"{folder}/documents.parquet"):
+        pytest.skip("no tables here")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "text")
+    rows = queries.op1_language_spans(spark, folder).join(docs, "doc_id").collect()
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    tested = [r for r in rows if r.held_out and r.lang is not None and len(r.text or "") > 100]
+    assert len(tested) > 100 and sum(r.lang == r.lang_pred for r in tested) >= 0.97 * len(tested)
+    assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) and 0 <= r.score <= 1 for r in rows)

@@ -226,3 +226,21 @@ def test_a_full_cache_changes_nothing(monkeypatch):
     text = "one Two thrée, 4 five one Two  six\n seven"
     assert np.frombuffer(encoder.encode([text])[0], encoder.dtype).tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
     assert len(encoder.pieces) == 3
+
+
+@pytest.mark.parametrize(("table", "column"), [("documents", "text"), ("pages", "html"), ("conversations", "text"), ("benchmark", "text")])
+def test_whole_texts_against_the_library(table, column):
+    """Every text of a whole table: the ids of cut pieces are those of the library."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    path = f"/root/testdata/sf0.01/{table}.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no tables here")
+    texts = [t for t in pq.read_table(path, columns=[column]).column(0).to_pylist() if t]
+    mixed = ["".join(t[i::7] + x for i, x in enumerate(("Ⅷ", "²", "中", "é\u0301", "\u200b", "ﬁ", "\t\u00a0"))) for t in texts[:200]]
+    encoder = Encoder(tokenizer_path())
+    texts += mixed
+    for t, raw in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(raw, encoder.dtype).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
