@@ -35,7 +35,7 @@ def question_roots(questions: DataFrame, names: DataFrame, least: int = 3) -> Da
 def reach(triples: DataFrame, roots: DataFrame, depth: int, materialise: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """qid, node, level: nodes within `depth` steps of a question's roots, over edges in both directions.  Each level
     is written, so that plans stay small and a lost executor costs one level."""
-    near = links(triples).select(F.col("name").alias("node"), F.col("target").alias("next")).distinct()
+    near = materialise(links(triples).select(F.col("name").alias("node"), F.col("target").alias("next")).distinct(), "near")
     level = materialise(roots.select("qid", "node").distinct().withColumn("level", F.lit(0)), "level0")
     seen = level
     for d in range(1, depth + 1):
@@ -204,7 +204,7 @@ def discovery(triples: DataFrame, roots: DataFrame, depth: int, materialise: Cal
     """qid, node, place: nodes in the order in which a breadth-first reader meets them: roots (qid, node, place) first,
     then what each shows, outgoing before incoming, by seq; a node's first place counts.  A level is ordered by the place
     of its parents, one ranking for each question."""
-    near = links(triples).select(F.col("name").alias("node"), F.col("target").alias("next"), F.struct("incoming", "seq").alias("at"))
+    near = materialise(links(triples).select(F.col("name").alias("node"), F.col("target").alias("next"), F.struct("incoming", "seq").alias("at")), "near")
     seen = materialise(roots.select("qid", "node", F.col("place").cast("long").alias("place")), "order0")
     level = seen
     for d in range(1, depth + 1):

@@ -202,46 +202,47 @@ text_end = text.SENTENCE_END
 
 
 def plain_compress(raw, keywords, most):
+    """Sentences in two classes; each is taken if all that is taken so far and itself fit when joined."""
     flat = " ".join(raw.split())
     if len(flat) <= most:
         return flat
-    parts = plain_sentences(flat)
-    hit = [s for s in parts if any(k.lower() in s.lower() for k in keywords if k)]
-    out = ""
-    for s in hit + [s for s in parts if s not in hit]:
-        if len(f"{out} {s}".strip()) <= most:
-            out = f"{out} {s}".strip()
-        elif not out:
-            return s[: most - 1].rstrip() + "…"
-    return out or flat[: most - 1].rstrip() + "…"
+    told = sorted(plain_sentences(flat), key=lambda s: not any(k and k.lower() in s.lower() for k in keywords))
+    taken = []
+    for s in told:
+        if len(" ".join([*taken, s])) <= most:
+            taken.append(s)
+        elif not taken:
+            taken = None
+            break
+    return " ".join(taken) if taken else (told[0] if told else flat)[: most - 1].rstrip() + "…"
 
 
 def plain_paragraphs(raw, least, most):
-    blocks, held = [], ""
-    for block in filter(None, (b.strip() for b in raw.replace("\r\n", "\n").split("\n\n"))):
-        held = f"{held}\n{block}" if held else block
-        if len(held) >= least:
-            blocks, held = [*blocks, held], ""
-    if held:
-        blocks[-1:] = [f"{blocks[-1]}\n{held}" if blocks else held]
-    out = []
-    for block in blocks:
-        if len(block) <= most:
-            out.append(block)
-            continue
-        line = ""
-        for s in plain_sentences(block):
-            if len(s) > most:
-                out += [line] * bool(line)
-                while len(s) > most:
-                    out, s = [*out, s[:most]], s[most:]
-                line = s.strip()
-            elif line and len(line) + len(s) + 1 > most:
-                out, line = [*out, line], s
-            else:
-                line = f"{line} {s}".strip()
-        out += [line] * bool(line)
-    return out
+    """Three passes: blocks, blocks of enough characters, pieces of few enough."""
+    blocks = [b.strip() for b in raw.replace("\r\n", "\n").split("\n\n") if b.strip()]
+    ends, size = [], -1
+    for i, b in enumerate(blocks):
+        size += len(b) + 1
+        if size >= least:
+            ends.append(i + 1)
+            size = -1
+    if blocks and (not ends or ends[-1] < len(blocks)):
+        ends[-1:] = [len(blocks)]
+    whole = ["\n".join(blocks[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+    return [piece for block in whole for piece in ([block] if len(block) <= most else plain_pieces(block, most))]
+
+
+def plain_pieces(block, most):
+    lines = [""]
+    for s in plain_sentences(block):
+        while len(s) > most:
+            lines += [s[:most], ""]
+            s = s[most:]
+        if lines[-1] and len(lines[-1]) + 1 + len(s) > most:
+            lines.append(s)
+        else:
+            lines[-1] = f"{lines[-1]} {s}".strip()
+    return [x for x in lines if x]
 
 
 def test_packing_of_sentences_against_plain_code(spark):
