@@ -29,7 +29,7 @@ from .common import Scratch, open_fs, read_file, scan_text, write_file
 from .tokens import Encoder
 
 #: Probability bits; lanes of a block; ids of a block; steps between checkpoints; ids of a file; segments that a reader takes at once.
-BITS, LANES, BLOCK, CHECKPOINT, FILE_IDS, TAKEN = 22, 2048, 1 << 19, 128, 1 << 23, 4
+BITS, LANES, BLOCK, CHECKPOINT, FILE_IDS, TAKEN = 22, 2048, 1 << 19, 128, 1 << 23, 8
 MAGIC, END = b"GLRANS02", b"GLRANSFT"
 #: Bytes of a segment's head: place in the words, CRC-32 of its ids, states.
 _HEAD = 8 + 8 * LANES
@@ -373,7 +373,8 @@ def read_archive(files: DataFrame, folder: str) -> DataFrame:
 
     parts = max(1, files.count())
     units = files.select("uri").repartition(min(parts, 10_000), "uri").mapInArrow(spread, "uri string, first long, last long")
-    units = units.repartition(min(FILE_IDS // (BLOCK * 2) * parts, 10_000), "uri", "first").sortWithinPartitions("uri", "first")
+    # a task makes the table of symbols once, so that tasks take a quarter of a full file or more
+    units = units.repartition(min(2 * parts, 10_000), "uri", "first").sortWithinPartitions("uri", "first")
     found = units.mapInArrow(run, "uri string, doc long, doc_id long, place long, n long, n_all long, crc long")
     shape = "doc_id long, start long, n_tokens long, ids_crc32 long"
     # a row of a split document for each segment that it is in; both branches read the parts from a table
