@@ -11,9 +11,10 @@ pieces of the same anchor, where they stand in the same columns once pieces are
   round inserts one symbol of every piece, which gives the order of all suffixes that begin in that column (the
   collection's Burrows-Wheeler transform, column by column: the symbols of the next round in this order) and
   the common prefixes of neighbours.  As pieces are aligned, suffixes of different columns need not be merged.
-  Beyond SORTED pieces columns lie in files of the shared folder, one for each block of pieces, and are
-  read one after the other; the order and the prefixes of the last column alone are in memory.  Where neighbours share LENGTH bytes or more,
-  windows are equal, and all but the first are repeats.
+  Beyond SORTED pieces columns lie in files of the shared folder, one for each block of pieces, and are read one
+  after the other; the order and the prefixes of the last column alone are in memory.  Where neighbours share
+  LENGTH bytes or more, windows are equal, and all but the first are repeats.
+* An anchor of more than HOT classes would be too much for one task: its windows are met by hash, one row each.
 
 Defined results: a null text is empty; "earlier" is a smaller doc_id, or the same and an earlier start; rows that
 repeat a doc_id are documents of their own, and equal strings at equal starts in them are not earlier than each
@@ -38,6 +39,8 @@ from .jaccard import _BYTE, _powers
 LENGTH, GRAM = 100, 32
 #: Pieces that are sorted together, about (a single anchor's classes always are); above it columns are in a file.
 SORTED = 100_000
+#: Classes of one anchor, beyond which its windows are met by their hashes instead of in one task's sort.
+HOT = 200_000
 NO_ID = -(1 << 63)
 
 
@@ -189,9 +192,11 @@ def repeats(documents: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
     copies = met.join(more, ["h", "ph"]).where("d <> d0 OR s <> s0").select("d", "crc", F.col("s").alias("a"), end.alias("b"))
 
     # classes of anchors that have several: their first occurrences, with their bytes
-    several = first.groupBy("h").agg(F.min("ph").alias("x"), F.max("ph").alias("y")).where("x <> y").select("h")
-    chosen = first.join(several, "h").select("h", "first.*").groupBy("d", "crc").agg(F.collect_list(F.struct("h", "s", "meta")).alias("own"))
-    texts = chosen.join(docs.withColumnRenamed("doc_id", "d"), "d").select("d", "crc", "own", "text")
+    several = scratch.table(first.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+
+    def texts_of(anchors: DataFrame) -> DataFrame:
+        chosen = first.join(anchors.select("h"), "h").select("h", "first.*").groupBy("d", "crc").agg(F.collect_list(F.struct("h", "s", "meta")).alias("own"))
+        return chosen.join(docs.withColumnRenamed("doc_id", "d"), "d").select("d", "crc", "own", "text")
 
     def bring(batches):
         for batch in batches:
@@ -242,15 +247,46 @@ def repeats(documents: DataFrame, scratch: Scratch, length: int = LENGTH, gram:
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
 
-    brought = texts.mapInArrow(bring, "h long, d long, crc long, s long, a long, piece binary")
+    shape = "h long, d long, crc long, s long, a long, piece binary"
+    brought = texts_of(several.where(F.col("n") <= HOT)).mapInArrow(bring, shape)
     shared = scratch.table(brought.repartition("h").sortWithinPartitions("h", "d", "s").mapInArrow(compare, "d long, crc long, a long, b long"), "shared")
+    if not several.where(F.col("n") > HOT).isEmpty():
+        shared = shared.union(_by_hash(texts_of(several.where(F.col("n") > HOT)).mapInArrow(bring, shape), scratch, length))
     spans = copies.union(shared).groupBy("d", "crc").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b"))
     spans = scratch.table(spans, "spans")
-    for name in ("met", "classes", "shared"):
+    for name in ("met", "classes", "shared", "several", "windows", "firsts"):
         scratch.drop(name)
     return spans
 
 
+def _by_hash(brought: DataFrame, scratch: Scratch, length: int) -> DataFrame:
+    """d, crc, a, b of windows of pieces (those of very hot anchors) that occur earlier in another piece, by 128 bits of
+    hash: as many rows as windows, met by the window's own hash, so that no anchor is gathered anywhere."""
+
+    def windows(batches):
+        for batch in batches:
+            data, starts = byte_column(batch.column(5))
+            for a, b in chunks(np.diff(starts)):
+                own, at = data[starts[a] : starts[b]], starts[a : b + 1] - starts[a]
+                up, down = _powers(len(own) + 1)
+                halves = []
+                for table in (_BYTE, mix(_BYTE + np.uint64(1))):
+                    sums = np.zeros(len(own) + 1, np.uint64)
+                    np.cumsum(table[own] * up[: len(own)], out=sums[1:])
+                    halves.append(mix((sums[length:] - sums[:-length]) * down[: max(0, len(own) - length + 1)]).view(np.int64))
+                n = np.maximum(np.diff(at) - length + 1, 0)
+                piece = np.repeat(np.arange(b - a), n)
+                offset = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
+                place = at[piece] + offset
+                d, crc, s = (np.asarray(batch.column(c))[a:b][piece] for c in (1, 2, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (halves[0][place], halves[1][place], d, crc, s + offset)], ["x", "y", "d", "crc", "s"])
+
+    each = scratch.table(brought.mapInArrow(windows, "x long, y long, d long, crc long, s long"), "windows")
+    firsts = scratch.table(each.groupBy("x", "y").agg(F.min(F.struct("d", "s")).alias("f"), F.count(F.lit(1)).alias("c")).where("c > 1"), "firsts")
+    later = each.join(firsts, ["x", "y"]).where("d <> f.d OR s <> f.s")
+    return scratch.table(later.select("d", "crc", F.col("s").alias("a"), (F.col("s") + length).alias("b")), "hot")
+
+
 def merged(a: list[int], b: list[int]) -> np.ndarray:
     """Maximal runs that intervals cover; touching ones are one."""
     a, b = np.array(a, np.int64), np.array(b, np.int64)

@@ -54,6 +54,14 @@ def test_against_brute_force(spark, seed, monkeypatch):
     assert sorted(tuple(r) for r in repeats.digest(docs, Scratch(spark, "t")).collect()) == brute(rows)
 
 
+@pytest.mark.parametrize("hot", [0, 3])
+def test_hot_anchors_against_brute_force(spark, hot, monkeypatch):
+    monkeypatch.setattr(repeats, "HOT", hot)
+    rows = corpus(4 + hot)
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in rows], "doc_id long, text string, s int, h int").repartition(3)
+    assert sorted(tuple(r) for r in repeats.digest(docs, Scratch(spark, "t")).collect()) == brute(rows)
+
+
 def test_columns_in_a_file_give_the_same(tmp_path):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 4, 400).astype(np.uint8).tobytes()
