@@ -34,7 +34,7 @@ SAMPLE_DOCS, BUCKETS, LONGEST, PENALTY = 1500, 1 << 16, 4, 6.0
 #: Words a worker remembers; the least share of a language's letters that makes a script one of its own; floor of a word's score.
 CACHE_WORDS, SCRIPT_SHARE, FLOOR = 300_000, 0.02, -8.0
 #: Shares below which a text is of no language: of words in spans of its main one, of letters in learned scripts.
-LEAST_SHARE, LEAST_KNOWN = 0.3, 0.5
+LEAST_SHARE, LEAST_KNOWN = 0.25, 0.5
 
 #: First and last code points of scripts.
 SCRIPTS = [
