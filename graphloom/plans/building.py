@@ -8,6 +8,7 @@ from ..functions import prompts, providers, text
 from ..operators import build, clean, graph, retrieval, templates
 from ..sources import files, folders
 from ..storage import Steps
+from ..streaming import watch
 from . import views
 from .registry import CLASS, ITEMS, TYPES, _items, _type_nodes, query, triples_of
 from .views import table
@@ -111,6 +112,39 @@ def split_rows(spark, d):
     return files.split_of(spark, root, "dev").withColumn("split", F.lit("dev")).unionByName(files.split_of(spark, root, "test").withColumn("split", F.lit("test")))
 
 
+@query("SELECT 'item' || p_partkey AS qid, p_type AS type, p_brand || ';' || p_size AS atoms, 'h|made_by|' || p_brand AS gold, CAST(p_size AS INTEGER) AS hops FROM part")
+def items_rows(spark, d):
+    root = f"{Steps(spark, 'items').root}/items"
+    p = table(spark, d, "part")
+    gold = F.array(F.struct(F.lit("h").alias("h"), F.lit("made_by").alias("r"), F.col("p_brand").alias("u")))
+    item = F.struct(F.concat(F.lit("item"), "p_partkey").alias("qid"), F.col("p_type").alias("type"), F.array("p_brand", F.col("p_size").cast("string")).alias("answer_atoms"), gold.alias("gold_triples"), F.col("p_size").cast("int").alias("hops"))
+    # some documents are lists, some have an envelope
+    whole = p.groupBy((F.col("p_partkey") % 4).alias("k")).agg(F.to_json(F.collect_list(item)).alias("x"))
+    whole.select(F.concat(F.lit("doc"), "k", F.lit(".json")).alias("name"), F.when(F.col("k") % 2 == 0, F.concat(F.lit('{"items": '), "x", F.lit("}"))).otherwise(F.col("x")).cast("binary").alias("content")).transform(lambda x: Steps(spark, "itemdocs")(folders.write_rows(x, root), "written"))
+    got = files.items_of(spark, root)
+    return got.select("qid", "type", F.array_join("answer_atoms", ";").alias("atoms"), F.concat_ws("|", F.col("gold_triples")[0]["h"], F.col("gold_triples")[0]["r"], F.col("gold_triples")[0]["u"]).alias("gold"), "hops")
+
+
+@query("""SELECT 'h' || page_id AS h, 'seen_in' AS r, 'first' AS u, CAST(-1 AS BIGINT) AS epoch FROM pages WHERE page_id % 3 <> 0 UNION ALL SELECT 'h' || page_id, 'seen_in', CASE WHEN page_id % 3 = 0 THEN 'first' ELSE 'second' END, -2 FROM pages WHERE page_id % 3 <> 1
+UNION ALL SELECT 'h' || page_id, 'seen_in', CASE WHEN page_id % 3 = 2 THEN 'second' ELSE 'first' END, -3 FROM pages""")
+def rescanned_triples(spark, d):
+    steps = Steps(spark, "rescan")
+    root, manifest, triples = (f"{steps.root}/{x}" for x in ("raw", "manifest", "triples"))
+    p = table(spark, d, "pages")
+    made = lambda rows, word: steps(folders.write_rows(rows.select(F.concat(F.lit("f"), "page_id", F.lit(".txt")).alias("name"), F.concat(F.lit("h"), "page_id", F.lit(" | Seen in | "), word).cast("binary").alias("content")), root), "written")
+
+    def grown(new):
+        return build.numbered_candidates(providers.extract(build.paragraphs(new))).select("h", "r", "u", "source")
+
+    made(p.where("page_id % 3 <> 0"), F.lit("first"))
+    watch.rescan(spark, root, grown, manifest, triples)
+    made(p.where("page_id % 3 = 0"), F.lit("first"))
+    made(p.where("page_id % 3 = 2"), F.lit("second"))
+    for force in (False, False, True):  # what is new or changed, nothing, and everything again
+        watch.rescan(spark, root, grown, manifest, triples, force)
+    return spark.read.parquet(triples).select("h", "r", "u", F.col("epoch").cast("long").alias("epoch"))
+
+
 @query("SELECT 'doc' || conv_id AS stem, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS page, text FROM conversations WHERE conv_id % 3 = 0")
 def page_texts(spark, d):
     c = table(spark, d, "conversations")

@@ -460,7 +460,14 @@ def contained_items(spark, d):
     return text_join.contained(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-@query()
+@query("""WITH b AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^[\\s]+|[\\s]+$', '', 'g')), lambda x: x <> '') AS blocks FROM documents),
+m AS (SELECT doc_id, list_reduce(list_prepend({'done': CAST([] AS VARCHAR[]), 'held': ''}, list_transform(blocks, lambda x: {'done': CAST([] AS VARCHAR[]), 'held': x})), lambda a, x: CASE WHEN length(CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || x.held END) >= 120
+  THEN {'done': list_append(a.done, CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || x.held END), 'held': ''} ELSE {'done': a.done, 'held': CASE WHEN a.held = '' THEN x.held ELSE a.held || chr(10) || x.held END} END) AS got FROM b),
+j AS (SELECT doc_id, CASE WHEN got.held = '' THEN got.done WHEN len(got.done) = 0 THEN [got.held] ELSE list_append(got.done[:-2], got.done[-1] || chr(10) || got.held) END AS merged FROM m),
+p AS (SELECT doc_id, list_transform(merged, lambda t: CASE WHEN length(t) <= 2000 THEN [t] ELSE list_reduce(list_prepend(CAST([] AS VARCHAR[]), list_transform(flatten(list_transform(list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^[\\s]+|[\\s]+$', '', 'g')), lambda x: x <> ''), lambda x: list_concat(list_transform(range(0, (length(x) - 1) // 2000), lambda i: chr(2) || substr(x, i * 2000 + 1, 2000)), [trim(substr(x, ((length(x) - 1) // 2000) * 2000 + 1))]))), lambda x: [x])),
+  lambda a, x: CASE WHEN len(a) = 0 THEN x WHEN starts_with(x[1], chr(2)) OR starts_with(a[-1], chr(2)) OR length(a[-1]) + length(x[1]) + 1 > 2000 THEN list_append(a, x[1]) ELSE list_append(a[:-2], a[-1] || ' ' || x[1]) END) END) AS parts FROM j),
+f AS (SELECT doc_id, list_transform(flatten(parts), lambda x: replace(x, chr(2), '')) AS parts FROM p)
+SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS para_no, unnest(parts) AS text FROM f""")
 def document_paragraphs(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(text.split_paragraphs("text")).alias("para_no", "text"))
 
@@ -663,7 +670,10 @@ def beam_walk(spark, d):
     return out.select("qid", "subquery", "path", F.array_join("cited", ";").alias("cited"), F.array_join("edges", ";").alias("edges"), F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT 'q' || l_orderkey AS qid, l_linenumber % 3 AS c, list('p' || (l_partkey % 9) ORDER BY l_linenumber, 'p' || (l_partkey % 9)) AS edges FROM lineitem GROUP BY ALL),
+p AS (SELECT qid, coalesce(any_value(edges) FILTER (c = 0), CAST([] AS VARCHAR[])) AS a, coalesce(any_value(edges) FILTER (c = 1), CAST([] AS VARCHAR[])) AS b FROM l GROUP BY qid),
+w AS (SELECT qid, a, b, CAST([] AS VARCHAR[]) AS taken, 0 AS i FROM p UNION ALL SELECT qid, a, b, CASE WHEN len(taken) >= 5 THEN taken ELSE list_concat(taken, list_slice(list_filter(CASE WHEN i % 2 = 0 THEN a ELSE b END, lambda x: NOT list_contains(taken, x)), 1, 1)) END, i + 1 FROM w WHERE i < 24)
+SELECT qid, CAST(generate_subscripts(taken, 1) AS INTEGER) AS rank, unnest(taken) AS edge FROM w WHERE i = 24""")
 def evidence_by_turns(spark, d):
     l = table(spark, d, "lineitem").select(F.concat(F.lit("q"), "l_orderkey").alias("qid"), (F.col("l_linenumber") % 3).alias("c"), "l_linenumber", F.concat(F.lit("p"), F.col("l_partkey") % 9).alias("edge"))
     chains = l.groupBy("qid", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "edge"))), lambda s: s["edge"]).alias("edges"), F.max("l_linenumber").cast("double").alias("score"))

@@ -104,4 +104,4 @@ def test_agent_numbers_facts_for_good(spark):
 
 def test_every_query_but_few_has_sql():
     missing = set(catalogue.queries()) - set(catalogue.oracle_sql())
-    assert missing == {"document_paragraphs", "beam_walk", "evidence_by_turns"} and len(catalogue.queries()) > 150
+    assert missing == {"beam_walk"} and len(catalogue.queries()) > 160
