@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, byte_column, chunks, mix, trim
+from .common import BATCH_BYTES, bound_batches, byte_column, chunks, mix, trim
 
 UND = "und"
 #: Documents that a language's counts are taken from, about; hashed n-grams; longest n-gram; penalty of a switch.
@@ -233,7 +233,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             starts = byte_column(batch.column(1))[1]
-            for a, b in chunks(np.diff(starts)):
+            for a, b in chunks(np.diff(starts), BATCH_BYTES):
                 part = batch.slice(a, b - a)
                 by_lang: dict[int, list[str]] = {}
                 for name, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -291,7 +291,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_i
         labeller = get()
         for batch in batches:
             starts = byte_column(batch.column(1))[1]
-            for a, b in chunks(np.diff(starts)):
+            for a, b in chunks(np.diff(starts), BATCH_BYTES):
                 part = batch.slice(a, b - a)
                 found = judged(part.column(1).to_pylist(), labeller)
                 rows = [[{"lang": x, "start": i, "end": j} for x, i, j in s] for _, _, s in found]
@@ -313,7 +313,7 @@ def identified(docs: DataFrame, model: Model, text: str = "text", lang: str = "l
         labeller = get()
         for batch in batches:
             starts = byte_column(batch.column(at))[1]
-            for a, b in chunks(np.diff(starts)):
+            for a, b in chunks(np.diff(starts), BATCH_BYTES):
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 if labeller is None:
