@@ -48,6 +48,8 @@ SKETCH, SKETCH_BLOCK, MOST_LIGHT = 1 << 21, 1 << 12, 20
 #: pairs that a round must settle for another one; pairs for each prefix shingle of a list's sets that it stays whole with;
 #: the share of a list's pairs that longer keys may leave to be used; most shingles of a key; words of a bitmap.
 LEADERS, PAIRS, SETTLED, STAYS, WORTH, DEEPEST, BITMAP = 4, 4, 0.1, 4, 0.25, 4, 8
+#: Pairs whose ids are broadcast to find their texts (16 bytes each).
+FEW = 100_000
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -225,7 +227,11 @@ def bitmap(own: np.ndarray) -> np.ndarray:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """Those of pairs (a, b) that link.  Rows come sorted by b, so that a leader's set is made once for a run of rows."""
+    """Those of pairs (a, b; a written table) that link.  Rows come sorted by b, so that a leader's set is made once for
+    a run of rows.  Of few pairs, whose ids are counted first, only their own texts are moved."""
+    if pairs.count() <= FEW:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
     left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
     rows = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
 
@@ -315,7 +321,7 @@ def join(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
     # and sets that both were in a list dealt anew may have met there
     rest = F.expr(f"greatest(({NUM} * n + {DEN - 1}) div {DEN}, ({NUM} * m + {DEN - 1}) div {DEN}) - 1")
     second = meeting.where((F.least("n", "m") <= light) | F.col("cut") | (F.col("times") >= F.expr(least) - rest)).select("a", "b")
-    more = scratch.table(verify(second, plain, words), "links_last")
+    more = scratch.table(verify(scratch.table(second, "second"), plain, words), "links_last")
     scratch.drop("texts")
     scratch.drop("last")
     return docs.join(reps, key, "left").select("doc_id", "n", "rep"), links.union(more)
