@@ -185,9 +185,12 @@ def dictionary(pages: DataFrame) -> bytes:
     """A dictionary from a bounded sample of pages; empty where there are too few of them."""
     import zstandard
 
-    # the pages of least hash, so that the same pages give the same archive
-    chosen = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).where("length(h) > 64").orderBy(F.xxhash64("h"), "h").limit(SAMPLE_PAGES)
-    sample = [r[0].encode() for r in chosen.collect()]
+    # the pages of least hash, so that the same pages give the same archive; a share of hashes is cut first, so that
+    # tasks have few rows to send
+    share = min(1.0, 4 * SAMPLE_PAGES / max(pages.count(), 1))
+    heads = pages.select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).where("length(h) > 64").withColumn("x", F.xxhash64("h"))
+    chosen = heads.where(F.pmod("x", F.lit(1 << 20)) < share * (1 << 20)).orderBy("x", "h").limit(SAMPLE_PAGES)
+    sample = [r["h"].encode() for r in chosen.collect()]
     if len(sample) < 32:
         return b""
     try:
