@@ -23,8 +23,13 @@ def shared_folder(spark: SparkSession) -> str:
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="graphloom-"))
             atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
-        found = _OWN[0]
-    return (found if "://" in found else f"file://{found}" if found.startswith("/") else found).rstrip("/")
+        found = f"file://{_OWN[0]}"
+    if "://" not in found:  # in the file system that paths without one mean here
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        if found.startswith("file:/") and not found.startswith("file://"):
+            found = f"file://{found.removeprefix('file:')}"
+    return found.rstrip("/")
 
 
 def delete_at_end(spark: SparkSession, path: str) -> None:
