@@ -36,7 +36,7 @@ METHODS: dict[str, Callable[[dict], DataFrame]] = {
     "fmt": lambda x: retrieval.flat_evidence(x["scores"], x["triples"], x.get("budget", DEFAULT.evidence)),
     "graph": lambda x: retrieval.ego_evidence(x["ranked"], ego_units(x["triples"]), budget=x.get("budget", DEFAULT.evidence)),
     "react": lambda x: react(x["questions"], x["decide"], x["facts"], x["materialise"], keep=x.get("budget", DEFAULT.evidence)),
-    "wikiwalk": lambda x: search.evidence_rows(x["chains"], x.get("budget", DEFAULT.evidence)),
+    "walk": lambda x: search.evidence_rows(x["chains"], x.get("budget", DEFAULT.evidence)),
 }
 
 

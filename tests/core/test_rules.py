@@ -85,11 +85,11 @@ def test_a_cluster_needs_a_shared_folder():
 
 
 def test_methods_by_name(spark):
-    assert set(methods.METHODS) == {"direct", "know", "know+", "fmt", "graph", "react", "wikiwalk"}
+    assert set(methods.METHODS) == {"direct", "know", "know+", "fmt", "graph", "react", "walk"}
     with pytest.raises(ValueError):
         methods.retrieve("none", {})
     chains = spark.createDataFrame([("q", "support", 1.0, ["a|r|b", "b|r|c"]), ("q", "partial", 2.0, ["a|r|b", "x|r|y"])], "qid string, verdict string, score double, edges array<string>")
-    assert [(r.h, r.u) for r in methods.retrieve("wikiwalk", {"chains": chains, "budget": 3}).orderBy("k").collect()] == [("a", "b"), ("x", "y"), ("b", "c")]
+    assert [(r.h, r.u) for r in methods.retrieve("walk", {"chains": chains, "budget": 3}).orderBy("k").collect()] == [("a", "b"), ("x", "y"), ("b", "c")]
 
 
 def test_agent_numbers_facts_for_good(spark):
