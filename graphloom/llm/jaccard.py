@@ -48,6 +48,9 @@ SKETCH, SKETCH_BLOCK, MOST_LIGHT = 1 << 21, 1 << 12, 20
 #: pairs that a round must settle for another one; pairs for each prefix shingle of a list's sets that it stays whole with;
 #: the share of a list's pairs that longer keys may leave to be used; most shingles of a key; words of a bitmap.
 LEADERS, PAIRS, SETTLED, STAYS, WORTH, DEEPEST, BITMAP = 4, 4, 0.1, 4, 0.25, 4, 8
+#: Parts of the postings that are shuffled one after the other (a power of two); sets whose ids are broadcast to find their
+#: texts (more are joined).
+PARTS, FETCHED = 4, 1 << 20
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -149,11 +152,11 @@ def boundary(counts: dict[int, int], heavy_rows: int, meets: float) -> int:
 
 
 def scan(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[DataFrame, np.ndarray]:
-    """First pass: a row per document (doc_id, n, f1, f2), and the sketch of all shingles of all documents."""
+    """First pass: a row per document (doc_id, n, f1, f2, wide: its bitmap), and the sketch of all shingles of all documents."""
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.int64)
-        names = ["doc_id", "n", "f1", "f2", "block", "counts"]
+        names = ["doc_id", "n", "f1", "f2", "wide", "block", "counts"]
         for batch in batches:
             for rows, data, starts in text_chunks(batch):
                 sets = shingle_sets(data, starts, words)
@@ -161,13 +164,13 @@ def scan(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
                 sketch += np.bincount((every >> np.uint64(43)).astype(np.int64), minlength=SKETCH)
                 prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
                 n = len(sets)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints[:, 0]), pa.array(prints[:, 1]), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], names)
         for b in range(SKETCH // SKETCH_BLOCK):
             own = sketch[b * SKETCH_BLOCK : (b + 1) * SKETCH_BLOCK]
             if own.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (pa.int64(),) * 4] + [pa.array([b], pa.int32()), pa.array([own.tobytes()], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, t) for t in (*(pa.int64(),) * 4, pa.binary())] + [pa.array([b], pa.int32()), pa.array([own.tobytes()], pa.binary())], names)
 
-    schema = "doc_id long, n long, f1 long, f2 long, block int, counts binary"
+    schema = "doc_id long, n long, f1 long, f2 long, wide binary, block int, counts binary"
     both = scratch.table(scan_text(documents).mapInArrow(run, schema), "scan")
 
     def add(table: pa.Table) -> pa.Table:
@@ -179,9 +182,11 @@ def scan(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
     blocks = both.where("block IS NOT NULL").select("block", "counts")
     salted = blocks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
     part = salted.groupBy("block", "salt").applyInArrow(add, "block int, counts binary")
-    for r in part.groupBy("block").applyInArrow(add, "block int, counts binary").toLocalIterator():
+    # written, as a table's shuffle files are deleted at once
+    for r in scratch.table(part.groupBy("block").applyInArrow(add, "block int, counts binary"), "sketch").toLocalIterator():
         sketch[r["block"] * SKETCH_BLOCK : (r["block"] + 1) * SKETCH_BLOCK] = np.frombuffer(r["counts"], np.int64)
-    return both.where("block IS NULL").select("doc_id", "n", "f1", "f2"), sketch
+    scratch.drop("sketch")
+    return both.where("block IS NULL").select("doc_id", "n", "f1", "f2", "wide"), sketch
 
 
 def ordered(own: np.ndarray, heavy_class: np.ndarray) -> np.ndarray:
@@ -211,7 +216,11 @@ def longer_keys(own: np.ndarray, heavy_class: np.ndarray, depth: int, keys: np.n
     reach = ordered(own, heavy_class)[: prefix(len(own)) + depth] & ~np.uint64(1)
     made, places, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for key, place in zip(keys.view(np.uint64), at.tolist(), strict=True):
-        place = int(np.flatnonzero(reach == key)[0]) if place < 0 else place
+        if place < 0:
+            found = np.flatnonzero(reach == key)
+            if not len(found):  # of another set under this id
+                continue
+            place = int(found[0])
         made.append(mix(reach[place + 1 :] * _R + key) & ~np.uint64(1))
         places.append(np.arange(place + 1, len(reach)))
         of.append(np.full(len(reach) - place - 1, np.uint64(key).view(np.int64)))
@@ -219,15 +228,65 @@ def longer_keys(own: np.ndarray, heavy_class: np.ndarray, depth: int, keys: np.n
 
 
 def bitmap(own: np.ndarray) -> np.ndarray:
-    """Parities of a set's shingles by 512 values of a hash: two sets differ in as many shingles as bits, at the least."""
-    at = (mix(own ^ np.uint64(0x9D39247E33776D41)) >> np.uint64(55)).astype(np.int64)
-    return np.packbits(np.bincount(at, minlength=64 * BITMAP)[: 64 * BITMAP] & 1 == 1, bitorder="little").view("<i8")
+    """Parities of a set's shingles by as many values of a hash as the set has shingles, at least (a power of two from 512
+    on): two sets differ in as many shingles as bits, at the least."""
+    size = max(64 * BITMAP, 1 << max(len(own) - 1, 0).bit_length())
+    at = (mix(own ^ np.uint64(0x9D39247E33776D41)) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=size) & 1 == 1, bitorder="little").view("<i8")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """Those of pairs (a, b) that link.  Rows come sorted by b, so that a leader's set is made once for a run of rows."""
-    left = pairs.join(texts.withColumnsRenamed({"id": "a", "text": "text_a"}), "a")
-    rows = left.join(texts.withColumnsRenamed({"id": "b", "text": "text_b"}), "b").select("a", "b", "text_a", "text_b")
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer values of the hash."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
+
+
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, other columns) whose bitmaps leave room for a link, with their fingerprints (a1, a2, b1, b2)."""
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"{side}n"), F.col("f1").alias(f"{side}1"), F.col("f2").alias(f"{side}2"), F.col("wide").alias(f"{side}w")), side)
+    names = [c for c in pairs.columns if c not in ("an", "bn", "aw", "bw")]
+
+    def run(batches):
+        for batch in batches:
+            n, m = (np.asarray(batch.column(c)) for c in ("an", "bn"))
+            room = n + m - 2 * -(-NUM * (n + m) // (NUM + DEN))
+            keep = np.zeros(len(n), bool)
+            for i, (x, y) in enumerate(zip(batch.column("aw").to_pylist(), batch.column("bw").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")  # of signed words the bits of absolute values are counted
+                words = min(len(x), len(y))
+                keep[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum() <= room[i]
+            yield batch.select(names).filter(pa.array(keep))
+
+    return pairs.mapInArrow(run, pairs.select(names).schema)
+
+
+def fetched(ids: DataFrame, documents: DataFrame, scratch: Scratch, name: str, words: int) -> DataFrame:
+    """id, f1, text of sets (id, f1, f2; a written table).  Texts are filtered where they are read; only those of more sets
+    than FETCHED are all moved."""
+
+    def same(batches):
+        for batch in batches:
+            for part, data, starts in text_chunks(batch):
+                sets = shingle_sets(data, starts, words)
+                keep = [fingerprint(s) == q for s, q in zip(sets, zip(part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True), strict=True)]
+                yield part.select(["id", "f1", "text"]).filter(pa.array(keep, pa.bool_()))
+
+    few = ids.count() <= FETCHED
+    found = scan_text(documents).join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("id")).select("id", "f1", "text", "f2")
+    # rows that repeat an id with an equal set are one
+    return scratch.table(found.mapInArrow(same, "id long, f1 long, text string").groupBy("id", "f1").agg(F.min("text").alias("text")), name)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, documents: DataFrame, scratch: Scratch, name: str, words: int = WORDS) -> DataFrame:
+    """Those of pairs (a, b, other columns) that link.  Bitmaps drop most of the others first, so that few texts are moved.
+    Rows come sorted by b, so that a leader's set is made once for a run of rows."""
+    others = pairs.columns
+    left = scratch.table(near(pairs, sets), f"near_{name}")
+    ids = left.select(F.col("a").alias("id"), F.col("a1").alias("f1"), F.col("a2").alias("f2")).union(left.select("b", "b1", "b2")).distinct()
+    texts = fetched(scratch.table(ids, f"ids_{name}"), documents, scratch, f"texts_{name}", words)
+    for side in "ab":
+        left = left.join(texts.withColumnsRenamed({"id": side, "f1": f"{side}1", "text": f"text_{side}"}), [side, f"{side}1"])
+    rows = left.select(*others, "b1", "text_a", "text_b")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         last = (None, None)
@@ -235,16 +294,19 @@ def verify(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
             for part, data, starts in text_chunks(batch, "text_a"):
                 sets = shingle_sets(data, starts, words)
                 keep = np.zeros(len(sets), bool)
-                b_ids, b_texts = part.column(1).to_pylist(), part.column(3)
+                b_ids, b_texts = list(zip(part.column("b").to_pylist(), part.column("b1").to_pylist(), strict=True)), part.column("text_b")
                 for i, own in enumerate(sets):
                     if last[0] != b_ids[i]:
                         raw = np.frombuffer(b_texts[i].as_py().encode(), np.uint8)
                         last = (b_ids[i], shingle_sets(raw, np.array([0, len(raw)]), words)[0])
                     both = len(np.intersect1d(own, last[1], assume_unique=True))
                     keep[i] = DEN * both >= NUM * (len(own) + len(last[1]) - both)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep))
+                yield part.select(others).filter(pa.array(keep))
 
-    return rows.mapInArrow(run, "a long, b long")
+    found = scratch.table(rows.mapInArrow(run, pairs.schema), f"links_{name}")
+    for table in ("near", "ids", "texts"):
+        scratch.drop(f"{table}_{name}")
+    return found
 
 
 def join(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
@@ -278,33 +340,34 @@ def join(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
     # a row names its set by half of the fingerprint: sets that share it by chance are compared like others.  Tables are
     # written before they are joined: a join straight on the aggregate would keep all rows of a key in one task
     postings = scratch.table(scan_text(documents).mapInArrow(run, "key long, f1 long"), "postings")
-    # lists that hold different sets; equal sets never count
-    shared = scratch.table(postings.groupBy("key").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("key"), "shared")
-    lists = scratch.table(postings.join(shared, "key").distinct(), "lists")
+    # lists that hold different sets; equal sets never count.  Part by part, so that little is shuffled at once
+    lists = None
+    for part in range(PARTS):
+        some = postings.where(F.shiftright("key", 1).bitwiseAND(F.lit(PARTS - 1)) == part)
+        shared = scratch.table(some.groupBy("key").agg(F.min("f1").alias("x"), F.max("f1").alias("y")).where("x <> y").select("key"), f"shared{part}")
+        kept = scratch.table(some.join(shared, "key").distinct(), f"lists{part}")
+        lists = kept if lists is None else lists.union(kept)
+        scratch.drop(f"shared{part}")
     scratch.drop("postings")
-    scratch.drop("shared")
     rows = scratch.table(lists.join(reps, "f1").select("key", F.col("rep").alias("id"), "n", F.col("rep").alias("g")), "open0")
-    scratch.drop("lists")
-    wanted = rows.select("id").distinct()
-    own = reps.join(wanted, F.col("rep") == F.col("id")).select("id", "f1", "f2")
+    for part in range(PARTS):
+        scratch.drop(f"lists{part}")
+    # rows that repeat an id with an equal set are one
+    whose = reps.withColumnRenamed("rep", "id")
+    marks = docs.join(whose, key).where("doc_id = id").groupBy("id", *key).agg(F.first("wide").alias("wide"))
 
-    def same(batches):
+    def fold(batches):
         for batch in batches:
-            for part, data, starts in text_chunks(batch):
-                sets = shingle_sets(data, starts, words)
-                keep = [fingerprint(s) == q for s, q in zip(sets, zip(part.column(2).to_pylist(), part.column(3).to_pylist()), strict=True)]
-                bits = pa.array([bitmap(s) for s in sets], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bits], ["id", "text", "bits"]).filter(pa.array(keep, pa.bool_()))
+            bits = pa.array([folded(np.frombuffer(x, "<i8"), BITMAP) for x in batch.column("wide").to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], [*batch.schema.names, "bits"])
 
-    found = scan_text(documents).join(own, F.col("doc_id") == F.col("id")).select("id", "text", "f1", "f2").mapInArrow(same, "id long, text string, bits array<long>")
-    # rows that repeat an id with an equal set are one
-    texts = scratch.table(found, "texts")
-    plain = texts.select("id", "text")
-    links, rows = _rounds(rows, plain, scratch, words)
-    rows, cut = _split(rows, plain, classes, scratch, words)
+    marks = marks.join(rows.select("id").distinct(), "id").select("id", "n", "f1", "f2", "wide")
+    sets = scratch.table(marks.mapInArrow(fold, "id long, n long, f1 long, f2 long, wide binary, bits array<long>"), "marks")
+    links, rows = _rounds(rows, sets, documents, scratch, words)
+    rows, cut = _split(rows, sets, documents, classes, scratch, words)
 
     # what is left: pairs of different groups, by list
-    rows = scratch.table(rows.join(texts.select("id", "bits"), "id").join(cut, "id", "left").withColumn("cut", F.col("cut").isNotNull()), "last")
+    rows = scratch.table(rows.join(sets.select("id", "n", "bits"), ["id", "n"]).join(cut, "id", "left").withColumn("cut", F.col("cut").isNotNull()), "last")
     x = rows.withColumnsRenamed({"id": "a", "g": "ga", "bits": "ba", "cut": "ca"})
     y = rows.withColumnsRenamed({"id": "b", "g": "gb", "n": "m", "bits": "bb", "cut": "cb"})
     least = f"({NUM} * (n + m) + {NUM + DEN - 1}) div {NUM + DEN}"
@@ -315,8 +378,8 @@ def join(documents: DataFrame, scratch: Scratch, words: int = WORDS) -> tuple[Da
     # and sets that both were in a list dealt anew may have met there
     rest = F.expr(f"greatest(({NUM} * n + {DEN - 1}) div {DEN}, ({NUM} * m + {DEN - 1}) div {DEN}) - 1")
     second = meeting.where((F.least("n", "m") <= light) | F.col("cut") | (F.col("times") >= F.expr(least) - rest)).select("a", "b")
-    more = scratch.table(verify(second, plain, words), "links_last")
-    scratch.drop("texts")
+    more = verify(second, sets, documents, scratch, "last", words)
+    scratch.drop("marks")
     scratch.drop("last")
     return docs.join(reps, key, "left").select("doc_id", "n", "rep"), links.union(more)
 
@@ -334,7 +397,7 @@ def _mixed(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     return scratch.table(of.where("groups > 1").select("key", "m", ((F.col("m") * F.col("m") - F.col("squares")) / 2).alias("cross"), "room", "common"), name)
 
 
-def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
+def _rounds(rows: DataFrame, sets: DataFrame, documents: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
     """Rounds of comparisons with list leaders.  rows: key, id, n and g (group) of lists.  Gives the links found, and the
     rows of lists that hold several groups.  All lists take part in the first round, long ones in those that follow."""
     links, before, turn, busy, moves = None, float("inf"), 0, rows, None
@@ -351,9 +414,9 @@ def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) ->
         met = busy.join(leaders, "key").where("g <> gb").where(FITS).groupBy("id", "g", "b", "gb").agg(F.count(F.lit(1)).alias("times"))
         best = met.groupBy("id", "g").agg(F.max(F.struct("times", (-F.col("b")).alias("minus"), "gb")).alias("x"))
         best = scratch.table(best.select(F.col("id").alias("a"), (-F.col("x.minus")).alias("b"), F.col("g").alias("ga"), F.col("x.gb").alias("gb")), f"tried{turn}")
-        found = scratch.table(verify(best.select("a", "b"), texts, words), f"links{turn}")
-        links = found if links is None else links.union(found)
-        joined = components(best.join(found, ["a", "b"], "left_semi").select(F.col("ga").alias("a"), F.col("gb").alias("b")), scratch, f"grow{turn}_")
+        found = verify(best, sets, documents, scratch, str(turn), words)
+        links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
+        joined = components(found.select(F.col("ga").alias("a"), F.col("gb").alias("b")), scratch, f"grow{turn}_")
         grown = scratch.table(joined, f"grown{turn}")
         if turn == 0:
             now = placed(rows, grown)
@@ -381,7 +444,7 @@ def _rounds(rows: DataFrame, texts: DataFrame, scratch: Scratch, words: int) ->
     return links, rows
 
 
-def _split(rows: DataFrame, texts: DataFrame, classes, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
+def _split(rows: DataFrame, sets: DataFrame, documents: DataFrame, classes, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
     """Lists of prefix shingles with many more pairs than their sets have prefix shingles, dealt anew under keys of one
     shingle more, as long as there are any and links need to share so many.  Gives all rows, and the ids that were in
     such lists (id, cut)."""
@@ -409,7 +472,9 @@ def _split(rows: DataFrame, texts: DataFrame, classes, scratch: Scratch, words:
             break
         # of each set, at most the keys of its prefix
         own = rows.join(long.select(F.col("of").alias("key")), "key").groupBy("id", "n", "g").agg(F.collect_list(F.struct("key", "at")).alias("own"))
-        given = own.join(texts, "id").select("id", "n", "g", "text", "own")
+        ids = scratch.table(own.join(sets.select("id", "n", "f1", "f2"), ["id", "n"]).select("id", "n", "g", "own", "f1", "f2"), f"own{depth}")
+        texts = fetched(ids.select("id", "f1", "f2").distinct(), documents, scratch, f"texts_long{depth}", words)
+        given = ids.join(texts, ["id", "f1"]).select("id", "n", "g", "text", "own")
         dealt = scratch.table(given.mapInArrow(run_at(depth), "key long, id long, n long, g long, at long, of long"), f"dealt{depth}")
         turn = _mixed(dealt, scratch, f"long{depth}")
         parts = dealt.select("key", "of").distinct().join(turn, "key").groupBy("of").agg(F.sum("cross").alias("now"))
@@ -417,12 +482,13 @@ def _split(rows: DataFrame, texts: DataFrame, classes, scratch: Scratch, words:
         better = scratch.table(long.join(parts, "of", "left").where(F.coalesce("now", F.lit(0.0)) < WORTH * F.col("cross")).select("of"), f"better{depth}")
         kept.append(rows.join(better.select(F.col("of").alias("key")), "key", "left_anti"))
         rows = scratch.table(dealt.join(better, "of").select("key", "id", "n", "g", "at"), f"kept{depth}")
-        scratch.drop(f"dealt{depth}")
+        for name in (f"dealt{depth}", f"own{depth}", f"texts_long{depth}"):
+            scratch.drop(name)
         cut.append(rows.select("id"))
         turn = turn.join(rows.select("key").distinct(), "key", "left_semi")
     for other in kept:
         rows = rows.unionByName(other)
-    ids = cut[0] if cut else texts.select("id").limit(0)
+    ids = cut[0] if cut else sets.select("id").limit(0)
     for other in cut[1:]:
         ids = ids.union(other)
     return rows.select("key", "id", "n", "g"), ids.distinct().withColumn("cut", F.lit(True))

@@ -172,3 +172,43 @@ def test_one_row_of_each_class(spark):
     kept = jaccard.representatives(docs, Scratch(spark, "t"))
     assert kept.dtypes == docs.dtypes
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (None, ""), (7, None)], key=str)
+
+
+def test_bitmaps_never_exceed_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m, both in [(3, 4, 2), (500, 600, 450), (511, 520, 1), (700, 3000, 600), (5000, 5100, 4900), (9000, 9100, 0)]:
+        every = rng.integers(0, 1 << 63, n + m - both, np.uint64)
+        x, y = jaccard.bitmap(every[:n]), jaccard.bitmap(every[n - both :])
+        words = min(len(x), len(y))
+        apart = int(np.bitwise_count((jaccard.folded(x, words) ^ jaccard.folded(y, words)).view("<u8")).sum())
+        assert apart <= n + m - 2 * both
+        if not both or n == 511:  # and leave no room for a link of sets that have little in common
+            assert apart > n + m - 2 * jaccard.needed(n, m)
+
+
+def test_only_texts_of_likely_pairs_are_moved(spark, monkeypatch):
+    rng, written = random.Random(9), {}
+    common = "one two three four five six seven eight nine ten"
+    texts = [" ".join(f"w{rng.randrange(10_000)}" for _ in range(60)) + " " + common for _ in range(300)]
+    rows = list(enumerate(texts + [t + " more" for t in texts[:10]]))
+    table = Scratch.table
+
+    def noted(self, df, name):
+        out = table(self, df, name)
+        written[name] = out.count() if "text" in out.columns else 0
+        return out
+
+    monkeypatch.setattr(Scratch, "table", noted)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "few"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert max(written.values()) <= 40
+
+
+def test_many_edges_and_many_texts(spark, monkeypatch):
+    from graphloom.llm import components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", 0)
+    monkeypatch.setattr(jaccard, "FETCHED", 0)
+    rows = corpus(4)
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "many"))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
