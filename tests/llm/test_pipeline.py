@@ -1,3 +1,4 @@
+import os
 import random
 
 import test_decontaminate
@@ -79,3 +80,11 @@ def test_stages_with_odd_rows_and_clashing_columns(spark, tmp_path):
     assert [r for r, _ in kept["near_duplicates"]] == [0, 2, 7] or [r for r, _ in kept["near_duplicates"]] == [1, 2, 7]
     assert kept["decontamination"] == kept["repeat_removal"] == kept["near_duplicates"]
     assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()} == {1, 3}
+
+
+def test_tables_that_no_later_stage_reads_are_deleted(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(name, lambda spark, docs, sf_dir: docs) for name in ("one", "two", "three")])
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    folder = os.path.dirname(out.inputFiles()[0].removeprefix("file://"))
+    assert os.listdir(os.path.dirname(folder)) == ["three"] and out.count() == 2
