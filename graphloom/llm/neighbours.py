@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
+from .common import BATCH_BYTES, Scratch, mix, trim
 
 #: Vectors of a list, about; most lists; sampled vectors for each list; neighbours of a centroid in the graph.
 LIST, MOST_LISTS, SAMPLED, DEGREE = 128, 8192, 24, 24
@@ -148,7 +148,9 @@ def top(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np
     limit = np.partition(rough, len(ids) - n, axis=1)[:, len(ids) - n]
     # single precision only prepares: all that may tie with the last one are scored exactly
     q, v = np.nonzero((rough >= limit[:, None] - 1e-5) & np.isfinite(rough))
-    score = cosine(queries[q], vectors[v])
+    # of copies of one vector all tie, which may be every pair of a block
+    step = max(1, BATCH_BYTES // (8 * vectors.shape[1]))
+    score = np.concatenate([np.zeros(0), *(cosine(queries[q[i : i + step]], vectors[v[i : i + step]]) for i in range(0, len(q), step))])
     order = np.lexsort((ids[v], -score, q))
     q, v, score = q[order], v[order], score[order]
     head = np.searchsorted(q, q, "left")
@@ -219,6 +221,14 @@ def near_lists(graph: Graph, unit_queries: np.ndarray, ratio: float) -> tuple[np
     return np.nonzero(d <= d.min(1, keepdims=True) * ratio)
 
 
+def dealt(part: pa.RecordBatch, rows: np.ndarray, lists: np.ndarray):
+    """Batches of list, id and v for vectors (id, v) that stand in several lists: of bounded bytes, however many lists."""
+    step = max(1, BATCH_BYTES // (8 * max(1, len(part.column(1).flatten()) // max(1, part.num_rows))))
+    for i in range(0, len(rows), step):
+        r = pa.array(rows[i : i + step])
+        yield pa.RecordBatch.from_arrays([pa.array(lists[i : i + step].astype(np.int64)), part.column(0).take(r), part.column(1).take(r)], ["list", "id", "v"])
+
+
 def found_share(graph: Graph, queries: list, ratio: float) -> float:
     """The share of true neighbours (query, [lists of a neighbour]...) that lie in lists which the search reads."""
     rows, lists = near_lists(graph, unit(np.array([q for q, _ in queries], np.float64)), ratio)
@@ -259,8 +269,8 @@ def search(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, r
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                r, lists = lists_of(held.value, unit(matrix(part.column(1))))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r))], ["list", "id", "v"])
+                yield from dealt(part, *lists_of(held.value, unit(matrix(part.column(1)))))
+            trim()
 
     placed = rows.select("vec_id", "v").mapInArrow(assign, "list long, id long, v array<double>")
     placed = scratch.table(placed, "placed")
@@ -287,8 +297,8 @@ def search(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 5, r
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                r, lists = near_lists(held.value, unit(matrix(part.column(1))), chosen)
-                yield pa.RecordBatch.from_arrays([pa.array(lists.astype(np.int64)), part.column(0).take(pa.array(r)), part.column(1).take(pa.array(r))], ["list", "id", "v"])
+                yield from dealt(part, *near_lists(held.value, unit(matrix(part.column(1))), chosen))
+            trim()
 
     wanted = asked.select("vec_id", "v").mapInArrow(choose, "list long, id long, v array<double>")
     asks = wanted.groupBy("list").agg(F.count(F.lit(1)).alias("c"))

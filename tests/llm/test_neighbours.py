@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from graphloom.llm import neighbours as nb
@@ -63,3 +64,25 @@ def test_graph_reaches_every_centroid():
     assert np.isfinite(g.search(q, 300)).all()
     near = g.search(q, 10)
     assert (near.argmin(1) == (q @ g.c.T).argmax(1)).mean() >= 0.95
+
+
+def test_memory_is_bounded_for_many_lists_and_many_copies():
+    import tracemalloc
+
+    vectors = pa.array(np.random.default_rng(1).standard_normal((64, 64)).tolist(), pa.list_(pa.float64()))
+    part = pa.RecordBatch.from_arrays([pa.array(range(64)), vectors], ["id", "v"])
+    rows, lists = np.indices((64, 2000))
+    seen = 0
+    for batch in nb.dealt(part, rows.ravel(), lists.ravel()):
+        assert batch.nbytes < 2 * nb.BATCH_BYTES
+        assert np.array_equal(batch.column("list"), lists.ravel()[seen : seen + batch.num_rows])
+        assert np.array_equal(batch.column("id"), rows.ravel()[seen : seen + batch.num_rows])
+        seen += batch.num_rows
+    assert seen == rows.size
+    same = np.ones((4000, 64))
+    tracemalloc.start()
+    q, v, score = nb.top(np.arange(4000), same, np.arange(128), same[:128], 5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert v[:5].tolist() == [1, 2, 3, 4, 5] and len(q) == 640 and np.allclose(score, 1)
+    assert peak < 100_000_000
