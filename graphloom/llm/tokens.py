@@ -4,6 +4,9 @@ A byte-level vocabulary splits text by a fixed pattern before it merges bytes.
 reach over two kinds of places: the end of a run of letters, and the front of a single space that stands
 directly before a letter.  A text cut there has the ids of its pieces, one after the other, so that the
 library has to encode each distinct piece once for a worker; tests hold this against the whole text.
+
+Texts of Latin-1 characters are cut and their short pieces found with arrays, many texts at once: a piece's characters
+and length are its key, so that what is found is the piece itself.
 """
 
 from __future__ import annotations
@@ -11,11 +14,14 @@ from __future__ import annotations
 import re
 import unicodedata
 from array import array
+from itertools import chain
 
 import numpy as np
 
 #: Distinct pieces that a worker remembers, and the longest of them in characters.
 CACHE_PIECES, CACHE_CHARS = 600_000, 40
+#: Characters of pieces that have a key of two 64-bit words (the last byte is the length); pieces looked up at once.
+SHORT, BLOCK = 15, 1 << 15
 
 _WORKERS: dict = {}
 
@@ -46,28 +52,167 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+_LETTER = np.array([chr(b).isalpha() for b in range(256)])
+_SPACE = np.uint8(32)
+#: For each length of a piece, what of its two words is its own; the length itself; nothing of longer pieces.
+_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)] + [0], np.uint64)
+_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)] + [0], np.uint64)
+_LENGTH = np.array([n << 56 for n in range(SHORT + 1)] + [0], np.uint64)
+
+
+class _Short:
+    """Ids of short pieces, by open addressing over arrays.  A span is a place in the pool of ids, times 64, and how many."""
+
+    def __init__(self, dtype: np.dtype, bits: int = 12):
+        self.n, self.pool, self.end = 0, np.zeros(1 << bits, dtype), 0
+        self._clear(bits)
+
+    def _clear(self, bits: int) -> None:
+        self.bits = bits
+        self.low, self.high, self.span = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
+
+    def _first(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def spans(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Zero for keys that are not there."""
+        slot = self._first(low, high)
+        h = self.high[slot]
+        left = np.flatnonzero(((h != high) | (self.low[slot] != low)) & (h != 0))
+        while len(left):
+            s = (slot[left] + 1) & ((1 << self.bits) - 1)
+            slot[left] = s
+            h = self.high[s]
+            left = left[((h != high[left]) | (self.low[s] != low[left])) & (h != 0)]
+        return self.span[slot]
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: list[list[int]]) -> None:
+        """Remember distinct keys that are not there."""
+        sizes = np.array([len(x) for x in ids], np.int64)
+        places = self.end + np.cumsum(sizes) - sizes
+        fresh = np.array(list(chain.from_iterable(ids)), self.pool.dtype)
+        if self.end + len(fresh) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.end], np.zeros(self.end + 2 * len(fresh), self.pool.dtype)])
+        self.pool[self.end : self.end + len(fresh)] = fresh
+        self.end += len(fresh)
+        self.n += len(ids)
+        span, bits = places * 64 + sizes, self.bits
+        while 3 * self.n > 1 << bits:  # probes stay short
+            bits += 1
+        if bits > self.bits:
+            used = np.flatnonzero(self.high)
+            old = self.low[used], self.high[used], self.span[used]
+            self._clear(bits)
+            self._put(*old)
+        self._put(low, high, span)
+
+    def _put(self, low: np.ndarray, high: np.ndarray, span: np.ndarray) -> None:
+        slot, left = self._first(low, high), np.arange(len(low))
+        while len(left):
+            own = left[self.high[slot[left]] == 0]
+            self.low[slot[own]], self.high[slot[own]], self.span[slot[own]] = low[own], high[own], span[own]
+            left = left[self.span[slot[left]] != span[left]]  # no two spans are alike
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+
 class _Pieces(dict):
-    """Ids of pieces, as bytes; a piece met for the first time is encoded by the library."""
+    """Ids of pieces, as bytes; a piece met for the first time is encoded by the library.  Short pieces of Latin-1 texts
+    are kept in arrays."""
 
     def __init__(self, tokenizer, dtype):
         super().__init__()
         self.whole, self.merge, self.letters = tokenizer.encode, tokenizer.model.tokenize, _byte_letters()
         self.code = "H" if dtype.itemsize == 2 else "I"
+        self.short = _Short(dtype)
+
+    def __len__(self) -> int:
+        return super().__len__() + self.short.n
 
     def __missing__(self, piece: str) -> bytes:
-        word = piece[1:] if piece[:1] == " " else piece
-        if word.isalpha():  # one match of the pattern: only merges are left to do
-            if piece.isascii():
-                ids = [t.id for t in self.merge(self.letters[32] + word if word is not piece else piece)]
-            else:
-                ids = [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
-        else:
-            ids = self.whole(piece, add_special_tokens=False).ids
-        found = array(self.code, ids).tobytes()
+        found = array(self.code, self.by_library(piece)).tobytes()
         if len(piece) <= CACHE_CHARS and len(self) < CACHE_PIECES:
             self[piece] = found
         return found
 
+    def by_library(self, piece: str) -> list[int]:
+        word = piece[1:] if piece[:1] == " " else piece
+        if word.isalpha():  # one match of the pattern: only merges are left to do
+            if piece.isascii():
+                return [t.id for t in self.merge(self.letters[32] + word if word is not piece else piece)]
+            return [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
+        return self.whole(piece, add_special_tokens=False).ids
+
+    def latin(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in Latin-1."""
+        raw = b"".join(texts)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        ends = np.cumsum(lengths)
+        begins = ends - lengths
+        data = np.frombuffer(raw, np.uint8)
+        letter = _LETTER[data]
+        # a piece begins behind a run of letters, at a space before a letter, and with a text
+        first, space = np.zeros(len(raw) + 1, bool), data[:-1] == _SPACE
+        first[1 : len(raw)] = letter[:-1] & ~letter[1:]
+        space &= letter[1:]
+        space[ends[(ends > 0) & (ends < len(raw))] - 1] = False
+        first[: len(space)] |= space
+        first[begins] = True
+        first[-1] = True
+        edges = np.flatnonzero(first)
+        words = np.frombuffer(raw + bytes(24 + -len(raw) % 8), "<u8")
+        ids, sizes = [], [np.zeros(1, np.int64)]
+        for a in range(0, len(edges) - 1, BLOCK):
+            found = self._block(raw, words, edges[a : a + BLOCK + 1])
+            ids.append(found[0])
+            sizes.append(found[1])
+        ids = np.concatenate([np.zeros(0, self.short.pool.dtype), *ids]).tobytes()
+        place = np.cumsum(np.concatenate(sizes)) * self.short.pool.itemsize
+        return [ids[a:b] for a, b in zip(place[np.searchsorted(edges, begins)].tolist(), place[np.searchsorted(edges, ends)].tolist(), strict=True)]
+
+    def _block(self, raw: bytes, words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces between edges, one after the other, and how many each has."""
+        begins, lengths = edges[:-1], np.diff(edges)
+        at, shift = begins >> 3, ((begins & 7) << 3).astype(np.uint64)
+        back = np.uint64(64) - shift  # shifts by 64 give zero
+        middle, kind = words[at + 1], np.minimum(lengths, SHORT + 1)
+        low = (words[at] >> shift | middle << back) & _LOW[kind]
+        high = (middle >> shift | words[at + 2] << back) & _HIGH[kind] | _LENGTH[kind]
+        span = self.short.spans(low, high)
+        missing = np.flatnonzero(span == 0)
+        if len(missing):
+            met, longer, kept, new, room = {}, [], [], [], CACHE_PIECES - len(self)
+            for i, start, end in zip(missing.tolist(), begins[missing].tolist(), edges[missing + 1].tolist(), strict=True):
+                piece = raw[start:end]
+                if piece in met:
+                    continue
+                if end - start > SHORT:
+                    met[piece] = None
+                    longer.append(piece)
+                    continue
+                met[piece] = ids = self.by_library(piece.decode("latin-1"))
+                if len(new) < room:
+                    kept.append(i)
+                    new.append(ids)
+            if kept:
+                self.short.add(low[kept], high[kept], new)
+                span[missing] = self.short.spans(low[missing], high[missing])
+                missing = missing[span[missing] == 0]
+            for piece in longer:
+                met[piece] = np.frombuffer(self[piece.decode("latin-1")], self.short.pool.dtype)
+        sizes, others = span & 63, []
+        for i, start, end in zip(missing.tolist(), begins[missing].tolist(), edges[missing + 1].tolist(), strict=True):
+            others.append(met[raw[start:end]])
+            sizes[i] = len(others[-1])
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        ids = self.short.pool.take(np.repeat((span >> 6) - begins, sizes) + np.arange(ends[-1]), mode="clip")
+        for start, own in zip(begins[missing].tolist(), others, strict=True):
+            ids[start : start + len(own)] = own
+        return ids, sizes
+
 
 class Encoder:
     """Ids of texts under a byte-level tokenizer file.  Strings of special tokens in a text are ordinary text."""
@@ -90,5 +235,12 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian integers of self.dtype."""
-        get = self.pieces.__getitem__
-        return [b"".join(map(get, cut(t))) for t in texts]
+        get, out, latin = self.pieces.__getitem__, [], []
+        for t in texts:
+            try:
+                latin.append(t.encode("latin-1"))
+                out.append(None)
+            except UnicodeEncodeError:
+                out.append(b"".join(map(get, cut(t))))
+        found = iter(self.pieces.latin(latin))
+        return [next(found) if x is None else x for x in out]

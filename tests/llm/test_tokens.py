@@ -244,3 +244,41 @@ def test_whole_texts_against_the_library(table, column):
     texts += mixed
     for t, raw in zip(texts, encoder.encode(texts), strict=True):
         assert np.frombuffer(raw, encoder.dtype).tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def whole(encoder, texts):
+    return [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, encoder.dtype).tobytes() for t in texts]
+
+
+def test_known_pieces_are_found_without_cutting_texts(monkeypatch):
+    from graphloom.llm import tokens
+
+    encoder, texts = Encoder(tokenizer_path()), ["", "One two, thrée\n\n 4 five  ", "six " * 50, "", "  Two"]
+    expected = whole(encoder, texts)
+    assert encoder.encode(texts) == expected
+
+    def never(*_):
+        raise AssertionError("a piece was taken by itself")
+
+    monkeypatch.setattr(tokens, "cut", never)
+    monkeypatch.setattr(tokens._Pieces, "__missing__", never)
+    monkeypatch.setattr(encoder.pieces, "merge", never)
+    monkeypatch.setattr(encoder.pieces, "whole", never)
+    assert encoder.encode(texts[::-1]) == expected[::-1]
+
+
+@pytest.mark.parametrize("most", [0, 7, 600_000])
+def test_short_pieces_keep_apart(monkeypatch, most):
+    """Neighbouring texts, zero characters, lengths about the key's, tables that grow, blocks that end anywhere, full caches."""
+    from graphloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_PIECES", most)
+    monkeypatch.setattr(tokens, "BLOCK", 37)
+    encoder, rng = Encoder(tokenizer_path()), random.Random(8)
+    texts = ["a ", "b", " ", " b", "x  ", "y", "", "1 ", "é", "a\0", "a", "\0", "\0\0", "a\0\0b", "中 a", "a 中", "\0 ", "\ud7ff", "ª" * 16]
+    texts += [" " * k + c * n + "." for c in "aé-" for n in range(13, 19) for k in (0, 1, 2)]
+    texts += [" ".join("".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 18))) for _ in range(40)) for _ in range(100)]
+    for _ in range(2):
+        assert encoder.encode(texts) == whole(encoder, texts)
+    assert len(encoder.pieces) <= most and (most < 600_000 or encoder.pieces.short.bits > 12)
+    assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
