@@ -5,44 +5,70 @@ reach over two kinds of places: the end of a run of letters, and the front of a
 directly before a letter.  A text cut there has the ids of its pieces, one after the other, so that the
 library has to encode each distinct piece once for a worker; tests hold this against the whole text.
 
-Texts of Latin-1 characters are cut and their short pieces found with arrays, many texts at once: a piece's characters
-and length are its key, so that what is found is the piece itself.
+Texts are cut and their short pieces found with arrays, many texts at once: a piece's bytes and length are its key, so
+that what is found is the piece itself.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from array import array
+from functools import cache
 from itertools import chain
 
 import numpy as np
 
 #: Distinct pieces that a worker remembers, and the longest of them in characters.
 CACHE_PIECES, CACHE_CHARS = 600_000, 40
-#: Characters of pieces that have a key of two 64-bit words (the last byte is the length); pieces looked up at once.
-SHORT, BLOCK = 15, 1 << 15
+#: 64-bit words of a short piece's key, whose last byte is the length; bytes of such a piece at the most; pieces looked up at once.
+WORDS, BLOCK = 3, 1 << 15
+SHORT = 8 * WORDS - 1
 
 _WORKERS: dict = {}
-
-
-def _cutter(letter: str, other: str):
-    return re.compile(f" {letter}+|{other}+(?= {letter})|{other}*{letter}+|{other}+").findall
-
-
-_LATIN = _cutter("[A-Za-zªµºÀ-ÖØ-öø-ÿ]", "[^A-Za-zªµºÀ-ÖØ-öø-ÿ]")
-_WIDE = _cutter(r"[^\W\d_]", r"[\W\d_]")
-_BEYOND = re.compile("[^\x00-\xff]")
+_ASCII = np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+
+
+@cache
+def _alphabet() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.array([chr(c).isalpha() for c in range(0x110000)])
+
+
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Whether a byte of UTF-8 belongs to a letter."""
+    out, lead = _ASCII[data], np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        head, rest = data[lead].astype(np.int64), lambda at, i: data[at + i].astype(np.int64) & 63
+        code = (head & 31) << 6 | rest(lead, 1)
+        three, four = np.flatnonzero(head >= 0xE0), np.flatnonzero(head >= 0xF0)
+        third, fourth = lead[three], lead[four]
+        code[three] = (head[three] & 15) << 12 | rest(third, 1) << 6 | rest(third, 2)
+        code[four] = (head[four] & 7) << 18 | rest(fourth, 1) << 12 | rest(fourth, 2) << 6 | rest(fourth, 3)
+        own = _alphabet()[code]
+        out[lead] = out[lead + 1] = own
+        out[third + 2] = own[three]
+        out[fourth + 3] = own[four]
+    return out
+
+
+def edges(raw: bytes, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where pieces of texts in UTF-8 begin, and the end of the last one.  A piece begins behind a run of letters, at a space
+    that stands directly before a letter, and with a text."""
+    data = np.frombuffer(raw, np.uint8)
+    letter, first = _letters(data), np.zeros(len(raw) + 1, bool)
+    first[1 : len(raw)] = letter[:-1] & ~letter[1:]
+    space = (data[:-1] == 32) & letter[1:]
+    space[ends[(ends > 0) & (ends < len(raw))] - 1] = False
+    first[: len(space)] |= space
+    first[begins] = True
+    first[-1] = True
+    return np.flatnonzero(first)
 
 
 def cut(text: str) -> list[str]:
     """Pieces whose ids, joined, are the text's ids."""
-    if text.isascii() or not _BEYOND.search(text):
-        return _LATIN(text)
-    # numerals that Python counts as word characters but not as digits would end up inside a run of letters
-    if any(unicodedata.category(c) in ("No", "Nl") for c in set(text)):
-        return [text]
-    return _WIDE(text)
+    raw = text.encode()
+    at = edges(raw, np.array([0]), np.array([len(raw)])).tolist()
+    return [raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def _byte_letters() -> dict[int, str]:
@@ -52,11 +78,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
-_LETTER = np.array([chr(b).isalpha() for b in range(256)])
-_SPACE = np.uint8(32)
-#: For each length of a piece, what of its two words is its own; the length itself; nothing of longer pieces.
-_LOW = np.array([(1 << 8 * min(n, 8)) - 1 for n in range(SHORT + 1)] + [0], np.uint64)
-_HIGH = np.array([(1 << 8 * max(n - 8, 0)) - 1 for n in range(SHORT + 1)] + [0], np.uint64)
+#: For each length of a piece, what of its words is its own, and the length itself; nothing of longer pieces.
+_OWN = [np.array([(1 << 8 * min(max(n - 8 * w, 0), 8)) - 1 for n in range(SHORT + 1)] + [0], np.uint64) for w in range(WORDS)]
 _LENGTH = np.array([n << 56 for n in range(SHORT + 1)] + [0], np.uint64)
 
 
@@ -69,27 +92,33 @@ class _Short:
 
     def _clear(self, bits: int) -> None:
         self.bits = bits
-        self.low, self.high, self.span = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int64)
-
-    def _first(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        h = low * np.uint64(0x9E3779B97F4A7C15) ^ high * np.uint64(0xC2B2AE3D27D4EB4F)
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0x94D049BB133111EB)
-        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def spans(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        self.keys, self.span = [np.zeros(1 << bits, np.uint64) for _ in range(WORDS)], np.zeros(1 << bits, np.int64)
+
+    def _first(self, keys: list[np.ndarray]) -> np.ndarray:
+        h = np.zeros(len(keys[0]), np.uint64)
+        for k in keys:
+            h = (h ^ k) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(32)
+        return (h * np.uint64(0x94D049BB133111EB) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _others(self, slot: np.ndarray, keys: list[np.ndarray]) -> np.ndarray:
+        """Whether slots hold something else than the keys."""
+        last = self.keys[-1][slot]
+        out = last != keys[-1]
+        for own, k in zip(self.keys[:-1], keys[:-1], strict=True):
+            out |= own[slot] != k
+        return out & (last != 0)
+
+    def spans(self, keys: list[np.ndarray]) -> np.ndarray:
         """Zero for keys that are not there."""
-        slot = self._first(low, high)
-        h = self.high[slot]
-        left = np.flatnonzero(((h != high) | (self.low[slot] != low)) & (h != 0))
+        slot = self._first(keys)
+        left = np.flatnonzero(self._others(slot, keys))
         while len(left):
-            s = (slot[left] + 1) & ((1 << self.bits) - 1)
-            slot[left] = s
-            h = self.high[s]
-            left = left[((h != high[left]) | (self.low[s] != low[left])) & (h != 0)]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            left = left[self._others(slot[left], [k[left] for k in keys])]
         return self.span[slot]
 
-    def add(self, low: np.ndarray, high: np.ndarray, ids: list[list[int]]) -> None:
+    def add(self, keys: list[np.ndarray], ids: list[list[int]]) -> None:
         """Remember distinct keys that are not there."""
         sizes = np.array([len(x) for x in ids], np.int64)
         places = self.end + np.cumsum(sizes) - sizes
@@ -99,28 +128,32 @@ class _Short:
         self.pool[self.end : self.end + len(fresh)] = fresh
         self.end += len(fresh)
         self.n += len(ids)
-        span, bits = places * 64 + sizes, self.bits
+        bits = self.bits
         while 3 * self.n > 1 << bits:  # probes stay short
             bits += 1
         if bits > self.bits:
-            used = np.flatnonzero(self.high)
-            old = self.low[used], self.high[used], self.span[used]
+            used = np.flatnonzero(self.span)
+            old = [k[used] for k in self.keys], self.span[used]
             self._clear(bits)
             self._put(*old)
-        self._put(low, high, span)
+        self._put(keys, places * 64 + sizes)
 
-    def _put(self, low: np.ndarray, high: np.ndarray, span: np.ndarray) -> None:
-        slot, left = self._first(low, high), np.arange(len(low))
+    def _put(self, keys: list[np.ndarray], span: np.ndarray) -> None:
+        slot, left = self._first(keys), np.arange(len(span))
         while len(left):
-            own = left[self.high[slot[left]] == 0]
-            self.low[slot[own]], self.high[slot[own]], self.span[slot[own]] = low[own], high[own], span[own]
-            left = left[self.span[slot[left]] != span[left]]  # no two spans are alike
+            free = left[self.span[slot[left]] == 0]
+            # of keys that meet in a slot one stays; no two spans are alike
+            self.span[slot[free]] = span[free]
+            stay = free[self.span[slot[free]] == span[free]]
+            for own, k in zip(self.keys, keys, strict=True):
+                own[slot[stay]] = k[stay]
+            left = left[self.span[slot[left]] != span[left]]
             slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
 
 
 class _Pieces(dict):
-    """Ids of pieces, as bytes; a piece met for the first time is encoded by the library.  Short pieces of Latin-1 texts
-    are kept in arrays."""
+    """Ids of pieces, as bytes; a piece met for the first time is encoded by the library.  Short pieces are kept in
+    arrays."""
 
     def __init__(self, tokenizer, dtype):
         super().__init__()
@@ -145,46 +178,35 @@ class _Pieces(dict):
             return [t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.letters))]
         return self.whole(piece, add_special_tokens=False).ids
 
-    def latin(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of texts in Latin-1."""
-        raw = b"".join(texts)
-        lengths = np.array([len(t) for t in texts], np.int64)
+    def of_texts(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of texts in UTF-8."""
+        raw, lengths = b"".join(texts), np.array([len(t) for t in texts], np.int64)
         ends = np.cumsum(lengths)
         begins = ends - lengths
-        data = np.frombuffer(raw, np.uint8)
-        letter = _LETTER[data]
-        # a piece begins behind a run of letters, at a space before a letter, and with a text
-        first, space = np.zeros(len(raw) + 1, bool), data[:-1] == _SPACE
-        first[1 : len(raw)] = letter[:-1] & ~letter[1:]
-        space &= letter[1:]
-        space[ends[(ends > 0) & (ends < len(raw))] - 1] = False
-        first[: len(space)] |= space
-        first[begins] = True
-        first[-1] = True
-        edges = np.flatnonzero(first)
-        words = np.frombuffer(raw + bytes(24 + -len(raw) % 8), "<u8")
+        at = edges(raw, begins, ends)
+        words = np.frombuffer(raw + bytes(8 * WORDS + 8 + -len(raw) % 8), "<u8")
         ids, sizes = [], [np.zeros(1, np.int64)]
-        for a in range(0, len(edges) - 1, BLOCK):
-            found = self._block(raw, words, edges[a : a + BLOCK + 1])
+        for a in range(0, len(at) - 1, BLOCK):
+            found = self._block(raw, words, at[a : a + BLOCK + 1])
             ids.append(found[0])
             sizes.append(found[1])
         ids = np.concatenate([np.zeros(0, self.short.pool.dtype), *ids]).tobytes()
         place = np.cumsum(np.concatenate(sizes)) * self.short.pool.itemsize
-        return [ids[a:b] for a, b in zip(place[np.searchsorted(edges, begins)].tolist(), place[np.searchsorted(edges, ends)].tolist(), strict=True)]
+        return [ids[a:b] for a, b in zip(place[np.searchsorted(at, begins)].tolist(), place[np.searchsorted(at, ends)].tolist(), strict=True)]
 
-    def _block(self, raw: bytes, words: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces between edges, one after the other, and how many each has."""
-        begins, lengths = edges[:-1], np.diff(edges)
-        at, shift = begins >> 3, ((begins & 7) << 3).astype(np.uint64)
+    def _block(self, raw: bytes, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces between places, one after the other, and how many each has."""
+        begins, lengths = at[:-1], np.diff(at)
+        shift, kind = ((begins & 7) << 3).astype(np.uint64), np.minimum(lengths, SHORT + 1)
         back = np.uint64(64) - shift  # shifts by 64 give zero
-        middle, kind = words[at + 1], np.minimum(lengths, SHORT + 1)
-        low = (words[at] >> shift | middle << back) & _LOW[kind]
-        high = (middle >> shift | words[at + 2] << back) & _HIGH[kind] | _LENGTH[kind]
-        span = self.short.spans(low, high)
+        aligned = [words[(begins >> 3) + i] for i in range(WORDS + 1)]
+        keys = [(aligned[i] >> shift | aligned[i + 1] << back) & _OWN[i][kind] for i in range(WORDS)]
+        keys[-1] |= _LENGTH[kind]
+        span = self.short.spans(keys)
         missing = np.flatnonzero(span == 0)
         if len(missing):
             met, longer, kept, new, room = {}, [], [], [], CACHE_PIECES - len(self)
-            for i, start, end in zip(missing.tolist(), begins[missing].tolist(), edges[missing + 1].tolist(), strict=True):
+            for i, start, end in zip(missing.tolist(), begins[missing].tolist(), at[missing + 1].tolist(), strict=True):
                 piece = raw[start:end]
                 if piece in met:
                     continue
@@ -192,18 +214,18 @@ class _Pieces(dict):
                     met[piece] = None
                     longer.append(piece)
                     continue
-                met[piece] = ids = self.by_library(piece.decode("latin-1"))
+                met[piece] = ids = self.by_library(piece.decode())
                 if len(new) < room:
                     kept.append(i)
                     new.append(ids)
             if kept:
-                self.short.add(low[kept], high[kept], new)
-                span[missing] = self.short.spans(low[missing], high[missing])
+                self.short.add([k[kept] for k in keys], new)
+                span[missing] = self.short.spans([k[missing] for k in keys])
                 missing = missing[span[missing] == 0]
             for piece in longer:
-                met[piece] = np.frombuffer(self[piece.decode("latin-1")], self.short.pool.dtype)
+                met[piece] = np.frombuffer(self[piece.decode()], self.short.pool.dtype)
         sizes, others = span & 63, []
-        for i, start, end in zip(missing.tolist(), begins[missing].tolist(), edges[missing + 1].tolist(), strict=True):
+        for i, start, end in zip(missing.tolist(), begins[missing].tolist(), at[missing + 1].tolist(), strict=True):
             others.append(met[raw[start:end]])
             sizes[i] = len(others[-1])
         ends = np.cumsum(sizes)
@@ -235,12 +257,4 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian integers of self.dtype."""
-        get, out, latin = self.pieces.__getitem__, [], []
-        for t in texts:
-            try:
-                latin.append(t.encode("latin-1"))
-                out.append(None)
-            except UnicodeEncodeError:
-                out.append(b"".join(map(get, cut(t))))
-        found = iter(self.pieces.latin(latin))
-        return [next(found) if x is None else x for x in out]
+        return self.pieces.of_texts([t.encode() for t in texts])

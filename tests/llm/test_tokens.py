@@ -253,7 +253,7 @@ def whole(encoder, texts):
 def test_known_pieces_are_found_without_cutting_texts(monkeypatch):
     from graphloom.llm import tokens
 
-    encoder, texts = Encoder(tokenizer_path()), ["", "One two, thrée\n\n 4 five  ", "six " * 50, "", "  Two"]
+    encoder, texts = Encoder(tokenizer_path()), ["", "One two, thrée\n\n 4 five  ", "six " * 50, "", "  Two", "don’t — “né” слово, 中 𐐀𐐁 😀 Ⅷ"]
     expected = whole(encoder, texts)
     assert encoder.encode(texts) == expected
 
@@ -275,10 +275,19 @@ def test_short_pieces_keep_apart(monkeypatch, most):
     monkeypatch.setattr(tokens, "CACHE_PIECES", most)
     monkeypatch.setattr(tokens, "BLOCK", 37)
     encoder, rng = Encoder(tokenizer_path()), random.Random(8)
-    texts = ["a ", "b", " ", " b", "x  ", "y", "", "1 ", "é", "a\0", "a", "\0", "\0\0", "a\0\0b", "中 a", "a 中", "\0 ", "\ud7ff", "ª" * 16]
-    texts += [" " * k + c * n + "." for c in "aé-" for n in range(13, 19) for k in (0, 1, 2)]
+    texts = ["a ", "b", " ", " b", "x  ", "y", "", "1 ", "é", "a\0", "a", "\0", "\0\0", "a\0\0b", "中 a", "a 中", "\0 ", "\ud7ff", "ª" * 16, "𐐀" * 5, "中" * 7 + " 中"]
+    texts += [" " * k + c * n + "." for c in "aé-" for n in range(10, 26) for k in (0, 1, 2)]
     texts += [" ".join("".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 18))) for _ in range(40)) for _ in range(100)]
     for _ in range(2):
         assert encoder.encode(texts) == whole(encoder, texts)
     assert len(encoder.pieces) <= most and (most < 600_000 or encoder.pieces.short.bits > 12)
     assert encoder.encode([]) == [] and encoder.encode([""]) == [b""]
+
+
+def test_pieces_of_any_script():
+    """Letters, marks, numerals, spaces and signs of one to four bytes, next to each other in any order."""
+    encoder, rng = Encoder(tokenizer_path()), random.Random(9)
+    chars = [*"  \n\ta'sZé²¼ªß\xa0\xad", *"слжΩاب한中々ªʰ𐐀𝒳", *"\u0301\u064e\u20dd", *"Ⅷ٣²㊀𝟙", *"\u2003\u3000\u200b\u2028", *"’—“😀€\uffff"]
+    texts = ["".join(rng.choice(chars) for _ in range(rng.randint(0, 14))) for _ in range(6000)]
+    assert all("".join(cut(t)) == t for t in texts)
+    assert encoder.encode(texts) == whole(encoder, texts)
