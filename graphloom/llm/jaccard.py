@@ -12,8 +12,8 @@ The boundary between small and large is the one of least cost: rows of subsets a
 the length of list that a row meets, which a sketch of all shingles gives (its second moment).  The same sketch,
 of fixed size, orders shingles by frequency; any order gives whole results.
 
-Lists aren't multiplied out.  In rounds each set is compared with the list leader that it meets most; links found
-make groups, and lists of one group go.  Lists of few pairs between groups need one round alone; rounds of the others end
+Lists aren't multiplied out.  In rounds each set is compared with the list leaders that it meets most (one at first, then up to
+LEADERS, no pair twice); every second round is led by sets with most of their prefix in long lists; links found make groups, and lists of one group go.  Lists of few pairs between groups need one round alone; rounds of the others end
 when groups stop growing together.  A list that still has many more pairs than its sets have prefix shingles is dealt
 anew under keys of one shingle more, if that leaves few of its pairs: linked sets whose first common shingle is k also
 share a second one, in prefixes longer by one.  What is left is joined list by list, but only sets of different groups whose bitmaps (parities of
@@ -33,7 +33,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix, scan_text, text_chunks, unused
@@ -44,7 +44,7 @@ WORDS, NUM, DEN = 5, 75, 100
 #: Counters of the sketch and of one of its blocks; the largest boundary that the cost is tried for (a set of 20 has up
 #: to 21,000 subsets, so that larger ones never cost less than their prefix of 6).
 SKETCH, SKETCH_BLOCK, MOST_LIGHT = 1 << 21, 1 << 12, 20
-#: Leaders of a list in later rounds; pairs between groups for each row of a list that needs no further round; the share of
+#: Leaders of a list, and those a set is compared with, in later rounds; pairs between groups for each row of a list that needs no further round; the share of
 #: pairs that a round must settle for another one; pairs for each prefix shingle of a list's sets that it stays whole with;
 #: the share of a list's pairs that longer keys may leave to be used; most shingles of a key; words of a bitmap.
 LEADERS, PAIRS, SETTLED, STAYS, WORTH, DEEPEST, BITMAP = 4, 4, 0.1, 4, 0.25, 4, 8
@@ -400,20 +400,30 @@ def _mixed(rows: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 def _rounds(rows: DataFrame, sets: DataFrame, documents: DataFrame, scratch: Scratch, words: int) -> tuple[DataFrame, DataFrame]:
     """Rounds of comparisons with list leaders.  rows: key, id, n and g (group) of lists.  Gives the links found, and the
     rows of lists that hold several groups.  All lists take part in the first round, long ones in those that follow."""
-    links, before, turn, busy, moves = None, float("inf"), 0, rows, None
+    links, before, turn, busy, moves, tried = None, float("inf"), 0, rows, None, None
 
     def placed(lists: DataFrame, to: DataFrame) -> DataFrame:
         return lists.join(to, F.col("g") == F.col("node"), "left").select("key", "id", "n", F.coalesce("component", "g").alias("g"))
 
     while True:
-        # leaders: the least ids at first, then others in each round
-        rank = F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
+        # leaders: the least ids at first; then, in each second round, sets with most of their prefix in these lists (of copies that
+        # were changed in places, those with the fewest changes, which link with the most others), and any others between
+        lead, rank = busy.withColumn("share", F.lit(0.0)), F.xxhash64("id", F.lit(turn)) if turn else F.lit(0)
+        if turn % 2:
+            share = busy.groupBy("id", "n").agg((F.count(F.lit(1)) / F.expr(f"n - ({NUM} * n + {DEN - 1}) div {DEN} + 1")).alias("share"))
+            lead = busy.join(scratch.table(share, f"share{turn}"), ["id", "n"])
         salt = F.pmod(F.xxhash64("id"), F.lit(LEADERS if turn else 1))
-        leaders = busy.groupBy("key", salt.alias("salt")).agg(F.min(F.struct(rank.alias("rank"), "id", "n", "g")).alias("x"))
-        leaders = scratch.table(leaders.select("key", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.g").alias("gb")), f"leaders{turn}")
-        met = busy.join(leaders, "key").where("g <> gb").where(FITS).groupBy("id", "g", "b", "gb").agg(F.count(F.lit(1)).alias("times"))
-        best = met.groupBy("id", "g").agg(F.max(F.struct("times", (-F.col("b")).alias("minus"), "gb")).alias("x"))
-        best = scratch.table(best.select(F.col("id").alias("a"), (-F.col("x.minus")).alias("b"), F.col("g").alias("ga"), F.col("x.gb").alias("gb")), f"tried{turn}")
+        leaders = lead.groupBy("key", salt.alias("salt")).agg(F.min(F.struct((-F.col("share")).alias("minus"), rank.alias("rank"), "id", "n", "g")).alias("x"))
+        leaders = scratch.table(leaders.select("key", F.col("x.id").alias("b"), F.col("x.n").alias("m"), F.col("x.g").alias("gb"), (-F.col("x.minus")).alias("share")), f"leaders{turn}")
+        met = busy.join(leaders, "key").where("g <> gb").where(FITS).groupBy("id", "g", "b", "gb").agg(F.count(F.lit(1)).alias("times"), F.max("share").alias("share"))
+        if tried is not None:  # no pair is compared again
+            met = met.join(tried, ["id", "b"], "left_anti")
+        # those that a set meets most
+        turns = F.row_number().over(Window.partitionBy("id", "g").orderBy(F.desc("times"), F.desc("share"), "b"))
+        best = met.withColumn("turn", turns).where(F.col("turn") <= (LEADERS if turn else 1))
+        best = scratch.table(best.select(F.col("id").alias("a"), "b", F.col("g").alias("ga"), "gb"), f"tried{turn}")
+        pairs = best.select(F.col("a").alias("id"), "b")
+        tried = pairs if tried is None else tried.union(pairs)
         found = verify(best, sets, documents, scratch, str(turn), words)
         links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
         joined = components(found.select(F.col("ga").alias("a"), F.col("gb").alias("b")), scratch, f"grow{turn}_")
@@ -428,7 +438,7 @@ def _rounds(rows: DataFrame, sets: DataFrame, documents: DataFrame, scratch: Scr
             mixed = _mixed(now, scratch, f"mixed{turn}")
             later = grown if moves is None else moves.select("node", F.col("component").alias("c1")).join(grown.select(F.col("node").alias("c1"), "component"), "c1", "left").select("node", F.coalesce("component", "c1").alias("component")).unionByName(grown.join(moves.select("node"), "node", "left_anti"))
             moves = scratch.table(later, f"moves{turn}")
-        for name in (f"busy{turn}" if turn else "open0", f"leaders{turn}", f"tried{turn}"):
+        for name in (f"busy{turn}" if turn else "open0", f"leaders{turn}", f"share{turn}"):
             scratch.drop(name)
         # lists of few pairs need no further round
         long = mixed.where(F.col("cross") > PAIRS * F.col("m"))
@@ -437,6 +447,8 @@ def _rounds(rows: DataFrame, sets: DataFrame, documents: DataFrame, scratch: Scr
         if not cost or cost > (1 - SETTLED) * before:
             break
         before, busy = cost, scratch.table(now.join(long.select("key"), "key"), f"busy{turn}")
+    for past in range(turn):
+        scratch.drop(f"tried{past}")
     if moves is not None:
         now = placed(rows, moves)
         rows = scratch.table(now.join(_mixed(now, scratch, "mixed_last").select("key"), "key"), "open_last")

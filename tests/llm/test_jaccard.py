@@ -212,3 +212,26 @@ def test_many_edges_and_many_texts(spark, monkeypatch):
     rows = corpus(4)
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark, "many"))
     assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
+def test_changed_copies_meet_the_least_changed_ones(spark, monkeypatch):
+    """Copies that only the ones with few changes link leave few pairs to the last join."""
+    rng, left = random.Random(12), {}
+    real = jaccard.verify
+
+    def noted(pairs, sets, documents, scratch, name, words):
+        left[name] = pairs.count()
+        return real(pairs, sets, documents, scratch, name, words)
+
+    monkeypatch.setattr(jaccard, "verify", noted)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for place in rng.sample(range(0, 150, 6), 0 if i == 200 else rng.choice([2, 3, 3, 4, 4, 5])):
+            w[place] = f"x{rng.randrange(1 << 30)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in jaccard.classes(docs, Scratch(spark, "t")).collect()}
+    assert got == {d: c for d, _, c in brute(rows)}
+    assert left["last"] < len(rows)
