@@ -105,3 +105,13 @@ def test_agent_numbers_facts_for_good(spark):
 def test_every_query_but_few_has_sql():
     missing = set(catalogue.queries()) - set(catalogue.oracle_sql())
     assert missing == {"beam_walk"} and len(catalogue.queries()) > 160
+
+
+def test_visual_floor_is_the_one_of_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    for m in (2, 6, 12, 18):  # 6 * 0.6 / 0.4 is 9 in decimals and below 9 in doubles; 2 of 5 is the share itself
+        rows = [(f"v{i:02d}", True) for i in range(m)] + [(f"t{i:02d}", False) for i in range(m * 3 // 2 + (m > 2))]
+        items = spark.createDataFrame(rows, "qid string, multimodal boolean")
+        keep = int(duckdb.execute("SELECT floor(CAST(? AS BIGINT) * 0.6 / 0.4)", [m]).fetchone()[0])
+        got = sorted(r.qid for r in templates.visual_floor(items, 0.4).collect() if not r.multimodal)
+        assert got == [f"t{i:02d}" for i in range(keep)]
