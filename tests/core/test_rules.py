@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom import storage
-from graphloom.operators import evaluate, methods, order, templates, text_join, vectors
+from graphloom.operators import evaluate, methods, order, search, templates, text_join, vectors
 from graphloom.plans import catalogue
 from graphloom.storage import Steps
 
@@ -115,3 +115,15 @@ def test_visual_floor_is_the_one_of_sql(spark):
         keep = int(duckdb.execute("SELECT floor(CAST(? AS BIGINT) * 0.6 / 0.4)", [m]).fetchone()[0])
         got = sorted(r.qid for r in templates.visual_floor(items, 0.4).collect() if not r.multimodal)
         assert got == [f"t{i:02d}" for i in range(keep)]
+
+
+def test_rest_of_a_cut_sentence_as_in_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    texts = ["a" * 2000 + "\n" + "b" * 50, "a" * 1999 + "\n b", "a" * 2000 + " \n " + "b. Next one.", "a" * 3999 + " \tzz. More."]
+    with duckdb.connect() as db:
+        db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        db.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+        want = set(db.execute(catalogue.oracle_sql()["document_paragraphs"]).fetchall())
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    reader = SimpleNamespace(read=SimpleNamespace(parquet=lambda path: frame))
+    assert {tuple(r) for r in catalogue.queries()["document_paragraphs"](reader, "").collect()} == want
