@@ -13,24 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import delete_at_end, shared_folder
+from ..storage import BATCH_BYTES, bound_batches, delete_at_end, shared_folder  # noqa: F401
 
 #: Bytes of text that a Python worker turns into arrays at once.  A longer single text is taken alone.
 CHUNK_BYTES = 1_000_000
-#: Bytes of an Arrow batch that Spark gives to a Python worker.  Without a bound a batch has 10,000 rows, however long.
-BATCH_BYTES = 2_000_000
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches of the session hold BATCH_BYTES at the most (a single larger row apart)."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        now = int(spark.conf.get(key, None) or BATCH_BYTES + 1)
-    except ValueError:  # a size with a unit was set on purpose
-        return
-    if not 0 < now <= BATCH_BYTES:
-        spark.conf.set(key, str(BATCH_BYTES))
-
 
 def trim() -> None:
     """Give memory that arrays have left back to the system, so that a worker which waits for its next task holds none."""

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import Config
+from ..storage import bound_batches
 
 DEFAULT = Config()
 #: Vectors of a block.
@@ -65,7 +66,8 @@ def similar(queries: DataFrame, rows: DataFrame, least: float | None = None, k:
     both (the cut at k comes first).  A row is not compared with the query of its own id.
 
     The stated queries meet all rows block by block: each pair of blocks is one matrix product, wherever Spark places it,
-    and only what may stay becomes rows."""
+    and only what may stay becomes rows.  A batch holds few such pairs, however many blocks there are."""
+    bound_batches(rows.sparkSession)
 
     def run(batches):
         for batch in batches:

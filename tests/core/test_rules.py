@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from graphloom import storage
 from graphloom.operators import evaluate, methods, order, search, templates, text_join, vectors
 from graphloom.plans import catalogue
+from graphloom.sources import files
 from graphloom.storage import Steps
 
 
@@ -150,3 +151,59 @@ def test_rest_of_a_cut_sentence_as_in_sql(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     reader = SimpleNamespace(read=SimpleNamespace(parquet=lambda path: frame))
     assert {tuple(r) for r in catalogue.queries()["document_paragraphs"](reader, "").collect()} == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_roots_meet_in_one_group(spark):
+    q = spark.createDataFrame([("q",), ("r",)], "qid string")
+    m = spark.createDataFrame([("q", 0, "a", None, 0.0), ("q", 1, None, "b", 0.6), ("q", 2, None, "c", 0.5), ("x", 0, "a", None, 0.0)], "qid string, pos int, name string, near string, sim double")
+    i = spark.createDataFrame([("q", "d", 0.9), ("q", "e", -0.5), ("r", "a", -0.1)], "qid string, name string, score double")
+    t = spark.createDataFrame([("q", "e", 1.0), ("r", "a", 0.2), ("r", "b", 0.19), ("r", "c", 0.1)], "qid string, name string, score double")
+    out = methods.roots(q, m, i, t)
+    assert sorted((r.qid, r.k, r.name) for r in out.collect()) == [("q", 1, "a"), ("q", 2, "b"), ("q", 3, "d"), ("r", 1, "b"), ("r", 2, "a")]
+    assert "Join" not in plan(out)
+
+
+def test_an_agent_stops_where_no_question_goes_on(spark):
+    steps, names = Steps(spark, "stop"), []
+    q = spark.createDataFrame([("q", "where is a")], "qid string, question string")
+    shown = methods.facts(edges(spark, [("a", "is", "b")]))
+    out = methods.react(q, methods.expand_first, shown, lambda df, name: names.append(name) or steps(df, name))
+    assert [(r.h, r.r, r.u) for r in out.collect()] == [("a", "is", "b")] and len(names) == 2  # expand, finish
+
+
+def test_questions_are_dealt_before_they_are_grouped(spark):
+    arms = [spark.createDataFrame([(f"q{i}",) for i in range(n)] * 2, "qid string") for n in (5, 3, 4)]
+    out = evaluate.common(*arms)
+    assert sorted(r.qid for r in out.collect()) == ["q0", "q1", "q2"] and "REPARTITION_BY_NUM" in plan(out)
+    questions = spark.createDataFrame([("q", "who made the old mill, the old Mill?")], "qid string, question string")
+    roots = search.question_roots(questions, spark.createDataFrame([("old mill",), ("mill",), ("absent",)], "name string"))
+    assert [(r["rank"], r.name) for r in roots.orderBy("rank").collect()] == [(1, "old mill"), (2, "mill")]
+    assert "REPARTITION_BY_NUM" in plan(roots)
+
+
+def test_hashes_that_share_most_bits_are_no_rows_of_pairs(spark):
+    rows = spark.createDataFrame([(i, i * 7) for i in range(300)], "id long, hash long")
+    known = spark.createDataFrame([(i, i * 3) for i in range(300, 0, -1)], "match long, hash long")
+    out = files.best_matches(rows, known, most=2)
+    want = {}
+    for i in range(300):
+        d, m = min(((i * 7) ^ (j * 3)).bit_count() * 1000 + j for j in range(1, 301)).__divmod__(1000)
+        if d <= 2:
+            want[i] = (m, d)
+    assert {r.id: (r.match, r.distance) for r in out.collect()} == want and "band" not in plan(out)
+
+
+def test_pairs_of_blocks_come_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, str(1 << 30))
+        v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(4)], "id long, v array<double>")
+        assert vectors.similar(v, v, k=1).count() == 4
+        assert int(spark.conf.get(key)) <= storage.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
