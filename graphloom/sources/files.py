@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import io
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as S
+from ..storage import bound_batches
 
 #: File suffixes read as text and as images.
 TEXT, IMAGE = ("txt", "md", "markdown", "pdf"), ("jpg", "jpeg", "png", "webp", "gif", "bmp")
@@ -209,17 +212,42 @@ def page_texts(files: DataFrame, needed: DataFrame) -> DataFrame:
     return own.select("stem", F.posexplode(pages).alias("p", "text")).select("stem", (F.col("p") + 1).alias("page"), "text")
 
 
-def best_matches(rows: DataFrame, known: DataFrame, most: int = 10, bands: int = 11) -> DataFrame:
+#: Perceptual hashes of a block.
+HASHES = 2048
+
+
+def best_matches(rows: DataFrame, known: DataFrame, most: int = 10) -> DataFrame:
     """id, match, distance: of each perceptual hash (id, hash) the nearest known one (match, hash), if at most `most` bits
-    differ; the smaller match of equals.  Hashes that differ in at most `most` of 64 bits agree in one of more than `most`
-    bands, so bands are joined instead of all pairs."""
-    bands = max(bands, most + 1)
-    width = -(-64 // bands)
-    parts = F.array(*(F.shiftrightunsigned("hash", i).bitwiseAND(F.lit((1 << width) - 1)) for i in range(0, 64, width)))
-    cut = lambda df: df.select("*", F.posexplode(parts).alias("band", "part"))
-    met = cut(rows).select("id", F.col("hash").alias("a"), "band", "part").join(cut(known).select("match", F.col("hash").alias("b"), "band", "part"), ["band", "part"])
-    near = met.select("id", "match", hamming(F.col("a"), F.col("b")).alias("distance")).where(F.col("distance") <= most)
-    return near.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("x")).select("id", "x.match", "x.distance")
+    differ; the smaller match of equals.  Hashes meet block by block and not in joined bands, since bits that most of
+    them share would bring all pairs together as rows."""
+    one, two = rows.schema["id"].dataType, known.schema["match"].dataType
+
+    def blocks(df: DataFrame, name: str, kind, to: str) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                for i in range(0, batch.num_rows, HASHES):
+                    part = batch.slice(i, HASHES).sort_by("name")  # the first of equal distances is the smaller one
+                    held = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                    yield pa.RecordBatch.from_arrays([held, pa.array([part.column(1).to_numpy().tobytes()], pa.binary())], [f"{to}s", f"{to}h"])
+
+        schema = T.StructType([T.StructField(f"{to}s", T.ArrayType(kind)), T.StructField(f"{to}h", T.BinaryType())])
+        return df.where(F.col("hash").isNotNull()).select(F.col(name).alias("name"), F.col("hash").cast("long")).mapInArrow(run, schema)
+
+    def nearest(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (1, 3))
+                differ = np.bitwise_count(a[:, None] ^ b[None, :])
+                at = differ.argmin(1)
+                best = differ[np.arange(len(a)), at]
+                keep = np.nonzero(best <= most)[0]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i].values.take(pa.array(keep)), batch.column(2)[i].values.take(pa.array(at[keep])), pa.array(best[keep].astype(np.int32))], ["id", "match", "distance"])
+
+    spark = rows.sparkSession
+    bound_batches(spark)
+    own = blocks(rows, "id", one, "r").repartition(4 * spark.sparkContext.defaultParallelism)
+    found = own.crossJoin(blocks(known, "match", two, "k")).select("rs", "rh", "ks", "kh").mapInArrow(nearest, T.StructType([T.StructField("id", one), T.StructField("match", two), T.StructField("distance", T.IntegerType())]))
+    return found.groupBy("id").agg(F.min(F.struct("distance", "match")).alias("x")).select("id", "x.match", "x.distance")
 
 
 def items_of(spark: SparkSession, path: str) -> DataFrame:
