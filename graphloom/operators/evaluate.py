@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .order import spread
+
 
 def precision_recall(evidence: DataFrame) -> DataFrame:
     """qid, n_pred, n_gold, precision, recall, recall_entailed.  Sets; one aggregate by question and triple, no join.
@@ -67,12 +69,13 @@ def reused(prior: DataFrame, items: DataFrame, stale: DataFrame, named: DataFram
 
 
 def common(*arms: DataFrame) -> DataFrame:
-    """Questions (qid) that every arm has: one count by question, however many arms there are."""
+    """Questions (qid) that every arm has: one mask by question, however many arms there are.  Rows are dealt by question
+    before they are grouped, so that no task holds the questions of a whole file."""
     every = None
     for i, arm in enumerate(arms):
-        part = arm.select("qid", F.lit(i).alias("arm")).distinct()
+        part = arm.select("qid", F.lit(1 << i).alias("arm"))
         every = part if every is None else every.unionByName(part)
-    return every.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(arms)).select("qid")
+    return spread(every, "qid").groupBy("qid").agg(F.bit_or("arm").alias("n")).where(F.col("n") == (1 << len(arms)) - 1).select("qid")
 
 
 def remaining(items: DataFrame, done: DataFrame) -> DataFrame:
