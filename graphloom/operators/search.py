@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import Config
+from .order import spread
 from .pages import links
 
 DEFAULT = Config()
@@ -25,8 +26,10 @@ def question_roots(questions: DataFrame, names: DataFrame, least: int = 3) -> Da
     as many words as names have are looked up by hash, instead of searching every name in every question."""
     keyed = names.where(F.length("name") >= least).select("name", tokens(F.col("name")).alias("t")).where(F.size("t") > 0)
     sizes = sorted(r["n"] for r in keyed.select(F.size("t").alias("n")).distinct().collect()) or [1]  # a row for each length in words
-    spans = questions.select("qid", F.posexplode(tokens(F.col("question"))).alias("i", "w"), tokens(F.col("question")).alias("all"))
-    phrase = spans.select("qid", F.explode(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.array_join(F.slice("all", F.col("i") + 1, n), " "))).alias("phrase")).distinct()
+    # a question's spans are made distinct within its row, so that no task holds those of many
+    spans = F.flatten(F.transform(F.array(*map(F.lit, sizes)), lambda n: F.transform("t", lambda w, i: F.array_join(F.slice(F.col("t"), i + 1, n), " "))))
+    told = spread(questions.select("qid", "question"), "qid", times=4).select("qid", tokens(F.col("question")).alias("t"))
+    phrase = told.select("qid", F.explode(F.array_distinct(spans)).alias("phrase"))
     rank = F.row_number().over(W.partitionBy("qid").orderBy(F.desc(F.length("name")), "name"))
     return phrase.join(keyed.select("name", F.array_join("t", " ").alias("phrase")), "phrase").select("qid", "name").distinct().withColumn("rank", rank)
 
