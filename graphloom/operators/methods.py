@@ -91,16 +91,19 @@ def roots(questions: DataFrame, mentions: DataFrame, images: DataFrame, texts: D
     similar name where nothing is resolved, taken from `floor` on); then entities by image score (images: qid, name,
     score) as far as there is room; then, where there are fewer than `most`, by alpha * text + (1 - alpha) * image
     (texts: qid, name, score).  There is room for `most`, or for all mentions if they are more."""
-    found = mentions.select("qid", "pos", F.coalesce("name", F.when(F.col("sim") >= floor, F.col("near"))).alias("name")).where("name IS NOT NULL")
-    first = found.groupBy("qid", "name").agg(F.min("pos").cast("double").alias("at")).withColumn("tier", F.lit(0))
-    second = images.where(F.col("score") >= image_floor).select("qid", "name", (-F.col("score")).alias("at"), F.lit(1).alias("tier"))
-    blend = texts.join(images.select("qid", "name", F.col("score").alias("i")), ["qid", "name"], "left")
-    seen = images.select("qid").distinct().withColumn("pictured", F.lit(True))
-    mixed = F.when(F.col("pictured"), F.lit(alpha) * F.col("score") + F.lit(1 - alpha) * F.coalesce("i", F.lit(0.0))).otherwise(F.col("score"))
-    third = blend.join(seen, "qid", "left").select("qid", "name", (-mixed).alias("at"), F.lit(2).alias("tier"))
-    every = first.unionByName(second).unionByName(third).groupBy("qid", "name").agg(F.min(F.struct("tier", "at")).alias("x"))
-    room = questions.select("qid").join(mentions.groupBy("qid").agg(F.count(F.lit(1)).alias("n")), "qid", "left").select("qid", F.greatest(F.lit(most), F.coalesce("n", F.lit(0))).alias("room"))
-    ranked = every.withColumn("k", F.row_number().over(W.partitionBy("qid").orderBy("x", "name"))).join(room, "qid")
+    none = F.lit(None).cast("double")
+    row = lambda name, pos, i, t, kind: [F.col("qid"), name.alias("name"), pos.cast("double").alias("pos"), i.cast("double").alias("i"), t.cast("double").alias("t"), F.lit(kind).alias("kind")]
+    found = F.coalesce("name", F.when(F.col("sim") >= floor, F.col("near")))
+    every = mentions.select(*row(found, F.col("pos"), none, none, 0)).unionByName(images.select(*row(F.col("name"), none, F.col("score"), none, 1))).unionByName(texts.select(*row(F.col("name"), none, none, F.col("score"), 2)))
+    every = every.unionByName(questions.select(*row(F.lit(None).cast("string"), none, none, none, 3)))
+    # a row for each name, of what all three say of it; the question's own figures are sums of them
+    one = every.groupBy("qid", "name").agg(F.min("pos").alias("pos"), F.max("i").alias("i"), F.max("t").alias("t"), F.count_if(F.col("kind") == 0).alias("n"), F.count_if(F.col("kind") == 1).alias("p"), F.count_if(F.col("kind") == 2).alias("c"), F.count_if(F.col("kind") == 3).alias("q"))
+    own = W.partitionBy("qid")
+    one = one.withColumn("room", F.greatest(F.lit(most), F.sum("n").over(own))).withColumn("pictured", F.sum("p").over(own) > 0).withColumn("asked", F.sum("q").over(own) > 0)
+    mixed = F.when(F.col("pictured"), F.lit(alpha) * F.col("t") + F.lit(1 - alpha) * F.coalesce("i", F.lit(0.0))).otherwise(F.col("t"))
+    place = lambda tier, at: F.struct(F.lit(tier).alias("tier"), at.alias("at"))
+    x = F.when(F.col("pos").isNotNull(), place(0, F.col("pos"))).when(F.col("i") >= image_floor, place(1, -F.col("i"))).when(F.col("c") > 0, place(2, -mixed))
+    ranked = one.where("asked AND name IS NOT NULL").withColumn("x", x).where("x IS NOT NULL").withColumn("k", F.row_number().over(own.orderBy("x", "name")))
     # the text fill stops at `most`, mentions and images at the room
     return ranked.where((F.col("k") <= F.col("room")) & ((F.col("x.tier") < 2) | (F.col("k") <= most))).select("qid", "k", "name")
 
@@ -163,6 +166,9 @@ def react(questions: DataFrame, decide: Callable[[Column, Column, Column], Colum
         wanted = F.transform(F.filter("numbers", lambda n: (n >= 1) & (n <= F.size("seen"))), lambda n: F.get(F.col("seen"), n - 1))
         own = materialise(own.withColumn("kept", F.array_distinct(F.concat("kept", wanted))), f"react{i}")
         goes = own.where("action IN ('expand', 'search')")
+        if goes.isEmpty():  # no question opens anything any more, so that facts need not be met again
+            now = own
+            break
         ended = own.join(goes.select("qid"), "qid", "left_anti").select("qid", "kept")
         over = ended if over is None else over.unionByName(ended)
         opened = goes.where("action = 'expand'").join(shown, F.col("arg") == F.col("entity"), "left")

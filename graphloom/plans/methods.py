@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, graph, methods, pages, search, vectors
+from ..operators import evaluate, graph, methods, order, pages, search, vectors
 from ..storage import Steps
 from . import views
 from .registry import COS, query, triples_of
@@ -119,7 +119,7 @@ e AS (SELECT qid, name, min({{'tier': tier, 'place': CAST(round(place, 12) AS DO
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x, name) AS k FROM e), o AS (SELECT q.qid, greatest(2, (SELECT count(*) FROM me WHERE me.qid = q.qid)) AS room FROM q)
 SELECT r.qid, CAST(k AS INTEGER) AS k, name FROM r JOIN o ON r.qid = o.qid WHERE k <= room AND (x.tier < 2 OR k <= 2)""")
 def walk_roots(spark, d):
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"))
+    c = order.spread(table(spark, d, "customer").select(F.col("c_custkey").alias("qid")), "qid", times=256)
     some = lambda n: c.select("qid", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
     me = some(3).where("i < qid % 4").selectExpr("qid", "i AS pos", "CASE WHEN (qid + i) % 3 = 0 THEN concat('n', (qid + i) % 25) END AS name", "concat('m', (qid + i) % 7) AS near", "((qid + i) % 10) / 10.0D AS sim")
     im = some(2).where("qid % 5 < 2").selectExpr("qid", "concat('n', (qid * 3 + i) % 25) AS name", "(qid * 7 + i * 3) % 11 / 11.0D - 0.1D AS score")
