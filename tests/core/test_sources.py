@@ -134,6 +134,21 @@ def test_notes_have_unique_files(spark):
     assert pages.graphml(t, t.selectExpr("h AS name", "1 AS degree")).count() == 6
 
 
+def test_only_lines_of_long_notes_are_written(spark):
+    steps, written = Steps(spark, "t"), {}
+
+    def keep(df, name):
+        written[name] = steps(df, name)
+        return written[name]
+
+    t = spark.createDataFrame([("hub", "r", f"x{i:03d}", f"{i:03d}") for i in range(30)] + [("a", "r", "b", "900")], "h string, r string, u string, seq string")
+    texts = spark.createDataFrame([("a", 2, "two"), ("a", 1, "one"), ("nobody", 1, "no links")], "entity string, seq long, text string")
+    got = {(r.file, r.part): r.note for r in pages.notes(t, keep, texts, part=12).collect()}
+    assert got["a.md", 0] == "---\nname: a\ndegree: 1\n---\n## Text\none\ntwo\n## Relations\n- r [[b]]" and len(got) == 32 + 3
+    assert [got["hub.md", i].count("[[") for i in range(3)] == [11, 12, 7]
+    assert {r.name for r in written["note_lines"].collect()} == {"hub"}
+
+
 def test_providers():
     with pytest.raises(ValueError):
         providers.with_retry(lambda: (_ for _ in ()).throw(ValueError("x")), wait=0)
